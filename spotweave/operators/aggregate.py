@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import first_max_index, log1p_clipped, total
 from spotweave.functions.vectors import vector_sum
-from spotweave.operators.ordinals import last_wins
-from spotweave.operators.overlap import overlap_cells, ring_areas, ring_edges, ring_stats, self_crossing
-from spotweave.session import one_row
+from spotweave.operators.overlap import overlap_cells, ring_edges, ring_geometry, self_crossing
+from spotweave.session import durable, one_row
 
 
 def grid_size(grids: DataFrame) -> int:
@@ -17,10 +16,9 @@ def grid_size(grids: DataFrame) -> int:
     return one_row(grids.agg(F.rint(F.median(F.col("x1") - F.col("x0"))).cast("int").alias("size")))["size"]
 
 
-def unique_origins(grids: DataFrame) -> DataFrame:
-    """One grid per origin; a repeated origin keeps the last row (``ord``)."""
-    placed = grids.withColumn("x0", F.col("x0").cast("long")).withColumn("y0", F.col("y0").cast("long"))
-    return last_wins(placed, ["x0", "y0"], "ord")
+def origin_winners(grids: DataFrame) -> DataFrame:
+    """``(x0, y0, ord)``: the last row of every lattice origin. Only the narrow columns are aggregated."""
+    return grids.groupBy(F.col("x0").cast("long").alias("x0"), F.col("y0").cast("long").alias("y0")).agg(F.max("ord").alias("ord"))
 
 
 def polygon_values(
@@ -34,49 +32,43 @@ def polygon_values(
 ) -> DataFrame:
     """Expression, type and geometry of every kept polygon.
 
-    ``vertices``: ``(cell_id, vertex_ord, vertex_x, vertex_y)``; ``grids``: ``(ord, x0, y0, x1, y1, expr, prob)``.
-    Overlap rows meet grids on equal origins and are summed per polygon with a partial step; geometry joins on
-    the same key. Rows that ``valid_only`` drops are kept with NULL values when it is off.
+    ``vertices``: ``(cell_id, vertex_ord, vertex_x, vertex_y)``; ``grids``: ``(ord, x0, y0, x1, y1, expr, prob)`` with
+    a unique ``ord``. Overlap rows find their grid by equal origins while all rows are narrow; the wide vectors are
+    then shuffled once, by ``ord``, and summed per polygon with a partial step. A ring that crosses itself counts
+    as invalid. Invalid and uncovered polygons are dropped, or kept with NULL values if ``valid_only`` is off.
 
     Returns ``(cell_id, n_vertices, area, is_invalid, n_grids, covered_fraction, center_x, center_y, expr, prob,
     predicted_type)``.
     """
     size = grid or grid_size(grids)
-    edges = ring_edges(vertices)
-    cells = overlap_cells(edges, size).withColumn("weight", F.col("area") / float(size * size))
-    if flag_crossing:
-        # Rings found to cross themselves get no overlap, like any other invalid ring.
-        crossing = self_crossing(edges)
-        cells = cells.join(crossing, "cell_id", "left_anti")
-    w = F.col("weight")
+    edges = durable(ring_edges(vertices))
+    w = F.col("area") / float(size * size)
+    hits = overlap_cells(edges, size).join(origin_winners(grids), ["x0", "y0"]).select("cell_id", "ord", w.alias("weight"))
     summed = (
-        cells.join(unique_origins(grids).select("x0", "y0", "expr", "prob"), ["x0", "y0"])
+        hits.join(grids.select("ord", "expr", "prob"), "ord")
         .groupBy("cell_id")
         .agg(
-            vector_sum(F.col("expr"), n_genes, w).alias("_expr"),
-            vector_sum(F.col("prob"), len(type_names), w).alias("_prob"),
+            vector_sum(F.col("expr"), n_genes, F.col("weight")).alias("_expr"),
+            vector_sum(F.col("prob"), len(type_names), F.col("weight")).alias("_prob"),
             F.sum("weight").alias("_weight"),
-            F.count(F.lit(1)).alias("n_grids"),
+            F.count(F.lit(1)).alias("_n_grids"),
         )
     )
-    geometry = ring_stats(vertices).join(ring_areas(edges), "cell_id", "left")
+    geometry = ring_geometry(edges).join(summed, "cell_id", "left")
+    bad = (F.col("n_vertices") < 3) | (F.col("area") <= 1e-9)
     if flag_crossing:
-        geometry = geometry.join(crossing.withColumn("_crossing", F.lit(True)), "cell_id", "left")
-        bad = F.coalesce(F.col("_crossing"), F.lit(False))
-    else:
-        bad = F.lit(False)
-    size2 = F.lit(float(size * size))
-    joined = geometry.join(summed, "cell_id", "left").select(
-        "cell_id",
-        "n_vertices",
-        F.coalesce("area", F.lit(0.0)).alias("area"),
-        ((F.col("n_vertices") < 3) | (F.coalesce("area", F.lit(0.0)) <= 1e-9) | bad).alias("is_invalid"),
-        F.coalesce("n_grids", F.lit(0)).alias("n_grids"),
-        F.coalesce(F.col("_weight") * size2 / F.greatest("area", F.lit(1e-8)), F.lit(0.0)).alias("covered_fraction"),
-        "center_x",
-        "center_y",
-        log1p_clipped(F.col("_expr")).alias("expr"),
-        F.when(total(F.col("_prob")) > 0, F.transform("_prob", lambda p: p / total(F.col("_prob")))).alias("prob"),
+        crossing = self_crossing(edges, size / 4.0).withColumn("_crossing", F.lit(True))
+        geometry = geometry.join(crossing, "cell_id", "left")
+        bad = bad | F.coalesce(F.col("_crossing"), F.lit(False))
+    usable = lambda c: F.when(~F.col("is_invalid"), c)
+    share = F.transform("_prob", lambda p: p / total(F.col("_prob")))
+    joined = geometry.withColumn("is_invalid", bad).select(
+        "cell_id", "n_vertices", "area", "is_invalid",
+        F.coalesce(usable(F.col("_n_grids")), F.lit(0)).alias("n_grids"),
+        F.coalesce(usable(F.col("_weight") * float(size * size) / F.greatest("area", F.lit(1e-8))), F.lit(0.0)).alias("covered_fraction"),
+        "center_x", "center_y",
+        usable(log1p_clipped(F.col("_expr"))).alias("expr"),
+        usable(F.when(total(F.col("_prob")) > 0, share)).alias("prob"),
     )
     names = F.array(*[F.lit(n) for n in type_names])
     named = joined.withColumn(

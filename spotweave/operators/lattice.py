@@ -37,10 +37,10 @@ def patch_lattice(image: DataFrame, patch: int = PATCH, stride: int = STRIDE) ->
     fits = image.where((F.col("width") >= patch) & (F.col("height") >= patch))
     rows = fits.select(last_x.alias("_x"), F.explode(F.sequence(F.lit(0).cast("long"), last_y, F.lit(stride).cast("long"))).alias("y0"))
     cells = rows.repartition("y0").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_x"), F.lit(stride).cast("long"))).cast("int").alias("x0"),
-        F.col("y0").cast("int").alias("y0"),
+        "y0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_x"), F.lit(stride).cast("long"))).alias("x0")
     )
-    return cells.select("x0", "y0", (F.col("x0") + patch).alias("x1"), (F.col("y0") + patch).alias("y1"))
+    side = [("x0", F.col("x0")), ("y0", F.col("y0")), ("x1", F.col("x0") + patch), ("y1", F.col("y0") + patch)]
+    return cells.select(*[value.cast("int").alias(name) for name, value in side])
 
 
 def with_centre(boxes: DataFrame, size: int) -> DataFrame:

@@ -98,7 +98,8 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     over 64 salts, with the matching right rows copied to each salt; all other keys shuffle as usual.
     """
     on = list(on)
-    hot = left.groupBy(*on).count().where(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
+    hot = sizes.where(F.col("_size") > hot_rows).select(*on, F.lit(True).alias("_hot"))
     spread = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(64)).cast("int")).otherwise(F.lit(0)),

@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.session import durable
+
 #: Smallest share of a cell that counts as an overlap; cancellation leaves about 1e-10.
 SLIVER = 1e-7
 
+_TRAPEZOID = "(bx - ax) * (by + ay) / 2.0"
+
 
 def ring_edges(vertices: DataFrame) -> DataFrame:
     """``(cell_id, slot, ax, ay, bx, by)``: every edge of every ring, the closing edge included.
@@ -50,48 +54,45 @@ def ring_stats(vertices: DataFrame) -> DataFrame:
 
 
 def ring_areas(edges: DataFrame) -> DataFrame:
-    """Shoelace area of every ring, about the edge's own origin to keep precision."""
-    cross = (F.col("bx") - F.col("ax")) * (F.col("by") + F.col("ay")) / 2.0
-    return edges.groupBy("cell_id").agg(F.abs(F.sum(cross)).alias("area"))
+    """Shoelace area of every ring."""
+    return edges.groupBy("cell_id").agg(F.abs(F.sum(F.expr(_TRAPEZOID))).alias("area"))
+
+
+def ring_geometry(edges: DataFrame) -> DataFrame:
+    """Vertex count, vertex mean and area of every ring, in one pass: each vertex starts exactly one edge."""
+    return edges.groupBy("cell_id").agg(
+        F.count(F.lit(1)).alias("n_vertices"), F.avg("ax").alias("center_x"), F.avg("ay").alias("center_y"),
+        F.abs(F.sum(F.expr(_TRAPEZOID))).alias("area"),
+    )
 
 
-def self_crossing(edges: DataFrame, crowd: int = 64, levels: int = 8) -> DataFrame:
+def self_crossing(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels: int = 8) -> DataFrame:
     """Rings with two edges that properly cross. (A ring that only touches itself keeps its area.)
 
-    Edges are put into square bins sized per ring, so that a ring has about as many bins as edges; only edges
-    that share a bin are compared. Bins holding more than ``crowd`` edges are quartered per axis first.
+    Edges are put into the square bins they pass through, and only edges of a ring that share a bin are compared.
+    Bins with more than ``crowd`` edges are split into sixteen first, again and again where needed, so the pairs
+    stay proportional to the edges. Give an edge table that is cheap to read again: it is used per level.
     """
-    drawn = edges.where("ax <> bx OR ay <> by")
-    low_x, low_y = F.min(F.least("ax", "bx")), F.min(F.least("ay", "by"))
-    rings = drawn.groupBy("cell_id").agg(
-        F.count(F.lit(1)).alias("_n"), low_x.alias("_x"), low_y.alias("_y"),
-        F.greatest(F.max(F.greatest("ax", "bx")) - low_x, F.max(F.greatest("ay", "by")) - low_y).alias("_extent"),
-    )
-    todo = drawn.join(rings.where("_n > 3 AND _extent > 0"), "cell_id").withColumn(
-        "_bin", F.col("_extent") / F.ceil(F.sqrt("_n"))
-    )
     bins = ["cell_id", "_col", "_row"]
-    found = None
+    ends = ("ax", "ay", "bx", "by")
+    todo = edges.where("ax <> bx OR ay <> by").select("cell_id", "slot", *ends)
+    found, size, crowded = None, float(bin_size), None
     for level in range(levels + 1):
-        binned = _crossed_cells(
-            todo, F.col("ax") - F.col("_x"), F.col("ay") - F.col("_y"),
-            F.col("bx") - F.col("_x"), F.col("by") - F.col("_y"), F.col("_bin"),
-        )
-        if level:
-            parent = [F.floor(F.col(c) / 4).alias(f"{c}_up") for c in ("_col", "_row")]
-            binned = binned.select("*", *parent).join(crowded, ["cell_id", "_col_up", "_row_up"], "left_semi")  # noqa: F821
-        counted = binned.groupBy(*bins).count().where(F.col("count") > crowd)
+        binned = _crossed_cells(todo, *[F.col(c) for c in ends], F.lit(size))
+        if crowded is not None:
+            up = [F.floor(F.col(c) / 4).alias(f"{c}_up") for c in ("_col", "_row")]
+            binned = binned.select("*", *up).join(crowded, ["cell_id", "_col_up", "_row_up"], "left_semi")
+        counted = binned.groupBy(*bins).count().where(F.col("count") > crowd).select(*bins)
         last = level == levels or counted.isEmpty()
         ready = binned if last else binned.join(counted, bins, "left_anti")
         crossing = _proper_crossings(ready, bins)
         found = crossing if found is None else found.unionByName(crossing)
         if last:
             break
+        counted = durable(counted)
         crowded = counted.select("cell_id", F.col("_col").alias("_col_up"), F.col("_row").alias("_row_up"))
-        todo = (
-            binned.join(counted, bins, "left_semi")
-            .select("cell_id", "slot", "ax", "ay", "bx", "by", "_x", "_y", (F.col("_bin") / 4).alias("_bin")).distinct()
-        )
+        todo = durable(binned.join(counted, bins, "left_semi").select("cell_id", "slot", *ends).distinct())
+        size /= 4
     return found.distinct()
 
 

@@ -10,7 +10,7 @@ from spotweave.operators import windows as win
 from spotweave.plans import derived as d
 from spotweave.plans.fixtures import N_GENES, SEGMENTS, TYPE_NAMES
 from spotweave.plans.registry import query
-from spotweave.session import scratch_path
+from spotweave.session import durable, scratch_path
 from spotweave.sinks import files as sinks
 from spotweave.sources import files as sources
 
@@ -407,7 +407,7 @@ def _(fx):
 def _(fx):
     from spotweave.operators.overlap import ring_areas, ring_edges, self_crossing
 
-    edges = ring_edges(fx.polygons)
+    edges = durable(ring_edges(fx.polygons))
     return ring_areas(edges).join(self_crossing(edges).withColumn("c", F.lit(True)), "cell_id", "left").withColumn(
         "is_crossing", F.coalesce("c", F.lit(False)))
 
