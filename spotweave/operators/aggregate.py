@@ -10,6 +10,9 @@ from spotweave.functions.vectors import vector_sum
 from spotweave.operators.overlap import overlap_cells, ring_edges, ring_geometry, self_crossing
 from spotweave.session import durable, one_row
 
+#: Rings up to this area (square pixels) count as flat; sums of large coordinates leave about 1e-8.
+FLAT = 1e-6
+
 
 def grid_size(grids: DataFrame) -> int:
     """Rounded median width. Widths are a handful of whole numbers, so the median's buffer stays small."""
@@ -55,7 +58,7 @@ def polygon_values(
         )
     )
     geometry = ring_geometry(edges).join(summed, "cell_id", "left")
-    bad = (F.col("n_vertices") < 3) | (F.col("area") <= 1e-9)
+    bad = (F.col("n_vertices") < 3) | (F.col("area") <= FLAT)
     if flag_crossing:
         crossing = self_crossing(edges, size / 4.0).withColumn("_crossing", F.lit(True))
         geometry = geometry.join(crossing, "cell_id", "left")

@@ -107,7 +107,7 @@ PARTS: dict[str, str] = {
                coalesce(lead(vertex_x) OVER w, first_value(vertex_x) OVER w) AS bx,
                coalesce(lead(vertex_y) OVER w, first_value(vertex_y) OVER w) AS by_
         FROM {polygons} WINDOW w AS (PARTITION BY cell_id ORDER BY vertex_ord)""",
-    "ring_area": "SELECT cell_id, abs(sum(ax * by_ - bx * ay)) / 2.0 AS area FROM {edges} GROUP BY cell_id",
+    "ring_area": "SELECT cell_id, abs(sum((bx - ax) * (by_ + ay))) / 2.0 AS area FROM {edges} GROUP BY cell_id",
     "crossed": """
         SELECT DISTINCT a.cell_id FROM {edges} AS a JOIN {edges} AS b ON a.cell_id = b.cell_id AND a.slot < b.slot
         WHERE sign((a.bx - a.ax) * (b.ay - a.ay) - (a.by_ - a.ay) * (b.ax - a.ax)) * sign((a.bx - a.ax) * (b.by_ - a.ay) - (a.by_ - a.ay) * (b.bx - a.ax)) < 0
@@ -139,7 +139,7 @@ PARTS: dict[str, str] = {
         + " FROM {weights} AS w JOIN {grid_pred} AS g USING (grid_index) GROUP BY 1",
     "polygon_all": """
         SELECT b.cell_id, n_vertices, coalesce(area, 0) AS area, center_x, center_y,
-               n_vertices < 3 OR coalesce(area, 0) <= 1e-9 OR b.cell_id IN (SELECT cell_id FROM {crossed}) AS is_invalid,
+               n_vertices < 3 OR coalesce(area, 0) <= 1e-6 OR b.cell_id IN (SELECT cell_id FROM {crossed}) AS is_invalid,
                coalesce(n_grids, 0) AS n_grids, coalesce(weight * 324 / greatest(area, 1e-8), 0) AS covered_fraction, """
         + ", ".join(f"ln(1 + greatest(e{i}, 0)) AS e{i}" for i in range(8)) + ", "
         + ", ".join(f"p{i} / (p0 + p1 + p2 + p3 + p4) AS q{i}" for i in range(5))
