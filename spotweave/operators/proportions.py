@@ -88,11 +88,11 @@ def mixture_proportions(
     join and one aggregate with no new shuffle of the counts; a spot has at most one row per gene. Returns
     ``(spot, p array<double>)``; spots below the minimum have NULL.
     """
-    spread = profiles.groupBy("gene").agg(
+    spread = durable(profiles.groupBy("gene").agg(
         F.array(*[F.coalesce(F.sum(F.when(F.col("cell_type") == t, F.col("profile"))), F.lit(0.0)) for t in types]).alias("r")
-    )
+    ))
     n_genes = one_row(spread.agg(F.count(F.lit(1)).alias("n")))["n"]
-    collapsed = counts.groupBy(spot, "gene").agg(F.sum("count").alias("x"))
+    collapsed = durable(counts.groupBy(spot, "gene").agg(F.sum("count").alias("x")))
     kept = collapsed.groupBy(spot).agg(F.sum("x").alias("umi"))
     enough = kept.where(F.col("umi") >= umi_minimum).select(spot)
     k = len(types)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.operators.ordinals import lookup
 from spotweave.session import durable, one_row
 
 # Least saturation, greatest mean and least range of a tissue pixel.
@@ -53,55 +52,59 @@ def _right(bits: Column, n: int) -> Column:
     return F.call_function("shiftrightunsigned", bits, F.lit(n))
 
 
-def _square(words: DataFrame, radius: int) -> DataFrame:
-    """Words needed by each target word for a square of the given radius: ``l_<dy>, c_<dy>, r_<dy>``."""
-    steps = [(dy, dw) for dy in range(-radius, radius + 1) for dw in (-1, 0, 1)]
-    sent = words.select(
-        "py", "word", "bits", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw")) for dy, dw in steps])).alias("o")
-    ).select(
-        (F.col("py") + F.col("o.dy")).alias("py"), (F.col("word") + F.col("o.dw")).alias("word"), "bits",
-        F.col("o.dy").alias("dy"), F.col("o.dw").alias("dw"),
-    )
-    slot = {1: "l", 0: "c", -1: "r"}  # a word sent one to the right is the left neighbour of its target
-    pick = lambda dy, dw: F.coalesce(
-        F.bit_or(F.when((F.col("dy") == dy) & (F.col("dw") == dw), F.col("bits"))), F.lit(0).cast("long")
-    )
-    return sent.groupBy("py", "word").agg(*[pick(dy, dw).alias(f"{slot[dw]}_{dy + radius}") for dy, dw in steps])
-
-
-def _shifted(row: int, radius: int) -> list[Column]:
-    """The row's word moved by every horizontal offset, with the bits that come in from its neighbours."""
-    l, c, r = (F.col(f"{side}_{row}") for side in "lcr")
-    moves = [c]
-    for n in range(1, radius + 1):
-        moves.append(_left(c, n).bitwiseOR(_right(l, 64 - n)))
-        moves.append(_right(c, n).bitwiseOR(_left(r, 64 - n)))
-    return moves
-
-
-def _fold(columns: list[Column], op: str) -> Column:
+def _fold(columns: list[Column]) -> Column:
     result = columns[0]
     for column in columns[1:]:
-        result = getattr(result, op)(column)
+        result = result.bitwiseOR(column)
     return result
 
 
+def _sent(words: DataFrame, bits: Column, radius: int) -> DataFrame:
+    """What each word adds to the words around it: ``(py, word, dw, v)``, horizontally spread before it is sent.
+
+    ``dw`` is 0 for the word's own columns, 1 for the bits that move into the next word, -1 for the one before.
+    """
+    own = _fold([bits] + [move(bits, n) for n in range(1, radius + 1) for move in (_left, _right)])
+    onward = _fold([_right(bits, 64 - n) for n in range(1, radius + 1)])
+    backward = _fold([_left(bits, 64 - n) for n in range(1, radius + 1)])
+    parts = F.array(*[F.struct(F.lit(dw).alias("dw"), v.alias("v")) for dw, v in ((0, own), (1, onward), (-1, backward))])
+    rows = F.sequence(F.col("py") - radius, F.col("py") + radius)
+    return (
+        words.select("py", "word", F.explode(parts).alias("s"))
+        .select(F.explode(rows).alias("py"), (F.col("word") + F.col("s.dw")).alias("word"), F.col("s.dw").alias("dw"), F.col("s.v").alias("v"))
+    )
+
+
 def erode(words: DataFrame, radius: int = 1) -> DataFrame:
-    """All pixels of the square true; outside the image counts as false. Radius n is n single steps."""
-    moves = [m for row in range(2 * radius + 1) for m in _shifted(row, radius)]
-    return _square(words, radius).select("py", "word", _fold(moves, "bitwiseAND").alias("bits")).where("bits <> 0")
+    """All pixels of the square true; outside the image counts as false. Radius n is n single steps.
+
+    The false pixels are spread. A word that is missing is all false: a missing row clears the target, a missing
+    left or right neighbour clears the columns it would have covered.
+    """
+    rows = 2 * radius + 1
+    count = lambda dw: F.count_if(F.col("dw") == dw)
+    low = F.lit((1 << radius) - 1).cast("long")
+    met = _sent(words, F.bitwise_not(F.col("bits")), radius).groupBy("py", "word").agg(
+        F.bit_or("v").alias("clear"), count(0).alias("here"), count(1).alias("before"), count(-1).alias("after")
+    ).where(F.col("here") == rows)
+    zero = F.lit(0).cast("long")
+    edges = F.when(F.col("before") < rows, low).otherwise(zero).bitwiseOR(
+        F.when(F.col("after") < rows, _left(low, 64 - radius)).otherwise(zero)
+    )
+    return met.select("py", "word", F.bitwise_not(F.col("clear").bitwiseOR(edges)).alias("bits")).where("bits <> 0")
 
 
 def dilate(words: DataFrame, width: int, height: int, radius: int = 1) -> DataFrame:
     """Any pixel of the square true, within the image. Radius n is n single steps."""
-    moves = [m for row in range(2 * radius + 1) for m in _shifted(row, radius)]
     last = (width - 1) // 64
     tail = width - last * 64
-    clip = -1 if tail == 64 else (1 << tail) - 1
-    spread = _square(words, radius).where(F.col("py").between(0, height - 1) & F.col("word").between(0, last))
-    bits = _fold(moves, "bitwiseOR")
-    clipped = F.when(F.col("word") == last, bits.bitwiseAND(F.lit(clip).cast("long"))).otherwise(bits)
-    return spread.select("py", "word", clipped.alias("bits")).where("bits <> 0")
+    clip = F.when(F.col("word") == last, F.lit(-1 if tail == 64 else (1 << tail) - 1)).otherwise(F.lit(-1)).cast("long")
+    sent = _sent(words, F.col("bits"), radius).where(
+        (F.col("v") != 0) & F.col("py").between(0, height - 1) & F.col("word").between(0, last)
+    )
+    return sent.groupBy("py", "word").agg(F.bit_or("v").alias("v")).select(
+        "py", "word", F.col("v").bitwiseAND(clip).alias("bits")
+    ).where("bits <> 0")
 
 
 def open_and_close(words: DataFrame, width: int, height: int, opening: int = 1, closing: int = 2) -> DataFrame:
@@ -187,12 +190,13 @@ def outside_runs(runs: DataFrame, max_rounds: int = 200) -> DataFrame:
         reached = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
         # A label 0 never changes; the other classes move together to their members' best label.
         hooks = reached.where("label > 0").groupBy("label").agg(F.min("_new").alias("_hook")).where("_hook < label")
-        own = lookup(reached, hooks, ["label"]).select(
+        # The hooks are unique per label, so a label shared by many runs is a skewed side that AQE splits.
+        own = reached.join(hooks, "label", "left").select(
             "id", "label", F.least("_new", F.coalesce("_hook", "_new")).alias("_new")
         )
         chase = hooks.select(F.col("label").alias("_new"), F.col("_hook").alias("_next"))
         moved = durable(
-            lookup(own, chase, ["_new"]).select("id", "label", F.least("_new", F.coalesce("_next", "_new")).alias("_new"))
+            own.join(chase, "_new", "left").select("id", "label", F.least("_new", F.coalesce("_next", "_new")).alias("_new"))
         )
         labels = moved.select("id", F.col("_new").alias("label"))
         if moved.where("_new <> label").isEmpty():

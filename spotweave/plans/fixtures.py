@@ -10,6 +10,12 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spotweave.session import scratch_path
+
+#: Derived tables that stand for stored inputs: written once per data folder and then read like any other table.
+STORED = {"positions", "counts", "ref_cells", "ref_counts", "deconv", "deconv_raw", "thumbnail", "polygons", "grid_pred", "true_type", "true_expr"}
+_STORED_PATHS: dict[tuple, str] = {}
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -160,7 +166,18 @@ class Fixtures:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in FIXTURES:
                 sql = FIXTURES[name]
-                self._made[name] = self.spark.sql(for_spark(sql), **{n: getattr(self, n) for n in needs(sql)})
+                self._made[name] = self._stored(name, sql) if name in STORED else self._derive(sql)
             else:
                 raise AttributeError(name)
         return self._made[name]
+
+    def _derive(self, sql: str) -> DataFrame:
+        return self.spark.sql(for_spark(sql), **{n: getattr(self, n) for n in needs(sql)})
+
+    def _stored(self, name: str, sql: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED_PATHS:
+            path = scratch_path(self.spark, name)
+            self._derive(sql).write.parquet(path)
+            _STORED_PATHS[key] = path
+        return self.spark.read.parquet(_STORED_PATHS[key])
