@@ -141,7 +141,7 @@ def read_proportions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_type_merge(spark: SparkSession, path: str) -> DataFrame:
     """Merge map, with or without the outer ``merge`` key, as ``(target, source, target_ord, source_ord)``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     inner = F.coalesce(F.get_json_object("value", "$.merge"), F.col("value"))
     parsed = text.select(F.from_json(inner, "map<string,array<string>>").alias("m"), F.json_object_keys(inner).alias("k"))
     if parsed.where("m IS NULL OR k IS NULL").limit(1).collect():
