@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.arrays import first_max_index, log1p_clipped, total
+from spotweave.functions.arrays import first_max_index, let, log1p_clipped, total
 from spotweave.functions.vectors import vector_sum
 from spotweave.operators.overlap import overlap_cells, ring_edges, ring_geometry, self_crossing
 from spotweave.session import durable, one_row
@@ -64,14 +64,14 @@ def polygon_values(
         geometry = geometry.join(crossing, "cell_id", "left")
         bad = bad | F.coalesce(F.col("_crossing"), F.lit(False))
     usable = lambda c: F.when(~F.col("is_invalid"), c)
-    share = F.transform("_prob", lambda p: p / total(F.col("_prob")))
+    share = let(total(F.col("_prob")), lambda whole: F.when(whole > 0, F.transform("_prob", lambda p: p / whole)))
     joined = geometry.withColumn("is_invalid", bad).select(
         "cell_id", "n_vertices", "area", "is_invalid",
         F.coalesce(usable(F.col("_n_grids")), F.lit(0)).alias("n_grids"),
         F.coalesce(usable(F.col("_weight") * float(size * size) / F.greatest("area", F.lit(1e-8))), F.lit(0.0)).alias("covered_fraction"),
         "center_x", "center_y",
         usable(log1p_clipped(F.col("_expr"))).alias("expr"),
-        usable(F.when(total(F.col("_prob")) > 0, share)).alias("prob"),
+        usable(share).alias("prob"),
     )
     names = F.array(*[F.lit(n) for n in type_names])
     named = joined.withColumn(

@@ -117,13 +117,11 @@ def dense_by_spot(counts: DataFrame, genes: DataFrame) -> DataFrame:
         collapse_duplicate_genes(counts)
         .join(genes.select("gene", F.col("position").cast("int").alias("position")), "gene")
         .groupBy("barcode")
-        .agg(F.map_from_entries(F.collect_list(F.struct("position", F.col("count").cast("double")))).alias("_m"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", F.col("count").cast("double").alias("value")))).alias("_e"))
     )
     spots = counts.select("barcode").distinct()
-    return spots.join(entries, "barcode", "left").select(
-        "barcode",
-        dense(F.coalesce(F.col("_m"), F.create_map().cast("map<int,double>")), n_genes).alias("expression"),
-    )
+    nothing = F.array().cast("array<struct<position:int,value:double>>")
+    return spots.join(entries, "barcode", "left").select("barcode", dense(F.coalesce("_e", nothing), n_genes).alias("expression"))
 
 
 def reference_profiles(ref_counts: DataFrame, cells: DataFrame, genes: DataFrame | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.arrays import doubles, total
+from spotweave.functions.arrays import doubles, let, shares, total
 from spotweave.operators.ordinals import average_rank
+from spotweave.session import one_row
 
 
 def paired_values(predicted: DataFrame, target: DataFrame, pred: str = "expr", truth: str = "expr") -> DataFrame:
@@ -55,12 +56,12 @@ def mean_metrics(by_gene: DataFrame, by_spot: DataFrame) -> DataFrame:
         F.avg("gene_pcc").alias("mean_spot_gene_PCC"), F.avg("gene_scc").alias("mean_spot_gene_SCC"),
         F.count(F.lit(1)).alias("n_gene_metric_spots"),
     )
-    return genes.withColumn("_k", F.lit(1)).join(spots.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    values = {**one_row(genes), **one_row(spots)}
+    return by_gene.sparkSession.range(1).select(*[F.lit(v).alias(name) for name, v in values.items()])
 
 
 def _shares(vec: Column, least: float) -> Column:
-    raised = F.transform(doubles(vec), lambda v: F.greatest(v, F.lit(least)))
-    return F.transform(raised, lambda v: v / F.greatest(total(raised), F.lit(1e-8)))
+    return let(F.transform(doubles(vec), lambda v: F.greatest(v, F.lit(least))), lambda raised: shares(raised, 1e-8))
 
 
 def type_metrics(table: DataFrame, predicted: str = "predicted", target: str = "target") -> DataFrame:

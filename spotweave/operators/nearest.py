@@ -37,17 +37,19 @@ def nearest_spot(grids: DataFrame, spots: DataFrame) -> DataFrame:
         levels += 1
 
     cx, cy = F.col("center_x").cast("float").cast("double"), F.col("center_y").cast("float").cast("double")
-    walk = grids.select("grid_index", cx.alias("gx"), cy.alias("gy"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
-    walk = walk.repartition("grid_index")
+    walk = grids.select("grid_index", cx.alias("gx"), cy.alias("gy")).repartition("grid_index")
+    fields = ("cx", "cy", "bx0", "bx1", "by0", "by1")
     for level in range(1, levels + 1):
         cells = _cells(points, box, side, level)
-        if level <= _BROADCAST_LEVELS:
-            cells = F.broadcast(cells)
+        if level == 1:  # at most sixteen cells, written into the plan
+            first = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in cells.select(*fields).collect()]
+            met = walk.select("grid_index", "gx", "gy", F.explode(F.array(*first)).alias("c")).select("grid_index", "gx", "gy", "c.*")
+        else:
+            cells = F.broadcast(cells) if level <= _BROADCAST_LEVELS else cells
+            met = walk.withColumnsRenamed({"cx": "px", "cy": "py"}).join(cells, ["px", "py"])
         reach = Window.partitionBy("grid_index")
         walk = (
-            walk.withColumnsRenamed({"cx": "px", "cy": "py"})
-            .join(cells, ["px", "py"])
-            .select("grid_index", "gx", "gy", "cx", "cy", _box_distance("near").alias("_near"), _box_distance("far").alias("_far"))
+            met.select("grid_index", "gx", "gy", "cx", "cy", _box_distance("near").alias("_near"), _box_distance("far").alias("_far"))
             .withColumn("_bound", F.min("_far").over(reach))
             .where(F.col("_near") <= F.col("_bound") * (1 + 1e-12))
             .select("grid_index", "gx", "gy", "cx", "cy")

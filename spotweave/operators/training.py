@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.arrays import first_max_index
+from spotweave.functions.arrays import first_max_index, normalised
 from spotweave.functions.vectors import vector_mean, vector_sum
 from spotweave.operators.heads import Params, backward, forward, initial_params
 
@@ -139,9 +139,7 @@ def spot_losses(sums: DataFrame, targets: DataFrame, reduction: str, n_spots: in
     gap = F.zip_with("expr", F.col("expression").cast("array<double>"), lambda p, t: clean(p) - clean(t))
     huber = F.aggregate(gap, F.lit(0.0), lambda a, d: a + F.when(F.abs(d) <= 1, 0.5 * d * d).otherwise(F.abs(d) - 0.5))
     slope = F.zip_with("_gap", "expr", lambda d, p: F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d)) / (1.0 + p) * scale).otherwise(0.0))
-    share = F.transform(F.col("proportions").cast("array<double>"), lambda v: F.greatest(v, F.lit(0.0)))
-    whole = F.greatest(F.aggregate(share, F.lit(0.0), lambda a, v: a + v), F.lit(1e-8))
-    target = F.transform(share, lambda v: v / whole)
+    target = normalised(F.col("proportions"), 1e-8)
     kl = F.aggregate(
         F.zip_with("_t", "prob", lambda t, p: F.when(t > 0, t * (F.log(t) - F.log(F.greatest(p, F.lit(1e-8))))).otherwise(0.0)),
         F.lit(0.0), lambda a, v: a + v,
