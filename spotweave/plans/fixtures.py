@@ -97,7 +97,8 @@ FIXTURES: dict[str, str] = {
                CAST((p_partkey * 37) % 1150 + 20
                     + ux * (3 + p_size % 12) * CASE WHEN p_partkey % 70 = 3 AND k IN (1, 3) THEN -1 ELSE 1 END AS DOUBLE)
                     + sqrt(CAST((p_partkey % 7) * 10 + 2 AS DOUBLE)) / 10 AS vertex_x,
-               CAST((p_partkey * 91) % (SELECT CAST(floor(count(*) * 0.29) AS BIGINT) FROM {events}) + uy * (3 + p_size % 12) AS DOUBLE) AS vertex_y
+               CAST((p_partkey * 91) % (SELECT CAST(floor(count(*) * 0.29) AS BIGINT) FROM {events}) + uy * (3 + p_size % 12) AS DOUBLE)
+                    + sqrt(CAST((p_partkey % 5) * 10 + 3 AS DOUBLE)) / 10 AS vertex_y
         FROM {part} CROSS JOIN (VALUES (0, 2, 0), (1, 1, 1), (2, 0, 2), (3, -1, 1), (4, -2, 0), (5, -1, -1), (6, 0, -2), (7, 1, -1)) AS d(k, ux, uy)
         WHERE k < CASE WHEN p_partkey % 50 = 0 THEN 2 ELSE 3 + p_size % 6 END""",
     "grid_pred": f"""
