@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat, langid, linededup, packing, token_counts, vafile
+from spotweave.llm import chat, langid, linededup, packing, token_counts, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,15 @@ def _remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(_remainder(3) != 1).select("doc_id", "toxic")
+    model = toxicity.learn(documents.join(labels, "doc_id"), F.col("doc_id"))
+    scored = toxicity.score(documents, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 @_query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
