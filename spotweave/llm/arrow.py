@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,3 +33,44 @@ def per_text(
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *[name for name, _, _ in fields]])
 
     return packed.mapInArrow(run, schema)
+
+
+def sorted_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list]]:
+    """Runs of rows with equal values in the first ``keys`` (whole number) columns, also across batches.
+
+    Gives the key and, per further column, an array (numbers; equally long binary values as rows of bytes) or a list.
+    """
+    pending_key, pending = None, []
+
+    def columns_of(batch: pa.RecordBatch) -> list:
+        out = []
+        for column in batch.columns[keys:]:
+            if pa.types.is_binary(column.type):
+                joined = b"".join(column.to_pylist())
+                out.append(np.frombuffer(joined, np.uint8).reshape(len(column), -1))
+            elif pa.types.is_integer(column.type):
+                out.append(column.to_numpy(zero_copy_only=False))
+            else:
+                out.append(column.to_pylist())
+        return out
+
+    def joined(parts: list[list]) -> list:
+        if len(parts) == 1:
+            return parts[0]
+        return [np.concatenate(same) if isinstance(same[0], np.ndarray) else [x for part in same for x in part] for same in zip(*parts, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([column.to_numpy(zero_copy_only=False) for column in batch.columns[:keys]], axis=1)
+        values = columns_of(batch)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            own, part = tuple(key[a].tolist()), [x[a:b] for x in values]
+            if own != pending_key and pending:
+                yield pending_key, joined(pending)
+                pending = []
+            pending_key = own
+            pending.append(part)
+    if pending:
+        yield pending_key, joined(pending)
