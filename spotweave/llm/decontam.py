@@ -128,27 +128,36 @@ def similarity(window: np.ndarray, item: np.ndarray, weights: dict[int, float])
     return both / either
 
 
-def _candidates(shingles: np.ndarray, owner: np.ndarray, index: Index) -> set[tuple[int, int, int]]:
-    """(text, item, place of the item's first shingle among all shingles) of all windows within the radius."""
+def _candidates(shingles: np.ndarray, offsets: np.ndarray, index: Index) -> set[tuple[int, int, int]]:
+    """(text, item, place of the item's first shingle among all shingles) of all windows within the radius.
+
+    Windows start at every ``STEP``-th shingle of their own text, so what is found does not depend on a text's neighbours.
+    """
     out: set[tuple[int, int, int]] = set()
-    blocks = len(shingles) // STEP
+    counts = np.diff(offsets)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    steps = -(-counts // STEP)
+    blocks = int(steps.sum())
     if index.sizes and blocks:
-        bits = _bits(shingles[: blocks * STEP]).view(np.uint64).reshape(blocks, STEP, 8)
-        summed = bits[:, 0] + bits[:, 1]
+        first = np.cumsum(steps) - steps
+        bits = np.zeros((blocks * STEP, 64), np.uint8)
+        bits[np.arange(len(shingles)) + np.repeat(first * STEP - offsets[:-1], counts)] = _bits(shingles)
+        words = bits.view(np.uint64).reshape(blocks, STEP, 8)
+        summed = words[:, 0] + words[:, 1]
         for place in range(2, STEP):
-            summed += bits[:, place]
+            summed += words[:, place]
         sums = np.zeros((blocks + 1, 64), np.uint16)
         np.cumsum(summed.view(np.uint8).reshape(blocks, 64), axis=0, dtype=np.uint16, out=sums[1:])
+        text = np.repeat(np.arange(len(counts)), steps)
+        local = (np.arange(blocks) - np.repeat(first, steps)) * STEP
+        room = np.repeat(counts, steps) - local
         for w, (table, items, places) in index.sizes.items():
-            k = w // STEP
-            if blocks < k:
+            starts = np.flatnonzero(room >= w)
+            if not len(starts):
                 continue
-            starts = np.arange(blocks - k + 1) * STEP
-            inside = owner[starts] == owner[starts + w - 1]
-            asked = _marks(sums[k:][inside] - sums[:-k][inside], w)
-            starts = starts[inside]
-            place, found = table.within(asked)
-            out.update(zip(owner[starts[place]].tolist(), items[found].tolist(), (starts[place] - places[found]).tolist(), strict=True))
+            place, found = table.within(_marks(sums[starts + w // STEP] - sums[starts], w))
+            at = starts[place]
+            out.update(zip(text[at].tolist(), items[found].tolist(), (offsets[text[at]] + local[at] - places[found]).tolist(), strict=True))
     known, items, places = index.short
     if len(known):
         first, last = np.searchsorted(known, shingles), np.searchsorted(known, shingles, "right")
@@ -161,10 +170,9 @@ def matches(texts: list[str | None], index: Index, threshold: float = THRESHOLD,
     """The matched items of each text."""
     for _, part in slabs(texts):
         shingles, offsets = shingles_of(words_of(part), width)
-        owner = np.repeat(np.arange(len(part)), np.diff(offsets))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         tried = set()
-        for text, item, place in sorted(_candidates(shingles, owner, index)):
+        for text, item, place in sorted(_candidates(shingles, offsets, index)):
             wanted, low, high = index.shingles[item], int(offsets[text]), int(offsets[text + 1])
             latest = max(low, high - len(wanted))
             for start in {min(max(place + shift, low), latest) for shift in range(-_SHIFT, _SHIFT + 1)}:

@@ -25,8 +25,8 @@ from spotweave.llm.text import distinct_per_text, shingles_of, slabs, words_of
 from spotweave.session import durable
 
 WIDTH, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 20, 8, 0.999
-#: An estimate so far under the threshold (five standard deviations) still counts as a candidate.
+TREES, DEPTH, RECALL = 32, 8, 0.99999
+#: An estimate so far under the threshold (six standard deviations) still counts as a candidate.
 MARGIN = 0.2
 #: Texts of a run, and texts and characters of a group, that are compared in one task; larger ones are tiled.
 RUN_TEXTS, GROUP_TEXTS, GROUP_CHARS = 4096, 1024, 16 << 20
@@ -198,6 +198,20 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return full.select("key", "h").join(told, "h").select("key", "h", "text_id", "class_id", "n_links", "n_texts").unionByName(empty).withColumnRenamed("key", key)
 
 
+def one_per_class(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """The rows of ``documents`` with the least key of their class, one of them where rows are repeated."""
+    marks = durable(near_duplicates(documents, key, text, threshold, width).select(F.col(key).alias("key"), "h", F.col("class_id").alias("least")))
+    kept = marks.filter(F.col("key").eqNullSafe(F.col("least"))).select(F.col("key").alias("kept_key"), F.col("h").alias("kept_h"))
+    rows = documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("h"))
+    asked = durable(kept.distinct())
+    n, distinct = kept.count(), asked.count()
+    asked = F.broadcast(asked) if distinct <= BROADCAST_TEXTS else asked
+    chosen = rows.join(asked, F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    if distinct < n:
+        chosen = chosen.dropDuplicates(["key", "h"])
+    return chosen.select(*[F.col("row").getField(name).alias(name) for name in documents.columns])
+
+
 def _fetched(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node``, ``text`` once per wanted class: rows of its least key, repeated rows once."""
     asked = wanted.withColumnRenamed("node", "h")
