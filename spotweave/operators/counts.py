@@ -146,6 +146,11 @@ def reference_profiles(ref_counts: DataFrame, cells: DataFrame, genes: DataFrame
     )
 
 
+def shared_genes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(gene)``: the genes that both tables have, once each."""
+    return first.select("gene").distinct().join(second.select("gene").distinct(), "gene", "left_semi")
+
+
 def category_order(cells: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Distinct labels in first-seen order, or the allowed order restricted to those present.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.operators.counts import shared_genes
 from spotweave.operators.ordinals import exact_median
 from spotweave.session import BROADCAST_ROWS, broadcast_if_small, durable, one_row
 
@@ -83,16 +84,16 @@ def mixture_proportions(
 ) -> DataFrame:
     """``x_s ~ l_s * sum_k p_sk r_k`` by Poisson-mixture EM, on the genes both sides share.
 
-    ``counts``: ``(barcode, gene, count)``; ``profiles``: ``(cell_type, gene, profile)``. A profile is one short
-    array per gene. Counts are joined to it once and stay partitioned by spot, so a round is one co-partitioned
+    ``counts``: ``(barcode, gene, count)``; ``profiles``: ``(cell_type, gene, profile)``. Genes that only one side
+    has take no part, neither in the fit nor in the weight of a type. A profile is one short array per gene. Counts are joined to it once and stay partitioned by spot, so a round is one co-partitioned
     join and one aggregate with no new shuffle of the counts; a spot has at most one row per gene. Returns
-    ``(spot, p array<double>)``; spots below the minimum have NULL.
+    ``(spot, umi, p array<double>)``; spots below the minimum or without a usable gene have NULL.
     """
-    spread = durable(profiles.groupBy("gene").agg(
+    collapsed = durable(counts.groupBy(spot, "gene").agg(F.sum("count").alias("x")))
+    spread = durable(profiles.join(shared_genes(profiles, collapsed), "gene").groupBy("gene").agg(
         F.array(*[F.coalesce(F.sum(F.when(F.col("cell_type") == t, F.col("profile"))), F.lit(0.0)) for t in types]).alias("r")
     ))
     n_genes = one_row(spread.agg(F.count(F.lit(1)).alias("n")))["n"]
-    collapsed = durable(counts.groupBy(spot, "gene").agg(F.sum("count").alias("x")))
     kept = collapsed.groupBy(spot).agg(F.sum("x").alias("umi"))
     enough = kept.where(F.col("umi") >= umi_minimum).select(spot)
     k = len(types)
@@ -123,7 +124,22 @@ def mixture_proportions(
         p = moved.select(spot, F.array(*[F.when(whole > 0, v / whole).otherwise(0.0) for v in raw]).alias("p"))
         if (step + 1) % checkpoint_every == 0 and step + 1 < rounds:
             p = durable(p)
-    return kept.select(spot).join(p, spot, "left")
+    return kept.select(spot, "umi").join(p, spot, "left")
+
+
+def require_valid(checks: dict) -> None:
+    """Raise if :func:`validate` counted anything that must not occur."""
+    failed = {name: n for name, n in checks.items() if name.startswith("n_") and n}
+    if failed:
+        raise ValueError(f"Proportions are not valid: {failed}")
+
+
+def with_missing_spots(merged: DataFrame, spots: DataFrame, types: DataFrame) -> DataFrame:
+    """Adds the spots that have no proportions (``spot_id``), NULL for every type. ``types`` is a vocabulary."""
+    names = [r["cell_type"] for r in types.select("cell_type").distinct().orderBy("cell_type").limit(10_000).collect()]
+    every = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    rows = spots.select("spot_id", F.explode(every).alias("cell_type"), F.lit(None).cast("double").alias("p"))
+    return merged.select("spot_id", "cell_type", "p").unionByName(rows)
 
 
 def validate(proportions: DataFrame, expected_types: DataFrame, expected_spots: DataFrame) -> DataFrame:

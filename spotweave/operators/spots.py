@@ -67,6 +67,21 @@ def keep_consensus(cells: DataFrame, column: str = "consensus_keep") -> DataFram
     return cells.where(F.col(column)) if column in cells.columns else cells
 
 
+def allowed_types(name: str | None, sample: str, crc_types: list[str] = CRC_TYPES, brca_types: list[str] = BRCA_TYPES) -> list[str] | None:
+    """The types, in order, that a named selection keeps; None keeps all. An unknown name is an error."""
+    if name in ("allcrc", "p2crc"):
+        return crc_types
+    if name in (None, "allscrna"):
+        return brca_types if sample == "BREAST" else None
+    raise ValueError(f"There is no reference selection called {name!r}.")
+
+
+def label_counts_with_patient(cells: DataFrame, label: str = "label", patient: str = "patient") -> DataFrame:
+    """Cells per label, of the cells that have both a label and a patient."""
+    kept = cells.where(F.col(label).isNotNull() & F.col(patient).isNotNull())
+    return kept.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def reference_filter(
     cells: DataFrame,
     name: str | None,
@@ -78,13 +93,8 @@ def reference_filter(
     brca_types: list[str] = BRCA_TYPES,
 ) -> DataFrame:
     """The named reference selections; an unknown name is an error."""
-    suffix, allowed = None, None
-    if name in ("allcrc", "p2crc"):
-        suffix, allowed = {"allcrc": "CRC", "p2crc": "P2CRC"}[name], crc_types
-    elif name in (None, "allscrna"):
-        allowed = brca_types if sample == "BREAST" else None
-    else:
-        raise ValueError(f"Unsupported reference filter: {name!r}")
+    allowed = allowed_types(name, sample, crc_types, brca_types)
+    suffix = {"allcrc": "CRC", "p2crc": "P2CRC"}.get(name)
     kept = keep_patients(keep_types(keep_labelled(cells, label), allowed, label), suffix, patient)
     return keep_consensus(kept) if consensus else kept
 

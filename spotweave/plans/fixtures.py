@@ -66,7 +66,7 @@ FIXTURES: dict[str, str] = {
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "ref_counts": """
         SELECT CAST(l_orderkey AS VARCHAR(20)) AS cell_id,
-               concat('G', CAST(l_partkey % 40 AS VARCHAR(20))) AS gene, l_quantity AS count
+               concat(CASE WHEN l_partkey % 40 < 4 THEN 'R' ELSE 'G' END, CAST(l_partkey % 40 AS VARCHAR(20))) AS gene, l_quantity AS count
         FROM {lineitem}""",
     "type_merge": """
         SELECT target, c_mktsegment AS source, target_ord

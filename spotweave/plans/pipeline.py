@@ -55,7 +55,7 @@ def deconv(
     coordinates = spots.aligned_positions(counts, positions)
     kept = spots.reference_filter(ref_cells, reference_filter, sample_id, annotation_column, patient_column, consensus, **vocabularies)
     labelled = kept.select("cell_id", "ord", F.col(annotation_column).cast("string").alias("cell_type"))
-    order = count_ops.category_order(labelled)
+    order = count_ops.category_order(labelled, spots.allowed_types(reference_filter, sample_id, **vocabularies))
     types = [r["cell_type"] for r in order.orderBy("position").collect()]
     minimum = count_ops.default_umi_minimum(sample_id) if umi_min is None else umi_min
     summary = {
@@ -74,16 +74,21 @@ def deconv(
     long = mixed.select(F.col("barcode").alias("spot_id"), F.posexplode(F.coalesce("p", empty)).alias("_i", "p")).select(
         "spot_id", F.get(names, F.col("_i")).alias("cell_type"), "p"
     )
-    summary["n_spots_below_minimum"] = mixed.where("p IS NULL").count()
-    checks = proportions.validate(long.where("p IS NOT NULL"), order, counts.select(F.col("barcode").alias("spot_id")))
-    summary["validation"] = one_row(checks)
+    summary |= one_row(mixed.agg(
+        F.count_if(F.col("umi") < minimum).alias("n_spots_below_minimum"), F.count_if(F.col("p").isNull() & (F.col("umi") >= minimum)).alias("n_spots_without_genes")))
+    known = long.where("p IS NOT NULL")
+    fitted = mixed.where("p IS NOT NULL").select(F.col("barcode").alias("spot_id"))
+    summary["validation"] = one_row(proportions.validate(known, order, fitted))
+    proportions.require_valid(summary["validation"])
     tables = {**prepared, "profiles": profiles, "proportions": long}
     merge = type_merge
     if merge is None and sample_id == "BREAST" and set(t for ts in BRCA_MERGE.values() for t in ts) <= set(types):
         rows = [(t, s, i) for i, (t, sources) in enumerate(BRCA_MERGE.items()) for s in sources]
         merge = spark.createDataFrame(rows, "target string, source string, target_ord int")
     if merge is not None:
-        tables["merged_proportions"] = proportions.merged_proportions(long, merge)
+        absent = mixed.where("p IS NULL").select(F.col("barcode").alias("spot_id"))
+        tables["merged_proportions"] = proportions.with_missing_spots(
+            proportions.merged_proportions(known, merge), absent, merge.select(F.col("target").alias("cell_type")))
     return _store(Result(tables, summary), spark, output_dir, policy)
 
 

@@ -496,7 +496,7 @@ def _(fx):
 
 @query("p34_null_labels", "label:s n:i", "SELECT label, count(*) AS n FROM {ref_cells} WHERE label IS NOT NULL AND patient IS NOT NULL GROUP BY 1")
 def _(fx):
-    return fx.ref_cells.where(F.col("label").isNotNull() & F.col("patient").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return spots.label_counts_with_patient(fx.ref_cells)
 
 
 @query("p35_named_columns", "grid_index:i prob_DCIS:d prob_Stromal:d prob_Myoepi:d", "SELECT grid_index, p0 AS prob_DCIS, p1 AS prob_Stromal, p3 AS prob_Myoepi FROM {grid_pred}")
@@ -578,7 +578,7 @@ def _(fx):
 
 @query("j16_shared_genes", "gene:s", "SELECT DISTINCT gene FROM {counts} WHERE gene IN (SELECT gene FROM {ref_counts})")
 def _(fx):
-    return fx.counts.select("gene").distinct().join(fx.ref_counts.select("gene"), "gene", "left_semi")
+    return counts.shared_genes(fx.counts, fx.ref_counts)
 
 
 # ------------------------------------------------------------------ aggregates on keys

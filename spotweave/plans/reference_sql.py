@@ -178,5 +178,5 @@ for _step in range(5):
         SELECT m.barcode, m.cell_type, sum(x * p * profile / mu) / max(col) AS a
         FROM {{mix{_step}}} AS m JOIN {{profiles}} AS r USING (cell_type) JOIN {{spot_genes}} AS s USING (barcode, gene)
         JOIN {{mu{_step + 1}}} USING (barcode, gene)
-        JOIN (SELECT cell_type, sum(profile) AS col FROM {{profiles}} GROUP BY 1) AS t ON t.cell_type = m.cell_type GROUP BY 1, 2"""
+        JOIN (SELECT cell_type, sum(profile) AS col FROM {{profiles}} WHERE gene IN (SELECT gene FROM {{counts}}) GROUP BY 1) AS t ON t.cell_type = m.cell_type GROUP BY 1, 2"""
     PARTS[f"mix{_step + 1}"] = f"SELECT barcode, cell_type, a / sum(a) OVER (PARTITION BY barcode) AS p FROM {{raw{_step + 1}}}"

@@ -142,3 +142,29 @@ def test_thumbnail_reader(spark, tmp_path):
     for r in rows:
         got[r.py, r.px] = (r.r, r.g, r.b)
     assert len(rows) == 35 and (got == image).all()
+
+
+def test_unmeasured_gene_changes_no_mixture(spark):
+    from spotweave.operators.proportions import mixture_proportions
+
+    counts = spark.createDataFrame([("s0", "g1", 8.0), ("s0", "g2", 2.0), ("s1", "g2", 5.0), ("s1", "g9", 4.0), ("s2", "g9", 3.0)], "barcode string, gene string, count double")
+    profiles = [("a", "g1", 0.7), ("a", "g2", 0.3), ("b", "g1", 0.1), ("b", "g2", 0.9)]
+    run = lambda rows: {r["barcode"]: r["p"] for r in mixture_proportions(counts, spark.createDataFrame(rows, "cell_type string, gene string, profile double"), ["a", "b"]).collect()}
+    plain, more = run(profiles), run(profiles + [("a", "unmeasured", 0.9)])
+    assert plain == more
+    assert plain["s0"][0] > 0.9 and plain["s1"][1] > 0.9 and plain["s2"] is None
+
+
+def test_missing_spots_stay_missing_and_bad_output_raises(spark):
+    import pytest
+
+    from spotweave.operators import proportions
+
+    merged = spark.createDataFrame([("s0", "t", 1.0)], "spot_id string, cell_type string, p double")
+    spots = spark.createDataFrame([("s1",)], "spot_id string")
+    types = spark.createDataFrame([("t",), ("u",)], "cell_type string")
+    rows = {(r["spot_id"], r["cell_type"]): r["p"] for r in proportions.with_missing_spots(merged, spots, types).collect()}
+    assert rows == {("s0", "t"): 1.0, ("s1", "t"): None, ("s1", "u"): None}
+    proportions.require_valid({"n_missing_types": 0, "row_sum_min": 1.0})
+    with pytest.raises(ValueError):
+        proportions.require_valid({"n_missing_types": 1})
