@@ -7,16 +7,31 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import first_max_index, let, log1p_clipped, total
 from spotweave.functions.vectors import vector_sum
-from spotweave.operators.overlap import overlap_cells, ring_edges, ring_geometry, self_crossing
+from spotweave.operators.ordinals import exact_median
+from spotweave.operators.overlap import crossings, numbered, outline, outline_areas, overlap_cells, ring_edges, ring_geometry
 from spotweave.session import durable, one_row
 
-#: Rings up to this area (square pixels) count as flat; sums of large coordinates leave about 1e-8.
-FLAT = 1e-6
-
 
 def grid_size(grids: DataFrame) -> int:
-    """Rounded median width. Widths are a handful of whole numbers, so the median's buffer stays small."""
-    return one_row(grids.agg(F.rint(F.median(F.col("x1") - F.col("x0"))).cast("int").alias("size")))["size"]
+    """Rounded median width."""
+    median = exact_median(grids.select((F.col("x1") - F.col("x0")).alias("width")), "width")
+    return one_row(median.select(F.rint("median").cast("int").alias("size")))["size"]
+
+
+def ring_validity(vertices: DataFrame, grid: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(cell_id, n_vertices, center_x, center_y, area, is_repaired, is_invalid)``, the edges, and the outlines of crossing rings.
+
+    A ring that crosses itself is repaired: it covers whatever it winds around (a geometry library that rebuilds such a ring
+    by its orientation may keep only one lobe of a bow tie; here both count). Only rings with fewer than three vertices or
+    without an area, up to rounding, are invalid.
+    """
+    edges = durable(ring_edges(numbered(vertices)))
+    repaired = durable(outline(edges, durable(crossings(edges, grid / 4.0)), grid))
+    areas = outline_areas(repaired).select("cell_id", F.col("area").alias("_area"))
+    geometry = ring_geometry(edges).join(areas, "cell_id", "left").withColumn("is_repaired", F.col("_area").isNotNull())
+    geometry = geometry.withColumn("area", F.coalesce("_area", "area"))
+    bad = (F.col("n_vertices") < 3) | (F.col("area") <= F.col("flat"))
+    return geometry.withColumn("is_invalid", bad).drop("_area", "flat"), edges, repaired
 
 
 def origin_winners(grids: DataFrame) -> DataFrame:
@@ -31,22 +46,21 @@ def polygon_values(
     n_genes: int | None = None,
     grid: int | None = None,
     valid_only: bool = True,
-    flag_crossing: bool = True,
 ) -> DataFrame:
     """Expression, type and geometry of every kept polygon.
 
     ``vertices``: ``(cell_id, vertex_ord, vertex_x, vertex_y)``; ``grids``: ``(ord, x0, y0, x1, y1, expr, prob)`` with
     a unique ``ord``. Overlap rows find their grid by equal origins while all rows are narrow; the wide vectors are
-    then shuffled once, by ``ord``, and summed per polygon with a partial step. A ring that crosses itself counts
-    as invalid. Invalid and uncovered polygons are dropped, or kept with NULL values if ``valid_only`` is off.
+    then shuffled once, by ``ord``, and summed per polygon with a partial step. A ring that crosses itself is repaired
+    (:func:`ring_validity`). Invalid and uncovered polygons are dropped, or kept with NULL values if ``valid_only`` is off.
 
-    Returns ``(cell_id, n_vertices, area, is_invalid, n_grids, covered_fraction, center_x, center_y, expr, prob,
+    Returns ``(cell_id, n_vertices, area, is_repaired, is_invalid, n_grids, covered_fraction, center_x, center_y, expr, prob,
     predicted_type)``.
     """
     size = grid or grid_size(grids)
-    edges = durable(ring_edges(vertices))
+    rings, edges, repaired = ring_validity(vertices, size)
     w = F.col("area") / float(size * size)
-    hits = overlap_cells(edges, size).join(origin_winners(grids), ["x0", "y0"]).select("cell_id", "ord", w.alias("weight"))
+    hits = overlap_cells(edges, size, repaired).join(origin_winners(grids), ["x0", "y0"]).select("cell_id", "ord", w.alias("weight"))
     summed = (
         hits.join(grids.select("ord", "expr", "prob"), "ord")
         .groupBy("cell_id")
@@ -57,16 +71,11 @@ def polygon_values(
             F.count(F.lit(1)).alias("_n_grids"),
         )
     )
-    geometry = ring_geometry(edges).join(summed, "cell_id", "left")
-    bad = (F.col("n_vertices") < 3) | (F.col("area") <= FLAT)
-    if flag_crossing:
-        crossing = self_crossing(edges, size / 4.0).withColumn("_crossing", F.lit(True))
-        geometry = geometry.join(crossing, "cell_id", "left")
-        bad = bad | F.coalesce(F.col("_crossing"), F.lit(False))
+    geometry = rings.join(summed, "cell_id", "left")
     usable = lambda c: F.when(~F.col("is_invalid"), c)
     share = let(total(F.col("_prob")), lambda whole: F.when(whole > 0, F.transform("_prob", lambda p: p / whole)))
-    joined = geometry.withColumn("is_invalid", bad).select(
-        "cell_id", "n_vertices", "area", "is_invalid",
+    joined = geometry.select(
+        "cell_id", "n_vertices", "area", "is_repaired", "is_invalid",
         F.coalesce(usable(F.col("_n_grids")), F.lit(0)).alias("n_grids"),
         F.coalesce(usable(F.col("_weight") * float(size * size) / F.greatest("area", F.lit(1e-8))), F.lit(0.0)).alias("covered_fraction"),
         "center_x", "center_y",
@@ -93,6 +102,7 @@ def polygon_counters(values: DataFrame, valid_only: bool) -> DataFrame:
         kept.alias("n_output_cells"),
         F.count_if(zero).alias("n_zero_coverage"),
         F.count_if(F.col("is_invalid")).alias("n_invalid_polygon"),
+        F.count_if(F.col("is_repaired")).alias("n_repaired_polygon"),
     )
 
 

@@ -399,15 +399,15 @@ def _(fx):
     return polygon_values(fx)
 
 
-@query("g22_counters_all", "n_input_polygons:i n_output_cells:i n_zero_coverage:i n_invalid_polygon:i", """
-    SELECT count(*) AS n_input_polygons, count(*) AS n_output_cells, count(*) FILTER (WHERE n_grids = 0) AS n_zero_coverage, count(*) FILTER (WHERE is_invalid) AS n_invalid_polygon FROM {polygon_all}""")
+@query("g22_counters_all", "n_input_polygons:i n_output_cells:i n_zero_coverage:i n_invalid_polygon:i n_repaired_polygon:i", """
+    SELECT count(*) FILTER (WHERE is_repaired) AS n_repaired_polygon, count(*) AS n_input_polygons, count(*) AS n_output_cells, count(*) FILTER (WHERE n_grids = 0) AS n_zero_coverage, count(*) FILTER (WHERE is_invalid) AS n_invalid_polygon FROM {polygon_all}""")
 def _(fx):
     return aggregate.polygon_counters(polygon_values(fx, valid_only=False), valid_only=False)
 
 
 @query("g23_grid_size", "size:i", "SELECT round_even(median(x1 - x0), 0) AS size FROM {grid_pred}")
 def _(fx):
-    return d.predicted_grids(fx).agg(F.rint(F.median(F.col("x1") - F.col("x0"))).alias("size"))
+    return fx.spark.range(1).select(F.lit(aggregate.grid_size(d.predicted_grids(fx))).alias("size"))
 
 
 @query("agg_flagship", "cell_id:i predicted_type:s covered_fraction:d center_x:d center_y:d n_grids:i " + _E8 + " q0:d q1:d q2:d q3:d q4:d", "SELECT * FROM {polygon_kept}")

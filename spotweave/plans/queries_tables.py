@@ -270,8 +270,8 @@ def _(fx):
     return fx.spark.read.option("header", True).csv(_written(kept, "labels", "csv"))
 
 
-@query("b08_summary_row", "n_input_polygons:i n_output_cells:i n_zero_coverage:i n_invalid_polygon:i", """
-    SELECT count(*) AS n_input_polygons, count(*) FILTER (WHERE NOT is_invalid AND n_grids > 0) AS n_output_cells,
+@query("b08_summary_row", "n_input_polygons:i n_output_cells:i n_zero_coverage:i n_invalid_polygon:i n_repaired_polygon:i", """
+    SELECT count(*) FILTER (WHERE is_repaired) AS n_repaired_polygon, count(*) AS n_input_polygons, count(*) FILTER (WHERE NOT is_invalid AND n_grids > 0) AS n_output_cells,
            count(*) FILTER (WHERE NOT is_invalid AND n_grids = 0) AS n_zero_coverage, count(*) FILTER (WHERE is_invalid) AS n_invalid_polygon
     FROM {polygon_all}""")
 def _(fx):
@@ -402,14 +402,9 @@ def _(fx):
     return ring_stats(fx.polygons).where("n_vertices >= 3")
 
 
-@query("p20_polygon_validity", "cell_id:i area:d is_crossing:b", """
-    SELECT cell_id, area, cell_id IN (SELECT cell_id FROM {crossed}) AS is_crossing FROM {ring_area}""")
+@query("p20_polygon_validity", "cell_id:i area:d is_repaired:b is_invalid:b", "SELECT * FROM {polygon_all}")
 def _(fx):
-    from spotweave.operators.overlap import ring_areas, ring_edges, self_crossing
-
-    edges = durable(ring_edges(fx.polygons))
-    return ring_areas(edges).join(self_crossing(edges).withColumn("c", F.lit(True)), "cell_id", "left").withColumn(
-        "is_crossing", F.coalesce("c", F.lit(False)))
+    return aggregate.ring_validity(fx.polygons, 18)[0]
 
 
 @query("p21_window_origin", "cell_id:i vertex_ord:i local_x:d local_y:d", f"""

@@ -16,13 +16,6 @@ _DILATE = (
 )
 _PIXEL = "CAST(greatest(0, least({size} - 1, round_even({value}, 0))) AS BIGINT)"
 
-_CLAMP = "greatest(0, least(18, {t}))"
-
-
-def _primitive(t: str) -> str:
-    return f"CASE WHEN {t} <= 0 THEN 0 WHEN {t} <= 18 THEN {t} * {t} / 2.0 ELSE 162.0 + 18 * ({t} - 18) END"
-
-
 PARTS: dict[str, str] = {
     # --- tissue mask
     "tissue": """
@@ -107,9 +100,24 @@ PARTS: dict[str, str] = {
                coalesce(lead(vertex_x) OVER w, first_value(vertex_x) OVER w) AS bx,
                coalesce(lead(vertex_y) OVER w, first_value(vertex_y) OVER w) AS by_
         FROM {polygons} WINDOW w AS (PARTITION BY cell_id ORDER BY vertex_ord)""",
-    "ring_area": "SELECT cell_id, abs(sum((bx - ax) * (by_ + ay))) / 2.0 AS area FROM {edges} GROUP BY cell_id",
+    "ring_area": """
+        SELECT cell_id, abs(sum((bx - ax) * (by_ + ay))) / 2.0 AS area FROM {edges} WHERE cell_id NOT IN (SELECT cell_id FROM {crossed}) GROUP BY cell_id
+        UNION ALL SELECT cell_id, sum(s * (r - l) * (yl + yr)) / 2.0 AS area FROM {hull} GROUP BY cell_id""",
     "crossed": """
-        SELECT DISTINCT a.cell_id FROM {edges} AS a JOIN {edges} AS b ON a.cell_id = b.cell_id AND a.slot < b.slot
+        SELECT DISTINCT cell_id FROM {crossing_at}""",
+    "strips": """
+        SELECT cell_id, x AS l, lead(x) OVER (PARTITION BY cell_id ORDER BY x) AS r FROM (
+          SELECT cell_id, x FROM {crossing_at} UNION SELECT cell_id, ax FROM {edges} WHERE cell_id IN (SELECT cell_id FROM {crossed})
+          UNION SELECT cell_id, CAST(x0 AS DOUBLE) FROM {cand} JOIN {bounds} USING (cell_id) WHERE x0 BETWEEN min_x AND max_x AND cell_id IN (SELECT cell_id FROM {crossed}))""",
+    "layers": """
+        SELECT cell_id, l, r, s, yl, yr, sum(s) OVER (PARTITION BY cell_id, l ORDER BY yl + yr, s ROWS UNBOUNDED PRECEDING) AS upper FROM (
+          SELECT cell_id, l, r, sign(bx - ax) AS s, ay + (by_ - ay) / (bx - ax) * (l - ax) AS yl, ay + (by_ - ay) / (bx - ax) * (r - ax) AS yr
+          FROM {strips} JOIN {edges} USING (cell_id) WHERE ax <> bx AND least(ax, bx) <= l AND greatest(ax, bx) >= r)""",
+    "hull": "SELECT cell_id, l, r, CASE WHEN upper = 0 THEN 1 ELSE -1 END AS s, yl, yr FROM {layers} WHERE (upper = 0) <> (upper - s = 0)",
+    "crossing_at": """
+        SELECT a.cell_id, a.ax + ((b.ax - a.ax) * (b.by_ - b.ay) - (b.ay - a.ay) * (b.bx - b.ax))
+                 / ((a.bx - a.ax) * (b.by_ - b.ay) - (a.by_ - a.ay) * (b.bx - b.ax)) * (a.bx - a.ax) AS x
+        FROM {edges} AS a JOIN {edges} AS b ON a.cell_id = b.cell_id AND a.slot < b.slot
         WHERE sign((a.bx - a.ax) * (b.ay - a.ay) - (a.by_ - a.ay) * (b.ax - a.ax)) * sign((a.bx - a.ax) * (b.by_ - a.ay) - (a.by_ - a.ay) * (b.bx - a.ax)) < 0
           AND sign((b.bx - b.ax) * (a.ay - b.ay) - (b.by_ - b.ay) * (a.ax - b.ax)) * sign((b.bx - b.ax) * (a.by_ - b.ay) - (b.by_ - b.ay) * (a.bx - b.ax)) < 0""",
     "bounds": """
@@ -123,23 +131,24 @@ PARTS: dict[str, str] = {
         SELECT c.cell_id, c.x0, c.y0, CASE WHEN ax < bx THEN 1 ELSE -1 END AS s,
                least(ax, bx) AS xa, CASE WHEN ax < bx THEN ay ELSE by_ END AS ya,
                (by_ - ay) / (bx - ax) AS m, greatest(least(ax, bx), c.x0) AS l, least(greatest(ax, bx), c.x0 + 18) AS r
-        FROM {edges} AS e JOIN {cand} AS c USING (cell_id) WHERE ax <> bx""",
+        FROM {edges} AS e JOIN {cand} AS c USING (cell_id) WHERE ax <> bx AND cell_id NOT IN (SELECT cell_id FROM {crossed})
+        UNION ALL SELECT cell_id, x0, y0, s, l, yl, (yr - yl) / (r - l), l, r FROM {hull} JOIN {cand} USING (cell_id) WHERE l >= x0 AND r <= x0 + 18""",
     "pieces": "SELECT *, ya + m * (l - xa) - y0 AS tl, ya + m * (r - xa) - y0 AS tr FROM {cut} WHERE r > l",
-    "overlap": f"""
+    "overlap": """
         SELECT * FROM (
-          SELECT cell_id, x0, y0, abs(sum(s * CASE WHEN abs(tr - tl) < 1e-9 THEN (r - l) * {_CLAMP.format(t='((tl + tr) / 2)')}
-                                                  ELSE ({_primitive('tr')} - ({_primitive('tl')})) / m END)) AS area
-          FROM {{pieces}} GROUP BY 1, 2, 3) WHERE area > 1e-7 * 324""",
+          SELECT cell_id, x0, y0, abs(sum(s * (r - l) * CASE WHEN tl = tr THEN greatest(0, least(18, tl)) ELSE
+              ((greatest(0, least(18, tr)) - greatest(0, least(18, tl))) * (greatest(0, least(18, tr)) + greatest(0, least(18, tl))) / 2
+               + 18 * (greatest(0, tr - 18) - greatest(0, tl - 18))) / (tr - tl) END)) AS area
+          FROM {pieces} GROUP BY 1, 2, 3) WHERE area > 2e-9""",
     "weights": """
-        SELECT o.cell_id, g.grid_index, area, area / 324.0 AS weight FROM {overlap} AS o JOIN {grid_pred} AS g USING (x0, y0)
-        WHERE o.cell_id NOT IN (SELECT cell_id FROM {crossed})""",
+        SELECT o.cell_id, g.grid_index, area, area / 324.0 AS weight FROM {overlap} AS o JOIN {grid_pred} AS g USING (x0, y0)""",
     "polygon_sums": "SELECT w.cell_id, sum(weight) AS weight, count(*) AS n_grids, "
         + ", ".join(f"sum(weight * e{i}) AS e{i}" for i in range(8)) + ", "
         + ", ".join(f"sum(weight * p{i}) AS p{i}" for i in range(5))
         + " FROM {weights} AS w JOIN {grid_pred} AS g USING (grid_index) GROUP BY 1",
     "polygon_all": """
         SELECT b.cell_id, n_vertices, coalesce(area, 0) AS area, center_x, center_y,
-               n_vertices < 3 OR coalesce(area, 0) <= 1e-6 OR b.cell_id IN (SELECT cell_id FROM {crossed}) AS is_invalid,
+               b.cell_id IN (SELECT cell_id FROM {crossed}) AS is_repaired, n_vertices < 3 OR coalesce(area, 0) <= 1e-8 AS is_invalid,
                coalesce(n_grids, 0) AS n_grids, coalesce(weight * 324 / greatest(area, 1e-8), 0) AS covered_fraction, """
         + ", ".join(f"ln(1 + greatest(e{i}, 0)) AS e{i}" for i in range(8)) + ", "
         + ", ".join(f"p{i} / (p0 + p1 + p2 + p3 + p4) AS q{i}" for i in range(5))

@@ -168,3 +168,51 @@ def test_blending_a_constant_gives_the_constant(spark):
     blended = lattice.blend(views, tokens, vectors, 2, 1)
     assert {r.grid_index: [round(v, 12) for v in r.feature] for r in blended.collect()} == {7: [2.0, 3.0, 4.0], 8: [2.0, 3.0, 4.0]}
     assert "partial_sum" in _plan(blended)
+
+
+def _wound_area(ring, step=0.02):
+    """Ground with a winding number other than 0, by counting sample points."""
+    ring = np.array(ring, float)
+    xs = np.arange(ring[:, 0].min(), ring[:, 0].max(), step) + step / 3
+    ys = np.arange(ring[:, 1].min(), ring[:, 1].max(), step) + step / 3
+    x, y = np.meshgrid(xs, ys)
+    winding = np.zeros(x.shape, int)
+    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        winding += (ay <= y) & (by > y) & (side > 0)
+        winding -= (ay > y) & (by <= y) & (side < 0)
+    return (winding != 0).sum() * step * step
+
+
+def test_crossing_rings_cover_what_they_wind_around(spark):
+    from spotweave.operators.aggregate import ring_validity
+
+    star = [(20 + 15 * np.cos(a), 20 + 15 * np.sin(a)) for a in np.arange(5) * 4 * np.pi / 5]
+    spiral = [(0, 0), (30, 0), (30, 30), (0, 30), (0, 5), (20, 5), (20, 20), (5, 20), (5, -5)]
+    rings = {1: [(0, 0), (10, 10), (10, 0), (0, 10)], 2: star, 3: spiral, 4: [(0, 0), (40, 0), (40, 25), (0, 25)], 5: [(1, 1), (2, 2), (3, 3)], 6: [(1, 1), (5, 5)]}
+    table, edges, repaired = ring_validity(_vertices(spark, rings), 18)
+    got = {r["cell_id"]: r for r in table.collect()}
+    assert got[1]["area"] == pytest.approx(50) and got[4]["area"] == pytest.approx(1000)
+    for ring in (2, 3):
+        assert got[ring]["area"] == pytest.approx(_wound_area(rings[ring]), rel=0.01)
+    assert [got[k]["is_repaired"] for k in range(1, 7)] == [True, True, True, False, False, False]
+    assert [got[k]["is_invalid"] for k in range(1, 7)] == [False, False, False, False, True, True]
+    cells = overlap.overlap_cells(edges, 18, repaired).toPandas().groupby("cell_id")["area"].sum()
+    for ring in range(1, 5):
+        assert cells[ring] == pytest.approx(got[ring]["area"], rel=1e-9)
+
+
+def test_vertex_numbers_with_gaps_ties_and_missing_values(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = [(1, 10 * k, x, y) for k, (x, y) in enumerate(ring)] + [(2, k, x, y) for k, (x, y) in enumerate(ring)]
+    schema = "cell_id long, vertex_ord long, vertex_x double, vertex_y double"
+    edges = overlap.ring_edges(overlap.numbered(spark.createDataFrame(rows, schema)))
+    assert {r["cell_id"]: r["area"] for r in overlap.ring_areas(edges).collect()} == {1: 100.0, 2: 100.0}
+    with pytest.raises(ValueError):
+        overlap.numbered(spark.createDataFrame([*rows, (3, 0, None, 1.0)], schema))
+
+
+def test_slivers_are_kept_at_any_scale(spark):
+    edges = overlap.ring_edges(_vertices(spark, {1: [(17.0, 1.0), (18.00001, 1.0), (18.00001, 2.0), (17.0, 2.0)]}))
+    areas = {r["x0"]: r["area"] for r in overlap.overlap_cells(edges, 18).collect()}
+    assert areas[18] == pytest.approx(1e-5, rel=1e-6) and areas[0] == pytest.approx(1.0)
