@@ -49,7 +49,8 @@ def _classes() -> np.ndarray:
 class WordIds:
     """Ids of texts as the library gives them for a lower-casing word tokenizer.
 
-    Words of simple Latin text are looked up by hash; the library encodes each once. Texts with apostrophes, special strings,
+    Words of simple Latin text are looked up by hash; the library encodes each once, many in one call, and the suffix that
+    ends each word tells them apart. Texts with apostrophes, special strings,
     control characters or other scripts go through the library whole.
     """
 
@@ -58,6 +59,9 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.classes = _classes()
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for word, i in self.library.get_vocab().items() if suffix and word.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -75,13 +79,15 @@ class WordIds:
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
         first = len(self.places)
-        encoded = [found.ids for found in self.library.encode_batch(words, add_special_tokens=False)]
-        lengths = np.array([len(ids) for ids in encoded], np.int64)
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(lengths) != len(words) or lengths.sum() != len(ids):
+            raise ValueError("The tokenizer does not end every word with its suffix.")
         while first + len(keys) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
         while self.used + lengths.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + lengths.sum()] = np.concatenate([np.array(ids, np.uint32) for ids in encoded])
+        self.flat[self.used : self.used + lengths.sum()] = ids
         self.starts[first : first + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + len(keys)] = lengths
         self.used += int(lengths.sum())

@@ -64,7 +64,7 @@ def test_count_tokens_frame(spark, libraries):
 
 
 def test_pieces_and_packing(spark, libraries, monkeypatch):
-    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 60)
+    monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 200)
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma's", "δ"], int(n))) for n in rng.integers(0, 90, 300)] + ["word " * 700, None, "", "same", "same"]
     rows = [(i if i % 50 else 7, text, 0, 0) for i, text in enumerate(texts)]
