@@ -1,8 +1,8 @@
 """Packing of token pieces into sequences: best-fit decreasing per partition, certified by lower bounds.
 
-Pieces are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible functions bound the number of bins
-its pieces need at least; a partition that meets its bound is certified and done. One with a gap gives up the pieces of its
-least filled bins. What was given up is exchanged - dealt anew to fewer partitions - and packed again, until no gap, no gain
+Pieces are dealt to partitions and each is packed by best-fit decreasing. Dual-feasible functions bound the room its pieces
+need at least, in bins and their fractions; a partition that meets its bound is certified and done. One with a gap, be it a
+part of its last bin, gives up the pieces of its loosely filled bins. What was given up is exchanged - dealt anew to fewer partitions - and packed again, until no gap, no gain
 or nothing to exchange is left. Every step handles bounded partitions, of narrow rows.
 
 Null texts are empty; an empty text is one piece with the end id alone. Repeated rows are packed like any others.
@@ -10,9 +10,11 @@ Null texts are empty; an empty text is one piece with the end id alone. Repeated
 
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
 from collections.abc import Iterable, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ PIECES_PER_PARTITION = 20_000
 #: Partitions of the first round at least, so that small tables are dealt out as well.
 LEAST_PARTITIONS = 16
 ROUNDS = 6
+#: A partition with a gap gives up the bins with at least a LOOSE-th of their room left, and some more of the least filled.
+LOOSE = 64
 #: Words whose ids a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 1_000_000
 _PLAIN = 0x250
@@ -42,7 +46,9 @@ def _classes() -> np.ndarray:
     for point in range(_PLAIN):
         kind = unicodedata.category(chr(point))
         kinds[point] = 0 if chr(point) in "\t\n\r \xa0" else 1 if kind[0] == "L" else 2 if kind[0] == "N" else 4 if kind[0] == "C" else 3
-    kinds[[0x27, 0x130]] = 4
+        if len(chr(point).lower()) != 1 or ord(chr(point).lower()) >= _PLAIN:
+            kinds[point] = 4
+    kinds[0x27] = 4
     return kinds
 
 
@@ -154,23 +160,28 @@ def token_pieces(texts: DataFrame, path: str, capacity: int = CAPACITY, text: st
     return rows.select("row", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "x.length", "x.ids_crc32", *["x.ids"] * with_ids)
 
 
-def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that ``counts[i]`` pieces of ``lengths[i]`` need at least: the best of two families of dual-feasible functions.
+def room_needed(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Fraction:
+    """Bins, in fractions, that ``counts[i]`` pieces of ``lengths[i]`` take at least: the best of two families of dual-feasible functions.
 
     The first rounds every length down to shares of 1/k (exact shares stay), the second takes lengths over capacity - e as
     whole bins and drops those under e. For each, no set of pieces that fits a bin sums to over 1.
     """
-    best = -(-int((lengths * counts).sum()) // capacity)
+    best = Fraction(int((lengths * counts).sum()), capacity)
     for k in range(1, 33):
         exact = (lengths * (k + 1)) % capacity == 0
         shares = np.where(exact, lengths * k, (lengths * (k + 1) // capacity) * capacity)
-        best = max(best, -(-int((shares * counts).sum()) // (capacity * k)))
+        best = max(best, Fraction(int((shares * counts).sum()), capacity * k))
     for least in np.unique(lengths[lengths * 2 <= capacity]):
         values = np.where(lengths > capacity - least, capacity, np.where(lengths >= least, lengths, 0))
-        best = max(best, -(-int((values * counts).sum()) // capacity))
+        best = max(best, Fraction(int((values * counts).sum()), capacity))
     return best
 
 
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Whole bins that the pieces need at least."""
+    return math.ceil(room_needed(lengths, counts, capacity))
+
+
 def best_fit_decreasing(lengths: Iterable[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each length (given in falling order), and the free room of each bin.
 
@@ -202,8 +213,10 @@ def _packed(capacity: int, turn: int, last: bool):
         rows = rows.sort_values(["length", *order], ascending=[False] + [True] * len(order), kind="stable")
         bins, offsets, free = best_fit_decreasing(rows["length"].tolist(), capacity)
         lengths, counts = np.unique(rows["length"].to_numpy(), return_counts=True)
-        gap = len(free) - lower_bound(lengths, counts, capacity)
-        worst = set(sorted(range(len(free)), key=lambda b: (-free[b], b))[: 2 * gap + 8]) if gap and not last else set()
+        gap = len(free) - room_needed(lengths, counts, capacity)
+        by_room = sorted(range(len(free)), key=lambda b: (-free[b], b))
+        loose = sum(room * LOOSE >= capacity for room in free)
+        worst = set(by_room[: max(loose, 2 * math.ceil(gap))]) if gap and not last else set()
         base = (turn << 56) + (int(key[0]) << 28)
         return rows.drop(columns="partition").assign(sequence_id=[base + b for b in bins], offset=offsets, given=[b in worst for b in bins])
 

@@ -75,9 +75,12 @@ class Model:
     middle: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
     def score(self, statistics: np.ndarray) -> np.ndarray:
-        value = (statistics - self.middle) / self.spread @ self.weights[:-1] + self.weights[-1]
+        """Statistics beyond those of the sample count as its extremes, so that empty and very long texts are not extrapolated."""
+        value = (np.clip(statistics, self.low, self.high) - self.middle) / self.spread @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(value, -50, 50)))
 
 
@@ -153,7 +156,7 @@ def learn(labelled: DataFrame, key: Column, text: str = "text", label: str = "to
     weight = np.where(y == 1, totals[1] / max(1, y.sum()), totals[0] / max(1, (1 - y).sum()))
     weight = weight / weight.mean()
     middle, spread = x.mean(0), x.std(0) + 1e-9
-    model = Model(plain, bad, middle, spread, _regression((x - middle) / spread, y, weight))
+    model = Model(plain, bad, middle, spread, _regression((x - middle) / spread, y, weight), x.min(0), x.max(0))
     score = model.score(x)
     order = np.argsort(-score, kind="stable")
     hit, taken = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
