@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import first_max_index
 from spotweave.functions.vectors import vector_mean, vector_sum
-from spotweave.operators import aggregate, lattice, metrics, nearest, ordinals, overlap, raster, spots
+from spotweave.operators import aggregate, lattice, metrics, nearest, ordinals, overlap, raster, spots, training
 from spotweave.operators import windows as win
+from spotweave.operators.heads import initial_params
 from spotweave.plans import derived as d
 from spotweave.plans.fixtures import N_GENES, SPOT_DIAMETER, TYPE_NAMES
+from spotweave.plans.model_sql import forward_parts, loss_sql
 from spotweave.plans.queries_tables import _CLIP, _IN, _PCC, _RING_IN, _TOP, _boxes
+from spotweave.plans.reference_sql import PARTS
 from spotweave.plans.registry import query
 
 _PIXELS = "px:i py:i"
@@ -255,11 +258,11 @@ def _(fx):
     return means.select("patch_index", F.posexplode("v").alias("pos", "value"))
 
 
-@query("m10_bag_rows", "target_ord:i spot_id:s grid_index:i t0:d p0:d", """
-    SELECT b.target_ord, b.spot_id, b.grid_index, t.t0, t.c0 AS p0 FROM {bags} AS b JOIN {spot_truth} AS t ON t.spot = b.target_ord""")
+@query("m10_bag_rows", "target_ord:i spot_id:s grid_index:i t0:d t1:d t2:d t3:d t4:d t5:d t6:d t7:d c0:d c1:d c2:d c3:d c4:d", """
+    SELECT b.target_ord, b.spot_id, b.grid_index, t.* FROM {bags} AS b JOIN {spot_truth} AS t ON t.spot = b.target_ord""")
 def _(fx):
-    truth = d.spot_truth(fx).select(F.col("spot_id").alias("target_ord"), F.col("expr")[0].alias("t0"), F.col("proportions")[0].alias("p0"))
-    return d.bags(fx).join(truth, "target_ord")
+    truth = d.spot_truth(fx).withColumnRenamed("spot_id", "target_ord")
+    return _spread(_spread(d.bags(fx).join(truth, "target_ord"), "expr", "t", N_GENES), "proportions", "c", 5)
 
 
 # ------------------------------------------------------------------ bags, metrics, losses
@@ -454,12 +457,19 @@ def _(fx):
     return win.zscores(win.measured_values(ids, fx.true_expr, "G1"))
 
 
-# ------------------------------------------------------------------ models (no SQL form: rows are checked in the tests)
+# ------------------------------------------------------------------ models
 
-def _model(n_in=64):
-    from spotweave.operators.heads import initial_params
-
-    return initial_params(n_in, N_GENES, 5, 16, seed=3, hidden=(16, 8), type_hidden=16)
+_SHAPE = {"hidden": (16, 8), "type_hidden": 16}
+MODEL = initial_params(64, N_GENES, 5, 16, seed=3, **_SHAPE)
+_FRESH = initial_params(64, N_GENES, 5, 16, seed=0, **_SHAPE)
+_Q5 = "q0:d q1:d q2:d q3:d q4:d"
+PARTS["model_input"] = """
+    SELECT event_id AS grid_index, user_id AS target_ord, CAST(embedding AS DOUBLE[]) AS x
+    FROM {events} JOIN {embeddings} ON vec_id = event_id % (SELECT count(*) FROM {embeddings})"""
+PARTS.update(forward_parts("model", MODEL))
+PARTS.update(forward_parts("fresh", _FRESH))
+PARTS["fresh_loss"] = loss_sql("fresh", N_GENES, 5, 0.05, 1.0)
+_OUT = ", ".join(f"expr[{i + 1}] AS e{i}" for i in range(N_GENES)) + ", " + ", ".join(f"prob[{i + 1}] AS q{i}" for i in range(5))
 
 
 def _features(fx):
@@ -467,41 +477,31 @@ def _features(fx):
         "spot_id", F.col("target_ord").cast("string"))
 
 
-@query("m04_instance_forward", "grid_index:i e0:d q0:d")
+@query("m04_instance_forward", f"grid_index:i {_E8} {_Q5}", f"SELECT grid_index, {_OUT} FROM {{model_out}}")
 def _(fx):
-    from spotweave.operators.training import predict_grids
-
-    out = predict_grids(_features(fx), _model())
-    return out.select("grid_index", F.col("expr_pred")[0].alias("e0"), F.col("type_prob")[0].alias("q0"))
+    return _spread(_spread(training.predict_grids(_features(fx), MODEL), "expr_pred", "e", N_GENES), "type_prob", "q", 5)
 
 
-@query("m05_bag_forward", "target_ord:i n_grids:i e0:d q0:d")
+@query("m05_bag_forward", f"target_ord:i n_grids:i {_E8} {_Q5}", "SELECT * FROM {model_bag}")
 def _(fx):
-    from spotweave.operators.training import predict_bags
-
-    out = predict_bags(_features(fx), _model(), 5, N_GENES)
-    return out.select("target_ord", "n_grids", F.col("expr")[0].alias("e0"), F.col("prob")[0].alias("q0"))
+    return _spread(_spread(training.predict_bags(_features(fx), MODEL, 5, N_GENES), "expr", "e", N_GENES), "prob", "q", 5)
 
 
-@query("m06_supervised_prediction", "position:i spot_id:s e0:d")
+@query("m06_supervised_prediction", f"position:i spot_id:s {_E8} {_Q5}", "SELECT row_number() OVER (ORDER BY target_ord) - 1 AS position, CAST(target_ord AS VARCHAR) AS spot_id, * FROM {model_bag}")
 def _(fx):
-    from spotweave.operators.training import predict_bags
+    placed = ordinals.ordinal(training.predict_bags(_features(fx), MODEL, 5, N_GENES), ["target_ord"], name="position")
+    return _spread(_spread(placed, "expr", "e", N_GENES), "prob", "q", 5)
 
-    return ordinals.ordinal(predict_bags(_features(fx), _model(), 5, N_GENES), ["target_ord"], name="position").withColumn("e0", F.col("expr")[0])
 
-
-@query("m07_grid_prediction", "grid_index:i type_top1:i")
+@query("m07_grid_prediction", f"grid_index:i type_top1:i {_E8} {_Q5}", f"SELECT grid_index, list_position(prob, list_max(prob)) - 1 AS type_top1, {_OUT} FROM {{model_out}}")
 def _(fx):
-    from spotweave.operators.training import predict_grids
-
-    return predict_grids(_features(fx), _model())
+    return _spread(_spread(training.predict_grids(_features(fx), MODEL), "expr_pred", "e", N_GENES), "type_prob", "q", 5)
 
 
-@query("m08_fit", "epoch:i train_loss:d")
+@query("m08_fit", "first_loss:d fell:b", "SELECT round(loss, 3) AS first_loss, true AS fell FROM {fresh_loss}")
 def _(fx):
-    from spotweave.operators.training import FitOptions, fit
-
     truth = d.spot_truth(fx).select(F.col("spot_id").alias("target_ord"), F.col("expr").alias("expression"), "proportions")
     bags = _features(fx).join(truth.select("target_ord"), "target_ord", "left_semi")
-    result = fit(bags, truth, 64, N_GENES, 5, FitOptions(projection_dim=16, hidden=(16, 8), type_hidden=16, max_epochs=3, lr=1e-2))
-    return fx.spark.createDataFrame([(h["epoch"], float(h["train_loss"])) for h in result.history], "epoch int, train_loss double")
+    options = training.FitOptions(projection_dim=16, max_epochs=3, lr=1e-2, **_SHAPE)
+    losses = [float(h["train_loss"]) for h in training.fit(bags, truth, 64, N_GENES, 5, options).history]
+    return fx.spark.createDataFrame([(round(losses[0], 3), losses[-1] < losses[0])], "first_loss double, fell boolean")
