@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.text import hex_channel, known_label, label_color, label_key
 from spotweave.operators.ordinals import last_wins
-from spotweave.session import one_row
+from spotweave.session import broadcast_if_small, one_row
 
 
 def checked_window(window) -> tuple[int, int, int, int]:
@@ -86,12 +86,10 @@ def merged_labels(table: DataFrame, merge: DataFrame | None, label: str = "cellt
     own = merge.select(label_key(F.col("target")).alias("_key"), F.col("target").alias("_to"), F.struct("target_ord", F.lit(-1).alias("i")).alias("_o"))
     sources = merge.select(label_key(F.col("source")).alias("_key"), F.col("target").alias("_to"), F.struct("target_ord", within.alias("i")).alias("_o"))
     mapping = own.unionByName(sources).groupBy("_key").agg(F.max_by("_to", "_o").alias("_to"))
-    rows = {r["_key"]: r["_to"] for r in mapping.collect()}
-    if not rows:
-        return table.withColumn(label, known_label(F.col(label), "Others"))
-    literal = F.create_map(*[F.lit(v) for pair in rows.items() for v in pair])
-    merged = F.coalesce(F.try_element_at(literal, label_key(F.col(label))), F.col(label))
-    return table.withColumn(label, known_label(merged, "Others"))
+    n = one_row(mapping.agg(F.count(F.lit(1)).alias("n")))["n"]
+    joined = table.withColumn("_key", label_key(F.col(label))).join(broadcast_if_small(mapping, n), "_key", "left")
+    merged = joined.withColumn(label, known_label(F.coalesce("_to", label), "Others"))
+    return merged.select(*table.columns)
 
 
 def label_counts(table: DataFrame, label: str) -> DataFrame:

@@ -149,14 +149,18 @@ def _(fx):
     return lattice.token_to_grid(d.boxed_tokens(fx), d.grids(fx))
 
 
-@query("j08_view_features", "patch_index:i token_linear:i t3:d u5:d n7:d", """
-    SELECT v.patch_index, v.token_linear, v.v AS t3, a.tile AS u5, b.mean AS n7
-    FROM {token_vec} AS v JOIN {near_full} AS a ON a.patch_index = v.patch_index AND a.pos = 5 JOIN {near_full} AS b ON b.patch_index = v.patch_index AND b.pos = 7
-    WHERE v.pos = 3""")
+_CHECKSUM = "sum(CAST(round({v} * 1e6) AS BIGINT) * (pos + 1))"
+
+
+@query("j08_view_features", "patch_index:i token_linear:i tokens:i tiles:i means:i", f"""
+    SELECT patch_index, token_linear, tokens, tiles, means FROM
+      (SELECT patch_index, token_linear, {_CHECKSUM.format(v='v')} AS tokens FROM {{token_vec}} GROUP BY 1, 2) JOIN
+      (SELECT patch_index, {_CHECKSUM.format(v='tile')} AS tiles, {_CHECKSUM.format(v='mean')} AS means FROM {{near_full}} GROUP BY 1) USING (patch_index)""")
 def _(fx):
+    # Whole vectors, each as one number that every element enters with its place.
     features = lattice.view_features(d.views(fx), d.token_vectors(fx), lattice.patch_vectors(d.tile_stats(fx)))
-    f = F.col("feature")
-    return features.select("patch_index", "token_linear", f[3].alias("t3"), f[64 + 5].alias("u5"), f[128 + 7].alias("n7"))
+    marks = lambda start: F.aggregate(F.transform(F.slice("feature", start, 64), lambda v, i: F.round(v * 1e6).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return features.select("patch_index", "token_linear", marks(1).alias("tokens"), marks(65).alias("tiles"), marks(129).alias("means"))
 
 
 @query("j09_candidate_grids", "cell_id:i grid_id:i x0:i y0:i", "SELECT cell_id, grid_index AS grid_id, x0, y0 FROM {cand} JOIN {grid_pred} USING (x0, y0)")

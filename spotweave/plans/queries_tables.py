@@ -218,23 +218,28 @@ def _(fx):
     return fx.spark.read.parquet(path).select("*", F.col("corners")[2]["x"].alias("cx2"), F.col("corners")[2]["y"].alias("cy2"))
 
 
-@query("b02_grid_embedding", "grid_index:i x0:i y0:i f0:d f7:d", "SELECT grid_index, x0, y0, e0 AS f0, e7 AS f7 FROM {grid_pred}")
+_F8 = " ".join(f"f{i}:d" for i in range(N_GENES))
+_E8 = " ".join(f"e{i}:d" for i in range(N_GENES))
+_E8_SQL = ", ".join(f"e{i}" for i in range(N_GENES))
+
+
+@query("b02_grid_embedding", f"grid_index:i x0:i y0:i {_F8}", "SELECT grid_index, x0, y0, " + ", ".join(f"e{i} AS f{i}" for i in range(N_GENES)) + " FROM {grid_pred}")
 def _(fx):
     path = scratch_path(fx.spark, "embedding")
     sinks.write_grid_embedding(d.predicted_grids(fx).withColumnRenamed("expr", "feature"), path, "dense")
     table = sources.read_grid_embedding(fx.spark, path)
-    return table.select("*", F.col("dense")[0].alias("f0"), F.col("dense")[7].alias("f7"))
+    return table.select("*", *[F.col("dense")[i].alias(f"f{i}") for i in range(N_GENES)])
 
 
-@query("b03_grid_predictions", "grid_index:i type_top1:i e0:d", f"""
-    SELECT grid_index, CASE {_TOP} WHEN 'DCIS' THEN 0 WHEN 'Stromal' THEN 1 WHEN 'T Cells' THEN 2 WHEN 'Myoepi' THEN 3 ELSE 4 END AS type_top1, e0
+@query("b03_grid_predictions", f"grid_index:i type_top1:i {_E8}", f"""
+    SELECT grid_index, CASE {_TOP} WHEN 'DCIS' THEN 0 WHEN 'Stromal' THEN 1 WHEN 'T Cells' THEN 2 WHEN 'Myoepi' THEN 3 ELSE 4 END AS type_top1, {_E8_SQL}
     FROM {{grid_pred}}""")
 def _(fx):
     from spotweave.functions.arrays import first_max_index
 
     path = scratch_path(fx.spark, "predictions")
     sinks.write_predictions(d.predicted_grids(fx).withColumn("type_top1", first_max_index(F.col("prob")).cast("short")), path)
-    return fx.spark.read.parquet(path).withColumn("e0", F.col("expr")[0])
+    return fx.spark.read.parquet(path).select("*", *[F.col("expr")[i].alias(f"e{i}") for i in range(N_GENES)])
 
 
 @query("b04_prediction_tables", "grid_id:s center_x:d center_y:d bbox_x1:d predicted_type:s prob_dcis:d", f"""
@@ -538,9 +543,9 @@ def _(fx):
     return d.bags(fx)
 
 
-@query("j11_expression_with_type", "grid_id:s predicted_type:s e0:d", f"SELECT 'grid_' || grid_index AS grid_id, {_TOP} AS predicted_type, e0 FROM {{grid_pred}}")
+@query("j11_expression_with_type", f"grid_id:s predicted_type:s {_E8}", f"SELECT 'grid_' || grid_index AS grid_id, {_TOP} AS predicted_type, {_E8_SQL} FROM {{grid_pred}}")
 def _(fx):
-    expression = d.predicted_grids(fx).select(F.concat(F.lit("grid_"), "grid_index").alias("grid_id"), F.col("expr")[0].alias("e0"))
+    expression = d.predicted_grids(fx).select(F.concat(F.lit("grid_"), "grid_index").alias("grid_id"), *[F.col("expr")[i].alias(f"e{i}") for i in range(N_GENES)])
     return expression.join(d.grid_type_table(fx).select("grid_id", "predicted_type"), "grid_id")
 
 
