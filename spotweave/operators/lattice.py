@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import subtract
 from spotweave.functions.vectors import vector_mean, vector_pop_std
-from spotweave.operators.ordinals import exact_median, first_n, ordinal
+from spotweave.operators.ordinals import exact_median, ordinal
 from spotweave.session import one_row
 
 # Patch side, stride, grid side and tokens per side, all in full-resolution pixels.
@@ -177,6 +177,15 @@ def neighbour_stats(patches: DataFrame, tiles: DataFrame, stride: int = STRIDE,
     )
 
 
+def require_encoded(patches: DataFrame, views: DataFrame, tiles: DataFrame, tokens: DataFrame) -> None:
+    """Raise if a patch has no tile vector, or a view no token vector: either would silently leave the means."""
+    no_tile = patches.select("patch_index").join(tiles.where("tile IS NOT NULL").select("patch_index"), "patch_index", "left_anti").count()
+    known = tokens.where("token IS NOT NULL").select("patch_index", "token_linear")
+    no_token = views.select("patch_index", "token_linear").join(known, ["patch_index", "token_linear"], "left_anti").count()
+    if no_tile or no_token:
+        raise ValueError(f"{no_tile} patches have no tile vector and {no_token} views no token vector.")
+
+
 def patch_vectors(stats: DataFrame, mode: str = "mean") -> DataFrame:
     """The per-patch part of a grid feature: tile plus neighbour parts for the mode."""
     delta = subtract(F.col("neighbour_mean"), F.col("tile"))
@@ -235,25 +244,21 @@ def blend_report(features: DataFrame, stats: DataFrame) -> dict:
     views = one_row(features.agg(
         F.sum("n_views_averaged").alias("n_total_token_views_used"),
         F.min("n_views_averaged").alias("n_views_averaged_min"),
-        F.median("n_views_averaged").alias("n_views_averaged_median"),
         F.max("n_views_averaged").alias("n_views_averaged_max"),
         F.min("weight_sum").alias("weight_sum_min"),
         F.max("weight_sum").alias("weight_sum_max"),
     ))
     weights = one_row(exact_median(features.select("weight_sum"), "weight_sum", name="weight_sum_median"))
+    weights |= one_row(exact_median(features.select("n_views_averaged"), "n_views_averaged", name="n_views_averaged_median"))
     near = one_row(stats.agg(
         F.min("neighbour_count").alias("neighbor_count_min"),
-        F.median("neighbour_count").alias("neighbor_count_median"),
         F.max("neighbour_count").alias("neighbor_count_max"),
         F.count_if(F.col("neighbour_count") == 0).alias("isolated_patches"),
     ))
+    near |= one_row(exact_median(stats.select("neighbour_count"), "neighbour_count", name="neighbor_count_median"))
     return {**views, **weights, **near}
 
 
-def first_patches(patches: DataFrame, n: int) -> DataFrame:
-    return first_n(patches, ["y0", "x0"], n)
-
-
 def patch_pixels(pixels: DataFrame, patches: DataFrame, mean: tuple, std: tuple, patch: int = PATCH, stride: int = STRIDE) -> DataFrame:
     """Normalised channels of every pixel of every patch: ``(v / 255 - mean) / std``.
 

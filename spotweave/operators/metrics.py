@@ -12,13 +12,13 @@ from spotweave.operators.ordinals import average_rank
 from spotweave.session import one_row
 
 
-def paired_values(predicted: DataFrame, target: DataFrame, pred: str = "expr", truth: str = "expr") -> DataFrame:
-    """``(spot_id, gene_pos, x, y)``, one row per spot and gene; NaN and infinities become NULL."""
-    both = predicted.select("spot_id", F.col(pred).alias("_x")).join(target.select("spot_id", F.col(truth).alias("_y")), "spot_id")
-    pairs = both.select("spot_id", F.posexplode(F.arrays_zip(doubles(F.col("_x")), doubles(F.col("_y")))).alias("gene_pos", "_p"))
+def paired_values(predicted: DataFrame, target: DataFrame, pred: str = "expr", truth: str = "expr", key: str = "spot_id") -> DataFrame:
+    """``(<key>, gene_pos, x, y)``, one row per spot and gene; NaN and infinities become NULL. ``key`` is unique on both sides."""
+    both = predicted.select(key, F.col(pred).alias("_x")).join(target.select(key, F.col(truth).alias("_y")), key)
+    pairs = both.select(key, F.posexplode(F.arrays_zip(doubles(F.col("_x")), doubles(F.col("_y")))).alias("gene_pos", "_p"))
     names = [f.name for f in pairs.schema["_p"].dataType.fields]
     return pairs.select(
-        "spot_id", "gene_pos", _finite(F.col("_p").getField(names[0])).alias("x"), _finite(F.col("_p").getField(names[1])).alias("y")
+        key, "gene_pos", _finite(F.col("_p").getField(names[0])).alias("x"), _finite(F.col("_p").getField(names[1])).alias("y")
     )
 
 
@@ -45,8 +45,8 @@ def gene_metrics(pairs: DataFrame) -> DataFrame:
     return pearson(pairs, ["gene_pos"]).join(spearman(pairs, ["gene_pos"]), "gene_pos")
 
 
-def spot_metrics(pairs: DataFrame) -> DataFrame:
-    return pearson(pairs, ["spot_id"], name="gene_pcc").join(spearman(pairs, ["spot_id"], name="gene_scc"), "spot_id")
+def spot_metrics(pairs: DataFrame, key: str = "spot_id") -> DataFrame:
+    return pearson(pairs, [key], name="gene_pcc").join(spearman(pairs, [key], name="gene_scc"), key)
 
 
 def mean_metrics(by_gene: DataFrame, by_spot: DataFrame) -> DataFrame:

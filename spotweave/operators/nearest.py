@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.session import one_row
+from spotweave.session import durable, one_row
 
 _FAN = 4            # cells per axis that a cell splits into
 _BROADCAST_LEVELS = 4   # 16**4 = 65,536 cells at most: a bound by construction
@@ -26,6 +26,7 @@ def nearest_spot(grids: DataFrame, spots: DataFrame) -> DataFrame:
     points = spots.groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(
         F.min("spot_index").alias("spot_index")
     )
+    points = durable(points)  # read once per level
     box = one_row(points.agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")
     ))

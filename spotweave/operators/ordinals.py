@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.session import durable
+from spotweave.session import broadcast_if_small, durable
 
 #: A key with more left rows than this is looked up by broadcast: N rows have at most N / HOT_ROWS such keys.
 HOT_ROWS = 1_000_000
@@ -94,17 +94,19 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join to a table that is unique on ``on`` when one key may hold a large share of the left rows.
 
-    Left keys above ``hot_rows`` rows (at most ``rows / hot_rows`` of them) are flagged by broadcast and spread
-    over 64 salts, with the matching right rows copied to each salt; all other keys shuffle as usual.
+    Left keys above ``hot_rows`` rows (at most ``rows / hot_rows`` of them) are counted, flagged (by broadcast only if they
+    are few) and spread over 64 salts, with the matching right rows copied to each salt; all other keys shuffle as usual.
+    The salt also takes the task a row is read by, so equal rows of a hot key are spread as well.
     """
     on = list(on)
     sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.where(F.col("_size") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(
+    hot = durable(sizes.where(F.col("_size") > hot_rows).select(*on, F.lit(True).alias("_hot")))
+    hot = broadcast_if_small(hot, hot.count())
+    spread = left.withColumn("_draw", F.xxhash64(F.spark_partition_id(), *left.columns)).join(hot, on, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(64)).cast("int")).otherwise(F.lit(0)),
-    ).drop("_hot")
-    copies = right.join(F.broadcast(hot), on, "left").withColumn(
+        F.when(F.col("_hot"), F.pmod("_draw", F.lit(64)).cast("int")).otherwise(F.lit(0)),
+    ).drop("_hot", "_draw")
+    copies = right.join(hot, on, "left").withColumn(
         "_salt",
         F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))),
     ).drop("_hot")

@@ -167,7 +167,7 @@ def run_contacts(runs: DataFrame) -> DataFrame:
     ).select("e.*").distinct()
 
 
-def outside_runs(runs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def outside_runs(runs: DataFrame) -> DataFrame:
     """Ids of the runs that are 4-connected to the image border.
 
     Runs at the border are one node (label 0). The inner runs take the smallest label of their neighbours, whole
@@ -185,7 +185,7 @@ def outside_runs(runs: DataFrame, max_rounds: int = 200) -> DataFrame:
         inner.join(touching.withColumn("_t", F.lit(True)), "id", "left")
         .select("id", F.when(F.col("_t"), F.lit(0).cast("long")).otherwise(F.col("id")).alias("label"))
     )
-    for _ in range(max_rounds):
+    while True:
         near = links.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("_near"))
         reached = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
         # A label 0 never changes; the other classes move together to their members' best label.
@@ -201,7 +201,6 @@ def outside_runs(runs: DataFrame, max_rounds: int = 200) -> DataFrame:
         labels = moved.select("id", F.col("_new").alias("label"))
         if moved.where("_new <> label").isEmpty():
             return border.unionByName(labels.where("label = 0").select("id"))
-    raise RuntimeError("Background labels did not settle.")
 
 
 def fill_holes(words: DataFrame, width: int, height: int) -> DataFrame:

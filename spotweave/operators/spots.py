@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.functions.text import BRCA_TYPES, CRC_TYPES, spot_id_for_grid
-from spotweave.operators.ordinals import first_n, last_wins, ordinal
+from spotweave.operators.ordinals import exact_median, first_n, last_wins, ordinal
+from spotweave.session import one_row
 
 
 def in_tissue(positions: DataFrame) -> DataFrame:
@@ -136,14 +137,12 @@ def spot_bags(targets: DataFrame, position_spots: DataFrame, grids: DataFrame, l
 
 
 def bag_summary(bags: DataFrame) -> DataFrame:
-    """Smallest, median and largest number of grids per spot.
-
-    The median runs over grid *counts*; few distinct values exist, so its buffer stays small.
-    """
+    """Smallest, median and largest number of grids per spot."""
     sizes = bags.groupBy("target_ord").agg(F.count(F.lit(1)).alias("n"))
+    median = one_row(exact_median(sizes, "n"))["median"]
     return sizes.agg(
         F.coalesce(F.min("n"), F.lit(0)).alias("spot_grid_count_min"),
-        F.coalesce(F.median("n"), F.lit(0.0)).alias("spot_grid_count_median"),
+        F.lit(float(median or 0.0)).alias("spot_grid_count_median"),
         F.coalesce(F.max("n"), F.lit(0)).alias("spot_grid_count_max"),
         F.count(F.lit(1)).alias("n_supervised_spots"),
     )

@@ -139,6 +139,7 @@ def ge(
         tiles, tokens = encoded.select("patch_index", "tile"), token_rows(encoded)
     if tiles is None or tokens is None:
         raise ValueError("Give an encoder, or tiles and tokens.")
+    lattice.require_encoded(patches, views, tiles, tokens)
     stats = durable(lattice.neighbour_stats(patches, tiles, stride))
     features = durable(lattice.blend(views, tokens, lattice.patch_vectors(stats, neighbour_mode)))
     missing = placed.join(features, "grid_index", "left_anti").count()
@@ -206,10 +207,13 @@ def train(
     result = fit(learn, targets, n_in, n_genes, len(types), opts, validation)
 
     predicted = durable(predict_bags(features, result.params, len(types), n_genes))
-    pairs = durable(metrics.paired_values(predicted, targets.withColumnRenamed("expression", "expr")))
+    # Two barcodes may share one normalised spot id; targets are told apart by their number.
+    pairs = durable(metrics.paired_values(predicted, targets.withColumnRenamed("expression", "expr"), key="target_ord"))
+    spot_names = targets.select("target_ord", "spot_id")
     by_gene = durable(metrics.gene_metrics(pairs).join(genes.withColumnRenamed("position", "gene_pos"), "gene_pos"))
-    by_spot = durable(metrics.spot_metrics(pairs))
-    composed = predicted.select("spot_id", F.col("prob").alias("predicted")).join(targets.select("spot_id", F.col("proportions").alias("target")), "spot_id")
+    by_spot = durable(metrics.spot_metrics(pairs, "target_ord").join(spot_names, "target_ord"))
+    composed = predicted.select("target_ord", "spot_id", F.col("prob").alias("predicted")).join(
+        targets.select("target_ord", F.col("proportions").alias("target")), "target_ord")
     by_type = metrics.type_metrics(composed)
     summary = {
         "dataset": chosen, "sample_id": sample, "input_dim": n_in, "projection_dim": opts.projection_dim,

@@ -62,6 +62,10 @@ def read_matrix_text(spark: SparkSession, matrix: str, genes: str, spots: str) -
     return entries.join(gene_names, "gene_no").join(spot_names, "spot_no").select("barcode", "gene", "count")
 
 
+#: Entries of one major line that are expanded together.
+_RANGE = 65_536
+
+
 def compressed_to_entries(pointers: DataFrame, entries: DataFrame, encoding: str) -> DataFrame:
     """Compressed sparse arrays to ``(row, col, value)``; an encoding other than CSR or CSC is an error.
 
@@ -71,9 +75,11 @@ def compressed_to_entries(pointers: DataFrame, entries: DataFrame, encoding: str
     if encoding not in ("csr_matrix", "csc_matrix"):
         raise ValueError(f"Unsupported sparse encoding: {encoding!r}")
     after = pointers.select((F.col("i") - 1).alias("i"), F.col("start").alias("stop"))
-    owners = pointers.join(after, "i").where("stop > start").select(
-        F.col("i").alias("major"), F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("pos")
-    )
+    # A long major line is first cut into ranges, which are dealt out before they are expanded.
+    ranges = pointers.join(after, "i").where("stop > start").select(
+        F.col("i").alias("major"), F.explode(F.sequence("start", F.col("stop") - 1, F.lit(_RANGE).cast("long"))).alias("first"), "stop"
+    ).repartition("major", "first")
+    owners = ranges.select("major", F.explode(F.sequence("first", F.least(F.col("first") + _RANGE, F.col("stop")) - 1)).alias("pos"))
     joined = entries.join(owners, "pos")
     row, col = ("major", "minor") if encoding == "csr_matrix" else ("minor", "major")
     return joined.select(F.col(row).alias("row"), F.col(col).alias("col"), "value")

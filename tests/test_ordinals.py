@@ -72,3 +72,32 @@ def test_last_wins_ignores_row_order(spark):
     df = spark.createDataFrame([("a", 2, 5.0), ("a", 9, None), ("b", 1, 1.0)], "k string, o int, v double")
     for rows in (df, df.orderBy(F.desc("o"))):
         assert {r.k: r.v for r in ordinals.last_wins(rows, ["k"], "o").collect()} == {"a": None, "b": 1.0}
+
+
+def test_vector_aggregates_follow_one_rule_at_all_widths(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from spotweave.functions.vectors import vector_mean, vector_pop_std, vector_sum
+
+    for size, width in ((3, 3), (31, 31), (33, 33), (31, None), (33, None)):
+        rows = [(1, [3.0] * size, 1.0), (1, [4.0] * size, 3.0), (1, None, 5.0), (2, [1.0] * size, 2.0)]
+        frame = spark.createDataFrame(rows, "k int, v array<double>, w double")
+        out = frame.groupBy("k").agg(vector_sum(F.col("v"), width, F.col("w")).alias("s"), vector_mean(F.col("v"), width, F.col("w")).alias("m"), vector_pop_std(F.col("v"), width).alias("d"))
+        got = {r["k"]: r for r in out.collect()}
+        assert got[1]["s"] == pytest.approx([15.0] * size) and got[1]["m"] == pytest.approx([3.75] * size) and got[1]["d"] == pytest.approx([0.5] * size)
+        assert got[2]["m"] == pytest.approx([1.0] * size)
+        for bad in ((3, [1.0] * (size - 1) + [None], 1.0), (3, [1.0] * size, -1.0)):
+            with pytest.raises(Exception):
+                spark.createDataFrame([*rows, bad], frame.schema).groupBy("k").agg(vector_sum(F.col("v"), width, F.col("w"))).collect()
+
+
+def test_equal_rows_of_a_hot_key_are_looked_up(spark):
+    from pyspark.sql import functions as F
+
+    from spotweave.operators.ordinals import lookup
+
+    left = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"))
+    right = left.distinct().withColumn("v", F.col("k") * 2)
+    out = lookup(left, right, ["k"], hot_rows=100)
+    assert out.count() == 4000 and out.where("v <> 2 * k OR v IS NULL").isEmpty()
