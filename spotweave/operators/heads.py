@@ -70,26 +70,48 @@ def _norm_back(d: np.ndarray, g: np.ndarray, memo: tuple) -> tuple[np.ndarray, n
     return dx, (d * hat).sum(axis=0), d.sum(axis=0)
 
 
-def forward(p: Params, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Expression and type probabilities of a batch of grid features, with what the gradient needs."""
+def row_seeds(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit number per row of features, the same in whatever batch the row comes."""
+    odd = np.random.default_rng(seed).integers(0, 2**63, x.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    return (np.ascontiguousarray(x, np.float64).view(np.uint64) * odd).sum(axis=1, dtype=np.uint64)
+
+
+def _kept(seeds: np.ndarray, place: int, width: int, rate: float) -> np.ndarray:
+    """0 with probability ``rate``, else 1 / (1 - rate), drawn from the row's seed, the layer and the unit."""
+    unit = (np.arange(width, dtype=np.uint64) + np.uint64((place + 1) << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    v = seeds[:, None] ^ unit[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
+    return ((v >> np.uint64(11)) * 2.0**-53 >= rate) / (1.0 - rate)
+
+
+def forward(p: Params, x: np.ndarray, dropout: float = 0.0, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Expression and type probabilities of a batch of grid features, with what the gradient needs.
+
+    With ``dropout``, hidden units of both heads are left out at random, by the rows' seeds (:func:`row_seeds`).
+    """
     memo: dict = {"x": x}
+    mask = lambda place, width: _kept(seeds, place, width, dropout) if dropout else 1.0
     act, memo["proj_d"] = gelu(x @ p["proj.w"] + p["proj.b"])
     h, memo["proj_norm"] = _norm(act, p["proj_norm.g"], p["proj_norm.c"])
     memo["h"] = h
 
     layers = sum(1 for k in p if k.startswith("gene") and k.endswith(".w"))
-    u, memo["gene_in"], memo["gene_z"] = h, [], []
+    u, memo["gene_in"], memo["gene_z"], memo["gene_mask"] = h, [], [], []
     for i in range(layers):
         memo["gene_in"].append(u)
         z = u @ p[f"gene{i}.w"] + p[f"gene{i}.b"]
         memo["gene_z"].append(z)
         last = i == layers - 1
-        u = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(BETA * z))) / BETA if last else np.where(z >= 0, z, SLOPE * z)
+        memo["gene_mask"].append(1.0 if last else mask(i, z.shape[1]))
+        u = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(BETA * z))) / BETA if last else np.where(z >= 0, z, SLOPE * z) * memo["gene_mask"][i]
     expr = u
 
     n, memo["type_norm"] = _norm(h, p["type_norm.g"], p["type_norm.c"])
     t, memo["type_d"] = gelu(n @ p["type_in.w"] + p["type_in.b"])
-    res = h + t @ p["type_out.w"] + p["type_out.b"]
+    memo["t_mask"], memo["res_mask"] = mask(layers, t.shape[1]), mask(layers + 1, h.shape[1])
+    t = t * memo["t_mask"]
+    res = h + (t @ p["type_out.w"] + p["type_out.b"]) * memo["res_mask"]
     q, memo["res_d"] = gelu(res)
     memo["n"], memo["t"], memo["q"] = n, t, q
     logits = (q @ p["type_class.w"] + p["type_class.b"]) / TEMPERATURE
@@ -106,7 +128,7 @@ def backward(p: Params, memo: dict, d_expr: np.ndarray, d_prob: np.ndarray) -> P
     d = d_expr / (1.0 + np.exp(-np.clip(BETA * z, -500, 500)))
     for i in reversed(range(len(memo["gene_z"]))):
         if i < len(memo["gene_z"]) - 1:
-            d = d * np.where(memo["gene_z"][i] >= 0, 1.0, SLOPE)
+            d = d * memo["gene_mask"][i] * np.where(memo["gene_z"][i] >= 0, 1.0, SLOPE)
         g[f"gene{i}.w"], g[f"gene{i}.b"] = memo["gene_in"][i].T @ d, d.sum(axis=0)
         d = d @ p[f"gene{i}.w"].T
     d_h = d
@@ -115,8 +137,9 @@ def backward(p: Params, memo: dict, d_expr: np.ndarray, d_prob: np.ndarray) -> P
     d = prob * (d_prob - (d_prob * prob).sum(axis=1, keepdims=True)) / TEMPERATURE
     g["type_class.w"], g["type_class.b"] = memo["q"].T @ d, d.sum(axis=0)
     d_res = (d @ p["type_class.w"].T) * memo["res_d"]
-    g["type_out.w"], g["type_out.b"] = memo["t"].T @ d_res, d_res.sum(axis=0)
-    d = (d_res @ p["type_out.w"].T) * memo["type_d"]
+    d = d_res * memo["res_mask"]
+    g["type_out.w"], g["type_out.b"] = memo["t"].T @ d, d.sum(axis=0)
+    d = (d @ p["type_out.w"].T) * memo["t_mask"] * memo["type_d"]
     g["type_in.w"], g["type_in.b"] = memo["n"].T @ d, d.sum(axis=0)
     d, g["type_norm.g"], g["type_norm.c"] = _norm_back(d @ p["type_in.w"].T, p["type_norm.g"], memo["type_norm"])
     d_h = d_h + d_res + d

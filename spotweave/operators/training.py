@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import first_max_index, normalised
 from spotweave.functions.vectors import vector_mean, vector_sum
-from spotweave.operators.heads import Params, backward, forward, initial_params
+from spotweave.operators.heads import Params, backward, forward, initial_params, row_seeds
+from spotweave.operators.ordinals import ordinal
+from spotweave.session import durable, scratch_path
 
 _CHUNK = 4096   # parameters per gradient row
 _SLAB = 1024    # grids per numpy batch
@@ -35,16 +37,20 @@ def _lists(matrix: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel().astype(kind)))
 
 
-def predict_grids(grids: DataFrame, params: Params, keep: tuple[str, ...] = ("grid_index",)) -> DataFrame:
-    """``(*keep, expr_pred, type_prob, type_top1)`` for every grid; Arrow batches, parameters broadcast once."""
-    shared = grids.sparkSession.sparkContext.broadcast(params)
+def predict_grids(grids: DataFrame, params: Params, keep: tuple[str, ...] = ("grid_index",), shared=None, dropout: float = 0.0, seed: int = 0) -> DataFrame:
+    """``(*keep, expr_pred, type_prob, type_top1)`` for every grid; Arrow batches, parameters broadcast once.
+
+    ``shared``: a broadcast of the parameters that the caller owns and releases. ``dropout`` is for fitting only.
+    """
+    shared = shared or grids.sparkSession.sparkContext.broadcast(params)
     columns = list(keep)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _SLAB):
                 part = batch.slice(start, _SLAB)
-                expr, prob, _ = forward(shared.value, _matrix(part.column("feature")))
+                x = _matrix(part.column("feature"))
+                expr, prob, _ = forward(shared.value, x, dropout, row_seeds(x, seed) if dropout else None)
                 arrays = [part.column(c) for c in columns] + [_lists(expr, np.float32), _lists(prob, np.float32)]
                 yield pa.RecordBatch.from_arrays(arrays, [*columns, "expr_pred", "type_prob"])
 
@@ -105,7 +111,13 @@ class FitOptions:
     patience: int = 20
     min_delta: float = 1e-4
     seed: int = 0
-    steps_per_epoch: int = 1
+    #: Spots per optimiser step. Each step is a few Spark jobs, so 4, which small data need to converge in few epochs, suits a
+    #: local session; on a cluster hundreds of spots per step and a larger ``lr`` keep the executors busy.
+    batch_size: int = 4
+    #: Steps per epoch in place of a batch size; 1 uses all spots in each step.
+    steps_per_epoch: int | None = None
+    #: Share of hidden units of both heads left out in each step.
+    dropout: float = 0.05
     hidden: tuple[int, ...] = (512, 512, 256)
     type_hidden: int = 512
 
@@ -118,9 +130,9 @@ class FitResult:
     monitor: str = "train_loss_epoch"
 
 
-def _forward_sums(bag_features: DataFrame, params: Params, n_genes: int, n_types: int) -> DataFrame:
-    shared = predict_grids(bag_features, params, ("target_ord",))
-    return shared.groupBy("target_ord").agg(
+def _forward_sums(bag_features: DataFrame, params: Params, n_genes: int, n_types: int, shared=None, dropout: float = 0.0, seed: int = 0) -> DataFrame:
+    predicted = predict_grids(bag_features, params, ("target_ord",), shared, dropout, seed)
+    return predicted.groupBy("target_ord").agg(
         vector_sum(F.col("expr_pred"), n_genes).alias("expr"),
         vector_mean(F.col("type_prob"), n_types).alias("prob"),
         F.count(F.lit(1)).alias("n_grids"),
@@ -155,16 +167,19 @@ def spot_losses(sums: DataFrame, targets: DataFrame, reduction: str, n_spots: in
 
 
 def loss_and_gradient(
-    bag_features: DataFrame, targets: DataFrame, params: Params, options: FitOptions, with_gradient: bool = True
+    bag_features: DataFrame, targets: DataFrame, params: Params, options: FitOptions, with_gradient: bool = True,
+    n_spots: int | None = None, dropout: float = 0.0, seed: int = 0,
 ) -> tuple[dict, Params | None]:
     """Losses of the given spots and, if asked, the gradient of every parameter.
 
-    ``bag_features``: ``(target_ord, spot_id, feature)``, one row per grid of a spot.
+    ``bag_features``: ``(target_ord, spot_id, feature)``, one row per grid of a spot; ``n_spots`` is counted if not known. The
+    parameters are broadcast once and released at the end.
     """
     last_gene = max(int(k[4:-2]) for k in params if k.startswith("gene") and k.endswith(".w"))
     n_genes, n_types = params[f"gene{last_gene}.b"].size, params["type_class.b"].size
-    sums = _forward_sums(bag_features, params, n_genes, n_types)
-    n_spots = bag_features.select("target_ord").distinct().count()
+    shared = bag_features.sparkSession.sparkContext.broadcast(params)
+    sums = _forward_sums(bag_features, params, n_genes, n_types, shared, dropout, seed)
+    n_spots = n_spots or bag_features.select("target_ord").distinct().count()
     per_spot = spot_losses(sums, targets, options.reduction, n_spots, n_genes, options.lambda_type, options.alpha).cache()
     row = per_spot.agg(
         F.sum("expr_loss").alias("expr_loss"), F.sum("deconv_loss").alias("deconv_loss"),
@@ -175,9 +190,9 @@ def loss_and_gradient(
     row["type_loss"], row["loss"] = kind, row["expr_loss"] + options.lambda_type * kind
     if not with_gradient:
         per_spot.unpersist()
+        shared.destroy()
         return row, None
 
-    shared = bag_features.sparkSession.sparkContext.broadcast(params)
     confidence = options.lambda_type * alpha / row["n_grids"] if alpha > 0 else 0.0
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +200,8 @@ def loss_and_gradient(
         for batch in batches:
             for start in range(0, batch.num_rows, _SLAB):
                 part = batch.slice(start, _SLAB)
-                _, prob, memo = forward(shared.value, _matrix(part.column("feature")))
+                x = _matrix(part.column("feature"))
+                _, prob, memo = forward(shared.value, x, dropout, row_seeds(x, seed) if dropout else None)
                 d_prob = _matrix(part.column("d_prob"))
                 if confidence:
                     top = prob.argmax(axis=1)
@@ -212,7 +228,7 @@ def loss_and_gradient(
     for piece in summed.toLocalIterator():  # as large as the model, in chunks
         parts.setdefault(piece["name"], {})[piece["chunk"]] = np.asarray(piece["values"])
     per_spot.unpersist()
-    shared.unpersist()
+    shared.destroy()
     gradient = {
         name: np.concatenate([chunks[i] for i in sorted(chunks)]).reshape(params[name].shape) for name, chunks in parts.items()
     }
@@ -232,37 +248,53 @@ def adamw_step(params: Params, gradient: Params, state: dict, lr: float, weight_
     return out
 
 
+def _batches(bag_features: DataFrame, options: FitOptions) -> tuple[list[DataFrame], list[int]]:
+    """The grids of each batch and its number of spots."""
+    spots = bag_features.select("target_ord").distinct()
+    n = spots.count()
+    size = -(-n // options.steps_per_epoch) if options.steps_per_epoch else options.batch_size
+    if size >= n:
+        return [bag_features], [n]
+    drawn = F.xxhash64(F.lit(options.seed), F.col("target_ord"))
+    dealt = ordinal(spots.withColumn("_drawn", drawn), ["_drawn", "target_ord"], name="_place")
+    dealt = durable(dealt.select("target_ord", F.floor(F.col("_place") / size).cast("int").alias("_batch")))
+    path = scratch_path(bag_features.sparkSession, "batches")
+    bag_features.join(dealt, "target_ord").repartition("_batch", "target_ord").write.partitionBy("_batch").parquet(path)
+    stored = bag_features.sparkSession.read.schema(bag_features.schema).parquet
+    count = -(-n // size)
+    return [stored(f"{path}/_batch={k}") for k in range(count)], [min(size, n - k * size) for k in range(count)]
+
+
 def fit(
     bag_features: DataFrame, targets: DataFrame, n_in: int, n_genes: int, n_types: int, options: FitOptions,
     validation: tuple[DataFrame, DataFrame] | None = None,
 ) -> FitResult:
     """Synchronous data-parallel AdamW with best-by-metric selection and early stopping.
 
-    A step uses all spots, or with ``steps_per_epoch > 1`` the spots whose seeded hash falls into the step; every
-    spot is used once per epoch. The monitored value is the training loss, or the validation loss if given.
+    Spots are dealt to batches once, in a seeded order, and their grids are stored by batch, so that a step reads its own rows
+    only; epochs go through the batches in changing order. The monitored value is the training loss (with dropout), or the
+    validation loss (without) if given.
     """
     params = initial_params(n_in, n_genes, n_types, options.projection_dim, options.seed, options.hidden, options.type_hidden)
     result = FitResult(params, monitor="train_loss_epoch" if validation is None else "val_loss")
     state: dict = {}
     best, stop_best, waited = float("inf"), float("inf"), 0
+    batches, n_spots = _batches(bag_features, options)
+    held = validation[0].select("target_ord").distinct().count() if validation is not None else 0
+    order = np.random.default_rng(options.seed)
     for epoch in range(options.max_epochs):
         epoch_loss = {"loss": 0.0, "expr_loss": 0.0, "type_loss": 0.0}
         steps = 0
-        for step in range(options.steps_per_epoch):
-            members = bag_features
-            if options.steps_per_epoch > 1:
-                drawn = F.pmod(F.xxhash64(F.lit(options.seed), F.lit(epoch), F.col("target_ord")), F.lit(options.steps_per_epoch))
-                members = bag_features.where(drawn == step)
-                if members.isEmpty():
-                    continue
-            row, gradient = loss_and_gradient(members, targets, params, options)
+        for step in order.permutation(len(batches)).tolist():
+            draw = (options.seed * 1_000_003 + epoch) * 1_000_003 + step
+            row, gradient = loss_and_gradient(batches[step], targets, params, options, n_spots=n_spots[step], dropout=options.dropout, seed=draw)
             params = adamw_step(params, gradient, state, options.lr, options.weight_decay)
             steps += 1
             for key in epoch_loss:
                 epoch_loss[key] += row[key]
         record = {"epoch": epoch, **{f"train_{k}": v / max(steps, 1) for k, v in epoch_loss.items()}}
         if validation is not None:
-            row, _ = loss_and_gradient(validation[0], validation[1], params, options, with_gradient=False)
+            row, _ = loss_and_gradient(validation[0], validation[1], params, options, with_gradient=False, n_spots=held)
             record["val_loss"] = row["loss"]
         watched = record["val_loss"] if validation is not None else record["train_loss"]
         result.history.append(record)

@@ -506,6 +506,6 @@ def _(fx):
 def _(fx):
     truth = d.spot_truth(fx).select(F.col("spot_id").alias("target_ord"), F.col("expr").alias("expression"), "proportions")
     bags = _features(fx).join(truth.select("target_ord"), "target_ord", "left_semi")
-    options = training.FitOptions(projection_dim=16, max_epochs=3, lr=1e-2, **_SHAPE)
+    options = training.FitOptions(projection_dim=16, max_epochs=3, lr=1e-2, steps_per_epoch=1, dropout=0.0, **_SHAPE)
     losses = [float(h["train_loss"]) for h in training.fit(bags, truth, 64, N_GENES, 5, options).history]
     return fx.spark.createDataFrame([(round(losses[0], 3), losses[-1] < losses[0])], "first_loss double, fell boolean")

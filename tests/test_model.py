@@ -64,14 +64,14 @@ def test_predictions_match_numpy(data):
 
 def test_fit_lowers_the_loss_and_keeps_the_best(spark, data, tmp_path):
     *_, bags, targets = data
-    options = training.FitOptions(projection_dim=5, max_epochs=4, lr=0.02, hidden=(7, 5), type_hidden=6, steps_per_epoch=1)
+    options = training.FitOptions(projection_dim=5, max_epochs=4, lr=0.02, hidden=(7, 5), type_hidden=6, steps_per_epoch=1, dropout=0.0)
     result = training.fit(bags, targets, 4, 3, 2, options)
     losses = [h["train_loss"] for h in result.history]
     assert losses[-1] < losses[0] and result.best_epoch == int(np.argmin(losses))
     training.save_params(spark, result.params, str(tmp_path / "m"))
     back = training.load_params(spark, str(tmp_path / "m"))
     assert all(np.array_equal(back[k], v) for k, v in result.params.items())
-    stopped = training.fit(bags, targets, 4, 3, 2, training.FitOptions(projection_dim=5, max_epochs=9, lr=0.0, patience=2, hidden=(7, 5), type_hidden=6))
+    stopped = training.fit(bags, targets, 4, 3, 2, training.FitOptions(projection_dim=5, max_epochs=9, lr=0.0, patience=2, hidden=(7, 5), type_hidden=6, steps_per_epoch=1, dropout=0.0))
     assert len(stopped.history) == 3
 
 
@@ -100,3 +100,27 @@ def test_backward_shapes():
     p = initial_params(4, 3, 2, 5, seed=1, **SHAPE)
     e, q, memo = forward(p, np.ones((2, 4)))
     assert {k: v.shape for k, v in backward(p, memo, np.ones_like(e), np.ones_like(q)).items()} == {k: v.shape for k, v in p.items()}
+
+
+def test_batches_hold_every_spot_once_and_default_steps_train(spark, data):
+    bags, targets = data[4:]
+    options = training.FitOptions(batch_size=2, projection_dim=5, hidden=(7, 5), type_hidden=6, max_epochs=3, lr=0.02)
+    batches, sizes = training._batches(bags, options)
+    owners = [sorted({r["target_ord"] for r in batch.select("target_ord").collect()}) for batch in batches]
+    assert [len(o) for o in owners] == sizes and sorted(x for o in owners for x in o) == sorted({r["target_ord"] for r in bags.select("target_ord").collect()})
+    history = training.fit(bags, targets, 4, 3, 2, options).history
+    assert history[-1]["train_loss"] < history[0]["train_loss"]
+
+
+def test_dropout_masks_follow_the_row():
+    from spotweave.operators.heads import forward, initial_params, row_seeds
+
+    p = initial_params(4, 3, 2, 5, 1, (7, 5), 6)
+    x = np.random.default_rng(0).normal(size=(50, 4))
+    whole = forward(p, x, 0.3, row_seeds(x, 9))
+    part = forward(p, x[20:30], 0.3, row_seeds(x[20:30], 9))
+    assert np.allclose(whole[0][20:30], part[0]) and np.allclose(whole[1][20:30], part[1])
+    other = forward(p, x, 0.3, row_seeds(x, 10))
+    assert not np.allclose(whole[0], other[0])
+    masks = np.concatenate([m.ravel() for m in whole[2]["gene_mask"][:-1]])
+    assert set(np.round(np.unique(masks), 6)) == {0.0, round(1 / 0.7, 6)} and abs((masks == 0).mean() - 0.3) < 0.08

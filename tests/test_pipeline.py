@@ -57,7 +57,7 @@ def test_ge(embedded):
 
 
 def test_train_and_export(fx, embedded, tmp_path):
-    options = FitOptions(projection_dim=8, max_epochs=2, lr=0.01, hidden=(8, 8), type_hidden=8, train_all=False, val_fraction=0.2)
+    options = FitOptions(projection_dim=8, max_epochs=2, lr=0.01, hidden=(8, 8), type_hidden=8, train_all=False, val_fraction=0.2, steps_per_epoch=1)
     genes = fx.gene_list.where("ord < 6")
     result = spotweave.train(
         dataset="brca", grid_embedding=embedded["grid_embedding"], position_spots=embedded["spots"], counts=fx.counts, deconv=fx.deconv,
