@@ -2,7 +2,8 @@
 
 Lines are compared without blanks, tabs and carriage returns at their ends. A site is a value of ``host`` (null is a site of
 its own); every row is one page of its site, repeated rows included. A line counts once per page. Empty lines never count
-and always stay. Null texts stay null; a text whose lines all go becomes empty.
+and always stay. Null texts stay null. A page on which every line would go stays as it is: it is one of many copies of a page
+(which is for a duplicate search to settle), not a page with boilerplate.
 """
 
 from __future__ import annotations
@@ -70,8 +71,9 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int")).join(salted, ["site", "salt"], "left")
     stays = lambda line: F.coalesce(~F.array_contains(F.col("dropped"), _key(_trimmed(line))), F.lit(True)) | (_trimmed(line) == "")
-    kept = F.filter(_lines(body), stays)
-    marked = joined.select("row", F.coalesce(F.size(_lines(body)), F.lit(0)).alias("n_lines"), F.when(F.col("dropped").isNull(), _lines(body)).otherwise(kept).alias("kept"))
+    left = joined.select("row", _lines(body).alias("lines"), F.when(F.col("dropped").isNull(), _lines(body)).otherwise(F.filter(_lines(body), stays)).alias("kept"))
+    some = F.exists("kept", lambda line: _trimmed(line) != "")
+    marked = left.select("row", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.when(some, F.col("kept")).otherwise(F.col("lines")).alias("kept"))
     return marked.select("row", F.when(F.col("row").getField(text).isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"),
                          F.when(F.col("row").getField(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).alias("n_dropped"),
                          F.array_join("kept", "\n").alias("cleaned"))

@@ -55,6 +55,8 @@ def brute(rows, max_ratio, min_pages):
         held = lambda line: sum(line in page for page in pages[source])  # noqa: B023, E731
         lines = text.split("\n")
         kept = [x for x in lines if not (x.strip(" \t\r") and held(x.strip(" \t\r")) > max_ratio * len(pages[source]) and held(x.strip(" \t\r")) >= min_pages)]
+        if not any(x.strip(" \t\r") for x in kept):
+            kept = lines
         out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
@@ -66,6 +68,7 @@ def test_lines_against_brute_force(spark, monkeypatch):
         source = [None, "a", "b", "c"][doc % 4]
         lines = [f"own {doc}"] + [f"line {k}" for k in rng.integers(0, 12, 3)] + (["menu \t"] if doc % 3 else [" menu\r"]) * (source != "c") + [""]
         rows.append((doc, source, "\n".join(lines)))
+    rows += [(600 + k, "b", "copy one\n\ncopy two") for k in range(20)]
     rows += [(500, "a", None), (501, "a", ""), (502, None, "\n\n"), (3, "c", rows[3][2]), (3, "c", rows[3][2]), (None, "z", "solo")]
     frame = spark.createDataFrame([(*row, "s", "r", "l", "d") for row in rows], PAGES)
     want = brute(rows, 0.3, 3)
