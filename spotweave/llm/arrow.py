@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 
+#: Bytes of a slice of a batch that is turned into Python values at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of bounded size, or single rows where these are larger. Only a worker's memory depends on it."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def per_text(
     rows: DataFrame, text: str, fields: Sequence[tuple[str, pa.DataType, str]], make: Callable[[], Callable[[list[str | None]], Iterable[tuple]]],
     keep: Sequence[str] | None = None,
@@ -27,7 +39,7 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             found = list(work(batch.column(1).to_pylist()))
             columns = [pa.array([x[i] for x in found], kind) for i, (_, kind, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *[name for name, _, _ in fields]])

@@ -29,9 +29,9 @@ TREES, DEPTH, RECALL = 32, 8, 0.99999
 #: An estimate so far under the threshold (six standard deviations) still counts as a candidate.
 MARGIN = 0.2
 #: Texts of a run, and texts and characters of a group, that are compared in one task; larger ones are tiled.
-RUN_TEXTS, GROUP_TEXTS, GROUP_CHARS = 4096, 1024, 16 << 20
+RUN_TEXTS, GROUP_TEXTS, GROUP_CHARS = 4096, 1024, 4 << 20
 #: Candidate texts up to which their ids are broadcast to fetch the texts; beyond, texts are shuffled by id.
-BROADCAST_TEXTS = 1_000_000
+BROADCAST_TEXTS = 500_000
 
 
 def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:

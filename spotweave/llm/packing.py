@@ -36,7 +36,7 @@ ROUNDS = 6
 #: A partition with a gap gives up the bins with at least a LOOSE-th of their room left, and some more of the least filled.
 LOOSE = 64
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 _PLAIN = 0x250
 
 

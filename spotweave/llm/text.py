@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SLAB_CHARS = 1 << 20
+SLAB_CHARS = 1 << 19
 
 
 def slabs(texts: list[str | None], chars: int = SLAB_CHARS) -> Iterator[tuple[int, list[str]]]:
