@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.llm.arrow import slices
 from spotweave.session import durable
 
 #: Pages of a host that are merged into its template, those with the smallest hashes.
@@ -33,6 +34,8 @@ PAGES_PER_TEMPLATE = 32
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 #: Bytes of templates up to which they are broadcast; beyond, pages meet them by a salted shuffle join.
 BROADCAST_BYTES, SALTS = 64 << 20, 32
+#: Sampled pages up to which their keys (about 40 bytes each) are broadcast to fetch the pages; beyond, pages are shuffled.
+BROADCAST_SAMPLES = 1_000_000
 #: Share of a tree's varying text that its content subtree has to hold.
 CONTENT_SHARE = 0.75
 
@@ -393,7 +396,9 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
     """``host`` and ``template`` (pickled) of every host with a page. Sampled pages are chosen by narrow rows first."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("h"), F.col(page).alias("html")).filter(F.col("html").isNotNull())
     chosen = rows.select("host", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h")))
-    sampled = rows.join(chosen.filter(F.col("n") <= PAGES_PER_TEMPLATE).select("host", "h"), ["host", "h"], "left_semi")
+    chosen = durable(chosen.filter(F.col("n") <= PAGES_PER_TEMPLATE).select("host", "h"))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_SAMPLES else chosen
+    sampled = rows.join(chosen, ["host", "h"], "left_semi")
     once = sampled.groupBy("host", "h").agg(F.first("html").alias("html"))
 
     def induced(rows: pd.DataFrame) -> pd.DataFrame:
@@ -420,7 +425,7 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", keep: Sequ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractors: dict[str, Extractor] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             hosts, bodies, own = (batch.column(1).field(i).to_pylist() for i in range(3))
             for host, body, template in zip(hosts, bodies, own, strict=True):
