@@ -10,6 +10,7 @@ from spotweave.operators import aggregate, lattice, metrics, nearest, ordinals,
 from spotweave.operators import windows as win
 from spotweave.operators.heads import initial_params
 from spotweave.plans import derived as d
+from spotweave.plans import pipeline
 from spotweave.plans.fixtures import N_GENES, SPOT_DIAMETER, TYPE_NAMES
 from spotweave.plans.model_sql import forward_parts, loss_sql
 from spotweave.plans.queries_tables import _CLIP, _IN, _PCC, _RING_IN, _TOP, _boxes
@@ -461,6 +462,29 @@ def _(fx):
     return win.zscores(win.measured_values(ids, fx.true_expr, "G1"))
 
 
+# ------------------------------------------------------------------ entry points
+
+def _exported(fx):
+    grids = d.predicted_grids(fx).select(
+        "ord", "grid_index", "x0", "y0", "x1", "y1", (F.col("x0") + 9.0).alias("center_x"), (F.col("y0") + 9.0).alias("center_y"),
+        F.col("prob").alias("type_prob"), F.col("expr").alias("expr_pred"))
+    return pipeline.export_grid_predictions(grids, TYPE_NAMES)
+
+
+@query("api_export_grid_predictions", f"grid_id:s predicted_type:s {_E8}", f"SELECT 'grid_' || grid_index AS grid_id, {_TOP} AS predicted_type, * FROM {{grid_pred}}")
+def _(fx):
+    tables = _exported(fx)
+    return _spread(tables["grid_expr"].join(tables["grid_type"].select("grid_id", "predicted_type"), "grid_id"), "expr", "e", N_GENES)
+
+
+@query("api_agg", "cell_id:i predicted_type:s covered_fraction:d center_x:d center_y:d " + _E8, "SELECT * FROM {polygon_kept}")
+def _(fx):
+    tables = _exported(fx)
+    types = tables["grid_type"].select("grid_id", F.array(*[f"prob_{name}" for name in TYPE_NAMES]).alias("prob"))
+    out = pipeline.agg(dataset="brca", grid_expr=tables["grid_expr"], grid_types=types, type_names=TYPE_NAMES, polygons=fx.polygons, n_genes=N_GENES)
+    return _spread(out["expr"].join(out["ct"].select("cell_id", "predicted_type"), "cell_id"), "expr", "e", N_GENES)
+
+
 # ------------------------------------------------------------------ models
 
 _SHAPE = {"hidden": (16, 8), "type_hidden": 16}
