@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from spotweave.functions.text import BRCA_MERGE, checked_dataset, marker_group,
 from spotweave.operators import aggregate, counts as count_ops, lattice, metrics, nearest, proportions, raster, spots
 from spotweave.operators import windows as win
 from spotweave.operators.ordinals import ordinal, seeded_split
-from spotweave.operators.training import FitOptions, encode_patches, fit, predict_bags, predict_grids, save_params, token_rows
+from spotweave.operators.training import FitOptions, encode_patches, fit, load_params, predict_bags, predict_grids, save_params, token_rows
 from spotweave.session import durable, one_row
 from spotweave.sinks import files as sinks
 
@@ -29,8 +31,20 @@ class Result:
         return self.tables[name]
 
 
+def _reused(spark, output_dir: str | None, policy: str) -> Result | None:
+    """What an earlier run has stored, if ``policy`` is ``reuse`` and that run got as far as its summary, written last."""
+    if policy != "reuse" or not output_dir:
+        return None
+    try:
+        summary = json.loads(spark.read.text(f"{output_dir}/summary").first()["value"])
+    except AnalysisException:
+        return None
+    return Result({name: spark.read.parquet(f"{output_dir}/{name}") for name in summary["tables"]}, summary)
+
+
 def _store(result: Result, spark, output_dir: str | None, policy: str) -> Result:
     if output_dir:
+        result.summary["tables"] = sorted(result.tables)
         for name, table in result.tables.items():
             sinks.write_table(table, f"{output_dir}/{name}", policy)
         sinks.write_summary(spark, result.summary, f"{output_dir}/summary")
@@ -51,6 +65,8 @@ def deconv(
     """
     chosen = checked_dataset(dataset)
     spark = counts.sparkSession
+    if (stored := _reused(spark, output_dir, policy)) is not None:
+        return stored
     collapsed = count_ops.collapse_duplicate_genes(counts)
     coordinates = spots.aligned_positions(counts, positions)
     kept = spots.reference_filter(ref_cells, reference_filter, sample_id, annotation_column, patient_column, consensus, **vocabularies)
@@ -109,6 +125,8 @@ def ge(
         raise ValueError("patch_size must be a multiple of 16.")
     sample = sample_id or {"brca": "BREAST", "crc": "COLON_P2"}[chosen]
     spark, grid = positions.sparkSession, patch_size // 16
+    if (stored := _reused(spark, output_dir, policy)) is not None:
+        return stored
     table = durable(spots.spot_table(positions, sample))
     box = one_row(lattice.spot_extent(spots.in_tissue(positions)))
     pixels, width, height = raster.tissue_mask(thumbnail)
@@ -181,6 +199,9 @@ def train(
     sample = sample_id or {"brca": "BREAST", "crc": "COLON_P2"}[chosen]
     opts = options or FitOptions()
     spark = grid_embedding.sparkSession
+    if (stored := _reused(spark, output_dir, policy)) is not None:
+        stored.extra.update({"params": load_params(spark, f"{output_dir}/model"), "types": stored.summary["cell_type_names"]})
+        return stored
     expression, genes = _spot_targets(counts, gene_list, sample)
     expression = durable(expression)
     types = [r["cell_type"] for r in deconv.select("cell_type").distinct().orderBy("cell_type").collect()]
@@ -251,6 +272,8 @@ def agg(
     ``grid_<n>`` is the row order that decides between grids of one origin.
     """
     chosen = checked_dataset(dataset)
+    if (stored := _reused(polygons.sparkSession, output_dir, policy)) is not None:
+        return stored
     number = F.col("ord") if "ord" in grid_expr.columns else F.regexp_extract("grid_id", r"([0-9]+)\z", 1).cast("long")
     boxes = [F.col(f"bbox_{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]
     grids = grid_expr.select("grid_id", number.alias("ord"), *boxes, "expr").join(grid_types.select("grid_id", "prob"), "grid_id").drop("grid_id")

@@ -109,3 +109,19 @@ def test_window_tables(fx):
         spotweave.plotexpr(dataset="brca", grid_expr=grids, genes=genes, window=box, gene="nope")
     with pytest.raises(ValueError):
         spotweave.plottype(dataset="other", grid_types=grids, window=box)
+
+
+def test_reuse_skips_the_work(spark, tmp_path, monkeypatch):
+    from spotweave.operators import aggregate
+    from spotweave.plans import pipeline
+
+    boxes = ", ".join(f"bbox_{c} long" for c in ("x0", "y0", "x1", "y1"))
+    expr = spark.createDataFrame([("grid_0", 0, 0, 18, 18, [1.0, 2.0]), ("grid_1", 18, 0, 36, 18, [3.0, 4.0])], f"grid_id string, {boxes}, expr array<double>")
+    types = spark.createDataFrame([("grid_0", [1.0, 0.0]), ("grid_1", [0.0, 1.0])], "grid_id string, prob array<double>")
+    ring = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate([(2, 2), (20, 2), (20, 9), (2, 9)])], "cell_id long, vertex_ord long, vertex_x double, vertex_y double")
+    run = lambda: pipeline.agg(dataset="brca", grid_expr=expr, grid_types=types, type_names=["a", "b"], polygons=ring, n_genes=2, output_dir=str(tmp_path / "out"), policy="reuse")
+    first = run()
+    monkeypatch.setattr(aggregate, "polygon_values", None)
+    again = run()
+    assert sorted(again.tables) == sorted(first.tables)
+    assert again["expr"].collect() == first["expr"].collect() and again.summary["n_output_cells"] == 1
