@@ -34,7 +34,7 @@ _SLOTS = 4096
 @functools.cache
 def _slots() -> np.ndarray:
     """0 for what is no letter, else the letter's slot. Beyond 4,095 code points letters share slots."""
-    return np.array([1 + c % (_SLOTS - 1) if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
+    return np.array([1 + c % (_SLOTS - 1) if chr(c).isalpha() else 0 for c in range(0x110000)], np.int16)
 
 
 @functools.cache
@@ -52,7 +52,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= slots[:-1] > 0
     keep[0] = True
     at = np.flatnonzero(keep)
-    slots = slots[at]
+    slots = slots[at].astype(np.int64)
     codes = (slots[:-2] * _SLOTS + slots[1:-1]) * _SLOTS + slots[2:]
     full = slots[1:-1] > 0
     limits = np.cumsum([0] + [len(text) + 1 for text in lowered])
@@ -79,7 +79,7 @@ class Bundler:
             if len(self.places) + len(new) > KEPT_TRIGRAMS:
                 return None
             while len(self.places) + len(new) > len(self.kept):
-                self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
+                self.kept = np.concatenate([self.kept, np.empty((2048, DIMENSIONS), np.float32)])
             rows[new] = np.arange(len(self.places), len(self.places) + len(new))
             self.kept[rows[new]] = bound(codes[new])
             self.places.update(zip(codes[new].tolist(), rows[new].tolist(), strict=True))
