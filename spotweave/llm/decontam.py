@@ -5,7 +5,8 @@ fingerprinted at as many successive places, once with the largest window that fi
 copied passage has a window in step with one of them wherever it stands. A fingerprint is split into four blocks, each
 looked up with up to one bit changed: every item fingerprint within ``RADIUS`` bits is found. Each candidate is verified by
 the weighted Jaccard similarity of the item and the text's window of the item's size at that place (or a few shingles off).
-A shingle weighs its occurrences, divided by the number of items that hold it.
+A shingle weighs its occurrences, divided by the number of different items that hold it; items with the same words are one,
+and all items count, whatever scan they are in. A shingle that no item holds weighs as much as the item's shingles on average.
 
 Words are runs of word characters of the lower-cased text; with one to four words there is one shingle. Texts and items
 without a word, and nulls, match nothing. Of repeated items each is reported. An item counts once per text, at its best place.
@@ -13,6 +14,7 @@ without a word, and nulls, match nothing. Of repeated items each is reported. An
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.llm.arrow import per_text
+from spotweave.llm.arrow import per_text, slices
 from spotweave.llm.text import mixed, shingles_of, slabs, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -79,6 +81,28 @@ class Blocks:
         return np.concatenate(places), np.concatenate(found)
 
 
+@dataclass
+class Weights:
+    """Shingles that items hold, sorted, and their weights."""
+
+    shingles: np.ndarray
+    values: np.ndarray
+
+    def of(self, shingles: np.ndarray, other: float = 0.0) -> np.ndarray:
+        """The weights of ``shingles``; ``other`` where no item holds one."""
+        if not len(self.shingles):
+            return np.full(len(shingles), other)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.values[at], other)
+
+
+def weights_of(sequences: Sequence[np.ndarray]) -> Weights:
+    """Weights from all items."""
+    different = {sequence.tobytes(): np.unique(sequence) for sequence in sequences}
+    shingles, holders = np.unique(np.concatenate([*different.values(), np.empty(0, np.uint64)]), return_counts=True)
+    return Weights(shingles, 1 / holders)
+
+
 @dataclass
 class Index:
     """``sizes[w]`` has the blocks, items and places inside the items of all fingerprints of windows of w shingles.
@@ -88,19 +112,19 @@ class Index:
 
     ids: list[int]
     shingles: list[np.ndarray]
-    weights: dict[int, float]
+    weights: Weights
     sizes: dict[int, tuple[Blocks, np.ndarray, np.ndarray]]
     short: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def index_of(items: Sequence[tuple[int, str | None]], width: int = WIDTH) -> Index:
+def index_of(items: Sequence[tuple[int, str | None]], width: int = WIDTH, weights: Weights | None = None) -> Index:
+    """``weights`` are those of all items, where ``items`` are some of them."""
     ids, sequences = [], []
     for item, text in items:
         shingles, _ = shingles_of(words_of([text or ""]), width)
         if len(shingles):
             ids.append(item)
             sequences.append(shingles)
-    holders = Counter(shingle for sequence in sequences for shingle in set(sequence.tolist()))
     entries: dict[int, list[tuple[int, int, int]]] = {}
     short: list[tuple[int, int, int]] = []
     for item, sequence in enumerate(sequences):
@@ -117,15 +141,17 @@ def index_of(items: Sequence[tuple[int, str | None]], width: int = WIDTH) -> Ind
     sizes = {w: (Blocks(np.array([m for m, _, _ in found], np.uint64)), np.array([i for _, i, _ in found]), np.array([p for _, _, p in found])) for w, found in entries.items()}
     short.sort()
     arrays = np.array([s for s, _, _ in short], np.uint64), np.array([i for _, i, _ in short], np.int64), np.array([p for _, _, p in short], np.int64)
-    return Index(ids, sequences, {shingle: 1 / count for shingle, count in holders.items()}, sizes, arrays)
+    return Index(ids, sequences, weights_of(sequences) if weights is None else weights, sizes, arrays)
 
 
-def similarity(window: np.ndarray, item: np.ndarray, weights: dict[int, float]) -> float:
+def similarity(window: np.ndarray, item: np.ndarray, weights: Weights) -> float:
     """Weighted Jaccard similarity of two sequences as bags of shingles."""
+    of_item = weights.of(item)
+    of_window = weights.of(window, float(of_item.mean()))
     a, b = Counter(window.tolist()), Counter(item.tolist())
-    both = sum(weights[x] * min(n, a[x]) for x, n in b.items() if x in a)
-    either = sum(weights[x] * max(n, a[x]) for x, n in b.items()) + sum(weights.get(x, 1.0) * n for x, n in a.items() if x not in b)
-    return both / either
+    weight = dict(zip(item.tolist(), of_item.tolist(), strict=True))
+    both = sum(weight[x] * min(n, a[x]) for x, n in b.items() if x in a)
+    return both / (float(of_item.sum()) + float(of_window.sum()) - both)
 
 
 def _candidates(shingles: np.ndarray, offsets: np.ndarray, index: Index) -> set[tuple[int, int, int]]:
@@ -188,12 +214,31 @@ def matches(texts: list[str | None], index: Index, threshold: float = THRESHOLD,
         yield from found
 
 
+def _all_weights(rows: DataFrame, width: int) -> Weights:
+    """Weights from the items of all scans. Counted by tasks; the driver gets two numbers per different shingle."""
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            shingles, offsets = shingles_of(words_of(batch.column(0).to_pylist()), width)
+            sequences = [shingles[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            own = [np.unique(sequence) for sequence in sequences]
+            names = [hashlib.blake2b(sequence.tobytes(), digest_size=16).digest() for sequence in sequences]
+            names = pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64))], ["sequence", "shingle"])
+
+    counted = rows.select("text").mapInArrow(held, "sequence binary, shingle long").distinct().groupBy("shingle").count().toArrow()
+    shingles, holders = counted["shingle"].to_numpy().view(np.uint64), counted["count"].to_numpy()
+    order = np.argsort(shingles)
+    return Weights(shingles[order], 1 / holders[order])
+
+
 def _indexes(items: DataFrame, item: str, text: str, width: int) -> Iterator[Index]:
     rows = items.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    weights = _all_weights(rows, width)
     scans = max(1, -(-rows.count() // ITEMS_PER_SCAN))
     for scan in range(scans):
         own = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(scans)) == scan).orderBy("item", "text")
-        yield index_of([(row["item"], row["text"]) for row in own.collect()], width)
+        yield index_of([(row["item"], row["text"]) for row in own.collect()], width, weights)
 
 
 def with_matches(documents: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, keep: Sequence[str] | None = None) -> DataFrame:

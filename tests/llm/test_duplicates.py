@@ -168,3 +168,37 @@ def test_hamming_lookup_is_complete():
     found = set(zip(*(x.tolist() for x in table.within(asked)), strict=True))
     want = {(i, j) for i in range(300) for j in range(300) if int(np.bitwise_count(asked[i] ^ marks[j])) <= decontam.RADIUS}
     assert found == want
+
+
+def weighed(text, item, items):
+    """The best weighted similarity of an item and the windows of its size, by plain loops over tuples of words."""
+    bag = lambda t: [tuple(w[k : k + 5]) for w in [re.findall(r"\w+", t.lower())] for k in range(len(w) - 4)]
+    holders = Counter(s for own in {tuple(bag(t)) for t in items} for s in set(own))
+    own, wanted = bag(text), Counter(bag(item))
+    n = sum(wanted.values())
+    mean = sum(k / holders[s] for s, k in wanted.items()) / n
+    best = 0
+    for start in range(max(1, len(own) - n + 1)):
+        window = Counter(own[start : start + n])
+        weight = {s: 1 / holders[s] if s in holders else mean for s in window | wanted}
+        best = max(best, sum(weight[s] * k for s, k in (window & wanted).items()) / sum(weight[s] * k for s, k in (window | wanted).items()))
+    return best
+
+
+def test_repeated_and_templated_items_in_any_number_of_scans(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"x{k}" for k in rng.integers(0, 10**6, n)]
+    repeated, frame_words = [fresh(50), fresh(80)], fresh(60)
+    templated = [[*frame_words[:30], *fresh(20), *frame_words[30:]] for _ in range(6)]
+    items = [" ".join(repeated[0])] * 10 + [" ".join(repeated[1]).upper(), " ".join(repeated[1]) + "."] + [" ".join(w) for w in templated]
+    edited = lambda w, *places: " ".join([*fresh(20), *("edited" if k in places else x for k, x in enumerate(w)), *fresh(20)])
+    texts = [edited(repeated[0], 25), edited(repeated[1], 40)] + [edited(templated[0], place) for place in (12, 40, 70)] + [edited(templated[1], 8), " ".join(fresh(200))]
+    want = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if weighed(text, item, items) >= 0.8}
+    assert {(0, i) for i in range(10)} | {(1, 10), (1, 11), (2, 12), (5, 13)} <= want
+    frame = spark.createDataFrame([(d, text, "h", "n", "l") for d, text in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for limit in (5000, 3):
+        monkeypatch.setattr(decontam, "ITEMS_PER_SCAN", limit)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(frame, bench).collect()}
+        assert set(got) == want
+        assert all(abs(value - weighed(texts[d], items[i], items)) < 1e-9 for (d, i), value in got.items())
