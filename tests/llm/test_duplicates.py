@@ -202,3 +202,31 @@ def test_repeated_and_templated_items_in_any_number_of_scans(spark, monkeypatch)
         got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(frame, bench).collect()}
         assert set(got) == want
         assert all(abs(value - weighed(texts[d], items[i], items)) < 1e-9 for (d, i), value in got.items())
+
+
+def test_scattered_edits_growing_with_the_item():
+    rng = np.random.default_rng(33)
+    fresh = lambda n: [f"x{k}" for k in rng.integers(0, 10**6, n)]
+    cases = [(n, n // 50, kinds) for n in (100, 200, 300) for kinds in ("r", "rid") for _ in range(60)] + [(1500, 30, kinds) for kinds in ("r", "rid") for _ in range(8)]
+    items = [fresh(n) for n, _, _ in cases]
+    bodies, texts = [" ".join(w) for w in items], []
+    for w, (_, edits, kinds) in zip(items, cases, strict=True):
+        w = list(w)
+        for place in sorted(rng.choice(len(w), edits, replace=False).tolist(), reverse=True):
+            kind = rng.choice(list(kinds))
+            w[place : place + (kind != "i")] = [] if kind == "d" else ["edited"]
+        texts.append(" ".join([*fresh(int(rng.integers(5, 20))), *w, *fresh(15)]))
+    found = list(decontam.matches(texts, decontam.index_of(list(enumerate(bodies)))))
+    want = [weighed(text, body, [body]) for text, body in zip(texts, bodies, strict=True)]
+    got = [{x["item_id"]: x["similarity"] for x in own} for own in found]
+    assert sum(value >= 0.8 for value in want) > 250
+    for k, value in enumerate(want):
+        assert set(got[k]) == ({k} if value >= 0.8 else set())
+        assert value < 0.8 or abs(got[k][k] - value) < 1e-9
+
+
+def test_long_insertion_before_the_intact_part():
+    words = [f"y{k}" for k in range(400)]
+    index = decontam.index_of([(1, " ".join(words))])
+    text = " ".join([*words[:60], *(f"z{k}" for k in range(12)), *words[60:330], *words[342:], *(f"u{k}" for k in range(30))])
+    assert [x["item_id"] for x in next(decontam.matches([text], index))] == [1]
