@@ -1,19 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are parsed to trees of block elements; runs of like siblings become one repeated node. The trees of a
-bounded sample of a host's distinct pages are aligned by simple tree matching and merged into the host's template. A template
-node that says the same on nearly all pages is constant; the others are slots. The content is the slot subtree with the main
-share of varying text outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Every page is then
-aligned with its host's template and gives the blocks of its content subtree, without the constant nodes.
-
-Null pages are empty. A page that has no node for the content of its template, and a page of a host without a template, is
-judged by its own tree. Malformed markup is closed where a browser would close blocks. Only the sample is bounded: whole
-pages are read, and no block is dropped for its text or length.
+Pages of one host are parsed to trees of block elements; runs of like siblings become one repeated node. Pages with the same
+tree share a layout. The layouts of a host, all of them, are aligned by simple tree matching into one template. Texts are
+counted per node over all distinct pages, by tasks first. A node that says the same on nearly all pages of its layout, or of all
+layouts that have the template's node, is constant; the others are slots. The content of a layout is the slot subtree with the
+main share of varying text outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Every page gives the
+blocks of its layout's content, without the constant nodes.
+
+Null pages are empty. A page whose layout has no content is judged by its own tree. Malformed markup is closed where
+a browser would close blocks. No page is left out of the counts, and no block is dropped for its text or length.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import itertools
 import pickle
 import re
 from collections import Counter
@@ -28,14 +30,14 @@ from pyspark.sql import functions as F
 from spotweave.llm.arrow import slices
 from spotweave.session import durable
 
-#: Pages of a host that are merged into its template, those with the smallest hashes.
-PAGES_PER_TEMPLATE = 32
 #: A node is constant if it says the same on this share of at least so many distinct pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 #: Bytes of templates up to which they are broadcast; beyond, pages meet them by a salted shuffle join.
 BROADCAST_BYTES, SALTS = 64 << 20, 32
-#: Sampled pages up to which their keys (about 40 bytes each) are broadcast to fetch the pages; beyond, pages are shuffled.
-BROADCAST_SAMPLES = 1_000_000
+#: Repeated pages up to which their keys (about 40 bytes each) are broadcast; beyond, pages are shuffled.
+BROADCAST_COPIES = 1_000_000
+#: Texts that a task counts before it hands its counts on.
+COUNTED = 100_000
 #: Share of a tree's varying text that its content subtree has to hold.
 CONTENT_SHARE = 0.75
 
@@ -164,7 +166,7 @@ def collapsed(nodes: list[Node], label: str) -> Shape:
     for part in own:
         place = 0
         for kid in part:
-            name = kid.tag + "".join("." + x for x in kid.names)
+            name = kid.tag + "".join("." + x for x in kid.names) + "!" * kid.hidden
             at = next((i for i in range(max(0, place - 1), len(kids)) if kids[i][0] == name), -1)
             if at >= 0:
                 kids[at][1].append(kid)
@@ -209,19 +211,21 @@ def match(a, b, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
     return known[id(a), id(b)]
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 @dataclass(slots=True)
 class Template:
-    """A node of a host's template, with what it said on the pages merged into it."""
+    """A node of a host's template or of a layout; ``size`` is what it said besides links, ``constant`` a text's hash."""
 
     label: str
     tag: str
     chrome: bool
     kids: list[Template] = field(default_factory=list)
-    texts: Counter = field(default_factory=Counter)
-    chars: int = 0
-    links: int = 0
-    pages: int = 0
-    constant: str | None = None
+    size: float = 0
+    number: int = 0
+    constant: int | None = None
     content: bool = False
 
 
@@ -241,49 +245,57 @@ def _started(shape: Shape, in_article: bool = False) -> Template:
     return node
 
 
-def merge(into: Template, shape: Shape, known: dict | None = None, in_article: bool = False) -> None:
+def preorder(node) -> Iterator:
+    yield node
+    for kid in node.kids:
+        yield from preorder(kid)
+
+
+def dumped(root: Template) -> bytes:
+    """A layout as a flat list, so that its depth does not matter."""
+    return pickle.dumps([(node.label, node.tag, node.chrome, len(node.kids)) for node in preorder(root)])
+
+
+def loaded(data: bytes) -> Template:
+    rows = iter(pickle.loads(data))
+
+    def node() -> Template:
+        label, tag, chrome, kids = next(rows)
+        return Template(label, tag, chrome, [node() for _ in range(kids)])
+
+    return node()
+
+
+def align(into: Template, own: Template, count: Iterator[int], known: dict | None = None) -> list[int]:
+    """Merges a layout into a template; the template's numbers of the layout's nodes, in preorder."""
     known = {} if known is None else known
-    text, links = _said(shape.nodes)
-    into.pages += 1
-    into.texts[text] += 1
-    into.chars += len(text)
-    into.links += links
-    in_article = in_article or into.tag in ("article", "main")
-    pairs = dict((j, i) for i, j in match(into, shape, known)[1])
-    old, place = list(into.kids), 0
-    for j, kid in enumerate(shape.kids):
+    pairs = dict((j, i) for i, j in match(into, own, known)[1])
+    old, place, numbers = list(into.kids), 0, [into.number]
+    for j, kid in enumerate(own.kids):
         if j in pairs:
             node = old[pairs[j]]
-            place = into.kids.index(node) + 1
+            place = next(i for i, x in enumerate(into.kids) if x is node) + 1
         else:
-            node = _started(kid, in_article)
+            node = Template(kid.label, kid.tag, kid.chrome, number=next(count))
             into.kids.insert(place, node)
             place += 1
-        merge(node, kid, known if j in pairs else None, in_article)
+        numbers += align(node, kid, count, known if j in pairs else None)
+    return numbers
 
 
-def _varying(node: Template, found: dict[int, int]) -> int:
+def _varying(node: Template, found: dict[int, float]) -> float:
     """Characters of slots in a subtree, links left out."""
     if node.chrome:
         found[id(node)] = 0
         return 0
-    own = 0 if node.constant is not None else max(0, node.chars - node.links)
+    own = 0 if node.constant is not None else max(0, node.size)
     found[id(node)] = total = own + sum(_varying(kid, found) for kid in node.kids)
     return total
 
 
 def judge(root: Template) -> Template:
-    """Marks constant nodes and the content of a merged template."""
-
-    def constant(node: Template) -> None:
-        text, count = node.texts.most_common(1)[0] if node.texts else ("", 0)
-        if text and not node.kids and node.pages >= CONSTANT_PAGES and count >= CONSTANT_SHARE * node.pages:
-            node.constant = text
-        for kid in node.kids:
-            constant(kid)
-
-    constant(root)
-    size: dict[int, int] = {}
+    """Marks the content of a layout whose constant nodes are known."""
+    size: dict[int, float] = {}
     total = _varying(root, size)
     best, queue = root, [root]
     articles = []
@@ -306,33 +318,11 @@ def judge(root: Template) -> Template:
     return root
 
 
-def induce(pages: Sequence[str]) -> Template | None:
-    root = None
-    for page in pages:
-        shape = shape_of(page)
-        root = root or _started(shape)
-        merge(root, shape)
-    return judge(root) if root else None
-
-
-def _assigned(template: Template, shape: Shape) -> list[Template | None]:
-    """The template node of every node of a collapsed tree, in preorder."""
-    known: dict = {}
-
-    def walk(node: Template | None, own: Shape) -> Iterator[Template | None]:
-        yield node
-        pairs = {j: node.kids[i] for i, j in match(node, own, known)[1]} if node else {}
-        for j, kid in enumerate(own.kids):
-            yield from walk(pairs.get(j), kid)
-
-    return list(walk(template, shape))
-
-
 def _blocks(node: Node, roles: dict[int, Template | None], in_article: bool, out: list[list[str]]) -> None:
     role = roles.get(id(node))
     if is_chrome(node, in_article) if role is None else role.chrome:
         return
-    if role is not None and role.constant is not None and _said([node])[0] == role.constant and not any(isinstance(kid, Node) for kid in node.kids):
+    if role is not None and role.constant is not None and not any(isinstance(kid, Node) for kid in node.kids) and _hash(_said([node])[0]) == role.constant:
         return
     out.append([])
     for kid in node.kids:
@@ -343,42 +333,35 @@ def _blocks(node: Node, roles: dict[int, Template | None], in_article: bool, out
             out[-1].append(kid[0])
 
 
+@dataclass(slots=True, frozen=True)
+class Role:
+    chrome: bool
+    constant: int | None
+    content: bool
+
+
 class Extractor:
-    """Texts of pages by a template; assignments are kept per tree shape."""
+    """Texts of pages by the layouts of their host: roles of the nodes, in preorder, by the hash of the tree."""
 
-    def __init__(self, template: Template | None) -> None:
-        self.template = template
-        self.kept: dict[str, list] = {}
+    def __init__(self, layouts: dict[int, list[Role]] | None) -> None:
+        self.layouts = layouts or {}
 
     def text(self, page: str | None) -> str:
-        page = page or ""
-        shape = shape_of(page)
-        found = self._extracted(shape, self._roles(shape)) if self.template else None
+        shape = shape_of(page or "")
+        roles = self.layouts.get(_hash(written(shape)))
+        found = self._extracted(shape, roles) if roles else None
         if found is None:
             root = _started(shape)
-            merge(root, shape)
-            found = self._extracted(shape, _assigned(judge(root), shape))
+            for node, own in zip(preorder(root), preorder(shape), strict=True):
+                text, links = _said(own.nodes)
+                node.size = len(text) - links
+            found = self._extracted(shape, list(preorder(judge(root))))
         return found or ""
 
-    def _roles(self, shape: Shape) -> list:
-        key = written(shape)
-        if key not in self.kept:
-            if len(self.kept) > 1000:
-                self.kept.clear()
-            self.kept[key] = _assigned(self.template, shape)
-        return self.kept[key]
-
-    def _extracted(self, shape: Shape, roles: list) -> str | None:
-        flat: list[Shape] = []
-
-        def walk(own: Shape) -> None:
-            flat.append(own)
-            for kid in own.kids:
-                walk(kid)
-
-        walk(shape)
+    def _extracted(self, shape: Shape, roles: Sequence) -> str | None:
+        flat = list(preorder(shape))
         by_node = {id(node): role for own, role in zip(flat, roles, strict=True) for node in own.nodes}
-        content = [own for own, role in zip(flat, roles, strict=True) if role is not None and role.content]
+        content = [own for own, role in zip(flat, roles, strict=True) if role.content]
         if not content:
             return None
         out: list[list[str]] = []
@@ -392,20 +375,86 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``host`` and ``template`` (pickled) of every host with a page. Sampled pages are chosen by narrow rows first."""
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("h"), F.col(page).alias("html")).filter(F.col("html").isNotNull())
-    chosen = rows.select("host", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h")))
-    chosen = durable(chosen.filter(F.col("n") <= PAGES_PER_TEMPLATE).select("host", "h"))
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_SAMPLES else chosen
-    sampled = rows.join(chosen, ["host", "h"], "left_semi")
-    once = sampled.groupBy("host", "h").agg(F.first("html").alias("html"))
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, html, copies): a row per layout (tree, pages, sizes) and a row per layout, leaf and text (pages), summed."""
+    trees: dict[tuple, list] = {}
+    texts: Counter = Counter()
+
+    def handed() -> pa.RecordBatch:
+        rows = [(*key, tree, None, None, pages, sizes) for key, (tree, pages, sizes) in trees.items()] + [(*key, pages, None) for key, pages in texts.items()]
+        rows = [row if len(row) == 7 else (row[0], row[1], None, *row[2:]) for row in rows]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        out = pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], ["host", "layout", "tree", "node", "text", "pages", "sizes"])
+        trees.clear()
+        texts.clear()
+        return out
+
+    for batch in slices(batches):
+        for host, page, copies in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            shape = shape_of(page)
+            key = (host, _hash(written(shape)))
+            if key not in trees:
+                root = _started(shape)
+                trees[key] = [dumped(root), 0.0, [0.0] * sum(1 for _ in preorder(root))]
+            own = trees[key]
+            own[1] += 1 / copies
+            for i, part in enumerate(preorder(shape)):
+                text, links = _said(part.nodes)
+                own[2][i] += (len(text) - links) / copies
+                if text and not part.kids:
+                    texts[(*key, i, _hash(text))] += 1 / copies
+        if len(texts) + len(trees) > COUNTED:
+            yield handed()
+    yield handed()
 
-    def induced(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("h")
-        return pd.DataFrame({"host": rows["host"].iloc[:1].tolist(), "template": [pickle.dumps(induce(rows["html"].tolist()))]})
 
-    return once.groupBy("host").applyInPandas(induced, "host string, template binary")
+def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """``host`` and ``template`` (pickled roles by layout) of every host with a page. Copies of a page count as one."""
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(page).alias("h"), F.col(page).alias("html")).filter(F.col("html").isNotNull())
+    copies = durable(rows.groupBy("host", "h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    each = rows.join(copies, ["host", "h"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = durable(each.mapInArrow(_counted, "host string, layout long, tree binary, node int, text long, pages double, sizes array<double>"))
+    added = lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    layouts = counted.filter("node IS NULL").groupBy("host", "layout").agg(F.first("tree").alias("tree"), F.sum("pages").alias("pages"), F.collect_list("sizes").alias("parts"))
+    layouts = durable(layouts.select("host", "layout", "tree", "pages", added(F.col("parts")).alias("sizes")))
+
+    def aligned(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pages", "layout"], ascending=[False, True])
+        root, count, numbers = Template("#root", "#root", False), itertools.count(1), []
+        for tree in rows["tree"]:
+            numbers.append(align(root, loaded(tree), count))
+        held: Counter = Counter()
+        for own, n in zip(numbers, rows["pages"], strict=True):
+            held.update(dict.fromkeys(own, n))
+        return pd.DataFrame({"host": rows["host"], "layout": rows["layout"], "total": rows["pages"], "numbers": numbers, "held": [[held[x] for x in own] for own in numbers]})
+
+    numbered = durable(layouts.select("host", "layout", "tree", "pages").groupBy("host").applyInPandas(aligned, "host string, layout long, total double, numbers array<int>, held array<double>"))
+    texts = counted.filter("node IS NOT NULL").groupBy("host", "layout", "node", "text").agg(F.sum("pages").alias("pages"))
+    at = lambda name: F.element_at(name, F.col("node") + 1)
+    placed = durable(texts.join(numbered, ["host", "layout"]).select("host", "layout", "node", "text", "pages", "total", at("numbers").alias("number"), at("held").alias("held")))
+    often = lambda total: (total > CONSTANT_PAGES - 0.5) & (F.col("pages") >= CONSTANT_SHARE * total - 1e-6)
+    alone = placed.filter(often(F.col("total"))).groupBy("host", "layout").agg(F.collect_list(F.struct("node", "text")).alias("alone"))
+    pooled = placed.groupBy("host", "number", "text").agg(F.sum("pages").alias("pages"), F.first("held").alias("held")).filter(often(F.col("held")))
+    pooled = pooled.groupBy("host").agg(F.collect_list(F.struct("number", "text")).alias("pooled"))
+    known = layouts.drop("pages").join(numbered.select("host", "layout", "numbers"), ["host", "layout"]).join(alone, ["host", "layout"], "left").join(pooled, "host", "left")
+
+    def judged(rows: pd.DataFrame) -> pd.DataFrame:
+        found, roles = {}, {}
+        values = rows["pooled"].iloc[0]
+        shared = {x["number"]: x["text"] for x in (() if values is None else values)}
+        for layout, tree, sizes, numbers, alone in zip(rows["layout"], rows["tree"], rows["sizes"], rows["numbers"], rows["alone"], strict=True):
+            root = loaded(tree)
+            own = {x["node"]: x["text"] for x in (() if alone is None else alone)}
+            for i, (node, size, number) in enumerate(zip(preorder(root), sizes, numbers, strict=True)):
+                node.size = size
+                node.constant = None if node.kids else own.get(i, shared.get(number))
+            judge(root)
+            kept = [(node.chrome, node.constant, node.content) for node in preorder(root)]
+            found[int(layout)] = [roles.setdefault(x, Role(*x)) for x in kept]
+        return pd.DataFrame({"host": rows["host"].iloc[:1].tolist(), "template": [pickle.dumps(found)]})
+
+    return known.groupBy("host").applyInPandas(judged, "host string, template binary")
 
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", keep: Sequence[str] | None = None) -> DataFrame:

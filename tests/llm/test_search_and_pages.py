@@ -72,3 +72,14 @@ def test_tree_matching_counts():
     shape = lambda page: html.collapsed([html.parse(page)], "#root")
     a, b = shape("<div><h1>x</h1><p>y</p></div>"), shape("<div><p>z</p><p>u</p></div><ul><li>1</ul>")
     assert html.match(a, b)[0] == 3 and html.match(a, a)[0] == 4
+
+
+def test_rare_layout_of_a_large_host(spark):
+    first = "<body><div class=post><p>Main {i} says this</p><p class=x>Other {i}</p></div></body>"
+    second = "<body><div class=blurb><h2>Head {i}</h2><p>Rare {i} says that</p><p class=z>Always on rare pages</p></div></body>"
+    rows = [(i, "http://hot.example/", (second if i % 50 == 7 else first).format(i=i)) for i in range(500)]
+    rows += [(1000 + i, "http://copies.example/", first.format(i=0)) for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["row"]["page_id"]: r["text"] for r in html.main_text(frame).collect()}
+    assert all(got[i] == (f"Head {i}\n\nRare {i} says that" if i % 50 == 7 else f"Main {i} says this\n\nOther {i}") for i in range(500))
+    assert {got[1000 + i] for i in range(9)} == {"Main 0 says this\n\nOther 0"}
