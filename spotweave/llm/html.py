@@ -3,9 +3,9 @@
 Pages of one host are parsed to trees of block elements; runs of like siblings become one repeated node. Pages with the same
 tree share a layout. The layouts of a host, all of them, are aligned by simple tree matching into one template. Texts are
 counted per node over all distinct pages, by tasks first. A node that says the same on nearly all pages of its layout, or of all
-layouts that have the template's node, is constant; the others are slots. The content of a layout is the slot subtree with the
-main share of varying text outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Every page gives the
-blocks of its layout's content, without the constant nodes.
+layouts that have the template's node, is constant; the others are slots. The content of a layout is the lowest node with all
+slots outside menus, headers, footers, sidebars, notices, adverts, forms and comments, or all articles and main parts where
+one has a large share of them. Every page gives the blocks of its layout's content, without the constant nodes.
 
 Null pages are empty. A page whose layout has no content is judged by its own tree. Malformed markup is closed where
 a browser would close blocks. No page is left out of the counts, and no block is dropped for its text or length.
@@ -38,8 +38,8 @@ BROADCAST_BYTES, SALTS = 64 << 20, 32
 BROADCAST_COPIES = 1_000_000
 #: Texts that a task counts before it hands its counts on.
 COUNTED = 100_000
-#: Share of a tree's varying text that its content subtree has to hold.
-CONTENT_SHARE = 0.75
+#: Share of a tree's varying text from which on an article or main part speaks for its kind.
+ARTICLE_SHARE = 0.3
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -297,23 +297,25 @@ def judge(root: Template) -> Template:
     """Marks the content of a layout whose constant nodes are known."""
     size: dict[int, float] = {}
     total = _varying(root, size)
-    best, queue = root, [root]
-    articles = []
+    articles, queue = [], [root]
     while queue:
         node = queue.pop()
-        if not node.chrome:
-            if node.tag in ("article", "main"):
-                articles.append(node)
+        if node.chrome:
+            continue
+        if node.tag in ("article", "main"):
+            articles.append(node)
+        else:
             queue += node.kids
-    articles = [node for node in articles if size[id(node)] >= 0.3 * total and size[id(node)]]
-    if articles:
-        best = max(articles, key=lambda node: (node.tag == "article", size[id(node)]))
-    else:
-        while True:
-            inner = max(best.kids, key=lambda kid: size[id(kid)], default=None)
-            if inner is None or not inner.kids or size[id(inner)] < CONTENT_SHARE * total:
-                break
-            best = inner
+    if any(size[id(node)] >= ARTICLE_SHARE * total and size[id(node)] for node in articles):
+        for node in articles:
+            node.content = True
+        return root
+    best = root
+    while best.constant is not None or best.size <= 0:
+        inner = [kid for kid in best.kids if size[id(kid)] > 0]
+        if len(inner) != 1 or not inner[0].kids:
+            break
+        best = inner[0]
     best.content = True
     return root
 

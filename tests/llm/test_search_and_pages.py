@@ -83,3 +83,13 @@ def test_rare_layout_of_a_large_host(spark):
     got = {r["row"]["page_id"]: r["text"] for r in html.main_text(frame).collect()}
     assert all(got[i] == (f"Head {i}\n\nRare {i} says that" if i % 50 == 7 else f"Main {i} says this\n\nOther {i}") for i in range(500))
     assert {got[1000 + i] for i in range(9)} == {"Main 0 says this\n\nOther 0"}
+
+
+def test_all_parts_of_the_content_stay():
+    body = " ".join(f"word{k}" for k in range(200))
+    nav = "<div class=links><ul><li><a href=/>Home</a></li></ul></div>"
+    parts = f"<div class=post><h1>Title</h1><p class=lead>Lead text</p><div class=entry-body><p>{body}</p><p>End</p></div></div>"
+    text = html.Extractor(None).text
+    assert text(f"<body>{nav}<div class=wrap>{parts}<div class=sidebar><p>Side text</p></div></div></body>") == f"Title\n\nLead text\n\n{body}\n\nEnd"
+    assert text(f"<body><div class=wrap><section class=intro><p>Intro text</p></section>{parts}</div></body>") == f"Intro text\n\nTitle\n\nLead text\n\n{body}\n\nEnd"
+    assert text(f"<body>{nav}<article class=one><p>Small part</p></article><article class=two><p>{body}</p></article></body>") == f"Small part\n\n{body}"
