@@ -1,9 +1,9 @@
-"""Near-duplicate join: word-shingle Jaccard similarity by a MinHash LSH forest with exact verification.
+"""Near-duplicate join: word-shingle Jaccard similarity by MinHash banding of one fixed depth with exact verification.
 
-Identical texts are one class (by a 64-bit hash of the text). A class has ``TREES`` labels of min-hashes; a tree of the
-forest is the sorted list of its labels, its tries are the runs of equal prefixes. The matched prefix starts at ``DEPTH`` and
-is shortened until the expected recall at the threshold reaches ``RECALL``. Runs are searched breadth first by estimated
-similarity; the resulting groups are verified with whole shingle sets. Large runs and groups are split into tiles of chunk
+Identical texts are one class (by a 64-bit hash of the text). A class has ``TREES`` bands of min-hashes, each one 64-bit value
+that is joined by equality; there are no tries, and no prefix gets longer or shorter by what was matched. The depth of a band
+is the largest, ``DEPTH`` at most, whose expected recall at the threshold reaches ``RECALL``: 5 with the settings here. Runs of
+equal values are searched breadth first by estimated similarity; the resulting groups are verified with whole shingle sets. Large runs and groups are split into tiles of chunk
 pairs. Tasks give one row per text with the number of its links, never a row per pair.
 
 Words are runs of word characters of the lower-cased text; a text of one to four words has one shingle with all of them.
