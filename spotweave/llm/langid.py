@@ -5,7 +5,8 @@ vectors, each permuted (rolled) by its place. A text is the bundle (sum) of its
 bounded sample of labelled texts; the nearest prototype by cosine is the prediction and the cosine its score.
 
 Texts are lower-cased; whatever is not a letter is a word border, and trigrams may start or end at one. Null texts and texts
-without a letter are ``und`` with score 0, as is every text if nothing could be learned.
+without a letter are ``und`` with score 0, as is every text if nothing could be learned. Of equal cosines the language that
+comes first by name is taken. Repeated rows are each predicted; while learning, every row of a drawn id counts.
 """
 
 from __future__ import annotations
@@ -105,12 +106,16 @@ def _bundles(texts: list[str | None], bundler: Bundler) -> Iterator[np.ndarray]:
 def learn(labelled: DataFrame, key: Column, per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """A prototype per value of ``lang``, from the rows given that have a text and a language.
 
-    Every sampled text counts alike: its bundle is brought to length 1 first. At most ``per_language`` texts per language are
-    read by the bundling, and one vector per task and language is summed.
+    Every sampled text counts alike: its bundle is brought to length 1 first. At most ``per_language`` ids per language are
+    read by the bundling, and one vector per task and language is summed. The ids are the least by hash; a count per language
+    first tells below which hash they lie, so that no language passes through one task.
     """
-    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), key.alias("key"))
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), key.alias("key")).distinct()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = usable.join(counts, "lang").filter(drawn * F.col("n") <= 2.0 * per_language + 100).select("lang", "key")
     place = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = usable.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= per_language).select("lang", "key").distinct()
+    chosen = low.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= per_language).select("lang", "key")
     rows = labelled.select(key.alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["lang", "key"], "left_semi")
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +124,8 @@ def learn(labelled: DataFrame, key: Column, per_language: int = SAMPLE_PER_LANGU
             for name, vector in zip(batch["lang"], _bundles(batch["text"].tolist(), bundler), strict=True):
                 if vector.any():
                     totals[name] = totals.get(name, 0) + vector / np.linalg.norm(vector)
-        yield pd.DataFrame({"lang": list(totals), "vector": [total.tolist() for total in totals.values()]}, columns=["lang", "vector"])
+        if totals:  # a frame without rows has no list type
+            yield pd.DataFrame({"lang": list(totals), "vector": [total.tolist() for total in totals.values()]})
 
     parts = rows.select("lang", "text").mapInPandas(summed, "lang string, vector array<double>")
     sums = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))

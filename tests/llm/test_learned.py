@@ -38,6 +38,48 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_tasks_without_texts(spark, tmp_path):
+    """More tasks than rows, and a file with fewer row groups than splits: tasks without a row hand on nothing."""
+    rows = [(i, prose(np.random.default_rng(i), lang, 12), lang, "r", "s") for i, lang in enumerate(SYLLABLES)]
+    spread = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    assert sorted(langid.learn(spread, F.col("doc_id"))) == ["aa", "bb", "cc"]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        stored = spark.read.parquet(f"{tmp_path}/documents")
+        assert stored.rdd.getNumPartitions() > 3
+        model = langid.learn(stored, F.col("doc_id"))
+        assert sorted(r["lang_pred"] for r in langid.identify(stored, model).collect()) == ["aa", "bb", "cc"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_predictions_against_loops(spark):
+    """Prototypes, cosines and predictions by plain sums over trigrams; of equal cosines the first name wins."""
+    rng = np.random.default_rng(5)
+    rows = [(i, prose(rng, list(SYLLABLES)[i % 3], 8), list(SYLLABLES)[i % 3], "r", "s") for i in range(24)] + [(24, "aha", "zz", "r", "s"), (25, "aha", "yy", "r", "s")]
+    letters = langid._letters()
+
+    def vector(text):
+        total = np.zeros(langid.DIMENSIONS)
+        codes, counts, _ = langid.trigrams([text])
+        for code, n in zip(codes.tolist(), counts.tolist()):
+            a, b, c = code // 4096**2, code // 4096 % 4096, code % 4096
+            total += n * (letters[0][a].astype(float) * letters[1][b] * letters[2][c])
+        return total / np.linalg.norm(total)
+
+    sums = {}
+    for _, text, lang, _, _ in rows:
+        sums[lang] = sums.get(lang, 0) + vector(text)
+    near = lambda text: {lang: float(vector(text) @ s / np.linalg.norm(s)) for lang, s in sums.items()}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for r in langid.identify(frame, langid.learn(frame, F.col("doc_id"))).collect():
+        cosines = near(r["row"]["text"])
+        assert r["lang_pred"] == min(cosines, key=lambda lang: (-round(cosines[lang], 9), lang))
+        assert abs(r["score"] - max(cosines.values())) < 1e-5
+
+
 def test_no_languages(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.learn(empty, F.col("doc_id")) == {}
