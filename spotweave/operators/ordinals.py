@@ -27,7 +27,15 @@ def running_total(
     name: str = "before",
     slices: int | None = None,
 ) -> DataFrame:
-    """Add the sum of ``weight`` (default: the row count) over the *earlier* rows of the same key.
+    """Add the sum of ``weight`` (default: the row count) over the *earlier* rows of the same key."""
+    w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    return running_totals(df, keys, order, {name: w}, slices)
+
+
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], weights: dict[str, Column], slices: int | None = None
+) -> DataFrame:
+    """Add, for every name, the sum of its weight over the *earlier* rows of the same key, all in one pass.
 
     The order columns must make the rows of a key distinct. The slice number is written durably before it is
     used twice, so a recomputed task cannot place a row in another slice.
@@ -35,16 +43,16 @@ def running_total(
     keys = list(keys)
     order_columns = [F.col(c) if isinstance(c, str) else c for c in order]
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    each = list(enumerate(weights.items()))
     sliced = durable(
-        df.withColumn("_w", w)
+        df.select("*", *[w.alias(f"_w{i}") for i, (_, w) in each])
         .repartitionByRange(n, *keys, *order_columns)
         .withColumn("_slice", F.spark_partition_id())
     )
     local = Window.partitionBy("_slice", *keys).orderBy(*order_columns).rowsBetween(Window.unboundedPreceding, -1)
-    inside = sliced.withColumn("_local", F.coalesce(F.sum("_w").over(local), F.lit(0)))
+    inside = sliced.select("*", *[F.coalesce(F.sum(f"_w{i}").over(local), F.lit(0)).alias(f"_local{i}") for i, _ in each])
 
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_w").alias("_sum"))
+    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(f"_w{i}").alias(f"_sum{i}") for i, _ in each])
     if keys:
         spans = (
             totals.groupBy(*keys)
@@ -58,13 +66,12 @@ def running_total(
     carried = totals.select(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.col("_slice").alias("_in"),
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carry"),
+        *[F.coalesce(F.sum(f"_sum{i}").over(earlier), F.lit(0)).alias(f"_carry{i}") for i, _ in each],
     )
     on = [F.col("_slice") == F.col("_in")] + [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return (
-        inside.join(F.broadcast(carried), _all(on), "left")
-        .withColumn(name, F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0)))
-        .drop("_w", "_slice", "_local", "_in", "_carry", *[f"_key_{k}" for k in keys])
+    joined = inside.join(F.broadcast(carried), _all(on), "left")
+    return joined.select("*", *[(F.col(f"_local{i}") + F.coalesce(f"_carry{i}", F.lit(0))).alias(name) for i, (name, _) in each]).drop(
+        "_slice", "_in", *[f"_key_{k}" for k in keys], *[f"{c}{i}" for c in ("_w", "_local", "_carry") for i, _ in each]
     )
 
 
