@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat, decontam, html, jaccard, langid, linededup, packing, token_counts, toxicity, vafile
+from spotweave.llm import chat, decontam, forest, html, jaccard, langid, linededup, packing, token_counts, toxicity, trie, vafile, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,46 @@ marked AS (SELECT * REPLACE (gone AND bool_or(bare <> '' AND NOT gone) OVER (PAR
 texts AS (SELECT page, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY page)
 SELECT p.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, t.text FROM pages p LEFT JOIN texts t USING (page)
 """
+
+
+@_query
+def op11_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@_query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+#: CRC-32 of a decimal id, eight shifts per byte, by its defining polynomial (a fixed value).
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+ORACLES["op13_conversation_prefix_trie"] = f"""
+WITH told AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+planned AS (SELECT conv_id, turns, {_CRC32} % 4 AS head FROM told),
+rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(b.turns[1:p.head], []), p.turns[p.head + 1:]) AS turns FROM planned p LEFT JOIN told b ON b.conv_id = p.conv_id - p.conv_id % 20),
+steps AS (SELECT conv_id, len(turns) AS whole, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(whole = depth) AS is_leaf,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole = depth), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(turns[depth].text), '[^\x20\x09-\x0D]+')) END AS words
+  FROM steps GROUP BY 1, 2),
+climbed AS (SELECT unnest(range(depth + 1)) AS up, path, (n_convs - 1) * words AS saved, is_leaf FROM nodes),
+subtrees AS (SELECT up AS depth, path[1:up] AS path, sum(saved) AS saved, count(*) FILTER (WHERE is_leaf) AS n_leaves FROM climbed GROUP BY 1, 2),
+children AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN subtrees s ON s.depth = n.depth AND s.path = n.path LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
