@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import first_max_index, let, log1p_clipped, total
-from spotweave.functions.vectors import vector_sum
+from spotweave.operators.blocks import block_of, block_side, block_sums, vector_columns, width_of
 from spotweave.operators.ordinals import exact_median
 from spotweave.operators.overlap import crossings, numbered, outline, outline_areas, overlap_cells, ring_edges, ring_geometry
 from spotweave.session import durable, one_row
@@ -39,6 +39,27 @@ def origin_winners(grids: DataFrame) -> DataFrame:
     return grids.groupBy(F.col("x0").cast("long").alias("x0"), F.col("y0").cast("long").alias("y0")).agg(F.max("ord").alias("ord"))
 
 
+def polygon_sums(hits: DataFrame, grids: DataFrame, size: int, n_genes: int | None = None, n_types: int | None = None) -> DataFrame:
+    """``(cell_id, _expr, _prob, _weight, _n_grids)``: weighted sums of the grids' vectors over the overlaps of each polygon.
+
+    ``hits``: ``(cell_id, x0, y0, ord, weight)``; ``grids``: ``(ord, x0, y0, expr, prob)``, one per origin. Overlaps and grids meet by square
+    blocks of the lattice, so a grid's vectors move once, however many polygons lie on it. A polygon in one block is finished
+    there; of one that reaches into several only a partial vector per block moves.
+    """
+    widths = [n_genes or width_of(grids, "expr"), n_types or width_of(grids, "prob")]
+    side = block_side(8 * sum(widths)) * size
+    block = [block_of(F.col(axis), side).alias(name) for axis, name in (("x0", "bx"), ("y0", "by"))]
+    placed = durable(hits.select(*block, "cell_id", "ord", "weight"))
+    spread = placed.groupBy("cell_id").agg((F.min(F.struct("bx", "by")) != F.max(F.struct("bx", "by"))).alias("border")).where("border")
+    kinds = F.explode(F.array(F.lit(0), F.lit(1))).alias("kind")
+    weights = placed.join(spread, "cell_id", "left").select(
+        "bx", "by", F.col("cell_id").alias("target"), F.coalesce("border", F.lit(False)).alias("border"), F.col("ord").cast("long").alias("source"), "weight", kinds)
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), *vector_columns(grids, c)) for k, c in enumerate(("expr", "prob"))]))
+    rows = grids.select(*block, F.col("ord").cast("long").alias("source"), both.alias("v")).select("bx", "by", "source", "v.*")
+    sums = block_sums(weights, rows, widths)
+    return sums.select(F.col("target").alias("cell_id"), F.col("sum0").alias("_expr"), F.col("sum1").alias("_prob"), F.col("weight0").alias("_weight"), F.col("n0").alias("_n_grids"))
+
+
 def polygon_values(
     vertices: DataFrame,
     grids: DataFrame,
@@ -50,9 +71,10 @@ def polygon_values(
     """Expression, type and geometry of every kept polygon.
 
     ``vertices``: ``(cell_id, vertex_ord, vertex_x, vertex_y)``; ``grids``: ``(ord, x0, y0, x1, y1, expr, prob)`` with
-    a unique ``ord``. Overlap rows find their grid by equal origins while all rows are narrow; the wide vectors are
-    then shuffled once, by ``ord``, and summed per polygon with a partial step. A ring that crosses itself is repaired
-    (:func:`ring_validity`). Invalid and uncovered polygons are dropped, or kept with NULL values if ``valid_only`` is off.
+    a unique ``ord``. Overlap rows find their grid by equal origins while all rows are narrow; the wide vectors are then summed
+    by :func:`polygon_sums`. A ring that crosses itself is repaired (:func:`ring_validity`). A NULL vector is left out of a sum with its
+    weight; a polygon on NULL vectors only has NULL values. Invalid and uncovered polygons are dropped, or kept with NULL values
+    if ``valid_only`` is off.
 
     Returns ``(cell_id, n_vertices, area, is_repaired, is_invalid, n_grids, covered_fraction, center_x, center_y, expr, prob,
     predicted_type)``.
@@ -60,17 +82,12 @@ def polygon_values(
     size = grid or grid_size(grids)
     rings, edges, repaired = ring_validity(vertices, size)
     w = F.col("area") / float(size * size)
-    hits = overlap_cells(edges, size, repaired).join(origin_winners(grids), ["x0", "y0"]).select("cell_id", "ord", w.alias("weight"))
-    summed = (
-        hits.join(grids.select("ord", "expr", "prob"), "ord")
-        .groupBy("cell_id")
-        .agg(
-            vector_sum(F.col("expr"), n_genes, F.col("weight")).alias("_expr"),
-            vector_sum(F.col("prob"), len(type_names), F.col("weight")).alias("_prob"),
-            F.sum("weight").alias("_weight"),
-            F.count(F.lit(1)).alias("_n_grids"),
-        )
-    )
+    winners = origin_winners(grids)
+    known = grids.select("ord", F.col("x0").cast("long").alias("x0"), F.col("y0").cast("long").alias("y0"), "expr", "prob")
+    if grids.groupBy("x0", "y0").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        known = known.join(winners.select("ord"), "ord", "left_semi")
+    hits = overlap_cells(edges, size, repaired).join(winners, ["x0", "y0"]).select("cell_id", "x0", "y0", "ord", w.alias("weight"))
+    summed = polygon_sums(hits, known, size, n_genes, len(type_names))
     geometry = rings.join(summed, "cell_id", "left")
     usable = lambda c: F.when(~F.col("is_invalid"), c)
     share = let(total(F.col("_prob")), lambda whole: F.when(whole > 0, F.transform("_prob", lambda p: p / whole)))

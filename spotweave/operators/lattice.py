@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import subtract
 from spotweave.functions.vectors import vector_mean, vector_pop_std
+from spotweave.operators.blocks import block_of, block_side, block_sums, vector_columns, width_of
 from spotweave.operators.ordinals import exact_median, ordinal
 from spotweave.session import one_row
 
@@ -209,25 +210,58 @@ def view_features(views: DataFrame, token_vectors: DataFrame, vectors: DataFrame
     )
 
 
-def blend(views: DataFrame, token_vectors: DataFrame, vectors: DataFrame, token_width: int | None = None, patch_width: int | None = None) -> DataFrame:
-    """Weighted mean feature of every grid.
+def blend(
+    patches: DataFrame, views: DataFrame, token_vectors: DataFrame, vectors: DataFrame, token_width: int | None = None, patch_width: int | None = None,
+    stride: int = STRIDE, grid: int = GRID,
+) -> DataFrame:
+    """Weighted mean feature of every grid: ``(grid_index, feature, weight_sum, n_views_averaged)``.
 
-    The patch part is the same for all 256 views of a patch, and concatenation commutes with the weighted mean,
-    so the token part and the patch part are averaged separately: the views are never widened to the full
-    feature. For the patch part the weights are first summed per ``(patch, grid)``.
+    Patches are dealt to square blocks of the lattice with all their token vectors and their patch vector; in a block the
+    weights of the views times these vectors give the sums of its grids. Only grids that patches of other blocks can cover too
+    are merged afterwards. The patch part is the same for all 256 views of a patch, and concatenation commutes with the weighted
+    mean, so the views are never widened to the full feature. ``patches``: ``(patch_index, x0, y0)``.
     """
-    token_part = views.join(token_vectors, ["patch_index", "token_linear"]).groupBy("grid_index").agg(
-        vector_mean(F.col("token"), token_width, F.col("weight")).alias("_token"),
-        F.sum("weight").alias("weight_sum"),
-        F.count(F.lit(1)).alias("n_views_averaged"),
-    )
-    light = views.groupBy("grid_index", "patch_index").agg(F.sum("weight").alias("_w"))
-    patch_part = light.join(vectors, "patch_index").groupBy("grid_index").agg(
-        vector_mean(F.col("patch_vector"), patch_width, F.col("_w")).alias("_patch")
-    )
-    return token_part.join(patch_part, "grid_index").select(
-        "grid_index", F.concat("_token", "_patch").alias("feature"), "weight_sum", "n_views_averaged"
-    )
+    means = token_means(patches, views, token_vectors, vectors, token_width, patch_width, stride, grid)
+    return means.select("grid_index", F.concat("token_mean", "patch_mean").alias("feature"), "weight_sum", "n_views_averaged")
+
+
+def token_means(
+    patches: DataFrame, views: DataFrame, token_vectors: DataFrame, vectors: DataFrame | None = None, token_width: int | None = None,
+    patch_width: int | None = None, stride: int = STRIDE, grid: int = GRID,
+) -> DataFrame:
+    """``(grid_index, token_mean[, patch_mean], weight_sum, n_views_averaged)``: the parts of :func:`blend`.
+
+    A NULL vector is left out with its weight; a grid with none that counts is an error. Views without a token row drop.
+    """
+    widths = [token_width or width_of(token_vectors, "token")] + ([patch_width or width_of(vectors, "patch_vector")] if vectors is not None else [])
+    # A patch brings its tokens, and leaves about (patch / stride)^-2 as many grids with all parts.
+    side = block_side(256 * 8 * widths[0] + 16 * 8 * sum(widths), 32)
+    origins = patches.select("patch_index", "x0", "y0", block_of(F.col("x0"), side * stride).alias("bx"), block_of(F.col("y0"), side * stride).alias("by"))
+    numbered = lambda df: df.withColumn("source", F.col("patch_index").cast("long") * 256 + F.col("token_linear"))
+
+    def shared(axis: str, step: Column) -> Column:
+        """The patches over a grid start within a patch's side before it: can they lie in two blocks?"""
+        place = F.col(axis) + step * grid
+        first = F.greatest(F.lit(0), F.ceil((place - (TOKENS - 1) * grid) / stride) * stride)
+        return block_of(first, side * stride) != block_of(F.floor(place / stride) * stride, side * stride)
+
+    border = shared("x0", F.col("token_linear") % TOKENS) | shared("y0", F.floor(F.col("token_linear") / TOKENS))
+    kinds = [F.struct(F.lit(0).alias("kind"), F.col("source"))]
+    rows = numbered(token_vectors).join(origins, "patch_index").select("bx", "by", F.lit(0).alias("kind"), "source", *vector_columns(token_vectors, "token"))
+    if vectors is not None:
+        kinds.append(F.struct(F.lit(1).alias("kind"), F.col("patch_index").cast("long").alias("source")))
+        rows = rows.unionByName(vectors.join(origins, "patch_index").select(
+            "bx", "by", F.lit(1).alias("kind"), F.col("patch_index").cast("long").alias("source"), *vector_columns(vectors, "patch_vector")))
+    weights = numbered(views.join(origins, "patch_index")).select(
+        "bx", "by", F.col("grid_index").alias("target"), border.alias("border"), F.explode(F.array(*kinds)).alias("k"), F.col("weight").cast("double").alias("weight")
+    ).select("bx", "by", "target", "border", "k.kind", "k.source", "weight")
+    sums = block_sums(weights, rows, widths)
+    bad = F.raise_error(F.lit("A grid has no vector that counts.")).cast("array<double>")
+    mean = lambda k: F.when(F.col(f"used_weight{k}") > 0, F.transform(f"sum{k}", lambda v: v / F.col(f"used_weight{k}"))).otherwise(bad)
+    if vectors is not None:
+        sums = sums.where("n1 > 0")
+    parts = [mean(k).alias(name) for k, name in enumerate(["token_mean", "patch_mean"][: len(widths)])]
+    return sums.select(F.col("target").alias("grid_index"), *parts, F.col("weight0").alias("weight_sum"), F.col("n0").alias("n_views_averaged"))
 
 
 def with_tissue_flags(grids: DataFrame) -> DataFrame:

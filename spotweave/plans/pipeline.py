@@ -159,7 +159,7 @@ def ge(
         raise ValueError("Give an encoder, or tiles and tokens.")
     lattice.require_encoded(patches, views, tiles, tokens)
     stats = durable(lattice.neighbour_stats(patches, tiles, stride))
-    features = durable(lattice.blend(views, tokens, lattice.patch_vectors(stats, neighbour_mode)))
+    features = durable(lattice.blend(patches, views, tokens, lattice.patch_vectors(stats, neighbour_mode), stride=stride, grid=grid))
     missing = placed.join(features, "grid_index", "left_anti").count()
     if missing:
         raise RuntimeError(f"{missing} grids received no token view.")

@@ -193,14 +193,12 @@ def _(fx):
 
 @query("g11_weighted_token_mean", "grid_index:i pos:i value:d", "SELECT grid_index, pos, sum(weight * v) / sum(weight) AS value FROM {token_vec} GROUP BY 1, 2")
 def _(fx):
-    joined = d.views(fx).join(d.token_vectors(fx), ["patch_index", "token_linear"])
-    return joined.groupBy("grid_index").agg(vector_mean(F.col("token"), None, F.col("weight")).alias("v")).select(
-        "grid_index", F.posexplode("v").alias("pos", "value"))
+    return lattice.token_means(d.patches(fx), d.views(fx), d.token_vectors(fx)).select("grid_index", F.posexplode("token_mean").alias("pos", "value"))
 
 
 @query("g11_weight_sums", "grid_index:i weight_sum:d n_views:i", "SELECT grid_index, sum(weight) AS weight_sum, count(*) AS n_views FROM {views} GROUP BY 1")
 def _(fx):
-    return d.views(fx).groupBy("grid_index").agg(F.sum("weight").alias("weight_sum"), F.count(F.lit(1)).alias("n_views"))
+    return lattice.token_means(d.patches(fx), d.views(fx), d.token_vectors(fx)).withColumnRenamed("n_views_averaged", "n_views")
 
 
 @query("g12_duplicates", "grid_index:i n:i", "SELECT grid_index, count(*) AS n FROM {views} GROUP BY 1")
@@ -226,7 +224,7 @@ def _(fx):
     UNION ALL SELECT grid_index, 128 + pos, sum(weight * (mean - tile)) / sum(weight) FROM {views} JOIN {near_full} USING (patch_index) GROUP BY 1, 2
     UNION ALL SELECT grid_index, 192 + pos, sum(weight * std) / sum(weight) FROM {views} JOIN {near_full} USING (patch_index) GROUP BY 1, 2""")
 def _(fx):
-    features = lattice.blend(d.views(fx), d.token_vectors(fx), lattice.patch_vectors(d.tile_stats(fx), "delta_std"))
+    features = lattice.blend(d.patches(fx), d.views(fx), d.token_vectors(fx), lattice.patch_vectors(d.tile_stats(fx), "delta_std"))
     return features.select("grid_index", F.posexplode("feature").alias("pos", "value"))
 
 

@@ -162,12 +162,82 @@ def test_isolated_patch_keeps_its_own_vector(spark):
 
 
 def test_blending_a_constant_gives_the_constant(spark):
+    patches = spark.createDataFrame([(0, 0, 0), (1, 72, 0)], "patch_index long, x0 int, y0 int")
     views = spark.createDataFrame([(0, 0, 7, 0.2), (0, 1, 7, 0.9), (1, 0, 7, 0.4), (1, 1, 8, 0.001)], "patch_index long, token_linear int, grid_index long, weight double")
     tokens = views.selectExpr("patch_index", "token_linear", "array(2.0F, 3.0F) AS token")
     vectors = spark.createDataFrame([(0, [4.0]), (1, [4.0])], "patch_index long, patch_vector array<double>")
-    blended = lattice.blend(views, tokens, vectors, 2, 1)
+    blended = lattice.blend(patches, views, tokens, vectors, 2, 1)
     assert {r.grid_index: [round(v, 12) for v in r.feature] for r in blended.collect()} == {7: [2.0, 3.0, 4.0], 8: [2.0, 3.0, 4.0]}
-    assert "partial_sum" in _plan(blended)
+
+
+@pytest.mark.parametrize("width", [3, 1280, 4000])
+def test_blending_by_blocks(spark, monkeypatch, width):
+    """Patches over several blocks, wide vectors, one of them missing: against plain sums over all views."""
+    from spotweave.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 4 * (256 * 8 * width + 16 * 8 * (width + 2)))  # two patches a side
+    seen, plain = [], blocks.block_sums
+
+    def watched(weights, rows, widths):
+        seen.append((weights, rows))
+        return plain(weights, rows, widths)
+
+    monkeypatch.setattr(lattice, "block_sums", watched)
+    rng = np.random.default_rng(width)
+    places = [(x, y) for y in range(2) for x in (0, 1, 2, 5)] if width > 3 else [(x, y) for y in range(6) for x in range(6) if (x, y) != (2, 3)]
+    patches = spark.createDataFrame([(i, 72 * x, 72 * y) for i, (x, y) in enumerate(places)], "patch_index long, x0 int, y0 int")
+    shown = lattice.token_grids(patches)
+    numbers = {xy: n for n, xy in enumerate(sorted({(r.x0, r.y0) for r in shown.collect()}))}
+    listed = spark.createDataFrame([(x, y, n) for (x, y), n in numbers.items()], "x0 int, y0 int, grid_index long")
+    views = lattice.token_to_grid(shown, listed).select("patch_index", "token_linear", "grid_index", "weight")
+    base = rng.standard_normal(width).astype(np.float32).astype(float)
+    scale = lambda p, t: np.float32(((p * 256 + t) % 17) / 8.0)
+    literal = ", ".join(f"CAST({float(v)!r} AS FLOAT)" for v in base)
+    tokens = shown.select("patch_index", "token_linear").selectExpr(
+        "patch_index", "token_linear", f"CASE WHEN patch_index = 1 AND token_linear = 40 THEN NULL ELSE transform(array({literal}), v -> CAST(v * ((patch_index * 256 + token_linear) % 17) / 8 AS FLOAT)) END AS token")
+    own = {i: rng.standard_normal(2) for i in range(len(places))}
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in own.items()], "patch_index long, patch_vector array<double>")
+    got = {r.grid_index: r for r in lattice.blend(patches, views, tokens.repartition(3), vectors).collect()}
+    sums = {}
+    for r in views.collect():
+        s = sums.setdefault(r.grid_index, [0.0, 0.0, np.zeros(2), 0.0, 0])
+        if (r.patch_index, r.token_linear) != (1, 40):
+            s[0] += r.weight * float(scale(r.patch_index, r.token_linear))
+            s[1] += r.weight
+        s[2] += r.weight * own[r.patch_index]
+        s[3] += r.weight
+        s[4] += 1
+    assert sorted(got) == sorted(sums) == list(range(len(numbers)))
+    for g, (scaled, used, patch, weight, n) in sums.items():
+        assert np.allclose(got[g].feature, np.concatenate([base * scaled / used, patch / weight]), atol=1e-5)
+        assert got[g].n_views_averaged == n and got[g].weight_sum == pytest.approx(weight)
+    weights, rows = seen[0]
+    assert weights.select("bx", "by").distinct().count() > 1 and 0 < weights.where("border").count() < weights.count()
+    assert rows.where("kind = 0").count() == 256 * len(places)  # every token vector is sent once
+
+
+def test_polygon_vectors_move_once(spark, monkeypatch, tmp_path):
+    """Polygons over few and many blocks: sums as by hand; sent are the grids once and a partial vector per border polygon and block."""
+    from spotweave.operators import aggregate, blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 4 * 4 * 8 * 6)  # blocks of four grids a side
+    rng = np.random.default_rng(4)
+    grids = [(i, (i % 20) * 18, (i // 20) * 18, rng.standard_normal(4).tolist(), rng.random(2).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(grids, "ord long, x0 long, y0 long, expr array<double>, prob array<double>")
+    hits = [(c, *grids[g][1:3], g, float(rng.random())) for c in range(300) for g in sorted(set((rng.integers(0, 4, 3) + 20 * rng.integers(0, 4, 3) + 84).tolist()))]
+    hits += [(900, *g[1:3], g[0], 0.5) for g in grids] + [(901, 9000, 9000, 7777, 1.0)]
+    table = spark.createDataFrame(hits, "cell_id long, x0 long, y0 long, ord long, weight double")
+    got = {r.cell_id: r for r in aggregate.polygon_sums(table, frame, 18).collect()}
+    assert sorted(got) == sorted({h[0] for h in hits} - {901})
+    for c, r in got.items():
+        own = [(h[4], grids[h[3]]) for h in hits if h[0] == c]
+        assert np.allclose(r._expr, sum(w * np.array(g[3]) for w, g in own)) and np.allclose(r._prob, sum(w * np.array(g[4]) for w, g in own))
+        assert r._n_grids == len(own) and r._weight == pytest.approx(sum(w for w, _ in own))
+    path = str(tmp_path / "partial")
+    monkeypatch.setattr(blocks, "scratch_path", lambda spark, name: path)
+    aggregate.polygon_sums(table, frame, 18).count()
+    partial = spark.read.parquet(path)
+    assert partial.where("target < 900").count() == 300 and partial.where("target = 900").count() == 25 == partial.where("border").count()
 
 
 def _wound_area(ring, step=0.02):
