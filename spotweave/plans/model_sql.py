@@ -1,4 +1,4 @@
-"""The forward pass and the loss of the model as SQL over lists, for given parameters."""
+"""The forward pass and the loss of the model as SQL, with the parameters as a relation that the rows are joined to."""
 
 from __future__ import annotations
 
@@ -7,21 +7,26 @@ import numpy as np
 from spotweave.operators.heads import Params
 
 _ROOT2 = "1.4142135623730951e0"
+_KEYS = "grid_index, target_ord"
 
 
 def _list(values: np.ndarray) -> str:
-    if values.ndim > 1:
-        return "[" + ", ".join(_list(v) for v in values) + "]"
     return "[" + ", ".join(f"{float(v):.17e}" for v in values) + "]"
 
 
-def _dense(p: Params, name: str, x: str) -> str:
-    w, b = p[f"{name}.w"], p[f"{name}.b"]
-    return f"list_transform(range(1, {b.size + 1}), lambda i: list_dot_product({x}, {_list(w.T)}[i]) + {_list(b)}[i])"
+def weights_sql(p: Params) -> str:
+    """``(layer, i, b, j, w)``: a row per weight, with the shift of its unit."""
+    layers = [k[:-2] for k in p if k.endswith(".w")]
+    units = [f"('{name}', {i}, {float(p[name + '.b'][i]):.17e}, {_list(column)})" for name in layers for i, column in enumerate(p[f"{name}.w"].T)]
+    return f"SELECT layer, i, b, unnest(range(len(ws))) AS j, unnest(ws) AS w FROM (VALUES {', '.join(units)}) AS units(layer, i, b, ws)"
 
 
-def _each(z: str, value: str) -> str:
-    return f"list_transform({z}, lambda v: {value})"
+def _dense(prefix: str, name: str, source: str) -> str:
+    return f"(SELECT {_KEYS}, i AS pos, sum(v * w) + max(b) AS v FROM {source} JOIN {{{prefix}_weights}} ON layer = '{name}' AND j = pos GROUP BY {_KEYS}, i)"
+
+
+def _each(source: str, value: str) -> str:
+    return f"SELECT {_KEYS}, pos, {value} AS v FROM {source}"
 
 
 def _gelu() -> str:
@@ -31,38 +36,38 @@ def _gelu() -> str:
     return f"v * 0.5e0 * (1e0 + sign(v) * (1e0 - {poly} * exp(-v * v / 2e0)))"
 
 
-def _norm(x: str) -> str:
-    return f"list_transform({x}, lambda v: (v - list_avg({x})) / sqrt(list_var_pop({x}) + 1e-5))"
+def _norm(source: str) -> str:
+    return f"SELECT {_KEYS}, pos, (v - avg(v) OVER own) / sqrt(var_pop(v) OVER own + 1e-5) AS v FROM {source} WINDOW own AS (PARTITION BY {_KEYS})"
 
 
 def forward_parts(prefix: str, p: Params) -> dict[str, str]:
     """Steps from ``{model_input}`` (``grid_index, target_ord, x``) to ``{<prefix>_out}`` with ``expr`` and ``prob``.
 
-    The scale and shift of the norms are those of fresh parameters, 1 and 0.
+    Between them a row is one element of one grid's vector. The scale and shift of the norms are those of fresh parameters, 1 and 0.
     """
-    parts: dict[str, str] = {}
-    keys = "grid_index, target_ord"
-    parts[f"{prefix}_act"] = f"SELECT {keys}, {_each('z', _gelu())} AS a FROM (SELECT {keys}, {_dense(p, 'proj', 'x')} AS z FROM {{model_input}})"
-    parts[f"{prefix}_h"] = f"SELECT {keys}, {_norm('a')} AS h FROM {{{prefix}_act}}"
-    source, x = f"{{{prefix}_h}}", "h"
-    layers = sum(1 for k in p if k.startswith("gene") and k.endswith(".w"))
+    part = lambda name: f"{{{prefix}_{name}}}"
+    parts = {f"{prefix}_weights": weights_sql(p)}
+    parts[f"{prefix}_x"] = f"SELECT {_KEYS}, unnest(range(len(x))) AS pos, unnest(x) AS v FROM {{model_input}}"
+    parts[f"{prefix}_act"] = _each(_dense(prefix, "proj", part("x")), _gelu())
+    parts[f"{prefix}_h"] = _norm(part("act"))
+    source, layers = part("h"), sum(1 for k in p if k.startswith("gene") and k.endswith(".w"))
     for i in range(layers):
         soft = "greatest(v, 0e0) + ln(1e0 + exp(-abs(20e0 * v))) / 20e0"
-        step = soft if i == layers - 1 else "CASE WHEN v >= 0 THEN v ELSE 0.01e0 * v END"
-        parts[f"{prefix}_gene{i}"] = f"SELECT {keys}, {_each('z', step)} AS u FROM (SELECT {keys}, {_dense(p, f'gene{i}', x)} AS z FROM {source})"
-        source, x = f"{{{prefix}_gene{i}}}", "u"
-    parts[f"{prefix}_t"] = f"SELECT {keys}, h, {_each('z', _gelu())} AS t FROM (SELECT {keys}, h, {_dense(p, 'type_in', 'n')} AS z FROM (SELECT {keys}, h, {_norm('h')} AS n FROM {{{prefix}_h}}))"
-    parts[f"{prefix}_q"] = (
-        f"SELECT {keys}, {_each('z', _gelu())} AS q FROM (SELECT {keys}, list_transform(range(1, len(h) + 1), lambda i: h[i] + r[i]) AS z FROM (SELECT {keys}, h, {_dense(p, 'type_out', 't')} AS r FROM {{{prefix}_t}}))")
-    parts[f"{prefix}_soft"] = f"SELECT {keys}, {_each('z', 'exp((v - list_max(z)) / 2e0)')} AS e FROM (SELECT {keys}, {_dense(p, 'type_class', 'q')} AS z FROM {{{prefix}_q}})"
+        parts[f"{prefix}_gene{i}"] = _each(_dense(prefix, f"gene{i}", source), soft if i == layers - 1 else "CASE WHEN v >= 0 THEN v ELSE 0.01e0 * v END")
+        source = part(f"gene{i}")
+    parts[f"{prefix}_n"] = _norm(part("h"))
+    parts[f"{prefix}_t"] = _each(_dense(prefix, "type_in", part("n")), _gelu())
+    both = f"(SELECT {_KEYS}, pos, h.v + r.v AS v FROM {part('h')} AS h JOIN {_dense(prefix, 'type_out', part('t'))} AS r USING ({_KEYS}, pos))"
+    parts[f"{prefix}_q"] = _each(both, _gelu())
+    parts[f"{prefix}_e"] = f"SELECT {_KEYS}, pos, exp((v - max(v) OVER (PARTITION BY {_KEYS})) / 2e0) AS v FROM {_dense(prefix, 'type_class', part('q'))}"
     parts[f"{prefix}_out"] = (
-        f"SELECT {keys}, list_transform(u, lambda v: CAST(v AS FLOAT)) AS expr, list_transform(e, lambda v: CAST(v / list_sum(e) AS FLOAT)) AS prob "
-        f"FROM {source} JOIN {{{prefix}_soft}} USING ({keys})")
+        f"SELECT {_KEYS}, expr, prob FROM (SELECT {_KEYS}, list(CAST(v AS FLOAT) ORDER BY pos) AS expr FROM {source} GROUP BY {_KEYS}) JOIN "
+        f"(SELECT {_KEYS}, list(CAST(v / s AS FLOAT) ORDER BY pos) AS prob FROM (SELECT *, sum(v) OVER (PARTITION BY {_KEYS}) AS s FROM {part('e')}) GROUP BY {_KEYS}) USING ({_KEYS})")
     n_genes, n_types = p[f"gene{layers - 1}.b"].size, p["type_class.b"].size
     parts[f"{prefix}_bag"] = (
         "SELECT target_ord, count(*) AS n_grids, " + ", ".join(f"sum(CAST(expr[{i + 1}] AS DOUBLE)) AS e{i}" for i in range(n_genes)) + ", "
         + ", ".join(f"avg(CAST(prob[{i + 1}] AS DOUBLE)) AS q{i}" for i in range(n_types))
-        + f", sum(-ln(greatest(CAST(list_max(prob) AS DOUBLE), 1e-8))) AS conf FROM {{{prefix}_out}} GROUP BY 1")
+        + f", sum(-ln(greatest(CAST(list_max(prob) AS DOUBLE), 1e-8))) AS conf FROM {part('out')} GROUP BY 1")
     return parts
 
 
