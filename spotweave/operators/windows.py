@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.text import hex_channel, known_label, label_color, label_key
 from spotweave.operators.ordinals import last_wins
+from spotweave.operators.painting import painted_runs, pixels_of
 from spotweave.session import broadcast_if_small, one_row
 
 
@@ -17,7 +18,7 @@ def checked_window(window) -> tuple[int, int, int, int]:
         raise ValueError("A window needs x0, y0, x1, y1.")
     x0, y0, x1, y1 = (int(round(float(v))) for v in values)
     if x1 <= x0 or y1 <= y0:
-        raise ValueError(f"Invalid window: {(x0, y0, x1, y1)}")
+        raise ValueError(f"A window needs x0 < x1 and y0 < y1, got {(x0, y0, x1, y1)}.")
     return x0, y0, x1, y1
 
 
@@ -111,7 +112,7 @@ def measured_values(polygon_ids: DataFrame, measured: DataFrame, gene: str) -> D
     """
     chosen = measured.where(F.col("gene") == gene)
     if chosen.isEmpty():
-        raise ValueError(f"Gene {gene!r} is not present.")
+        raise ValueError(f"No measured values of gene {gene!r}.")
     values = last_wins(chosen.select(F.col("xen_cell_id").cast("string").alias("_id"), "ord", F.col("log1p_count").alias("value")), ["_id"], "ord")
     return polygon_ids.join(values.select("_id", "value"), F.col("cell_id").cast("string") == F.col("_id")).drop("_id")
 
@@ -119,14 +120,9 @@ def measured_values(polygon_ids: DataFrame, measured: DataFrame, gene: str) -> D
 def painted(table: DataFrame, payload: list[str], order: str = "ord") -> DataFrame:
     """``(px, py, *payload)``: pixels of the clipped rectangles; where they overlap, the later row shows.
 
-    A rectangle covers a bounded number of pixels; overlaps combine before the shuffle.
+    The rectangles are painted as runs (:func:`spotweave.operators.painting.painted_runs`), which become pixels last.
     """
-    pixels = table.select(
-        order, *payload, F.explode(F.sequence(F.col("ly0"), F.col("ly1") - 1)).alias("py"), "lx0", "lx1"
-    ).select(order, *payload, "py", F.explode(F.sequence(F.col("lx0"), F.col("lx1") - 1)).alias("px"))
-    return pixels.groupBy("px", "py").agg(
-        *[F.max_by(c, order).alias(c) for c in payload]
-    )
+    return pixels_of(painted_runs(table, payload, order)).select("px", "py", *payload)
 
 
 def type_raster(grid_types: DataFrame, window) -> DataFrame:
@@ -152,7 +148,7 @@ def gene_column(grid_expr: DataFrame, genes: DataFrame, gene: str) -> DataFrame:
     """The value of one gene of an expression table. ``genes``: ``(ord, gene)``; an absent gene is an error."""
     found = genes.where(F.col("gene") == gene).agg(F.min("ord").alias("o")).first()["o"]
     if found is None:
-        raise ValueError(f"None of the requested genes are present: {[gene]}")
+        raise ValueError(f"The expression table has no gene {gene!r}.")
     return grid_expr.withColumn("value", F.get(F.col("expr"), F.lit(int(found)))).drop("expr")
 
 

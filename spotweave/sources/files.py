@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotweave.operators.counts import expression_only
-from spotweave.operators.ordinals import ordinal
+from spotweave.operators.ordinals import ordinal, running_total
 from spotweave.operators.spots import spot_table
-from spotweave.session import one_row
+from spotweave.session import broadcast_if_small, durable, one_row
 
 POSITION_SCHEMA = T.StructType([
     T.StructField("barcode", T.StringType()),
@@ -30,12 +30,25 @@ def _csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def _in_file_order(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Number the rows as they stand in the file, or within each key. ``df`` still carries ``_metadata``."""
+    """Number the rows as they stand in the file, or within each key. ``df`` still carries ``_metadata``.
+
+    Nothing is sorted to number a file: the rows of each split are counted, the counts are added up in the order of the splits, and a
+    row's number is the count before its split plus its place there. Both scans must cut the files alike; if they do not
+    (cores came or went between them), the job ends with an error.
+    """
+    part = ["_file", "_block", "_length"]
     marked = df.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("_metadata.file_block_length").alias("_length"), F.monotonically_increasing_id().alias("_row"),
     ).drop("_metadata")
-    return ordinal(marked, ["_file", "_block", "_row"], keys=list(keys), name=name).drop("_file", "_block", "_row")
+    if keys:
+        return ordinal(marked, ["_file", "_block", "_row"], keys=list(keys), name=name).drop(*part, "_row")
+    splits = marked.groupBy(*part).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = durable(running_total(splits, [], ["_file", "_block"], "_n", "_before").select(*part, "_first", "_before"))
+    placed = marked.join(broadcast_if_small(starts, starts.count()), part, "left")
+    same = F.shiftright("_row", 33) == F.shiftright("_first", 33)
+    number = F.when(same, F.col("_before") + F.col("_row") - F.col("_first")).otherwise(F.raise_error(F.lit("The files were cut in another way.")).cast("long"))
+    return placed.withColumn(name, number).drop(*part, "_row", "_first", "_before")
 
 
 def read_counts(spark: SparkSession, path: str, expression: bool = False) -> DataFrame:
@@ -49,9 +62,8 @@ def read_matrix_text(spark: SparkSession, matrix: str, genes: str, spots: str) -
 
     The size line is the first line that is no comment; it is found by its place in the file.
     """
-    lines = _in_file_order(
-        spark.read.text(matrix).where(~F.col("value").startswith("%") & (F.trim("value") != "")), "line"
-    ).where("line > 0")
+    shown = spark.read.text(matrix).where(~F.col("value").startswith("%") & (F.trim("value") != "")).select("value", "_metadata")
+    lines = _in_file_order(shown, "line").where("line > 0")
     parts = F.split(F.trim("value"), r"\s+")
     entries = lines.select(
         F.get(parts, F.lit(0)).cast("long").alias("gene_no"), F.get(parts, F.lit(1)).cast("long").alias("spot_no"),
@@ -73,7 +85,7 @@ def compressed_to_entries(pointers: DataFrame, entries: DataFrame, encoding: str
     entry is the number of pointers at or before it, minus one; only owners' own ranges are expanded.
     """
     if encoding not in ("csr_matrix", "csc_matrix"):
-        raise ValueError(f"Unsupported sparse encoding: {encoding!r}")
+        raise ValueError(f"A sparse matrix must be csr_matrix or csc_matrix, not {encoding!r}.")
     after = pointers.select((F.col("i") - 1).alias("i"), F.col("start").alias("stop"))
     # A long major line is first cut into ranges, which are dealt out before they are expanded.
     ranges = pointers.join(after, "i").where("stop > start").select(
