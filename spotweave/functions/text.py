@@ -120,5 +120,5 @@ def checked_dataset(name: str) -> str:
     """The supported data set names; anything else is an error."""
     chosen = str(name).lower()
     if chosen not in {"brca", "crc"}:
-        raise ValueError(f"Unsupported dataset: {name!r}")
+        raise ValueError(f"The data set must be brca or crc, not {name!r}.")
     return chosen

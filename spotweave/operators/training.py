@@ -8,12 +8,14 @@ size the architecture fixes, and nothing that grows with the data.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from spotweave.functions.arrays import first_max_index, normalised
 from spotweave.functions.vectors import vector_mean, vector_sum
 from spotweave.operators.heads import Params, backward, forward, initial_params, row_seeds
 from spotweave.operators.ordinals import ordinal
-from spotweave.session import durable, scratch_path
+from spotweave.session import durable, release, scratch_path
 
 _CHUNK = 4096   # parameters per gradient row
 _SLAB = 1024    # grids per numpy batch
@@ -265,55 +267,123 @@ def _batches(bag_features: DataFrame, options: FitOptions) -> tuple[list[DataFra
     return [stored(f"{path}/_batch={k}") for k in range(count)], [min(size, n - k * size) for k in range(count)]
 
 
+@dataclass
+class _State:
+    """What an epoch leaves behind: parameters, moments, and where the search for the best epoch stands."""
+
+    params: Params
+    moments: dict = field(default_factory=dict)
+    best_params: Params = field(default_factory=dict)
+    best: float = float("inf")
+    stop_best: float = float("inf")
+    waited: int = 0
+    best_epoch: int = 0
+    history: list[dict] = field(default_factory=list)
+
+    NUMBERS = ("best", "stop_best", "waited", "best_epoch", "history")
+
+
+def _store_epoch(spark, path: str, state: _State, mark: str) -> None:
+    """Write the state of an epoch; its record comes last, so a half-written epoch is never read. Older epochs are released."""
+    epoch = len(state.history) - 1
+    arrays = {k: v for k, v in state.moments.items() if k != "step"}
+    save_params(spark, state.params, f"{path}/epoch={epoch}/params")
+    save_params(spark, arrays, f"{path}/epoch={epoch}/moments")
+    if state.best_epoch == epoch:
+        save_params(spark, state.best_params, f"{path}/best={epoch}")
+    record = {"mark": mark, "epoch": epoch, "step": state.moments.get("step", 0), **{k: getattr(state, k) for k in _State.NUMBERS}}
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/records/epoch={epoch}")
+    if epoch:
+        release(spark, f"{path}/epoch={epoch - 1}")
+    for old in {h["best_epoch"] for h in state.history[:-1]} - {state.best_epoch}:
+        release(spark, f"{path}/best={old}")
+
+
+def _stored_epoch(spark, path: str, mark: str) -> _State | None:
+    """The state of the last epoch that was written whole, if it was made with the same options and data."""
+    try:
+        records = [json.loads(r["value"]) for r in spark.read.text(f"{path}/records").select("value").collect()]
+    except AnalysisException:
+        return None
+    last = max((r for r in records if r["mark"] == mark), key=lambda r: r["epoch"], default=None)
+    if last is None:
+        return None
+    moments = {**load_params(spark, f"{path}/epoch={last['epoch']}/moments"), "step": last["step"]}
+    best = load_params(spark, f"{path}/best={last['best_epoch']}")
+    return _State(load_params(spark, f"{path}/epoch={last['epoch']}/params"), moments, best, **{k: last[k] for k in _State.NUMBERS})
+
+
 def fit(
     bag_features: DataFrame, targets: DataFrame, n_in: int, n_genes: int, n_types: int, options: FitOptions,
-    validation: tuple[DataFrame, DataFrame] | None = None,
+    validation: tuple[DataFrame, DataFrame] | None = None, state_path: str | None = None,
 ) -> FitResult:
     """Synchronous data-parallel AdamW with best-by-metric selection and early stopping.
 
     Spots are dealt to batches once, in a seeded order, and their grids are stored by batch, so that a step reads its own rows
     only; epochs go through the batches in changing order. The monitored value is the training loss (with dropout), or the
-    validation loss (without) if given.
+    validation loss (without) if given. Each epoch's record has the losses, and the best epoch so far.
+
+    With ``state_path`` (a folder on shared storage) parameters, moments, best epoch and patience are written after every epoch, and a
+    fit that finds the state of an earlier run with the same options goes on from its last whole epoch. Masks and the order of
+    batches follow from the seed, the epoch and the step, so the history is the same as without the break.
     """
-    params = initial_params(n_in, n_genes, n_types, options.projection_dim, options.seed, options.hidden, options.type_hidden)
-    result = FitResult(params, monitor="train_loss_epoch" if validation is None else "val_loss")
-    state: dict = {}
-    best, stop_best, waited = float("inf"), float("inf"), 0
+    spark = bag_features.sparkSession
+    monitor = "train_loss_epoch" if validation is None else "val_loss"
     batches, n_spots = _batches(bag_features, options)
     held = validation[0].select("target_ord").distinct().count() if validation is not None else 0
+    mark = repr((asdict(options) | {"max_epochs": None}, n_in, n_genes, n_types, n_spots, held))
+    state = _stored_epoch(spark, state_path, mark) if state_path else None
+    if state is None:
+        params = initial_params(n_in, n_genes, n_types, options.projection_dim, options.seed, options.hidden, options.type_hidden)
+        state = _State(params, best_params=params)
     order = np.random.default_rng(options.seed)
     for epoch in range(options.max_epochs):
+        steps = order.permutation(len(batches)).tolist()
+        if epoch < len(state.history):
+            continue
+        if state.waited >= options.patience:
+            break
         epoch_loss = {"loss": 0.0, "expr_loss": 0.0, "type_loss": 0.0}
-        steps = 0
-        for step in order.permutation(len(batches)).tolist():
+        for step in steps:
             draw = (options.seed * 1_000_003 + epoch) * 1_000_003 + step
-            row, gradient = loss_and_gradient(batches[step], targets, params, options, n_spots=n_spots[step], dropout=options.dropout, seed=draw)
-            params = adamw_step(params, gradient, state, options.lr, options.weight_decay)
-            steps += 1
+            row, gradient = loss_and_gradient(batches[step], targets, state.params, options, n_spots=n_spots[step], dropout=options.dropout, seed=draw)
+            state.params = adamw_step(state.params, gradient, state.moments, options.lr, options.weight_decay)
             for key in epoch_loss:
                 epoch_loss[key] += row[key]
-        record = {"epoch": epoch, **{f"train_{k}": v / max(steps, 1) for k, v in epoch_loss.items()}}
+        record = {"epoch": epoch, **{f"train_{k}": float(v / max(len(steps), 1)) for k, v in epoch_loss.items()}}
         if validation is not None:
-            row, _ = loss_and_gradient(validation[0], validation[1], params, options, with_gradient=False, n_spots=held)
-            record["val_loss"] = row["loss"]
+            row, _ = loss_and_gradient(validation[0], validation[1], state.params, options, with_gradient=False, n_spots=held)
+            record["val_loss"] = float(row["loss"])
         watched = record["val_loss"] if validation is not None else record["train_loss"]
-        result.history.append(record)
-        if watched < best:
-            best, result.params, result.best_epoch = watched, params, epoch
-        if watched < stop_best - options.min_delta:
-            stop_best, waited = watched, 0
+        if watched < state.best:
+            state.best, state.best_params, state.best_epoch = watched, state.params, epoch
+        if watched < state.stop_best - options.min_delta:
+            state.stop_best, state.waited = watched, 0
         else:
-            waited += 1
-            if waited >= options.patience:
-                break
-    return result
+            state.waited += 1
+        state.history.append(record | {"best_epoch": state.best_epoch})
+        if state_path:
+            _store_epoch(spark, state_path, state, mark)
+    return FitResult(state.best_params, state.history, state.best_epoch, monitor)
+
+
+#: Numbers of a stored row of parameters.
+_STORED = 1 << 20
 
 
 def save_params(spark, params: Params, path: str) -> None:
-    """Parameters as a parquet table ``(name, shape, values)``."""
-    rows = [(name, [int(s) for s in v.shape], [float(x) for x in v.ravel()]) for name, v in params.items()]
-    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+    """Parameters as a parquet table ``(name, shape, part, numbers)``: doubles as bytes, in parts of bounded size."""
+    rows = [
+        (name, [int(s) for s in np.shape(v)], i, bytearray(np.ascontiguousarray(v, np.float64).ravel()[first : first + _STORED].tobytes()))
+        for name, v in params.items() for i, first in enumerate(range(0, max(1, np.size(v)), _STORED))
+    ]
+    spark.createDataFrame(rows, "name string, shape array<int>, part int, numbers binary").write.mode("overwrite").parquet(path)
 
 
 def load_params(spark, path: str) -> Params:
-    return {r["name"]: np.asarray(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).toLocalIterator()}
+    parts: dict[str, dict[int, np.ndarray]] = {}
+    shapes: dict[str, list[int]] = {}
+    for r in spark.read.parquet(path).toLocalIterator():
+        parts.setdefault(r["name"], {})[r["part"]] = np.frombuffer(r["numbers"], np.float64)
+        shapes[r["name"]] = r["shape"]
+    return {name: np.concatenate([own[i] for i in sorted(own)]).reshape(shapes[name]) for name, own in parts.items()}

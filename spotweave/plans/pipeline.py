@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -31,22 +32,46 @@ class Result:
         return self.tables[name]
 
 
-def _reused(spark, output_dir: str | None, policy: str) -> Result | None:
-    """What an earlier run has stored, if ``policy`` is ``reuse`` and that run got as far as its summary, written last."""
+def _fingerprint(step: str, given: dict) -> str | None:
+    """What a run was asked: the step, its plain arguments, and per input table the schema, the number of rows and a sum over hashes of
+    all rows (their order does not count). None if nothing is stored. The tables are read once for it.
+    """
+    if not given.get("output_dir"):
+        return None
+    told: dict[str, object] = {"step": step}
+    for name, value in sorted(given.items()):
+        if name in ("output_dir", "policy", "state_path"):
+            continue
+        if isinstance(value, DataFrame):
+            columns = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in value.schema]
+            row = value.select(F.xxhash64(*columns).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+            told[name] = [value.schema.simpleString(), row["n"], str(row["s"])]
+        elif callable(value):
+            told[name] = f"{getattr(value, '__module__', '')}.{getattr(value, '__qualname__', type(value).__qualname__)}"
+        else:
+            told[name] = repr(value)
+    return hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
+
+
+def _reused(spark, output_dir: str | None, policy: str, mark: str | None) -> Result | None:
+    """What an earlier run has stored, if ``policy`` is ``reuse``, that run was asked the same and got as far as its summary, written last."""
     if policy != "reuse" or not output_dir:
         return None
     try:
         summary = json.loads(spark.read.text(f"{output_dir}/summary").first()["value"])
     except AnalysisException:
         return None
+    if summary.get("fingerprint") != mark:
+        return None
     return Result({name: spark.read.parquet(f"{output_dir}/{name}") for name in summary["tables"]}, summary)
 
 
-def _store(result: Result, spark, output_dir: str | None, policy: str) -> Result:
+def _store(result: Result, spark, output_dir: str | None, policy: str, mark: str | None) -> Result:
+    """Write all tables and, last, the summary. Under ``reuse`` whatever lies there was made from something else and is replaced."""
     if output_dir:
-        result.summary["tables"] = sorted(result.tables)
+        result.summary |= {"tables": sorted(result.tables), "fingerprint": mark}
         for name, table in result.tables.items():
-            sinks.write_table(table, f"{output_dir}/{name}", policy)
+            sinks.write_table(table, f"{output_dir}/{name}", "replace" if policy == "reuse" else policy)
         sinks.write_summary(spark, result.summary, f"{output_dir}/summary")
     return result
 
@@ -63,9 +88,10 @@ def deconv(
     <patient>[, consensus_keep])``; ``ref_counts``: ``(cell_id, gene, count)``. With ``run=False`` only the prepared
     inputs are returned.
     """
+    mark = _fingerprint("deconv", locals())
     chosen = checked_dataset(dataset)
     spark = counts.sparkSession
-    if (stored := _reused(spark, output_dir, policy)) is not None:
+    if (stored := _reused(spark, output_dir, policy, mark)) is not None:
         return stored
     collapsed = count_ops.collapse_duplicate_genes(counts)
     coordinates = spots.aligned_positions(counts, positions)
@@ -81,7 +107,7 @@ def deconv(
     }
     prepared = {"coordinates": coordinates, "reference_cells": labelled, "cell_type_order": order}
     if not run:
-        return _store(Result(prepared, summary), spark, output_dir, policy)
+        return _store(Result(prepared, summary), spark, output_dir, policy, mark)
 
     profiles = count_ops.reference_profiles(ref_counts, labelled)
     mixed = durable(proportions.mixture_proportions(collapsed, profiles, types, rounds, minimum))
@@ -105,7 +131,7 @@ def deconv(
         absent = mixed.where("p IS NULL").select(F.col("barcode").alias("spot_id"))
         tables["merged_proportions"] = proportions.with_missing_spots(
             proportions.merged_proportions(known, merge), absent, merge.select(F.col("target").alias("cell_type")))
-    return _store(Result(tables, summary), spark, output_dir, policy)
+    return _store(Result(tables, summary), spark, output_dir, policy, mark)
 
 
 def ge(
@@ -120,12 +146,13 @@ def ge(
     Patch vectors come from an ``encoder`` applied to ``patch_source(patches)`` (patch rows with their image data), or
     ready made as ``tiles(patch_index, tile)`` and ``tokens(patch_index, token_linear, token)``.
     """
+    mark = _fingerprint("ge", locals())
     chosen = checked_dataset(dataset)
     if patch_size % 16:
         raise ValueError("patch_size must be a multiple of 16.")
     sample = sample_id or {"brca": "BREAST", "crc": "COLON_P2"}[chosen]
     spark, grid = positions.sparkSession, patch_size // 16
-    if (stored := _reused(spark, output_dir, policy)) is not None:
+    if (stored := _reused(spark, output_dir, policy, mark)) is not None:
         return stored
     table = durable(spots.spot_table(positions, sample))
     box = one_row(lattice.spot_extent(spots.in_tissue(positions)))
@@ -150,7 +177,7 @@ def ge(
     rules = {"patch_size": patch_size, "stride": stride, "selection_rule": "centre in spot box and on tissue", "fullres_bbox": box}
     tables = {"patches": sinks.patch_table(patches, rules), "grids": placed, "spots": table}
     if metadata_only:
-        return _store(Result(tables, summary), spark, output_dir, policy)
+        return _store(Result(tables, summary), spark, output_dir, policy, mark)
 
     if encoder is not None:
         encoded = durable(encode_patches(patch_source(patches) if patch_source else patches, encoder))
@@ -166,7 +193,7 @@ def ge(
     tables["grid_embedding"] = placed.join(features, "grid_index")
     summary.update(lattice.blend_report(features, stats))
     summary.update({"complete": True, "feature_dim": one_row(features.agg(F.max(F.size("feature")).alias("n")))["n"]})
-    return _store(Result(tables, summary), spark, output_dir, policy)
+    return _store(Result(tables, summary), spark, output_dir, policy, mark)
 
 
 def _spot_targets(counts: DataFrame, gene_list: DataFrame | None, sample: str) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +208,9 @@ def _spot_targets(counts: DataFrame, gene_list: DataFrame | None, sample: str) -
         available = ordinal(expression.select("gene").distinct(), ["gene"], name="ord")
     genes = durable(count_ops.requested_genes(available if gene_list is None else gene_list, available))
     dense = count_ops.dense_by_spot(expression, genes)
-    numbered = ordinal(dense, ["barcode"], name="target_ord")
+    if "spot_ord" in expression.columns:
+        dense = dense.join(expression.groupBy("barcode").agg(F.min("spot_ord").alias("spot_ord")), "barcode")
+    numbered = ordinal(dense, ["spot_ord", "barcode"] if "spot_ord" in dense.columns else ["barcode"], name="target_ord").drop("spot_ord")
     return numbered.withColumn("spot_id", spot_id_for_model(F.col("barcode"), sample)), genes
 
 
@@ -193,18 +222,22 @@ def train(
     """Fit the expression and type heads on spot totals, evaluate them, and predict every grid.
 
     ``grid_embedding``: ``(grid_index, spot_index, is_tissue, feature, ...)``; ``position_spots``: ``(spot_index,
-    spot_id)``; ``deconv``: ``(spot_id, cell_type, p)``; ``gene_list``: ``(ord, gene)``.
+    spot_id)``; ``deconv``: ``(spot_id, cell_type, p[, type_ord])``; ``gene_list``: ``(ord, gene)``. Types are in the order of ``type_ord`` (the
+    columns of a table), else of their names; spots in the order of ``spot_ord`` of ``counts`` (the lines of a matrix), else of their
+    barcodes. With ``output_dir`` each epoch is stored there, and a run that broke off goes on from its last one.
     """
+    mark = _fingerprint("train", locals())
     chosen = checked_dataset(dataset)
     sample = sample_id or {"brca": "BREAST", "crc": "COLON_P2"}[chosen]
     opts = options or FitOptions()
     spark = grid_embedding.sparkSession
-    if (stored := _reused(spark, output_dir, policy)) is not None:
+    if (stored := _reused(spark, output_dir, policy, mark)) is not None:
         stored.extra.update({"params": load_params(spark, f"{output_dir}/model"), "types": stored.summary["cell_type_names"]})
         return stored
     expression, genes = _spot_targets(counts, gene_list, sample)
     expression = durable(expression)
-    types = [r["cell_type"] for r in deconv.select("cell_type").distinct().orderBy("cell_type").collect()]
+    place = F.min("type_ord") if "type_ord" in deconv.columns else F.lit(0)
+    types = [r["cell_type"] for r in deconv.groupBy("cell_type").agg(place.alias("o")).orderBy("o", "cell_type").collect()]
     shares = deconv.withColumn("spot_id", spot_id_for_model(F.col("spot_id"), sample))
     vectors = proportions.as_vectors(proportions.training_targets(shares, expression.select("spot_id").distinct(), deconv.select("cell_type")), types)
     named = position_spots.select("spot_index", spot_id_for_model(F.col("spot_id"), sample).alias("spot_id"))
@@ -225,7 +258,7 @@ def train(
         held = split.where("is_validation").select("target_ord")
         validation = (features.join(held, "target_ord", "left_semi"), targets)
         learn = features.join(held, "target_ord", "left_anti")
-    result = fit(learn, targets, n_in, n_genes, len(types), opts, validation)
+    result = fit(learn, targets, n_in, n_genes, len(types), opts, validation, f"{output_dir}/epochs-{mark[:16]}" if output_dir else None)
 
     predicted = durable(predict_bags(features, result.params, len(types), n_genes))
     # Two barcodes may share one normalised spot id; targets are told apart by their number.
@@ -253,13 +286,14 @@ def train(
         tables["grid_predictions"] = predict_grids(grid_embedding, result.params, geometry)
     if output_dir:
         save_params(spark, result.params, f"{output_dir}/model")
-    return _store(Result(tables, summary, {"params": result.params, "types": types}), spark, output_dir, policy)
+    return _store(Result(tables, summary, {"params": result.params, "types": types}), spark, output_dir, policy, mark)
 
 
 def export_grid_predictions(predictions: DataFrame, type_names: list[str], output_dir: str | None = None, policy: str = "fail") -> Result:
     """Grid type and grid expression tables of a prediction table."""
+    mark = _fingerprint("export_grid_predictions", locals())
     types, expression = aggregate.prediction_tables(predictions, type_names)
-    return _store(Result({"grid_type": types, "grid_expr": expression}, {"n_cell_types": len(type_names)}), predictions.sparkSession, output_dir, policy)
+    return _store(Result({"grid_type": types, "grid_expr": expression}, {"n_cell_types": len(type_names)}), predictions.sparkSession, output_dir, policy, mark)
 
 
 def agg(
@@ -271,8 +305,9 @@ def agg(
     ``grid_expr``: ``(grid_id, bbox_x0.., expr[, ord])``; ``grid_types``: ``(grid_id, prob)``. Without ``ord`` the number in
     ``grid_<n>`` is the row order that decides between grids of one origin.
     """
+    mark = _fingerprint("agg", locals())
     chosen = checked_dataset(dataset)
-    if (stored := _reused(polygons.sparkSession, output_dir, policy)) is not None:
+    if (stored := _reused(polygons.sparkSession, output_dir, policy, mark)) is not None:
         return stored
     number = F.col("ord") if "ord" in grid_expr.columns else F.regexp_extract("grid_id", r"([0-9]+)\z", 1).cast("long")
     boxes = [F.col(f"bbox_{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]
@@ -285,7 +320,7 @@ def agg(
         "dataset": chosen, "target_name": target_name, "grid_size": size, "valid_only": valid_only,
         **one_row(aggregate.polygon_counters(everything, valid_only)),
     }
-    return _store(Result({"ct": types, "polygon": kept, "expr": expression}, summary), polygons.sparkSession, output_dir, policy)
+    return _store(Result({"ct": types, "polygon": kept, "expr": expression}, summary), polygons.sparkSession, output_dir, policy, mark)
 
 
 def plottype(
@@ -293,6 +328,7 @@ def plottype(
     output_dir: str | None = None, policy: str = "fail",
 ) -> Result:
     """Tables behind the type views of a window: painted pixels, label counts, and measured polygons with labels."""
+    mark = _fingerprint("plottype", locals())
     from spotweave.functions.text import known_label
 
     chosen, box = checked_dataset(dataset), win.checked_window(window)
@@ -305,7 +341,7 @@ def plottype(
         inside = win.polygons_in_window(win.merged_labels(true_types, type_merge), box)
         tables["true_type_polygons"] = inside
         tables["true_type_counts"] = win.label_counts(win.ring_bounds(inside), "celltype")
-    return _store(Result(tables, {"dataset": chosen, "window": list(box)}), grid_types.sparkSession, output_dir, policy)
+    return _store(Result(tables, {"dataset": chosen, "window": list(box)}), grid_types.sparkSession, output_dir, policy, mark)
 
 
 def plotexpr(
@@ -313,6 +349,7 @@ def plotexpr(
     polygons: DataFrame | None = None, output_dir: str | None = None, policy: str = "fail",
 ) -> Result:
     """Tables behind the expression views of a window: painted z-scores, and measured polygons with z-scores."""
+    mark = _fingerprint("plotexpr", locals())
     chosen, box = checked_dataset(dataset), win.checked_window(window)
     if measured is not None and polygons is None:
         raise ValueError("Measured values need the polygons of their cells.")
@@ -323,4 +360,4 @@ def plotexpr(
         ids = inside.select("cell_id").distinct()
         tables["measured_polygons"] = inside.join(win.zscores(win.measured_values(ids, measured, gene)), "cell_id")
     group = one_row(grid_expr.sparkSession.range(1).select(marker_group(F.lit(gene)).alias("g")))["g"]
-    return _store(Result(tables, {"dataset": chosen, "window": list(box), "gene": gene, "marker_group": group}), grid_expr.sparkSession, output_dir, policy)
+    return _store(Result(tables, {"dataset": chosen, "window": list(box), "gene": gene, "marker_group": group}), grid_expr.sparkSession, output_dir, policy, mark)

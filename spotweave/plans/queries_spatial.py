@@ -11,11 +11,12 @@ from spotweave.operators import windows as win
 from spotweave.operators.heads import initial_params
 from spotweave.plans import derived as d
 from spotweave.plans import pipeline
-from spotweave.plans.fixtures import N_GENES, SPOT_DIAMETER, TYPE_NAMES
+from spotweave.plans.fixtures import N_GENES, SPOT_DIAMETER, THUMB_SCALE, TYPE_NAMES
 from spotweave.plans.model_sql import forward_parts, loss_sql
 from spotweave.plans.queries_tables import _CLIP, _IN, _PCC, _RING_IN, _TOP, _boxes
 from spotweave.plans.reference_sql import PARTS
 from spotweave.plans.registry import query
+from spotweave.session import scratch_path
 
 _PIXELS = "px:i py:i"
 
@@ -531,3 +532,89 @@ def _(fx):
     options = training.FitOptions(projection_dim=16, max_epochs=3, lr=1e-2, steps_per_epoch=1, dropout=0.0, **_SHAPE)
     losses = [float(h["train_loss"]) for h in training.fit(bags, truth, 64, N_GENES, 5, options).history]
     return fx.spark.createDataFrame([(round(losses[0], 3), losses[-1] < losses[0])], "first_loss double, fell boolean")
+
+
+@query("m09_best_epoch", "epoch:i train_loss:d train_expr_loss:d train_type_loss:d val_loss:d best_epoch:i monitor:s")
+def _(fx):
+    # The default path: stored batches in changing order, dropout, validation, state per epoch. Random numbers have no SQL; a test compares loops.
+    truth = d.spot_truth(fx).select(F.col("spot_id").alias("target_ord"), F.col("expr").alias("expression"), "proportions")
+    bags = _features(fx).join(truth.select("target_ord"), "target_ord", "left_semi")
+    held = ordinals.seeded_split(truth.select("target_ord"), "target_ord", 0.1, 0, truth.count()).where("is_validation").select("target_ord")
+    options = training.FitOptions(projection_dim=16, max_epochs=3, lr=1e-2, batch_size=256, **_SHAPE)
+    result = training.fit(
+        bags.join(held, "target_ord", "left_anti"), truth, 64, N_GENES, 5, options, (bags.join(held, "target_ord", "left_semi"), truth), scratch_path(fx.spark, "epochs"))
+    rows = [(h["epoch"], h["train_loss"], h["train_expr_loss"], h["train_type_loss"], h["val_loss"], h["best_epoch"], result.monitor) for h in result.history]
+    return fx.spark.createDataFrame(rows, "epoch int, train_loss double, train_expr_loss double, train_type_loss double, val_loss double, best_epoch int, monitor string")
+
+
+# ------------------------------------------------------------------ entry points that a user calls first
+
+_WINDOW_TYPES = f"SELECT CASE WHEN {_TOP} = 'Mystery' THEN 'Unassigned' ELSE {_TOP} END AS label FROM {_PAINT} WHERE k = 1"
+
+
+def _window_grids(fx):
+    boxes = {c: f"bbox_{c}" for c in ("x0", "y0", "x1", "y1")}
+    top = F.get(F.array(*[F.lit(n) for n in TYPE_NAMES]), first_max_index(F.col("prob")))
+    return d.predicted_grids(fx).withColumnsRenamed(boxes).withColumn("predicted_type", top)
+
+
+@query("api_plottype", "source:s label:s n:i", f"""
+    SELECT 'pixels' AS source, label, count(*) AS n FROM ({_WINDOW_TYPES}) GROUP BY 2
+    UNION ALL SELECT 'grids', CASE WHEN t = 'Mystery' THEN 'Unassigned' ELSE t END, count(*) FROM (SELECT {_TOP} AS t FROM {_CLIP} WHERE lx1 > lx0 AND ly1 > ly0) GROUP BY 2
+    UNION ALL SELECT 'measured', 'Others', count(*) FROM {_RING_IN}""")
+def _(fx):
+    # The whole raster by label (its pixels are those of r13), and both label counts.
+    tables = pipeline.plottype(dataset="brca", grid_types=_window_grids(fx), window=d.window(fx), true_types=fx.true_type)
+    pixels = win.label_counts(tables["grid_type_raster"], "label")
+    parts = (("pixels", pixels), ("grids", tables["grid_type_counts"]), ("measured", tables["true_type_counts"]))
+    named = [t.select(F.lit(name).alias("source"), "label", "n") for name, t in parts]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("api_plotexpr", "source:s a:i b:i z:d", f"""
+    SELECT 'pixel' AS source, px AS a, py AS b, (e2 - m) / s AS z FROM {_PAINT}, {_Z} WHERE k = 1
+    UNION ALL SELECT 'cell', cell_id, 0, (v - avg(v) OVER ()) / stddev_pop(v) OVER () FROM (SELECT cell_id, ln(1 + p_retailprice % 7) AS v FROM {_RING_IN} JOIN {{part}} ON cell_id = p_partkey WHERE p_size % 5 = 2)""")
+def _(fx):
+    genes = fx.part.select((F.col("p_size") % N_GENES).alias("ord")).distinct().select("ord", F.concat(F.lit("G"), "ord").alias("gene"))
+    tables = pipeline.plotexpr(dataset="brca", grid_expr=_window_grids(fx), genes=genes, window=d.window(fx), gene="G2", measured=fx.true_expr, polygons=fx.polygons)
+    cells = tables["measured_polygons"].select("cell_id", "z").distinct()
+    return tables["grid_expr_raster"].select(F.lit("pixel").alias("source"), F.col("px").alias("a"), F.col("py").alias("b"), "z").unionByName(
+        cells.select(F.lit("cell").alias("source"), F.col("cell_id").alias("a"), F.lit(0).alias("b"), "z"))
+
+
+@query("api_ge_metadata", "n_positions_in_tissue:i n_bbox_patch_candidates:i n_export_patches:i n_raw_token_grids:i n_grids:i n_supervised_grids:i n_supervised_spots:i", """
+    SELECT (SELECT count(*) FROM {spots}) AS n_positions_in_tissue, (SELECT count(*) FROM {candidates}) AS n_bbox_patch_candidates, (SELECT count(*) FROM {patches}) AS n_export_patches,
+           (SELECT count(*) FROM {views}) AS n_raw_token_grids, count(*) AS n_grids, count(*) FILTER (WHERE spot_index >= 0) AS n_supervised_grids,
+           count(DISTINCT spot_index) FILTER (WHERE spot_index >= 0) AS n_supervised_spots FROM {assigned}""")
+def _(fx):
+    summary = _metadata(fx).summary
+    names = ["n_positions_in_tissue", "n_bbox_patch_candidates", "n_export_patches", "n_raw_token_grids", "n_grids", "n_supervised_grids", "n_supervised_spots"]
+    return fx.image_meta.select(*[F.lit(summary[n]).alias(n) for n in names])
+
+
+def _metadata(fx):
+    return pipeline.ge(
+        dataset="brca", positions=fx.positions, spot_diameter=SPOT_DIAMETER, thumbnail_scale=THUMB_SCALE, thumbnail=fx.thumbnail, image=fx.image_meta, metadata_only=True)
+
+
+@query("api_ge_grids", "grid_index:i x0:i y0:i nearest_spot_index:i nearest_spot_distance:d spot_index:i is_tissue:b", """
+    SELECT g.grid_index, g.x0, g.y0, nearest AS nearest_spot_index, distance AS nearest_spot_distance, spot_index, true AS is_tissue FROM {grids} AS g JOIN {assigned} USING (grid_index)""")
+def _(fx):
+    return _metadata(fx)["grids"]
+
+
+@query("b09_reuse", "run:s n:i", """
+    SELECT 'first' AS run, count(*) AS n FROM {polygon_kept} UNION ALL SELECT 'again', count(*) FROM {polygon_kept}
+    UNION ALL SELECT 'other argument', count(*) FROM {polygon_all} UNION ALL SELECT 'other table', count(*) FROM {polygon_all} WHERE cell_id > 10""")
+def _(fx):
+    # One output folder: the second call reads what the first has stored, the others were asked something else and compute anew.
+    folder, tables = scratch_path(fx.spark, "reuse"), _exported(fx)
+    types = tables["grid_type"].select("grid_id", F.array(*[f"prob_{name}" for name in TYPE_NAMES]).alias("prob"))
+
+    def run(polygons, valid_only):
+        out = pipeline.agg(dataset="brca", grid_expr=tables["grid_expr"], grid_types=types, type_names=TYPE_NAMES, polygons=polygons, n_genes=N_GENES,
+                           valid_only=valid_only, output_dir=folder, policy="reuse")
+        return out["ct"].count()
+
+    rows = [("first", run(fx.polygons, True)), ("again", run(fx.polygons, True)), ("other argument", run(fx.polygons, False)), ("other table", run(fx.polygons.where("cell_id > 10"), False))]
+    return fx.spark.createDataFrame(rows, "run string, n long")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spotweave.functions import text
+from spotweave.functions import arrays, text
 from spotweave.operators import aggregate, counts, lattice, metrics, ordinals, proportions, spots
 from spotweave.operators import windows as win
 from spotweave.plans import derived as d
+from spotweave.plans import pipeline
 from spotweave.plans.fixtures import N_GENES, SEGMENTS, TYPE_NAMES
 from spotweave.plans.registry import query
 from spotweave.session import durable, scratch_path
@@ -756,3 +757,75 @@ def _(fx):
     mixed = proportions.mixture_proportions(fx.counts, _profiles(fx), SEGMENTS, rounds=5)
     return mixed.select("barcode", F.posexplode("p").alias("i", "p")).withColumn(
         "cell_type", F.element_at(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("i") + 1))
+
+
+# ------------------------------------------------------------------ deconv, guards, and the scalar forms of the model
+
+@query("api_deconv", "part:s key:s item:s value:d", """
+    SELECT 'type' AS part, cell_type AS key, '' AS item, row_number() OVER (ORDER BY cell_type) - 1 AS value FROM (SELECT DISTINCT cell_type FROM {labelled})
+    UNION ALL SELECT 'share', barcode, cell_type, p FROM {mix5} WHERE p IS NOT NULL""")
+def _(fx):
+    # The types are given, in the order of their names.
+    out = pipeline.deconv(
+        dataset="brca", counts=fx.counts, positions=fx.positions, ref_cells=fx.ref_cells, ref_counts=fx.ref_counts, sample_id="BREAST",
+        consensus=False, umi_min=0, rounds=5, brca_types=SEGMENTS)
+    shares = out["proportions"].select(F.lit("share").alias("part"), F.col("spot_id").alias("key"), F.col("cell_type").alias("item"), F.col("p").alias("value"))
+    return out["cell_type_order"].select(F.lit("type").alias("part"), F.col("cell_type").alias("key"), F.lit("").alias("item"), F.col("position").cast("double").alias("value")).unionByName(shares)
+
+
+@query("p15_window_guard", "customer:i accepted:b x0:i x1:i", """
+    SELECT c_custkey AS customer, round_even(a, 0) < round_even(b, 0) AS accepted, CASE WHEN round_even(a, 0) < round_even(b, 0) THEN round_even(a, 0) END AS x0,
+           CASE WHEN round_even(a, 0) < round_even(b, 0) THEN round_even(b, 0) END AS x1
+    FROM (SELECT c_custkey, CAST(c_custkey % 7 AS DOUBLE) / 2 AS a, CAST(c_custkey % 11 AS DOUBLE) / 2 AS b FROM {customer})""")
+def _(fx):
+    # Every pair of ends that the table has is put to the guard.
+    ends = fx.customer.select("c_custkey", ((F.col("c_custkey") % 7) / F.lit(2.0)).alias("a"), ((F.col("c_custkey") % 11) / F.lit(2.0)).alias("b"))
+
+    def checked(a, b):
+        try:
+            return (a, b, True, *win.checked_window((a, 0, b, 1))[::2])
+        except ValueError:
+            return (a, b, False, None, None)
+
+    told = [checked(r["a"], r["b"]) for r in ends.select("a", "b").distinct().collect()]
+    return ends.join(fx.spark.createDataFrame(told, "a double, b double, accepted boolean, x0 int, x1 int"), ["a", "b"]).withColumnRenamed("c_custkey", "customer")
+
+
+@query("p32_required_columns", "name:s accepted:b", """
+    SELECT name, name IN ('s_suppkey', 's_name', 's_nationkey', 's_acctbal') AS accepted FROM (SELECT DISTINCT unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal', 'n_name']) AS name FROM {supplier})""")
+def _(fx):
+    names = fx.supplier.select(F.explode(F.array(*[F.lit(c) for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal", "n_name")])).alias("name")).distinct()
+
+    def accepted(name):
+        try:
+            win.require_columns(fx.supplier, name)
+            return True
+        except ValueError:
+            return False
+
+    told = [(r["name"], accepted(r["name"])) for r in names.collect()]
+    return fx.spark.createDataFrame(told, "name string, accepted boolean")
+
+
+@query("a19_feature_column", "grid_index:i pos:i value:d", """
+    SELECT vec_id AS grid_index, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS value FROM {embeddings}, unnest(range(1, 65)) AS u(i)""")
+def _(fx):
+    # The marked column is told from the other arrays after writing and reading.
+    grids = fx.embeddings.select(F.col("vec_id").alias("grid_index"), F.col("embedding").alias("feature"), F.array("vec_id", "vec_id").alias("other"), F.lit(0).alias("x0"), F.col("vec_id").alias("y0"))
+    path = scratch_path(fx.spark, "grid_embedding")
+    sinks.write_grid_embedding(grids, path, "dense_feature")
+    table = sources.read_grid_embedding(fx.spark, path)
+    return table.select("grid_index", F.posexplode(sources.feature_column(table)).alias("pos", "value"))
+
+
+@query("s08_scalar_forms", "vec_id:i pos:i softmax:d softplus:d leaky:d sigmoid:d relu:d norm:d", """
+    SELECT vec_id, i - 1 AS pos, exp((x[i] - list_max(x)) / 2) / list_sum(list_transform(x, lambda v: exp((v - list_max(x)) / 2))) AS softmax,
+           greatest(x[i], 0) + ln(1 + exp(-abs(20 * x[i]))) / 20 AS softplus, CASE WHEN x[i] >= 0 THEN x[i] ELSE 0.01 * x[i] END AS leaky, 1 / (1 + exp(-x[i])) AS sigmoid,
+           greatest(x[i], 0) AS relu, (x[i] - list_avg(x)) / sqrt(list_var_pop(x) + 1e-5) AS norm
+    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM {embeddings}), unnest(range(1, 65)) AS u(i)""")
+def _(fx):
+    x = F.col("embedding")
+    forms = F.arrays_zip(
+        arrays.softmax(x, 2.0).alias("softmax"), arrays.softplus(x).alias("softplus"), arrays.leaky_relu(x).alias("leaky"), arrays.sigmoid(x).alias("sigmoid"),
+        arrays.relu(x).alias("relu"), arrays.layer_norm(x).alias("norm"))
+    return fx.embeddings.select("vec_id", F.posexplode(forms).alias("pos", "v")).select("vec_id", "pos", "v.*")

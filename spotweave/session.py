@@ -62,3 +62,9 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 def one_row(df: DataFrame) -> dict:
     """The single row of a global aggregate as Python scalars (they become literals in later plans)."""
     return df.first().asDict()
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the caller has written and no longer needs, on whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

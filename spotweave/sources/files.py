@@ -150,11 +150,12 @@ def read_gene_list(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def read_proportions(spark: SparkSession, path: str) -> DataFrame:
-    """Wide proportions (spot id first, one column per type) to ``(spot_id, cell_type, p)``."""
+    """Wide proportions (spot id first, one column per type) to ``(spot_id, cell_type, p, type_ord)``."""
     header = _csv_header(spark, path)
     schema = T.StructType([T.StructField(header[0], T.StringType())] + [T.StructField(c, T.DoubleType()) for c in header[1:]])
     wide = spark.read.schema(schema).option("header", True).csv(path)
-    return wide.withColumnRenamed(header[0], "spot_id").unpivot(["spot_id"], header[1:], "cell_type", "p")
+    long = wide.withColumnRenamed(header[0], "spot_id").unpivot(["spot_id"], header[1:], "cell_type", "p")
+    return long.withColumn("type_ord", F.array_position(F.array(*[F.lit(c) for c in header[1:]]), F.col("cell_type")) - 1)
 
 
 def read_type_merge(spark: SparkSession, path: str) -> DataFrame:

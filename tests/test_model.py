@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from spotweave.operators import training
-from spotweave.operators.heads import backward, forward, initial_params
+from spotweave.operators.heads import backward, forward, initial_params, row_seeds
 from spotweave.streaming.stateless import apply_to_stream
 
 SHAPE = dict(hidden=(7, 5), type_hidden=6)
@@ -75,6 +75,83 @@ def test_fit_lowers_the_loss_and_keeps_the_best(spark, data, tmp_path):
     assert len(stopped.history) == 3
 
 
+def _plain_fit(batches, targets, validation, options):
+    """Epochs of the default path in plain numpy: dropout by row, all losses, AdamW, best epoch. ``batches``: (owner, x) per batch."""
+    p = initial_params(4, 3, 2, options.projection_dim, options.seed, options.hidden, options.type_hidden)
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    order, step, history, best = np.random.default_rng(options.seed), 0, [], (np.inf, 0)
+    expr, prop = targets
+
+    def losses(p, owner, x, drop, seed):
+        e, q, memo = forward(p, x, drop, row_seeds(x, seed) if drop else None)
+        spots = np.unique(owner)
+        s, n = np.stack([e[owner == i].sum(0) for i in spots]), np.array([(owner == i).sum() for i in spots])
+        mean = np.stack([q[owner == i].mean(0) for i in spots])
+        gap = np.log1p(np.maximum(s, 0)) - np.log1p(expr[spots])
+        huber = np.where(np.abs(gap) <= 1, 0.5 * gap**2, np.abs(gap) - 0.5).sum()
+        share = prop[spots]
+        kind = options.alpha * -np.log(q.max(1)).mean() + (1 - options.alpha) * (share * (np.log(share) - np.log(mean))).sum() / len(spots)
+        at = np.searchsorted(spots, owner)
+        d_expr = (np.where(s > 0, np.clip(gap, -1, 1) / (1 + s), 0))[at]
+        d_prob = (-share / mean * options.lambda_type * (1 - options.alpha) / len(spots) / n[:, None])[at]
+        top = q.argmax(1)
+        d_prob[np.arange(len(q)), top] -= options.lambda_type * options.alpha / len(q) / q[np.arange(len(q)), top]
+        return huber + options.lambda_type * kind, huber, kind, (memo, d_expr, d_prob)
+
+    for epoch in range(options.max_epochs):
+        sums = np.zeros(3)
+        for k in order.permutation(len(batches)).tolist():
+            *told, (memo, d_expr, d_prob) = losses(p, *batches[k], options.dropout, (options.seed * 1_000_003 + epoch) * 1_000_003 + k)
+            sums += told
+            step += 1
+            for name, g in backward(p, memo, d_expr, d_prob).items():
+                m[name] = 0.9 * m[name] + 0.1 * g
+                v[name] = 0.999 * v[name] + 0.001 * g * g
+                p[name] = p[name] * (1 - options.lr * options.weight_decay) - options.lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+        val = losses(p, *validation, 0.0, 0)[0]
+        best = min(best, (val, epoch))
+        history.append((*(sums / len(batches)), val, best[1]))
+    return history
+
+
+def test_default_path_against_loops_and_after_a_break(spark, data, tmp_path, monkeypatch):
+    """Per-epoch losses, validation and best epoch as in plain loops; a fit that breaks off goes on to the same history."""
+    owner, x, expr, prop, bags, targets = data
+    options = training.FitOptions(batch_size=2, projection_dim=5, hidden=(7, 5), type_hidden=6, max_epochs=4, lr=0.02, dropout=0.2, seed=3)
+    learn, held = bags.where("target_ord <> 4"), bags.where("target_ord = 4")
+    parts, _ = training._batches(learn, options)
+    spots = [{r["target_ord"] for r in part.select("target_ord").collect()} for part in parts]
+    x = x.astype(float)
+    chosen = [np.isin(owner, list(own)) for own in spots]
+    want = _plain_fit([(owner[c], x[c]) for c in chosen], (expr, prop), (owner[owner == 4], x[owner == 4]), options)
+    told = lambda result: [(h["train_loss"], h["train_expr_loss"], h["train_type_loss"], h["val_loss"], h["best_epoch"]) for h in result.history]
+    whole = training.fit(learn, targets, 4, 3, 2, options, (held, targets))
+    assert np.allclose(told(whole), want, rtol=1e-3)
+
+    path, plain, calls = str(tmp_path / "state"), training.loss_and_gradient, []
+
+    def breaking(*args, **named):
+        calls.append(1)
+        if len(calls) == 2 * (len(parts) + 1) + 2:
+            raise RuntimeError("the driver is gone")
+        return plain(*args, **named)
+
+    monkeypatch.setattr(training, "loss_and_gradient", breaking)
+    with pytest.raises(RuntimeError):
+        training.fit(learn, targets, 4, 3, 2, options, (held, targets), path)
+    before = len(calls)
+    again = training.fit(learn, targets, 4, 3, 2, options, (held, targets), path)
+    assert len(calls) - before == 2 * (len(parts) + 1)  # the two epochs that were missing
+    assert np.allclose(told(again), told(whole), rtol=1e-6) and again.best_epoch == whole.best_epoch
+    assert all(np.allclose(again.params[k], v, rtol=1e-4, atol=1e-7) for k, v in whole.params.items())
+    left = sorted(p.name for p in (tmp_path / "state").iterdir())
+    assert [n for n in left if n.startswith("epoch")] == ["epoch=3"] and len([n for n in left if n.startswith("best")]) == 1
+    done = len(calls)
+    assert told(training.fit(learn, targets, 4, 3, 2, options, (held, targets), path)) == told(again) and len(calls) == done
+    other = training.fit(learn, targets, 4, 3, 2, training.FitOptions(**{**options.__dict__, "lr": 0.01, "max_epochs": 1}), (held, targets), path)
+    assert len(other.history) == 1  # other options do not go on from this state
+
+
 def test_encoder_hook(spark):
     patches = spark.createDataFrame([(0, 1.0), (1, 2.0)], "patch_index long, level double")
 

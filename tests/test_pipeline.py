@@ -119,9 +119,18 @@ def test_reuse_skips_the_work(spark, tmp_path, monkeypatch):
     expr = spark.createDataFrame([("grid_0", 0, 0, 18, 18, [1.0, 2.0]), ("grid_1", 18, 0, 36, 18, [3.0, 4.0])], f"grid_id string, {boxes}, expr array<double>")
     types = spark.createDataFrame([("grid_0", [1.0, 0.0]), ("grid_1", [0.0, 1.0])], "grid_id string, prob array<double>")
     ring = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate([(2, 2), (20, 2), (20, 9), (2, 9)])], "cell_id long, vertex_ord long, vertex_x double, vertex_y double")
-    run = lambda: pipeline.agg(dataset="brca", grid_expr=expr, grid_types=types, type_names=["a", "b"], polygons=ring, n_genes=2, output_dir=str(tmp_path / "out"), policy="reuse")
+    run = lambda polygons=ring, **other: pipeline.agg(dataset="brca", grid_expr=expr, grid_types=types, type_names=["a", "b"], polygons=polygons, n_genes=2, output_dir=str(tmp_path / "out"), policy="reuse", **other)
     first = run()
+    kept = first["expr"].collect()
+    plain = aggregate.polygon_values
     monkeypatch.setattr(aggregate, "polygon_values", None)
-    again = run()
+    again = run(ring.repartition(3))
     assert sorted(again.tables) == sorted(first.tables)
-    assert again["expr"].collect() == first["expr"].collect() and again.summary["n_output_cells"] == 1
+    assert again["expr"].collect() == kept and again.summary["n_output_cells"] == 1
+    # Another argument or another table is not what was stored.
+    for other in ({"valid_only": False}, {"target_name": "nuclei"}, {"polygons": ring.withColumn("vertex_x", F.col("vertex_x") + 1)}):
+        with pytest.raises(TypeError):
+            run(**other)
+    monkeypatch.setattr(aggregate, "polygon_values", plain)
+    moved = run(ring.withColumn("vertex_x", F.col("vertex_x") + 1))
+    assert spark.read.parquet(str(tmp_path / "out" / "expr")).collect() == moved["expr"].collect() != kept

@@ -132,6 +132,26 @@ def test_json_and_header_readers(spark, tmp_path):
     assert sources.read_gene_list(spark, str(tmp_path / "none")) is None
 
 
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    """Several files, cut into several splits each: numbers follow files and lines, and the plan sorts no lines."""
+    lines = [f"gene {i} " + "x" * (i % 37) for i in range(3000)]
+    (tmp_path / "genes").mkdir()
+    for part in range(3):
+        (tmp_path / "genes" / f"part-{part}").write_text("\n".join(lines[part * 1000 : part * 1000 + 1000] + ["", "  "]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        read = sources.read_lines(spark, str(tmp_path / "genes"))
+        assert spark.read.text(str(tmp_path / "genes")).rdd.getNumPartitions() > 9
+        assert [r["value"] for r in sorted(read.collect(), key=lambda r: r["ord"])] == [x.strip() for x in lines]
+        assert sorted(r["ord"] for r in read.collect()) == list(range(3000))
+        assert "rangepartitioning" not in read._jdf.queryExecution().executedPlan().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_thumbnail_reader(spark, tmp_path):
     image = np.random.default_rng(0).integers(0, 256, (5, 7, 3), dtype=np.uint8)
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
