@@ -56,10 +56,12 @@ CLOSES_P = BLOCKS - {"button", "label", "option", "select", "svg", "object", "vi
 SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DROPPED = set("head nav footer aside form dialog noscript template select option button label menu search svg object video audio canvas fieldset".split())
 KEPT = {"html", "body", "main", "article", "#root"}
-#: Beginnings of class, id and role words of what is no content; the second list only where no word speaks for content.
-STRONG = ("nav", "menu", "footer", "contentinfo", "sidebar", "complementary", "advert", "adslot", "adsense", "sponsor", "promo", "cookie", "consent", "gdpr", "newsletter", "subscri", "comment", "disqus", "respond", "breadcrumb", "social", "share", "sharing", "related", "popup", "modal", "overlay", "pagination", "pager", "login", "signup", "searchform", "toolbar", "skip", "copyright", "disclaimer")
-WEAK = ("header", "masthead", "banner", "notice", "alert", "widget", "rail", "search", "form", "meta", "tags", "dialog", "topbar", "bar")
-WHOLE = {"ad", "ads", "adv"}
+#: Words in class, id and role of what is no content; the second list only where no word speaks for content. Whole words count.
+STRONG = set("""nav navbar navigation menu menus submenu footer contentinfo sidebar sidebars complementary ad ads adv advert adverts advertisement advertising
+    adslot adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr newsletter newsletters subscribe subscription
+    comment comments commentlist disqus respond breadcrumb breadcrumbs social share sharing related popup modal overlay pagination pager login signup
+    searchform toolbar skip copyright disclaimer""".split())
+WEAK = set("header masthead banner banners notice notices alert alerts widget widgets rail search form meta tags dialog topbar bar".split())
 SPEAKING = {"article", "post", "entry", "content", "main", "story", "body", "text"}
 
 
@@ -69,6 +71,7 @@ class Node:
     names: tuple[str, ...]
     hidden: bool
     kids: list = field(default_factory=list)  #: nodes, and (text, is a link) pairs
+    holds: bool = False  #: an article or main part below
 
 
 def _names(attributes: str) -> tuple[str, ...]:
@@ -82,6 +85,12 @@ def parse(page: str) -> Node:
     """The tree of block elements; text keeps its inline markup only as to whether it is a link."""
     root = Node("#root", (), False)
     stack, links, at = [root], 0, 0
+    opened: Counter = Counter()
+
+    def close(depth: int) -> None:
+        opened.subtract(node.tag for node in stack[depth:])
+        del stack[depth:]
+
     while True:
         token = _TOKEN.search(page, at)
         text = page[at : token.start()] if token else page[at:]
@@ -97,11 +106,9 @@ def parse(page: str) -> Node:
         if token[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCKS:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-                if depth:
-                    del stack[depth:]
-                    links = 0
+            elif tag in BLOCKS and opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+                links = 0
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -114,8 +121,8 @@ def parse(page: str) -> Node:
         elif tag in BLOCKS:
             links = 0
             if tag in CLOSES_P and stack[-1].tag == "p":
-                stack.pop()
-            if tag in SELF_CLOSING:
+                close(len(stack) - 1)
+            if tag in SELF_CLOSING and any(opened[name] > 0 for name in SELF_CLOSING[tag][0]):
                 same, within = SELF_CLOSING[tag]
                 depth = len(stack) - 1
                 while depth > 0 and stack[depth].tag not in within and stack[depth].tag not in same:
@@ -123,15 +130,17 @@ def parse(page: str) -> Node:
                 if depth > 0 and stack[depth].tag in same:
                     while depth > 1 and stack[depth - 1].tag in same:
                         depth -= 1
-                    del stack[depth:]
+                    close(depth)
             node = Node(tag, _names(token[3]), bool(_HIDDEN.search(token[3])))
             stack[-1].kids.append(node)
+            if tag in ("article", "main"):
+                for above in reversed(stack):
+                    if above.holds:
+                        break
+                    above.holds = True
             if tag not in VOID and not token[3].endswith("/"):
                 stack.append(node)
-
-
-def _has(node: Node, tags: set[str]) -> bool:
-    return any(isinstance(kid, Node) and (kid.tag in tags or _has(kid, tags)) for kid in node.kids)
+                opened[tag] += 1
 
 
 def is_chrome(node: Node, in_article: bool = False) -> bool:
@@ -141,9 +150,9 @@ def is_chrome(node: Node, in_article: bool = False) -> bool:
     if node.hidden:
         return True
     if node.tag in DROPPED or (node.tag == "header" and not in_article):
-        return not _has(node, {"article", "main"})
-    if any(name.startswith(STRONG) or name in WHOLE for name in node.names) or (any(name.startswith(WEAK) for name in node.names) and not SPEAKING & set(node.names)):
-        return not _has(node, {"article", "main"})
+        return not node.holds
+    if not STRONG.isdisjoint(node.names) or (not WEAK.isdisjoint(node.names) and SPEAKING.isdisjoint(node.names)):
+        return not node.holds
     return False
 
 
@@ -160,12 +169,13 @@ class Shape:
     kids: list[Shape]
 
 
-def collapsed(nodes: list[Node], label: str) -> Shape:
+def _children(nodes: list[Node]) -> list[tuple[str, list[Node]]]:
     kids: list[tuple[str, list[Node]]] = []
-    own = [[kid for kid in node.kids if isinstance(kid, Node)] for node in nodes]
-    for part in own:
+    for node in nodes:
         place = 0
-        for kid in part:
+        for kid in node.kids:
+            if not isinstance(kid, Node):
+                continue
             name = kid.tag + "".join("." + x for x in kid.names) + "!" * kid.hidden
             at = next((i for i in range(max(0, place - 1), len(kids)) if kids[i][0] == name), -1)
             if at >= 0:
@@ -174,7 +184,17 @@ def collapsed(nodes: list[Node], label: str) -> Shape:
             else:
                 kids.insert(place, (name, [kid]))
                 place += 1
-    return Shape(label, nodes, [collapsed(part, name) for name, part in kids])
+    return kids
+
+
+def collapsed(nodes: list[Node], label: str) -> Shape:
+    root = Shape(label, nodes, [])
+    waiting = [root]
+    while waiting:  # pages can be nested deeper than calls can
+        shape = waiting.pop()
+        shape.kids = [Shape(name, part, []) for name, part in _children(shape.nodes)]
+        waiting += shape.kids
+    return root
 
 
 def shape_of(page: str) -> Shape:
@@ -182,33 +202,59 @@ def shape_of(page: str) -> Shape:
 
 
 def written(shape: Shape) -> str:
-    return shape.label + ("(" + " ".join(written(kid) for kid in shape.kids) + ")" if shape.kids else "")
+    out, waiting = [], [shape]
+    while waiting:
+        own = waiting.pop()
+        if isinstance(own, str):
+            out.append(own)
+            continue
+        out.append(own.label)
+        if own.kids:
+            waiting.append(")")
+            for kid in reversed(own.kids):
+                waiting += [kid, " "]
+            waiting[-1] = "("
+    return "".join(out)
 
 
 def match(a, b, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: nodes matched, and which children are paired, for trees with ``label`` and ``kids``."""
     known = {} if known is None else known
-    if (id(a), id(b)) in known:
-        return known[id(a), id(b)]
     if a.label != b.label:
         return 0, []
-    n, m = len(a.kids), len(b.kids)
+    waiting = [(a, b)]
+    while waiting:
+        x, y = waiting[-1]
+        if (id(x), id(y)) in known:
+            waiting.pop()
+            continue
+        open_ = [(p, q) for p in x.kids for q in y.kids if p.label == q.label and (id(p), id(q)) not in known]
+        if open_:
+            waiting += open_
+            continue
+        waiting.pop()
+        known[id(x), id(y)] = _paired(x.kids, y.kids, known)
+    return known[id(a), id(b)]
+
+
+def _paired(left: list, right: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The best pairing of children in order, and the nodes matched with their parents; ties keep the later children apart."""
+    own = lambda i, j: known.get((id(left[i - 1]), id(right[j - 1])), (0,))[0]
+    n, m = len(left), len(right)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(a.kids[i - 1], b.kids[j - 1], known)[0])
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + own(i, j))
     pairs, i, j = [], n, m
     while i and j:
-        own = match(a.kids[i - 1], b.kids[j - 1], known)[0]
-        if own and best[i][j] == best[i - 1][j - 1] + own:
+        if own(i, j) and best[i][j] == best[i - 1][j - 1] + own(i, j):
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    known[id(a), id(b)] = best[n][m] + 1, pairs[::-1]
-    return known[id(a), id(b)]
+    return best[n][m] + 1, pairs[::-1]
 
 
 def _hash(text: str) -> int:
@@ -240,15 +286,22 @@ def _said(nodes: Iterable[Node]) -> tuple[str, int]:
 
 
 def _started(shape: Shape, in_article: bool = False) -> Template:
-    node = Template(shape.label, shape.nodes[0].tag, is_chrome(shape.nodes[0], in_article))
-    node.kids = [_started(kid, in_article or node.tag in ("article", "main")) for kid in shape.kids]
-    return node
+    root = Template(shape.label, shape.nodes[0].tag, is_chrome(shape.nodes[0], in_article))
+    waiting = [(shape, root, in_article)]
+    while waiting:
+        own, node, inside = waiting.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.kids = [Template(kid.label, kid.nodes[0].tag, is_chrome(kid.nodes[0], inside)) for kid in own.kids]
+        waiting += [(kid, made, inside) for kid, made in zip(own.kids, node.kids, strict=True)]
+    return root
 
 
 def preorder(node) -> Iterator:
-    yield node
-    for kid in node.kids:
-        yield from preorder(kid)
+    waiting = [node]
+    while waiting:
+        own = waiting.pop()
+        yield own
+        waiting += reversed(own.kids)
 
 
 def dumped(root: Template) -> bytes:
@@ -257,46 +310,56 @@ def dumped(root: Template) -> bytes:
 
 
 def loaded(data: bytes) -> Template:
-    rows = iter(pickle.loads(data))
-
-    def node() -> Template:
-        label, tag, chrome, kids = next(rows)
-        return Template(label, tag, chrome, [node() for _ in range(kids)])
-
-    return node()
+    root = Template("", "", False)
+    waiting = [root]
+    for label, tag, chrome, kids in pickle.loads(data):
+        node = waiting.pop()
+        node.label, node.tag, node.chrome = label, tag, chrome
+        node.kids = [Template("", "", False) for _ in range(kids)]
+        waiting += reversed(node.kids)
+    return root
 
 
 def align(into: Template, own: Template, count: Iterator[int], known: dict | None = None) -> list[int]:
     """Merges a layout into a template; the template's numbers of the layout's nodes, in preorder."""
-    known = {} if known is None else known
-    pairs = dict((j, i) for i, j in match(into, own, known)[1])
-    old, place, numbers = list(into.kids), 0, [into.number]
-    for j, kid in enumerate(own.kids):
-        if j in pairs:
-            node = old[pairs[j]]
-            place = next(i for i, x in enumerate(into.kids) if x is node) + 1
-        else:
-            node = Template(kid.label, kid.tag, kid.chrome, number=next(count))
-            into.kids.insert(place, node)
-            place += 1
-        numbers += align(node, kid, count, known if j in pairs else None)
+    numbers, waiting = [], [(into, own, {} if known is None else known)]
+    while waiting:
+        into, own, known = waiting.pop()
+        numbers.append(into.number)
+        pairs = dict((j, i) for i, j in match(into, own, known)[1])
+        old, place, below = list(into.kids), 0, []
+        for j, kid in enumerate(own.kids):
+            if j in pairs:
+                node = old[pairs[j]]
+                place = next(i for i, x in enumerate(into.kids) if x is node) + 1
+            else:
+                node = Template(kid.label, kid.tag, kid.chrome, number=next(count))
+                into.kids.insert(place, node)
+                place += 1
+            below.append((node, kid, known if j in pairs else {}))
+        waiting += reversed(below)
     return numbers
 
 
-def _varying(node: Template, found: dict[int, float]) -> float:
-    """Characters of slots in a subtree, links left out."""
-    if node.chrome:
-        found[id(node)] = 0
-        return 0
-    own = 0 if node.constant is not None else max(0, node.size)
-    found[id(node)] = total = own + sum(_varying(kid, found) for kid in node.kids)
-    return total
+def _varying(root: Template) -> dict[int, float]:
+    """Characters of slots per subtree (by id), links left out; nothing below chrome counts."""
+    seen, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        seen.append(node)
+        if not node.chrome:
+            waiting += node.kids
+    found: dict[int, float] = {}
+    for node in reversed(seen):
+        own = 0 if node.chrome or node.constant is not None else max(0, node.size)
+        found[id(node)] = own + (0 if node.chrome else sum(found[id(kid)] for kid in node.kids))
+    return found
 
 
 def judge(root: Template) -> Template:
     """Marks the content of a layout whose constant nodes are known."""
-    size: dict[int, float] = {}
-    total = _varying(root, size)
+    size = _varying(root)
+    total = size[id(root)]
     articles, queue = [], [root]
     while queue:
         node = queue.pop()
@@ -321,18 +384,25 @@ def judge(root: Template) -> Template:
 
 
 def _blocks(node: Node, roles: dict[int, Template | None], in_article: bool, out: list[list[str]]) -> None:
-    role = roles.get(id(node))
-    if is_chrome(node, in_article) if role is None else role.chrome:
-        return
-    if role is not None and role.constant is not None and not any(isinstance(kid, Node) for kid in node.kids) and _hash(_said([node])[0]) == role.constant:
-        return
-    out.append([])
-    for kid in node.kids:
-        if isinstance(kid, Node):
-            _blocks(kid, roles, in_article or node.tag in ("article", "main"), out)
+    """Adds the texts of a node to ``out``, a list per run of text that no block interrupts."""
+    waiting: list = [(node, in_article)]
+    while waiting:
+        own = waiting.pop()
+        if own is None:
             out.append([])
+        elif isinstance(own, str):
+            out[-1].append(own)
         else:
-            out[-1].append(kid[0])
+            node, inside = own
+            role = roles.get(id(node))
+            if is_chrome(node, inside) if role is None else role.chrome:
+                continue
+            if role is not None and role.constant is not None and not any(isinstance(kid, Node) for kid in node.kids) and _hash(_said([node])[0]) == role.constant:
+                continue
+            out.append([])
+            inside = inside or node.tag in ("article", "main")
+            for kid in reversed(node.kids):
+                waiting += [None, (kid, inside)] if isinstance(kid, Node) else [kid[0]]
 
 
 @dataclass(slots=True, frozen=True)

@@ -85,6 +85,29 @@ def test_rare_layout_of_a_large_host(spark):
     assert {got[1000 + i] for i in range(9)} == {"Main 0 says this\n\nOther 0"}
 
 
+def test_markup_as_deep_as_it_comes(spark):
+    """Nested elements, unclosed and closed, chrome in chrome, and a host of two deep layouts: no depth ends the job."""
+    text = html.Extractor(None).text
+    for depth in (5_000, 100_000):
+        assert text("<div>" * depth + "deep") == "deep"
+        assert text("<p>top</p>" + "<section>" * depth + "<p>deep</p>" + "</section>" * depth + "<p>end</p>") == "top\n\ndeep\n\nend"
+        assert text("<aside>" * depth + "side" + "</aside>" * depth + "<p>main</p>" + "</nav>" * depth) == "main"
+        assert text("<ul><li>" * depth + "item") == "item"
+    pages = [(i, "http://deep.example/", ("<div>" * (3000 + 10 * (i % 2)) + "<p>Words of page {i}</p><p class=z>Same on every page</p>").format(i=i)) for i in range(12)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r["row"]["page_id"]: r["text"] for r in html.main_text(frame).collect()}
+    assert got == {i: f"Words of page {i}" for i in range(12)}
+
+
+def test_names_count_as_whole_words():
+    body = "Words of the article as they are. " * 5
+    for name in ("commentary", "format-standard", "barcelona", "metal", "metabolism", "shared-lanes", "advertorial", "navy", "skipper"):
+        assert html.Extractor(None).text(f"<body><div class='{name}'><p>{body}</p></div></body>") == body.strip(), name
+        assert html.Extractor(None).text(f"<body><article><h1>T</h1><div class='{name}'><p>{body}</p></div></article></body>") == f"T\n\n{body.strip()}", name
+    for name in ("comments", "site-nav", "cookie-bar", "related_posts", "share"):
+        assert html.Extractor(None).text(f"<body><div class=x><p>{body}</p></div><div class='{name}'><p>Other words</p></div></body>") == body.strip(), name
+
+
 def test_all_parts_of_the_content_stay():
     body = " ".join(f"word{k}" for k in range(200))
     nav = "<div class=links><ul><li><a href=/>Home</a></li></ul></div>"
