@@ -2,8 +2,8 @@
 
 Lines are compared without blanks, tabs and carriage returns at their ends. A site is a value of ``host`` (null is a site of
 its own); every row is one page of its site, repeated rows included. A line counts once per page. Empty lines never count
-and always stay. Null texts stay null. A page on which every line would go stays as it is: it is one of many copies of a page
-(which is for a duplicate search to settle), not a page with boilerplate.
+and always stay. Null texts stay null. With ``spare_whole_pages`` a page on which every line would go stays as it is: where copies
+of pages are still to be searched for, it is taken for one of them.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: A line on more than this share of a site's pages is boilerplate ...
 MAX_RATIO = 0.1
-#: ... if at least so many pages hold it: on a site of few pages, any share is large.
-MIN_PAGES = 5
+#: ... if at least so many pages hold it: what a single page says is its own, however few pages the site has.
+MIN_PAGES = 2
 #: Bytes of boilerplate hashes up to which they are broadcast; beyond, pages meet them by a salted shuffle join.
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
@@ -59,7 +59,9 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_
     return found.groupBy("site").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, spare_whole_pages: bool = False,
+) -> DataFrame:
     """``row`` (the page as given), ``n_lines``, ``n_dropped`` and ``cleaned``, the text without boilerplate lines."""
     found = boilerplate(pages, host, text, max_ratio, min_pages)
     size = found.agg(F.sum(F.size("dropped") * 24 + 64).alias("bytes")).first()["bytes"] or 0
@@ -72,14 +74,16 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         joined = rows.withColumn("salt", F.pmod(F.xxhash64(body), F.lit(SALTS)).cast("int")).join(salted, ["site", "salt"], "left")
     stays = lambda line: F.coalesce(~F.array_contains(F.col("dropped"), _key(_trimmed(line))), F.lit(True)) | (_trimmed(line) == "")
     left = joined.select("row", _lines(body).alias("lines"), F.when(F.col("dropped").isNull(), _lines(body)).otherwise(F.filter(_lines(body), stays)).alias("kept"))
-    some = F.exists("kept", lambda line: _trimmed(line) != "")
+    some = F.exists("kept", lambda line: _trimmed(line) != "") if spare_whole_pages else F.lit(True)
     marked = left.select("row", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.when(some, F.col("kept")).otherwise(F.col("lines")).alias("kept"))
     return marked.select("row", F.when(F.col("row").getField(text).isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"),
                          F.when(F.col("row").getField(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).alias("n_dropped"),
                          F.array_join("kept", "\n").alias("cleaned"))
 
 
-def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def without_boilerplate(
+    pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, spare_whole_pages: bool = False,
+) -> DataFrame:
     """The same rows and columns, ``text`` without boilerplate lines."""
-    cleaned = drop_boilerplate(pages, host, text, max_ratio, min_pages)
+    cleaned = drop_boilerplate(pages, host, text, max_ratio, min_pages, spare_whole_pages)
     return cleaned.select(*[(F.col("cleaned") if name == text else F.col("row").getField(name)).alias(name) for name in pages.columns])

@@ -130,8 +130,7 @@ shared AS (SELECT source, bare, count(DISTINCT page) AS held FROM keyed WHERE ba
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
 dropped AS (SELECT s.source, bare FROM shared s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source WHERE held > {linededup.MAX_RATIO} * total AND held >= {linededup.MIN_PAGES}),
 found AS (SELECT k.*, d.bare IS NOT NULL AS gone FROM keyed k LEFT JOIN dropped d ON k.source IS NOT DISTINCT FROM d.source AND k.bare = d.bare),
-marked AS (SELECT * REPLACE (gone AND bool_or(bare <> '' AND NOT gone) OVER (PARTITION BY page) AS gone) FROM found),
-texts AS (SELECT page, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY page)
+texts AS (SELECT page, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text FROM found GROUP BY page)
 SELECT p.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, t.text FROM pages p LEFT JOIN texts t USING (page)
 """
 

@@ -43,7 +43,7 @@ def test_slabs_cover_all_texts_and_distinct_counts():
     assert (values.tolist(), counts.tolist(), offsets.tolist()) == ([1, 3, 9], [1, 2, 1], [0, 2, 2, 3])
 
 
-def brute(rows, max_ratio, min_pages):
+def brute(rows, max_ratio, min_pages, spare):
     pages = {}
     for _, source, text in rows:
         pages.setdefault(source, []).append({line.strip(" \t\r") for line in (text or "").split("\n")} - {""})
@@ -55,7 +55,7 @@ def brute(rows, max_ratio, min_pages):
         held = lambda line: sum(line in page for page in pages[source])  # noqa: B023, E731
         lines = text.split("\n")
         kept = [x for x in lines if not (x.strip(" \t\r") and held(x.strip(" \t\r")) > max_ratio * len(pages[source]) and held(x.strip(" \t\r")) >= min_pages)]
-        if not any(x.strip(" \t\r") for x in kept):
+        if spare and not any(x.strip(" \t\r") for x in kept):
             kept = lines
         out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
@@ -71,10 +71,10 @@ def test_lines_against_brute_force(spark, monkeypatch):
     rows += [(600 + k, "b", "copy one\n\ncopy two") for k in range(20)]
     rows += [(500, "a", None), (501, "a", ""), (502, None, "\n\n"), (3, "c", rows[3][2]), (3, "c", rows[3][2]), (None, "z", "solo")]
     frame = spark.createDataFrame([(*row, "s", "r", "l", "d") for row in rows], PAGES)
-    want = brute(rows, 0.3, 3)
-    for limit in (1 << 20, -1):  # broadcast, and the salted join
+    for limit, ratio, floor, spare in ((1 << 20, 0.3, 3, True), (-1, 0.3, 3, True), (1 << 20, 0.1, 2, False)):  # broadcast, and the salted join
+        want = brute(rows, ratio, floor, spare)
         monkeypatch.setattr(linededup, "BROADCAST_BYTES", limit)
-        out = linededup.drop_boilerplate(frame, max_ratio=0.3, min_pages=3)
+        out = linededup.drop_boilerplate(frame, max_ratio=ratio, min_pages=floor, spare_whole_pages=spare)
         got = sorted([(r["row"]["doc_id"], r["n_lines"], r["n_dropped"], r["cleaned"]) for r in out.collect()], key=repr)
         assert got == want
     kept = linededup.without_boilerplate(frame, max_ratio=0.3, min_pages=3)
@@ -82,5 +82,12 @@ def test_lines_against_brute_force(spark, monkeypatch):
     assert {r["line"] for r in kept.collect()} == {"l"}
 
 
+def test_small_sites_and_pages_of_boilerplate(spark):
+    """A header on all four pages of a site goes, and so does a page of nothing but header and footer."""
+    rows = [(i, "four", f"Header\nown {i}", "s", "r", "l", "d") for i in range(4)] + [(10 + i, "many", "Top\nEnd" + f"\nown {i}" * (i % 2), "s", "r", "l", "d") for i in range(12)]
+    got = {r["row"]["doc_id"]: r["cleaned"] for r in linededup.drop_boilerplate(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {**{i: f"own {i}" for i in range(4)}, **{10 + i: f"own {i}" * (i % 2) for i in range(12)}}
+
+
 def test_no_pages(spark):
     assert linededup.without_boilerplate(spark.createDataFrame([], PAGES)).count() == 0
