@@ -24,8 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines on more than a tenth of their source's documents; ``n_chars`` follows the text."""
-    cleaned = linededup.without_boilerplate(docs)
+    """Removes lines on more than a tenth of their source's documents; ``n_chars`` follows the text.
+
+    Copies are only settled by the next stage, so five documents must share a line, and one of which nothing would be left stays whole.
+    """
+    cleaned = linededup.without_boilerplate(docs, min_pages=5, spare_whole_pages=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kind))
