@@ -30,9 +30,11 @@ def per_text(
     """``row`` (the columns in ``keep``, all if None) and one column per field (name, Arrow type, Spark type).
 
     ``make`` runs once per task and gives the function that maps a list of texts to one tuple each. The input columns travel
-    inside a struct, so no name can clash.
+    inside a struct, so no name can clash; a text that is among them travels there only.
     """
-    packed = rows.select(F.struct(*[F.col(f"`{name}`") for name in (rows.columns if keep is None else keep)]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    names = list(rows.columns if keep is None else keep)
+    inside = names.index(text) if text in names and rows.schema[text].dataType.simpleString() == "string" else None
+    packed = rows.select(F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"), *([] if inside is not None else [F.col(f"`{text}`").cast("string").alias("text")]))
     schema = packed.select("row").schema
     for name, _, kind in fields:
         schema = schema.add(name, DataType.fromDDL(kind))
@@ -40,7 +42,8 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in slices(batches):
-            found = list(work(batch.column(1).to_pylist()))
+            texts = batch.column(1) if inside is None else batch.column(0).field(inside)
+            found = list(work(texts.to_pylist()))
             columns = [pa.array([x[i] for x in found], kind) for i, (_, kind, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", *[name for name, _, _ in fields]])
 
