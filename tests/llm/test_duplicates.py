@@ -82,6 +82,60 @@ def test_depth_follows_recall():
     assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
 
 
+def forest_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").selectExpr("key", "text", "key AS h", "cast(length(text) AS long) AS n_chars")
+    signed = jaccard.signatures(rows).selectExpr("row.h AS node", "posexplode(arrays_zip(floors, tails)) AS (tree, own)", "bytes")
+    entries = signed.selectExpr("cast(tree AS long) AS tree", "own.floors AS floor", "own.tails AS tail", "node").cache()
+    return entries, jaccard.signatures(rows).selectExpr("row.h AS node", "bytes")
+
+
+def sparse_and_dense(seed=8):
+    """Texts 0 to 39: near copies of one text; 40 to 79: pairs of similarity 0.8 to 0.85."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(3000)]
+    base = [str(x) for x in rng.choice(words, 300)]
+    dense = [" ".join(base[:k] + ["new"] + base[k:]) for k in range(5, 205, 5)]
+    sparse = []
+    for _ in range(20):
+        own = [str(x) for x in rng.choice(words, 200)]
+        edited = list(own)
+        for at in (20, 70, 120, 170):
+            edited[at] = "other"
+        sparse += [" ".join(own), " ".join(edited)]
+    return dense + sparse
+
+
+def test_prefixes_are_shortened_only_where_texts_are_not_connected(spark):
+    entries, marks = forest_of(spark, sparse_and_dense())
+    roots = {r["node"]: r["root"] for r in jaccard.connected(entries, marks).collect()}
+    assert {roots[k] for k in range(40)} == {0}
+    assert [roots.get(40 + k, 40 + k) for k in range(40)] == [40 + k // 2 * 2 for k in range(40)]
+    # Whole strings connect all near copies: no shorter prefix is searched for them, though hundreds of their nodes grow.
+    deepest = jaccard.unsettled(entries, None, jaccard.DEPTH)
+    assert deepest.filter("node < 40").select("node").distinct().count() == 40
+    whole = spark.createDataFrame([(k, 0) for k in range(40)], "node long, root long")
+    shorter = {depth: {r["node"] for r in jaccard.unsettled(entries, whole, depth).select("node").distinct().collect()} for depth in range(jaccard.matched_depth(), jaccard.DEPTH)}
+    assert not any(node < 40 for nodes in shorter.values() for node in nodes)
+    # Pairs at the threshold do not all meet at whole strings, but they do at the shortest prefix.
+    met = {r["node"] for r in deepest.select("node").distinct().collect()} - set(range(40))
+    assert shorter[jaccard.matched_depth()] and met | set().union(*shorter.values()) == set(range(40, 80))
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_forest_connects_what_its_shortest_prefixes_would(spark, monkeypatch, chunk):
+    """Against a loop over all pairs that share a shortest prefix and whose estimate is high enough."""
+    monkeypatch.setattr(jaccard, "RUN_TEXTS", chunk)
+    texts = sparse_and_dense(9)[20:] + [text for _, text in corpus(12) if shingles(text)]
+    entries, marks = forest_of(spark, texts)
+    own = {r["node"]: np.frombuffer(r["bytes"], np.uint8) for r in marks.collect()}
+    nodes: dict = {}
+    for r in entries.collect():
+        nodes.setdefault((r["tree"], r["floor"]), []).append(r["node"])
+    edges = [(a, b) for group in nodes.values() for a in group for b in group if a < b and (own[a] == own[b]).mean() >= jaccard.THRESHOLD - jaccard.MARGIN]
+    want = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {r["node"]: r["root"] for r in jaccard.connected(entries, marks).collect()} == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (200, 199)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
