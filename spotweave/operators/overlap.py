@@ -90,35 +90,38 @@ def ring_geometry(edges: DataFrame) -> DataFrame:
 
 def self_crossing(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels: int = 8) -> DataFrame:
     """Rings with two edges that properly cross. (A ring that only touches itself keeps its area.)"""
-    return crossings(edges, bin_size, crowd, levels).select("cell_id").distinct()
+    return crossings(edges, bin_size, crowd, levels, every=False).select("cell_id").distinct()
 
 
-def crossings(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels: int = 8) -> DataFrame:
+def crossings(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels: int = 8, every: bool = True) -> DataFrame:
     """``(cell_id, x)``: where two edges of a ring properly cross.
 
     Edges are put into the square bins they pass through, and only edges of a ring that share a bin are compared.
     Bins with more than ``crowd`` edges are split into sixteen first, again and again where needed, so the pairs
-    stay proportional to the edges. Give an edge table that is cheap to read again: it is used per level.
+    stay proportional to the edges. Only the part of an edge that lies in such a bin is binned again, at most seven smaller bins
+    whatever the edge's length. With ``every`` off a ring leaves as soon as one crossing is known.
     """
     bins = ["cell_id", "_col", "_row"]
+    up = ["_col_up", "_row_up"]
     ends = ("ax", "ay", "bx", "by")
     todo = edges.where("ax <> bx OR ay <> by").select("cell_id", "slot", *ends)
-    found, size, crowded = None, float(bin_size), None
+    found, size = None, float(bin_size)
     for level in range(levels + 1):
-        binned = _crossed_cells(todo, *[F.col(c) for c in ends], F.lit(size))
-        if crowded is not None:
-            up = [F.floor(F.col(c) / 4).alias(f"{c}_up") for c in ("_col", "_row")]
-            binned = binned.select("*", *up).join(crowded, ["cell_id", "_col_up", "_row_up"], "left_semi")
+        binned = _crossed_cells(todo, *[F.col(c) for c in ends], F.lit(size), inside=level > 0).drop(*up)
+        binned = durable(binned) if level else binned
         counted = binned.groupBy(*bins).count().where(F.col("count") > crowd).select(*bins)
         last = level == levels or counted.isEmpty()
+        counted = counted if last else durable(counted)
         ready = binned if last else binned.join(counted, bins, "left_anti")
         crossing = _proper_crossings(ready, bins)
         found = crossing if found is None else found.unionByName(crossing)
         if last:
             break
-        counted = durable(counted)
-        crowded = counted.select("cell_id", F.col("_col").alias("_col_up"), F.col("_row").alias("_row_up"))
-        todo = durable(binned.join(counted, bins, "left_semi").select("cell_id", "slot", *ends).distinct())
+        crowded = binned.join(counted, bins, "left_semi")
+        if not every:
+            found = durable(found.groupBy("cell_id").agg(F.min("x").alias("x")))
+            crowded = crowded.join(found.select("cell_id"), "cell_id", "left_anti")
+        todo = crowded.withColumnsRenamed(dict(zip(bins[1:], up, strict=True)))
         size /= 4
     return found.distinct()
 
@@ -140,20 +143,28 @@ def _proper_crossings(binned: DataFrame, bins: list[str]) -> DataFrame:
     return pairs.where(apart).select("cell_id", (F.col("ax") + along * (F.col("bx") - F.col("ax"))).alias("x"))
 
 
-def _crossed_cells(edges: DataFrame, ax: Column, ay: Column, bx: Column, by: Column, size: Column) -> DataFrame:
-    """One row per square cell an edge passes through (``_col``, ``_row``), column by column."""
+def _crossed_cells(edges: DataFrame, ax: Column, ay: Column, bx: Column, by: Column, size: Column, inside: bool = False) -> DataFrame:
+    """One row per square cell an edge passes through (``_col``, ``_row``), column by column.
+
+    ``inside``: only those within the cell of four times the size that ``_col_up`` and ``_row_up`` name.
+    """
+    def cells(first: Column, last: Column, up: str) -> Column:
+        first, last = F.floor(first / size), F.floor(last / size)
+        if inside:
+            first, last = F.greatest(first, F.col(up) * 4), F.least(last, F.col(up) * 4 + 3)
+        # A null has no rows: the part of an edge may miss this column of the larger cell.
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
     left = F.least(ax, bx)
     right = F.greatest(ax, bx)
-    columns = edges.withColumn("_col", F.explode(F.sequence(F.floor(left / size), F.floor(right / size))))
+    columns = edges.withColumn("_col", cells(left, right, "_col_up"))
     l = F.greatest(left, F.col("_col") * size)
     r = F.least(right, (F.col("_col") + 1) * size)
     slope = (by - ay) / F.nullif(bx - ax, F.lit(0.0))
     low, high = F.least(ay, by), F.greatest(ay, by)
     at = lambda x: F.greatest(low, F.least(high, F.coalesce(ay + slope * (x - ax), low)))
     y1, y2 = at(l), F.when(ax == bx, high).otherwise(at(r))
-    return columns.withColumn(
-        "_row", F.explode(F.sequence(F.floor(F.least(y1, y2) / size), F.floor(F.greatest(y1, y2) / size)))
-    )
+    return columns.withColumn("_row", cells(F.least(y1, y2), F.greatest(y1, y2), "_row_up"))
 
 
 def candidate_cells(stats: DataFrame, grid: int) -> DataFrame:

@@ -27,6 +27,7 @@ from spotweave.session import durable, release, scratch_path
 
 _CHUNK = 4096   # parameters per gradient row
 _SLAB = 1024    # grids per numpy batch
+_SLAB_BYTES = 64 << 20  # of patches given to an encoder at once, and of tokens handed on in one batch
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -72,27 +73,38 @@ def predict_bags(bag_features: DataFrame, params: Params, n_types: int | None =
     )
 
 
-def encode_patches(patches: DataFrame, encoder: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def encode_patches(patches: DataFrame, encoder: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], batch_size: int = 64) -> DataFrame:
     """Apply a caller's encoder to batches of patches.
 
     The encoder maps a frame of patches to ``(tokens [n, 256, d], class_token [n, d])``. Returns one row per patch:
     ``(patch_index, tokens array<array<float>>, tile array<float>)`` with tile = class token, then token mean.
+
+    An encoder is given ``batch_size`` patches at most, fewer where these are large. Tokens leave as one buffer with offsets, in
+    batches of bounded size, so neither the width of a token nor the size of Spark's batches can overrun an Arrow list.
     """
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            tokens, lead = encoder(frame)
-            if tokens.ndim != 3 or tokens.shape[1] != 256:
-                raise ValueError(f"Expected 256 tokens per patch, got shape {tokens.shape}.")
-            tile = np.concatenate([lead, tokens.mean(axis=1)], axis=1).astype(np.float32)
-            yield pd.DataFrame({
-                "patch_index": frame["patch_index"].to_numpy(),
-                "tokens": [list(t.astype(np.float32)) for t in tokens],
-                "tile": list(tile),
-            })
-
-    return patches.mapInPandas(apply, "patch_index bigint, tokens array<array<float>>, tile array<float>")
+    def encoded(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        tokens, lead = encoder(frame)
+        if tokens.ndim != 3 or tokens.shape[1] != 256:
+            raise ValueError(f"Expected 256 tokens per patch, got shape {tokens.shape}.")
+        if len(tokens) != len(frame) or len(lead) != len(frame):
+            raise ValueError(f"Expected {len(frame)} patches, got {len(tokens)} with tokens and {len(lead)} with a class token.")
+        return tokens, np.concatenate([lead, tokens.mean(axis=1)], axis=1)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, min(batch_size, int(batch.num_rows * _SLAB_BYTES / max(1, batch.nbytes))))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                tokens, tile = encoded(part.to_pandas())
+                handed = max(1, _SLAB_BYTES // (256 * 4 * max(1, tokens.shape[2])))
+                for first in range(0, len(tokens), handed):
+                    own = tokens[first : first + handed]
+                    views = _lists(own.reshape(-1, own.shape[2]), np.float32)
+                    whole = pa.ListArray.from_arrays(pa.array(np.arange(0, len(views) + 1, 256, dtype=np.int32)), views)
+                    index = part.column("patch_index").slice(first, handed).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([index, whole, _lists(tile[first : first + handed], np.float32)], ["patch_index", "tokens", "tile"])
+
+    return patches.mapInArrow(apply, "patch_index bigint, tokens array<array<float>>, tile array<float>")
 
 
 def token_rows(encoded: DataFrame) -> DataFrame:

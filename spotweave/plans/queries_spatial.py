@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spotweave.functions.arrays import first_max_index
@@ -262,6 +263,24 @@ def _(fx):
     return means.select("patch_index", F.posexplode("v").alias("pos", "value"))
 
 
+@query("m02_encoded_patches", "patch_index:i pos:i value:d n_tokens:i token_sum:d", """
+    WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM {embeddings}),
+    sums AS (SELECT vec_id, CAST(list_sum(v) * 896 AS DOUBLE) AS token_sum FROM whole)
+    SELECT vec_id AS patch_index, i - 1 AS pos, CASE WHEN i <= 64 THEN v[i] ELSE v[i - 64] * 3.5 END AS value, 256 AS n_tokens, token_sum
+    FROM whole JOIN sums USING (vec_id), unnest(range(1, 129)) AS u(i)""")
+def _(fx):
+    # The encoder gives whole numbers: token t of a patch is its vector times t % 8, the class token the vector.
+    def encoder(frame):
+        lead = np.floor(64 * np.stack(frame["embedding"].to_numpy()).astype(np.float64))
+        return lead[:, None, :] * (np.arange(256) % 8)[None, :, None], lead
+
+    encoded = training.encode_patches(fx.embeddings.select(F.col("vec_id").alias("patch_index"), "embedding"), encoder)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("tokens", F.lit(0.0), lambda a, token: a + add(token))
+    told = encoded.select("patch_index", "tile", F.size("tokens").alias("n_tokens"), total.alias("token_sum"))
+    return told.select("patch_index", "n_tokens", "token_sum", F.posexplode("tile").alias("pos", "value"))
+
+
 @query("m10_bag_rows", "target_ord:i spot_id:s grid_index:i t0:d t1:d t2:d t3:d t4:d t5:d t6:d t7:d c0:d c1:d c2:d c3:d c4:d", """
     SELECT b.target_ord, b.spot_id, b.grid_index, t.* FROM {bags} AS b JOIN {spot_truth} AS t ON t.spot = b.target_ord""")
 def _(fx):

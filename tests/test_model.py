@@ -164,6 +164,23 @@ def test_encoder_hook(spark):
     assert training.token_rows(encoded).where("patch_index = 1 AND token_linear = 3").first()["token"] == [6.0, 6.0]
 
 
+def test_encoder_gets_and_hands_on_bounded_batches(spark, monkeypatch):
+    patches = spark.range(23, numPartitions=2).selectExpr("cast(id AS int) AS patch_index", "cast(id AS double) AS level")
+
+    def encoder(frame):
+        assert len(frame) <= 5
+        tokens = np.arange(256.0)[None, :, None] + frame["level"].to_numpy()[:, None, None] * np.ones((1, 1, 3))
+        return tokens, frame[["level"]].to_numpy()
+
+    monkeypatch.setattr(training, "_SLAB_BYTES", 2 * 256 * 4 * 3)
+    got = {r.patch_index: r for r in training.encode_patches(patches, encoder, batch_size=5).collect()}
+    assert sorted(got) == list(range(23))
+    assert all(list(got[k].tile) == [k] + [127.5 + k] * 3 and len(got[k].tokens) == 256 and got[k].tokens[200] == [200.0 + k] * 3 for k in got)
+    assert training.encode_patches(patches.where("level < 0"), encoder).count() == 0
+    with pytest.raises(Exception, match="Expected 5 patches"):
+        training.encode_patches(patches.coalesce(1), lambda frame: (np.ones((1, 256, 2)), np.ones((1, 1))), batch_size=5).collect()
+
+
 def test_stateless_steps_run_on_streams(spark, data, tmp_path):
     *_, bags, _targets = data
     p = initial_params(4, 3, 2, 5, seed=1, **SHAPE)

@@ -77,6 +77,35 @@ def test_self_crossing_also_in_crowded_bins(spark):
     assert sorted(r.cell_id for r in found.collect()) == [1, 4]
 
 
+def test_long_edges_are_binned_again_only_inside_crowded_bins(spark, monkeypatch):
+    """A fan of 5,000-pixel edges through one bin: below the first level an edge has a few bins, not thousands."""
+    rng = np.random.default_rng(5)
+    far = [(5000 * (k % 2) + rng.random(), 2500 * (k % 2) + rng.random() * 4) for k in range(120)]
+    ring = overlap.ring_edges(_vertices(spark, {1: far, 2: [(0, 0), (9, 0), (9, 9), (0, 9)]}))
+    made, plain = [], overlap._crossed_cells
+
+    def counting(*args, inside=False):
+        out = plain(*args, inside=inside)
+        made.append((inside, out.count(), out.select("cell_id", "slot", *(["_col_up", "_row_up"] if inside else [])).distinct().count()))
+        return out
+
+    monkeypatch.setattr(overlap, "_crossed_cells", counting)
+    ends = [(r.ax, r.ay, r.bx, r.by) for r in ring.where("cell_id = 1").select("ax", "ay", "bx", "by").collect()]
+    turn = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+    crossed = 0
+    for i, e in enumerate(ends):
+        for f in ends[:i]:
+            a, b, c, d = e[:2], e[2:], f[:2], f[2:]
+            crossed += turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0
+    found = overlap.crossings(ring, 18.0, crowd=16, levels=4)
+    # Places of one pair may differ in the last bit where two bins hold both edges; no two pairs are as close.
+    places = np.sort([r.x for r in found.where("cell_id = 1").collect()])
+    assert found.where("cell_id = 2").count() == 0 and (np.diff(places) > 1e-9).sum() + 1 == crossed > 500
+    deeper = [(rows, parts) for inside, rows, parts in made if inside]
+    assert deeper and all(rows <= 7 * parts for rows, parts in deeper)
+    assert [r.cell_id for r in overlap.self_crossing(ring, 18.0, crowd=16, levels=4).collect()] == [1]
+
+
 def test_ring_geometry_of_degenerate_rings(spark):
     edges = overlap.ring_edges(_vertices(spark, {1: [(1, 2)], 2: [(0, 0), (2, 2)], 3: [(0, 0), (2, 0), (4, 0)], 4: [(0, 0), (2, 0), (2, 2)]}))
     got = {r.cell_id: (r.n_vertices, r.area) for r in overlap.ring_geometry(edges).collect()}
