@@ -7,6 +7,9 @@ bounded sample of labelled texts; the nearest prototype by cosine is the predict
 Texts are lower-cased; whatever is not a letter is a word border, and trigrams may start or end at one. Null texts and texts
 without a letter are ``und`` with score 0, as is every text if nothing could be learned. Of equal cosines the language that
 comes first by name is taken. Repeated rows are each predicted; while learning, every row of a drawn id counts.
+
+Vectors of unrelated trigrams are nearly orthogonal: the cosine of a text in no learned language spreads around 0 by one over
+the root of the dimensions. ``recognised`` is false for a text of enough letters whose best cosine lies within that chance.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SAMPLE_PER_LANGUAGE = 1000
 #: Vectors of trigrams a worker keeps; others are bound again when they come.
 KEPT_TRIGRAMS = 40_000
 UNKNOWN = "und"
+#: Cosines below so many standard deviations of chance are no language, in texts of at least so many letters.
+CHANCE_DEVIATIONS, LEAST_LETTERS = 4.0, 50
 _SLOTS = 4096
 
 
@@ -96,11 +101,12 @@ class Bundler:
         return total
 
 
-def _bundles(texts: list[str | None], bundler: Bundler) -> Iterator[np.ndarray]:
+def _bundles(texts: list[str | None], bundler: Bundler) -> Iterator[tuple[np.ndarray, int]]:
+    """The bundle of each text and its number of trigrams, which is that of its letters."""
     for _, part in slabs(texts):
         codes, counts, offsets = trigrams(part)
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            yield bundler.bundle(codes[a:b], counts[a:b])
+            yield bundler.bundle(codes[a:b], counts[a:b]), int(counts[a:b].sum())
 
 
 def learn(labelled: DataFrame, key: Column, per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -121,7 +127,7 @@ def learn(labelled: DataFrame, key: Column, per_language: int = SAMPLE_PER_LANGU
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundler, totals = Bundler(), {}
         for batch in batches:
-            for name, vector in zip(batch["lang"], _bundles(batch["text"].tolist(), bundler), strict=True):
+            for name, (vector, _) in zip(batch["lang"], _bundles(batch["text"].tolist(), bundler), strict=True):
                 if vector.any():
                     totals[name] = totals.get(name, 0) + vector / np.linalg.norm(vector)
         if totals:  # a frame without rows has no list type
@@ -134,7 +140,7 @@ def learn(labelled: DataFrame, key: Column, per_language: int = SAMPLE_PER_LANGU
 
 
 def identify(texts: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``row`` (the columns in ``keep``, all if None), ``lang_pred`` and ``score``."""
+    """``row`` (the columns in ``keep``, all if None), ``lang_pred``, ``score`` and ``n_letters``."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[name] / np.linalg.norm(prototypes[name]) for name in names]).reshape(len(names), DIMENSIONS)
     model = texts.sparkSession.sparkContext.broadcast((names, matrix))
@@ -143,13 +149,20 @@ def identify(texts: DataFrame, prototypes: dict[str, np.ndarray], text: str = "t
         bundler = Bundler()
         names, matrix = model.value
 
-        def nearest(vector: np.ndarray) -> tuple[str, float]:
+        def nearest(bundle: tuple[np.ndarray, int]) -> tuple[str, float, int]:
+            vector, letters = bundle
             size = np.linalg.norm(vector)
             if not size or not names:
-                return UNKNOWN, 0.0
+                return UNKNOWN, 0.0, letters
             near = matrix @ vector / size
-            return names[int(near.argmax())], float(np.clip(near.max(), 0, 1))
+            return names[int(near.argmax())], float(np.clip(near.max(), 0, 1)), letters
 
         return lambda bodies: map(nearest, _bundles(bodies, bundler))
 
-    return per_text(texts, text, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")], make, keep)
+    return per_text(texts, text, [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double"), ("n_letters", pa.int64(), "bigint")], make, keep)
+
+
+def recognised() -> Column:
+    """Whether a row of ``identify`` has a language: not ``und``, and short or nearer to a prototype than by chance."""
+    chance = CHANCE_DEVIATIONS / DIMENSIONS**0.5
+    return (F.col("lang_pred") != UNKNOWN) & ((F.col("n_letters") < LEAST_LETTERS) | (F.col("score") >= chance))

@@ -80,6 +80,21 @@ def test_predictions_against_loops(spark):
         assert abs(r["score"] - max(cosines.values())) < 1e-5
 
 
+def test_texts_in_no_learned_language_are_not_recognised(spark):
+    """Long texts of other letters or of random ones are not recognised; short ones and all of the learned languages are."""
+    rng = np.random.default_rng(6)
+    rows = corpus(rng, 120)
+    random = lambda letters, n: "".join(rng.choice(list(letters), n))
+    cyrillic, noise = "абвгдежзиклмнопрстуфхцчшщыэюя ", "qxzjkvwyfpb0 "
+    odd = [(900, random(cyrillic, 4000), None), (901, random(noise, 4000), None), (902, random(cyrillic, 40), None), (903, "??", None), (904, None, None), (905, "the " + random("  xq", 20), None)]
+    frame = spark.createDataFrame([(d, t, lang, "r", "s") for d, t, lang, *_ in rows + odd], SCHEMA)
+    found = langid.identify(frame, langid.learn(frame, F.col("doc_id")))
+    got = {r["doc_id"]: (r["ok"], r["n_letters"]) for r in found.select("row.doc_id", langid.recognised().alias("ok"), "n_letters").collect()}
+    assert all(got[row[0]][0] for row in rows)
+    assert [got[i][0] for i in range(900, 906)] == [False, False, True, False, False, True]
+    assert all(got[d][1] == sum(c.isalpha() for c in (t or "").lower()) for d, t, *_ in rows + odd)
+
+
 def test_no_languages(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.learn(empty, F.col("doc_id")) == {}
