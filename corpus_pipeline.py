@@ -1,6 +1,6 @@
 """Documents to packed training sequences: each stage takes the documents its predecessor kept.
 
-Languages are identified and documents without one go; lines that a source repeats on too many pages go; of each group of
+Languages are identified and documents in none go; lines that a source repeats on too many pages go; of each group of
 near-duplicates the document with the least id stays; documents that hold a benchmark item go; the rest is packed.
 Null ids are compared like any value; a document row that is repeated is kept once by the third stage.
 """
@@ -16,10 +16,13 @@ from spotweave.session import durable, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is null or has no letter. Languages are learned as in op5, from three of four documents."""
+    """Drops documents without a letter, and longer ones in no learned language: no nearer to one than unrelated letters are by chance.
+
+    Languages are learned as in op5, from three of four documents.
+    """
     taught = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     found = langid.identify(docs, langid.learn(taught, F.col("doc_id")))
-    kept = found.filter(F.col("lang_pred") != langid.UNKNOWN)
+    kept = found.filter(langid.recognised())
     return kept.select(*[F.col("row").getField(name).alias(name) for name in docs.columns])
 
 
