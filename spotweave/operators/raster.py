@@ -6,6 +6,10 @@ step is bit arithmetic on a sixty-fourth of the pixels and one shuffle keyed by
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from spotweave.session import durable, one_row
 
 # Least saturation, greatest mean and least range of a tissue pixel.
 MIN_SATURATION, MAX_MEAN, MIN_RANGE = 0.05, 245.0, 10.0
+#: Bytes of the bands into which decoded images are cut; a band holds whole rows of pixels, one at least.
+BAND_BYTES = 1 << 20
 
 
 def tissue_pixels(thumbnail: DataFrame) -> DataFrame:
@@ -25,6 +31,38 @@ def tissue_pixels(thumbnail: DataFrame) -> DataFrame:
     ).select(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"))
 
 
+def image_words(images: DataFrame, band_bytes: int = BAND_BYTES) -> DataFrame:
+    """Words of the pixels that look like tissue, straight from decoded images: no pixel becomes a row.
+
+    ``images`` has ``width``, ``height``, ``nChannels`` (1, 3 or 4) and ``data`` (blue, green, red) as the image source gives them, and
+    may have ``py0``, the image row a strip begins with (0 if absent). Strips must not overlap. Images are cut into bands that are
+    dealt to all tasks. Images without data (unreadable files have height -1) give nothing.
+    """
+    first = F.col("py0").cast("long") if "py0" in images.columns else F.lit(0).cast("long")
+    line = F.col("width").cast("long") * F.col("nChannels")
+    sized = images.where("width > 0 AND height > 0 AND nChannels > 0").select(
+        first.alias("py0"), "width", "height", "nChannels", "data", F.greatest(F.lit(1), F.floor(F.lit(band_bytes) / line)).cast("int").alias("rows"))
+    bands = sized.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("height") - 1), F.col("rows"))).alias("top")).select(
+        (F.col("py0") + F.col("top")).alias("py"), "width", "nChannels",
+        F.expr("substring(data, top * width * nChannels + 1, least(rows, height - top) * width * nChannels)").alias("data"))
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                top, width, channels, data = (batch.column(k)[i].as_py() for k in range(4))
+                pixels = np.frombuffer(data, np.uint8).reshape(-1, width, channels)[:, :, :3].astype(np.int64)
+                high, low = pixels.max(axis=2), pixels.min(axis=2)
+                total = pixels.sum(axis=2) * (3 // pixels.shape[2])
+                tissue = ((high - low) / np.maximum(high, 1) > MIN_SATURATION) & (total / 3.0 < MAX_MEAN) & (high - low > MIN_RANGE)
+                tissue = np.pad(tissue, ((0, 0), (0, -width % 64)))
+                bits = np.packbits(tissue, axis=1, bitorder="little").view("<i8")
+                y, word = np.nonzero(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(y + top), pa.array(word.astype(np.int32)), pa.array(bits[y, word])], ["py", "word", "bits"])
+
+    found = bands.repartition("py").mapInArrow(words, "py long, word int, bits long")
+    return found.select(F.col("py").cast("int").alias("py"), "word", "bits")
+
+
 def frame_size(thumbnail: DataFrame) -> tuple[int, int]:
     row = one_row(thumbnail.agg((F.max("px") + 1).alias("w"), (F.max("py") + 1).alias("h")))
     return int(row["w"]), int(row["h"])

@@ -29,6 +29,20 @@ def _(fx):
     return raster.tissue_pixels(fx.thumbnail)
 
 
+@query("a20_thumbnail", _PIXELS, "SELECT px, py FROM {tissue}")
+def _(fx):
+    """The thumbnail as decoded strips of 64 rows; pixels it lacks are white."""
+    colour = F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")])
+    width = d.frame(fx)[0]
+    lines = fx.thumbnail.groupBy("py").agg(F.map_from_entries(F.collect_list(F.struct("px", colour))).alias("at"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.coalesce(F.col("at")[x], F.lit("FFFFFF")))
+    strips = lines.select("py", F.array_join(filled, "").alias("line")).groupBy(F.floor(F.col("py") / 64).alias("strip")).agg(
+        F.sort_array(F.collect_list(F.struct("py", "line"))).alias("l"))
+    images = strips.select((F.col("strip") * 64).alias("py0"), F.lit(width).alias("width"), F.size("l").alias("height"), F.lit(3).alias("nChannels"),
+                           F.unhex(F.array_join(F.col("l.line"), "")).alias("data"))
+    return raster.unpack(raster.image_words(images))
+
+
 @query("r02_erosion", _PIXELS, "SELECT px, py FROM {eroded1}")
 def _(fx):
     return raster.unpack(raster.erode(d.tissue_words(fx)))

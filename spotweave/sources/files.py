@@ -247,9 +247,14 @@ def probability_columns(columns: list[str]) -> list[str]:
     return chosen
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Decoded image files as the image source gives them: ``origin, height, width, nChannels, mode, data``."""
+    return spark.read.format("image").load(path).select("image.*")
+
+
 def read_thumbnail(spark: SparkSession, path: str) -> DataFrame:
     """``(px, py, r, g, b)`` of an image file. The bytes of the decoded image are unpacked with column functions."""
-    image = spark.read.format("image").load(path).select("image.*")
+    image = read_images(spark, path)
     at = lambda i: F.ascii(F.decode(F.substring("data", i, 1), "iso-8859-1"))
     rows = image.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("py")).select(
         F.expr("substring(data, py * width * nChannels + 1, width * nChannels)").alias("data"), "width", "nChannels", "py"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.functions import arrays, text
-from spotweave.operators import counts, metrics, proportions, spots
+from spotweave.operators import counts, metrics, proportions, raster, spots
 from spotweave.operators import windows as win
 from spotweave.sinks import files as sinks
 from spotweave.sources import files as sources
@@ -152,11 +152,44 @@ def test_lines_are_numbered_without_a_sort(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def png(image):
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    height, width, channels = image.shape
+    lines = b"".join(b"\0" + image[y].tobytes() for y in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_image_bands_to_words(spark, tmp_path, channels):
+    """Bands of one, of some and of all rows give the words that the pixels give, by a plain loop and by the pixel reader."""
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (9, 150, channels), dtype=np.uint8)
+    image[4] = 255
+    image[5, :70] = 0
+    (tmp_path / "t.png").write_bytes(png(image))
+    images = sources.read_images(spark, str(tmp_path / "t.png"))
+    want = {}
+    for y in range(9):
+        for x in range(150):
+            r, g, b = (int(image[y, x, min(k, channels - 1)]) for k in range(3))
+            high, low = max(r, g, b), min(r, g, b)
+            if high and (high - low) / high > 0.05 and (r + g + b) / 3 < 245 and high - low > 10:
+                want[y, x // 64] = want.get((y, x // 64), 0) | 1 << x % 64
+    pixelwise = raster.pack(raster.tissue_pixels(sources.read_thumbnail(spark, str(tmp_path / "t.png")))).collect()
+    assert {(r.py, r.word): r.bits % 2**64 for r in pixelwise} == want
+    for size in (1, 150 * channels * 4, 1 << 20):
+        rows = raster.image_words(images, size).collect()
+        assert len(rows) == len(want) and {(r.py, r.word): r.bits % 2**64 for r in rows} == want
+    shifted = raster.image_words(images.selectExpr("*", "100 AS py0")).collect()
+    assert {(r.py - 100, r.word) for r in shifted} == set(want)
+    assert raster.image_words(images.limit(0)).count() == 0
+    assert raster.image_words(images.selectExpr("-1 AS height", "-1 AS width", "-1 AS nChannels", "data")).count() == 0
+
+
 def test_thumbnail_reader(spark, tmp_path):
     image = np.random.default_rng(0).integers(0, 256, (5, 7, 3), dtype=np.uint8)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    lines = b"".join(b"\0" + image[y].tobytes() for y in range(5))
-    (tmp_path / "t.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+    (tmp_path / "t.png").write_bytes(png(image))
     rows = sources.read_thumbnail(spark, str(tmp_path / "t.png")).collect()
     got = np.zeros_like(image)
     for r in rows:
