@@ -11,7 +11,7 @@ from spotweave.functions.arrays import subtract
 from spotweave.functions.vectors import vector_mean, vector_pop_std
 from spotweave.operators.blocks import block_of, block_side, block_sums, vector_columns, width_of
 from spotweave.operators.ordinals import exact_median, ordinal
-from spotweave.session import one_row
+from spotweave.session import by_shuffle, one_row
 
 # Patch side, stride, grid side and tokens per side, all in full-resolution pixels.
 PATCH, STRIDE, GRID, TOKENS = 288, 72, 18, 16
@@ -73,7 +73,7 @@ def mask_pixel(boxes: DataFrame, scale: float, width: int, height: int, single:
 
 def on_tissue(boxes: DataFrame, mask: DataFrame, scale: float, width: int, height: int, single: bool = False) -> DataFrame:
     """Boxes whose centre falls on a mask pixel. ``mask``: ``(px, py)`` of the true pixels only."""
-    pixels = mask.select("px", "py")
+    pixels = by_shuffle(mask.select("px", "py"))
     return mask_pixel(boxes, scale, width, height, single).join(pixels, ["px", "py"], "left_semi").drop("px", "py")
 
 
@@ -134,7 +134,7 @@ def unique_grids(
 
 def token_to_grid(tokens: DataFrame, grids: DataFrame) -> DataFrame:
     """Attach the grid index to every token view of a retained grid."""
-    return tokens.join(grids.select("x0", "y0", "grid_index"), ["x0", "y0"])
+    return by_shuffle(tokens).join(grids.select("x0", "y0", "grid_index"), ["x0", "y0"])
 
 
 def views_per_patch(tokens: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def views_per_patch(tokens: DataFrame) -> DataFrame:
 
 
 def grids_without_view(grids: DataFrame, tokens: DataFrame) -> DataFrame:
-    return grids.join(tokens, ["x0", "y0"], "left_anti")
+    return grids.join(by_shuffle(tokens), ["x0", "y0"], "left_anti")
 
 
 def neighbour_pairs(patches: DataFrame, stride: int = STRIDE) -> DataFrame:
@@ -152,7 +152,7 @@ def neighbour_pairs(patches: DataFrame, stride: int = STRIDE) -> DataFrame:
     wanted = patches.select("patch_index", "x0", "y0", shift.alias("s")).select(
         "patch_index", (F.col("x0") + F.col("s.dx")).alias("x0"), (F.col("y0") + F.col("s.dy")).alias("y0")
     )
-    return wanted.join(patches.select(F.col("patch_index").alias("neighbour_index"), "x0", "y0"), ["x0", "y0"]).select(
+    return by_shuffle(wanted).join(patches.select(F.col("patch_index").alias("neighbour_index"), "x0", "y0"), ["x0", "y0"]).select(
         "patch_index", "neighbour_index"
     )
 
@@ -182,7 +182,7 @@ def require_encoded(patches: DataFrame, views: DataFrame, tiles: DataFrame, toke
     """Raise if a patch has no tile vector, or a view no token vector: either would silently leave the means."""
     no_tile = patches.select("patch_index").join(tiles.where("tile IS NOT NULL").select("patch_index"), "patch_index", "left_anti").count()
     known = tokens.where("token IS NOT NULL").select("patch_index", "token_linear")
-    no_token = views.select("patch_index", "token_linear").join(known, ["patch_index", "token_linear"], "left_anti").count()
+    no_token = views.select("patch_index", "token_linear").join(by_shuffle(known), ["patch_index", "token_linear"], "left_anti").count()
     if no_tile or no_token:
         raise ValueError(f"{no_tile} patches have no tile vector and {no_token} views no token vector.")
 
@@ -296,16 +296,17 @@ def blend_report(features: DataFrame, stats: DataFrame) -> dict:
 def patch_pixels(pixels: DataFrame, patches: DataFrame, mean: tuple, std: tuple, patch: int = PATCH, stride: int = STRIDE) -> DataFrame:
     """Normalised channels of every pixel of every patch: ``(v / 255 - mean) / std``.
 
-    A pixel lies in at most ``(patch / stride)^2`` patches; their origins are computed, so the join is on equal
-    origins. ``pixels``: ``(px, py, r, g, b)`` in full resolution.
+    Patches begin at multiples of the stride. A patch is dealt to the squares of the stride that it lies on, and meets there the pixels
+    of the square, so a pixel moves once, however many patches it lies in. ``pixels``: ``(px, py, r, g, b)`` in full resolution.
     """
-    def origins(axis: str) -> Column:
-        high = F.floor(F.col(axis) / stride)
-        low = F.greatest(F.lit(0), F.floor((F.col(axis) - patch) / stride) + 1)
-        return F.transform(F.sequence(low, high), lambda k: (k * stride).cast("int"))
-
-    placed = pixels.withColumn("x0", F.explode(origins("px"))).withColumn("y0", F.explode(origins("py")))
-    joined = placed.join(patches.select("patch_index", "x0", "y0"), ["x0", "y0"])
+    def squares(origin: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(origin) / stride), F.floor((F.col(origin) + patch - 1) / stride)))
+
+    lattice = patches.where((F.col("x0") % stride == 0) & (F.col("y0") % stride == 0)).select("patch_index", "x0", "y0")
+    dealt = lattice.withColumn("_sx", squares("x0")).withColumn("_sy", squares("y0"))
+    placed = pixels.withColumn("_sx", F.floor(F.col("px") / stride)).withColumn("_sy", F.floor(F.col("py") / stride))
+    inside = (F.col("px") < F.col("x0") + patch) & (F.col("py") < F.col("y0") + patch)
+    joined = placed.join(by_shuffle(dealt), ["_sx", "_sy"]).where(inside)
     channel = lambda c, i: ((F.col(c) / 255.0 - mean[i]) / std[i]).alias(c)
     return joined.select(
         "patch_index", (F.col("px") - F.col("x0")).alias("dx"), (F.col("py") - F.col("y0")).alias("dy"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spotweave.operators import lattice, nearest, raster, spots
 from spotweave.plans.fixtures import N_GENES, SPOT_DIAMETER, THUMB_SCALE, TYPE_NAMES, Fixtures
-from spotweave.session import one_row, scratch_path
+from spotweave.session import by_shuffle, one_row, scratch_path
 
 _WRITTEN: dict[tuple, str] = {}
 _SCALARS: dict[tuple, object] = {}
@@ -91,7 +91,7 @@ def bags(fx: Fixtures) -> DataFrame:
 
 def _pick(fx: Fixtures, keyed: DataFrame, number, name: str) -> DataFrame:
     n = scalar(fx, "n_embeddings", lambda: fx.embeddings.count())
-    return keyed.withColumn("vec_id", number % n).join(
+    return by_shuffle(keyed.withColumn("vec_id", number % n)).join(
         fx.embeddings.select("vec_id", F.col("embedding").alias(name)), "vec_id"
     ).drop("vec_id")
 

@@ -59,6 +59,14 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that grew by an ``explode``: joined by shuffle.
+
+    Spark estimates an exploded table at the size of what it was made from, so it would broadcast it however large it is.
+    """
+    return df.hint("merge")
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of a global aggregate as Python scalars (they become literals in later plans)."""
     return df.first().asDict()

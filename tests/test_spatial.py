@@ -315,3 +315,34 @@ def test_slivers_are_kept_at_any_scale(spark):
     edges = overlap.ring_edges(_vertices(spark, {1: [(17.0, 1.0), (18.00001, 1.0), (18.00001, 2.0), (17.0, 2.0)]}))
     areas = {r["x0"]: r["area"] for r in overlap.overlap_cells(edges, 18).collect()}
     assert areas[18] == pytest.approx(1e-5, rel=1e-6) and areas[0] == pytest.approx(1.0)
+
+
+def test_exploded_sides_are_never_broadcast(spark, tmp_path):
+    """A stored table is small, what is exploded from it is not; Spark's estimate of both is the same."""
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    patches = stored("patches", [(0, 0, 0), (1, 72, 0)], "patch_index int, x0 int, y0 int")
+    grids = stored("grids", [(0, 18, 0), (1, 288, 18)], "grid_index int, x0 int, y0 int")
+    words = stored("words", [(y, 0, -1) for y in range(64)], "py int, word int, bits long")
+    tokens = lattice.token_grids(patches)
+    met, without = lattice.token_to_grid(tokens, grids), lattice.grids_without_view(grids, tokens.unionByName(tokens))
+    boxes = lattice.with_centre(grids.select("x0", "y0"), 18)
+    inside = lattice.on_tissue(boxes, raster.unpack(words), 0.1, 64, 64)
+    for joined in (met, without, inside, lattice.neighbour_pairs(patches)):
+        assert "BroadcastHashJoin" not in _plan(joined)
+    assert sorted((r.patch_index, r.token_linear, r.grid_index) for r in met.collect()) == [(0, 1, 0), (1, 28, 1)]
+    assert without.count() == 0 and inside.count() == 2
+
+
+def test_pixels_meet_patches_by_squares(spark, tmp_path):
+    spark.createDataFrame([(x, y, x, y, 7) for x in range(21) for y in range(23)], "px int, py int, r int, g int, b int").write.parquet(str(tmp_path / "px"))
+    origins = [(0, 0, 0), (1, 4, 8), (2, 12, 0), (3, 12, 0), (4, 5, 4)]
+    patches = spark.createDataFrame(origins, "patch_index int, x0 int, y0 int")
+    got = lattice.patch_pixels(spark.read.parquet(str(tmp_path / "px")), patches, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), 10, 4)
+    # A patch off the lattice of the stride has no pixels; the last rows and columns of a patch need not fill a square.
+    want = sorted((i, x - x0, y - y0) for i, x0, y0 in origins[:4] for x in range(x0, min(21, x0 + 10)) for y in range(y0, min(23, y0 + 10)))
+    assert sorted((r.patch_index, r.dx, r.dy) for r in got.collect()) == want
+    assert all(r.r == pytest.approx((r.dx + dict((i, x) for i, x, _ in origins)[r.patch_index]) / 255) for r in got.collect())
+    assert "Broadcast" not in _plan(got)
