@@ -262,21 +262,30 @@ def adamw_step(params: Params, gradient: Params, state: dict, lr: float, weight_
     return out
 
 
-def _batches(bag_features: DataFrame, options: FitOptions) -> tuple[list[DataFrame], list[int]]:
-    """The grids of each batch and its number of spots."""
+def _batches(bag_features: DataFrame, options: FitOptions, *others: DataFrame) -> tuple[list, ...]:
+    """The grids of each batch and its number of spots; then, of each other table with ``target_ord``, the rows of each batch's spots.
+
+    All are stored by batch, so a step reads what it needs and computes nothing anew.
+    """
+    spark = bag_features.sparkSession
     spots = bag_features.select("target_ord").distinct()
     n = spots.count()
     size = -(-n // options.steps_per_epoch) if options.steps_per_epoch else options.batch_size
     if size >= n:
-        return [bag_features], [n]
+        return [durable(bag_features)], [n], *[[durable(rows.join(spots, "target_ord", "left_semi"))] for rows in others]
     drawn = F.xxhash64(F.lit(options.seed), F.col("target_ord"))
     dealt = ordinal(spots.withColumn("_drawn", drawn), ["_drawn", "target_ord"], name="_place")
     dealt = durable(dealt.select("target_ord", F.floor(F.col("_place") / size).cast("int").alias("_batch")))
-    path = scratch_path(bag_features.sparkSession, "batches")
-    bag_features.join(dealt, "target_ord").repartition("_batch", "target_ord").write.partitionBy("_batch").parquet(path)
-    stored = bag_features.sparkSession.read.schema(bag_features.schema).parquet
     count = -(-n // size)
-    return [stored(f"{path}/_batch={k}") for k in range(count)], [min(size, n - k * size) for k in range(count)]
+
+    def stored(rows: DataFrame) -> list[DataFrame]:
+        path = scratch_path(spark, "batches")
+        rows.join(dealt, "target_ord").select("_batch", *rows.columns).repartition("_batch", "target_ord").write.partitionBy("_batch").parquet(path)
+        # Read as one table, the folder of a batch without rows need not be there.
+        whole = spark.read.schema(f"_batch int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}").parquet(path)
+        return [whole.where(F.col("_batch") == k).drop("_batch") for k in range(count)]
+
+    return stored(bag_features), [min(size, n - k * size) for k in range(count)], *map(stored, others)
 
 
 @dataclass
@@ -341,7 +350,10 @@ def fit(
     """
     spark = bag_features.sparkSession
     monitor = "train_loss_epoch" if validation is None else "val_loss"
-    batches, n_spots = _batches(bag_features, options)
+    batches, n_spots, wanted = _batches(bag_features, options, targets)
+    if validation is not None:
+        shown = durable(validation[0])
+        validation = shown, durable(validation[1].join(shown.select("target_ord").distinct(), "target_ord", "left_semi"))
     held = validation[0].select("target_ord").distinct().count() if validation is not None else 0
     mark = repr((asdict(options) | {"max_epochs": None}, n_in, n_genes, n_types, n_spots, held))
     state = _stored_epoch(spark, state_path, mark) if state_path else None
@@ -358,7 +370,7 @@ def fit(
         epoch_loss = {"loss": 0.0, "expr_loss": 0.0, "type_loss": 0.0}
         for step in steps:
             draw = (options.seed * 1_000_003 + epoch) * 1_000_003 + step
-            row, gradient = loss_and_gradient(batches[step], targets, state.params, options, n_spots=n_spots[step], dropout=options.dropout, seed=draw)
+            row, gradient = loss_and_gradient(batches[step], wanted[step], state.params, options, n_spots=n_spots[step], dropout=options.dropout, seed=draw)
             state.params = adamw_step(state.params, gradient, state.moments, options.lr, options.weight_decay)
             for key in epoch_loss:
                 epoch_loss[key] += row[key]

@@ -218,3 +218,22 @@ def test_dropout_masks_follow_the_row():
     assert not np.allclose(whole[0], other[0])
     masks = np.concatenate([m.ravel() for m in whole[2]["gene_mask"][:-1]])
     assert set(np.round(np.unique(masks), 6)) == {0.0, round(1 / 0.7, 6)} and abs((masks == 0).mean() - 0.3) < 0.08
+
+
+def test_a_step_computes_no_targets_anew(spark, data):
+    """Targets and held-out rows are made once per fit, whatever the number of steps."""
+    bags, targets = data[4:]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def told(table):
+        return table.mapInArrow(counted, table.schema)
+
+    options = training.FitOptions(batch_size=2, projection_dim=5, hidden=(7, 5), type_hidden=6, max_epochs=3, lr=0.02)
+    held = bags.where("target_ord = 4")
+    history = training.fit(bags.where("target_ord <> 4"), told(targets), 4, 3, 2, options, (told(held), told(targets))).history
+    assert len(history) == 3 and made.value <= 3 * targets.count() + held.count()
