@@ -16,7 +16,7 @@ from spotweave.operators import aggregate, counts as count_ops, lattice, metrics
 from spotweave.operators import windows as win
 from spotweave.operators.ordinals import ordinal, seeded_split
 from spotweave.operators.training import FitOptions, encode_patches, fit, load_params, predict_bags, predict_grids, save_params, token_rows
-from spotweave.session import durable, one_row
+from spotweave.session import durable, one_row, scratch_path
 from spotweave.sinks import files as sinks
 
 
@@ -312,6 +312,10 @@ def agg(
     number = F.col("ord") if "ord" in grid_expr.columns else F.regexp_extract("grid_id", r"([0-9]+)\z", 1).cast("long")
     boxes = [F.col(f"bbox_{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")]
     grids = grid_expr.select("grid_id", number.alias("ord"), *boxes, "expr").join(grid_types.select("grid_id", "prob"), "grid_id").drop("grid_id")
+    # Several passes read single columns of this join; written, they do not join all vectors anew.
+    path = scratch_path(polygons.sparkSession, "agg_grids")
+    grids.write.parquet(path)
+    grids = polygons.sparkSession.read.schema(grids.schema).parquet(path)
     size = aggregate.grid_size(grids)
     everything = durable(aggregate.polygon_values(polygons, grids, type_names, n_genes, size, valid_only=False))
     values = everything.where("NOT is_invalid AND n_grids > 0") if valid_only else everything

@@ -134,3 +134,19 @@ def test_reuse_skips_the_work(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(aggregate, "polygon_values", plain)
     moved = run(ring.withColumn("vertex_x", F.col("vertex_x") + 1))
     assert spark.read.parquet(str(tmp_path / "out" / "expr")).collect() == moved["expr"].collect() != kept
+
+
+def test_agg_joins_the_tables_of_the_grids_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    boxes = [(f"grid_{i}", 18 * i, 0, 18 * i + 18, 18, [1.0 * i, 2.0]) for i in range(4)]
+    expr = spark.createDataFrame(boxes, "grid_id string, bbox_x0 int, bbox_y0 int, bbox_x1 int, bbox_y1 int, expr array<double>")
+    types = spark.createDataFrame([(f"grid_{i}", [0.25, 0.75]) for i in range(4)], "grid_id string, prob array<double>")
+    ring = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate([(1, 1), (30, 1), (30, 17), (1, 17)])], "cell_id long, vertex_ord long, vertex_x double, vertex_y double")
+    out = spotweave.agg(dataset="brca", grid_expr=expr.mapInArrow(counted, expr.schema), grid_types=types, type_names=["a", "b"], polygons=ring, n_genes=2)
+    assert [r.predicted_type for r in out["ct"].collect()] == ["b"] and made.value == 4
