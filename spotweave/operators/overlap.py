@@ -96,8 +96,8 @@ def self_crossing(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, leve
 def crossings(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels: int = 8, every: bool = True) -> DataFrame:
     """``(cell_id, x)``: where two edges of a ring properly cross.
 
-    Edges are put into the square bins they pass through, and only edges of a ring that share a bin are compared.
-    Bins with more than ``crowd`` edges are split into sixteen first, again and again where needed, so the pairs
+    All edges of a ring with at most ``crowd`` of them are compared. Those of a larger ring are put into the square bins they pass
+    through, and only edges of a ring that share a bin are compared. Bins with more than ``crowd`` edges are split into sixteen first, again and again where needed, so the pairs
     stay proportional to the edges. Only the part of an edge that lies in such a bin is binned again, at most seven smaller bins
     whatever the edge's length. With ``every`` off a ring leaves as soon as one crossing is known.
     """
@@ -105,7 +105,11 @@ def crossings(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels:
     up = ["_col_up", "_row_up"]
     ends = ("ax", "ay", "bx", "by")
     todo = edges.where("ax <> bx OR ay <> by").select("cell_id", "slot", *ends)
-    found, size = None, float(bin_size)
+    large = durable(todo.groupBy("cell_id").count().where(F.col("count") > crowd).select("cell_id"))
+    if large.isEmpty():
+        return _proper_crossings(todo, bins[:1]).distinct()
+    found, size = _proper_crossings(todo.join(large, "cell_id", "left_anti"), bins[:1]), float(bin_size)
+    todo = todo.join(large, "cell_id", "left_semi")
     for level in range(levels + 1):
         binned = _crossed_cells(todo, *[F.col(c) for c in ends], F.lit(size), inside=level > 0).drop(*up)
         binned = durable(binned) if level else binned
@@ -113,8 +117,7 @@ def crossings(edges: DataFrame, bin_size: float = 4.5, crowd: int = 64, levels:
         last = level == levels or counted.isEmpty()
         counted = counted if last else durable(counted)
         ready = binned if last else binned.join(counted, bins, "left_anti")
-        crossing = _proper_crossings(ready, bins)
-        found = crossing if found is None else found.unionByName(crossing)
+        found = found.unionByName(_proper_crossings(ready, bins))
         if last:
             break
         crowded = binned.join(counted, bins, "left_semi")
@@ -148,23 +151,26 @@ def _crossed_cells(edges: DataFrame, ax: Column, ay: Column, bx: Column, by: Col
 
     ``inside``: only those within the cell of four times the size that ``_col_up`` and ``_row_up`` name.
     """
-    def cells(first: Column, last: Column, up: str) -> Column:
-        first, last = F.floor(first / size), F.floor(last / size)
+    def cells(rows: DataFrame, low: Column, high: Column, up: str, name: str) -> DataFrame:
+        first, last = F.floor(low / size), F.floor(high / size)
         if inside:
             first, last = F.greatest(first, F.col(up) * 4), F.least(last, F.col(up) * 4 + 3)
+        # The ends are columns first: they would be computed over and over inside the explode.
+        ends = rows.withColumn("_first", first).withColumn("_last", last)
         # A null has no rows: the part of an edge may miss this column of the larger cell.
-        return F.explode(F.when(first <= last, F.sequence(first, last)))
+        return ends.withColumn(name, F.explode(F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last")))).drop("_first", "_last")
 
     left = F.least(ax, bx)
     right = F.greatest(ax, bx)
-    columns = edges.withColumn("_col", cells(left, right, "_col_up"))
+    columns = cells(edges, left, right, "_col_up", "_col")
     l = F.greatest(left, F.col("_col") * size)
     r = F.least(right, (F.col("_col") + 1) * size)
     slope = (by - ay) / F.nullif(bx - ax, F.lit(0.0))
     low, high = F.least(ay, by), F.greatest(ay, by)
     at = lambda x: F.greatest(low, F.least(high, F.coalesce(ay + slope * (x - ax), low)))
     y1, y2 = at(l), F.when(ax == bx, high).otherwise(at(r))
-    return columns.withColumn("_row", cells(F.least(y1, y2), F.greatest(y1, y2), "_row_up"))
+    heights = columns.withColumn("_y1", y1).withColumn("_y2", y2)
+    return cells(heights, F.least("_y1", "_y2"), F.greatest("_y1", "_y2"), "_row_up", "_row").drop("_y1", "_y2")
 
 
 def candidate_cells(stats: DataFrame, grid: int) -> DataFrame:

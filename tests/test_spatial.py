@@ -346,3 +346,22 @@ def test_pixels_meet_patches_by_squares(spark, tmp_path):
     assert sorted((r.patch_index, r.dx, r.dy) for r in got.collect()) == want
     assert all(r.r == pytest.approx((r.dx + dict((i, x) for i, x, _ in origins)[r.patch_index]) / 255) for r in got.collect())
     assert "Broadcast" not in _plan(got)
+
+
+def test_edges_of_small_rings_are_compared_without_bins(spark):
+    """Edges of a ring with few of them never become a row per bin; a ring with many is binned; both give every crossing."""
+    from spotweave.operators import overlap
+
+    small = [("bow", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (900.0, 900.0), (900.0, 0.0), (0.0, 900.0)])]
+    small += [("square", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (900.0, 0.0), (900.0, 900.0), (0.0, 900.0)])]
+    zigzag = [("zigzag", i, float(i), float(10 * (i % 2))) for i in range(101)] + [("zigzag", 101, 100.0, 5.25), ("zigzag", 102, 0.0, 5.25)]
+    schema = "cell_id string, vertex_ord long, vertex_x double, vertex_y double"
+    edges = overlap.ring_edges(spark.createDataFrame(small, schema))
+    found = overlap.crossings(edges)
+    assert "_row" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("bow", 450.0)]
+    both = overlap.crossings(overlap.ring_edges(spark.createDataFrame(small + zigzag, schema)))
+    told = {}
+    for cell, x in both.collect():
+        told.setdefault(cell, []).append(x)
+    assert told["bow"] == [450.0] and "square" not in told and len(told["zigzag"]) == 100
