@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.text import hex_channel, known_label, label_color, label_key
 from spotweave.operators.ordinals import last_wins
-from spotweave.operators.painting import painted_runs, pixels_of
+from spotweave.operators.painting import painted_pixels
 from spotweave.session import broadcast_if_small, one_row
 
 
@@ -120,9 +120,9 @@ def measured_values(polygon_ids: DataFrame, measured: DataFrame, gene: str) -> D
 def painted(table: DataFrame, payload: list[str], order: str = "ord") -> DataFrame:
     """``(px, py, *payload)``: pixels of the clipped rectangles; where they overlap, the later row shows.
 
-    The rectangles are painted as runs (:func:`spotweave.operators.painting.painted_runs`), which become pixels last.
+    The rectangles are painted by tiles (:func:`spotweave.operators.painting.painted_pixels`), which become pixels last.
     """
-    return pixels_of(painted_runs(table, payload, order)).select("px", "py", *payload)
+    return painted_pixels(table, payload, order)
 
 
 def type_raster(grid_types: DataFrame, window) -> DataFrame:

@@ -48,3 +48,17 @@ def test_only_what_shows_moves(spark):
 
 def test_no_rectangles(spark):
     assert windows.painted(frame(spark, [(1, 4, 4, 0, 9, "x")]), ["label"]).count() == 0
+
+
+def test_equal_runs_move_as_one_rectangle_and_pixels_match_runs(spark):
+    """What moves between the two paintings are rectangles, not a row per line of pixels; the pixels are those of the runs."""
+    rows = [(i, x, x + 18, y, y + 18, f"l{i}") for i, (x, y) in enumerate((x, y) for y in range(0, 180, 18) for x in range(0, 180, 18))]
+    rows += [(500, 30, 300, 40, 45, "over"), (501, 250, 260, 250, 270, None), (502, 5, 5, 0, 9, "empty")]
+    table = frame(spark, rows)
+    moved = painting._painted_tiles(table, ["label"], "ord")
+    assert moved.count() < 2 * len(rows)
+    pixels = painting.painted_pixels(table, ["label", "ord"])
+    assert dict(pixels.dtypes) == {"px": "int", "py": "int", "label": "string", "ord": "bigint"}
+    got = sorted(tuple(r) for r in pixels.select("px", "py", "ord").collect())
+    assert got == sorted((x, y, order) for (x, y), (order, _) in brute(rows).items())
+    assert got == sorted(tuple(r) for r in painting.pixels_of(painting.painted_runs(table, ["label", "ord"])).select("px", "py", "ord").collect())
