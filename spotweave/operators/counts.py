@@ -132,9 +132,9 @@ def reference_profiles(ref_counts: DataFrame, cells: DataFrame, genes: DataFrame
     """
     kept = ref_counts.join(cells.select("cell_id", "cell_type"), "cell_id")
     umi = kept.groupBy("cell_id").agg(F.sum("count").alias("umi")).where("umi > 0")
+    # The share of a gene in a cell is the sum over its rows, so rows are not summed by cell and gene first.
     shares = (
-        kept.groupBy("cell_id", "cell_type", "gene").agg(F.sum("count").alias("count"))
-        .join(umi, "cell_id")
+        kept.join(umi, "cell_id")
         .groupBy("cell_type", "gene")
         .agg(F.sum(F.col("count") / F.col("umi")).alias("share"))
     )

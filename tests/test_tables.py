@@ -221,3 +221,15 @@ def test_missing_spots_stay_missing_and_bad_output_raises(spark):
     proportions.require_valid({"n_missing_types": 0, "row_sum_min": 1.0})
     with pytest.raises(ValueError):
         proportions.require_valid({"n_missing_types": 1})
+
+
+def test_profiles_without_a_row_per_cell_and_gene(spark):
+    """Rows of a gene in a cell are summed with all others of its type, and never first by cell and gene."""
+    from spotweave.operators import counts
+
+    rows = [("a", "G1", 1.0), ("a", "G1", 2.0), ("a", "G2", 1.0), ("b", "G1", 5.0), ("c", "G2", None), ("d", "G2", 4.0), (None, "G1", 1.0)]
+    cells = [("a", "T"), ("b", "T"), ("c", "T"), ("d", "U")]
+    found = counts.reference_profiles(spark.createDataFrame(rows, "cell_id string, gene string, count double"), spark.createDataFrame(cells, "cell_id string, cell_type string"))
+    aggregates = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line]
+    assert not [line for line in aggregates if "cell_id" in line and "gene" in line]
+    assert sorted(tuple(r) for r in found.collect()) == [("T", "G1", 0.875), ("T", "G2", 0.125), ("U", "G2", 1.0)]
