@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.session import durable, one_row
+from spotweave.session import by_shuffle, durable, one_row
 
 _FAN = 4            # cells per axis that a cell splits into
 _BROADCAST_LEVELS = 4   # 16**4 = 65,536 cells at most: a bound by construction
@@ -46,7 +46,7 @@ def nearest_spot(grids: DataFrame, spots: DataFrame) -> DataFrame:
             first = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in cells.select(*fields).collect()]
             met = walk.select("grid_index", "gx", "gy", F.explode(F.array(*first)).alias("c")).select("grid_index", "gx", "gy", "c.*")
         else:
-            cells = F.broadcast(cells) if level <= _BROADCAST_LEVELS else cells
+            cells = F.broadcast(cells) if level <= _BROADCAST_LEVELS else by_shuffle(cells)
             met = walk.withColumnsRenamed({"cx": "px", "cy": "py"}).join(cells, ["px", "py"])
         reach = Window.partitionBy("grid_index")
         walk = (
@@ -56,7 +56,7 @@ def nearest_spot(grids: DataFrame, spots: DataFrame) -> DataFrame:
             .select("grid_index", "gx", "gy", "cx", "cy")
         )
     leaf = points.select("spot_index", "x", "y", *_cell(F.col("x"), F.col("y"), box, side, levels))
-    met = walk.join(leaf, ["cx", "cy"])
+    met = walk.join(by_shuffle(leaf), ["cx", "cy"])
     dx, dy = F.col("gx") - F.col("x"), F.col("gy") - F.col("y")
     # Squared distances order the candidates, so equal distances tie exactly.
     best = met.groupBy("grid_index").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("spot_index"))).alias("b"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.session import durable, one_row
+from spotweave.session import by_shuffle, durable, one_row
 
 # Least saturation, greatest mean and least range of a tissue pixel.
 MIN_SATURATION, MAX_MEAN, MIN_RANGE = 0.05, 245.0, 10.0
@@ -162,7 +162,7 @@ def background_runs(words: DataFrame, width: int, height: int) -> DataFrame:
     tail = width - last_word * 64
     clip = -1 if tail == 64 else (1 << tail) - 1
     valid = F.when(F.col("word") == last_word, F.lit(clip)).otherwise(F.lit(-1)).cast("long")
-    free = frame.join(words, ["py", "word"], "left").select(
+    free = frame.join(by_shuffle(words), ["py", "word"], "left").select(
         "py", "word", F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long"))).bitwiseAND(valid).alias("free")
     )
     row = Window.partitionBy("py").orderBy("word")
@@ -217,24 +217,24 @@ def outside_runs(runs: DataFrame) -> DataFrame:
     inner = runs.where("NOT outside").select("id")
     if inner.isEmpty():
         return border
-    touching = contacts.join(border.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct()
-    links = durable(contacts.join(border, "id", "left_anti").join(border.withColumnRenamed("id", "other"), "other", "left_anti"))
+    touching = contacts.join(by_shuffle(border.withColumnRenamed("id", "other")), "other", "left_semi").select("id").distinct()
+    links = durable(contacts.join(by_shuffle(border), "id", "left_anti").join(by_shuffle(border.withColumnRenamed("id", "other")), "other", "left_anti"))
     labels = durable(
-        inner.join(touching.withColumn("_t", F.lit(True)), "id", "left")
+        inner.join(by_shuffle(touching.withColumn("_t", F.lit(True))), "id", "left")
         .select("id", F.when(F.col("_t"), F.lit(0).cast("long")).otherwise(F.col("id")).alias("label"))
     )
     while True:
-        near = links.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("_near"))
-        reached = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
+        near = links.join(by_shuffle(labels.withColumnRenamed("id", "other")), "other").groupBy("id").agg(F.min("label").alias("_near"))
+        reached = labels.join(by_shuffle(near), "id", "left").select("id", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
         # A label 0 never changes; the other classes move together to their members' best label.
         hooks = reached.where("label > 0").groupBy("label").agg(F.min("_new").alias("_hook")).where("_hook < label")
         # The hooks are unique per label, so a label shared by many runs is a skewed side that AQE splits.
-        own = reached.join(hooks, "label", "left").select(
+        own = reached.join(by_shuffle(hooks), "label", "left").select(
             "id", "label", F.least("_new", F.coalesce("_hook", "_new")).alias("_new")
         )
         chase = hooks.select(F.col("label").alias("_new"), F.col("_hook").alias("_next"))
         moved = durable(
-            own.join(chase, "_new", "left").select("id", "label", F.least("_new", F.coalesce("_next", "_new")).alias("_new"))
+            own.join(by_shuffle(chase), "_new", "left").select("id", "label", F.least("_new", F.coalesce("_next", "_new")).alias("_new"))
         )
         labels = moved.select("id", F.col("_new").alias("label"))
         if moved.where("_new <> label").isEmpty():
@@ -244,7 +244,7 @@ def outside_runs(runs: DataFrame) -> DataFrame:
 def fill_holes(words: DataFrame, width: int, height: int) -> DataFrame:
     """Set background that is not 4-connected to the border."""
     runs = durable(background_runs(words, width, height))
-    holes = runs.join(outside_runs(runs), "id", "left_anti").select(
+    holes = runs.join(by_shuffle(outside_runs(runs)), "id", "left_anti").select(
         "py", F.explode(F.sequence("first", "last")).alias("px")
     )
     return pack(holes).unionByName(words.select("py", "word", "bits")).groupBy("py", "word").agg(F.bit_or("bits").alias("bits"))

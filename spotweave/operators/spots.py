@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.text import BRCA_TYPES, CRC_TYPES, spot_id_for_grid
 from spotweave.operators.ordinals import exact_median, first_n, last_wins, ordinal
-from spotweave.session import one_row
+from spotweave.session import by_shuffle, one_row
 
 
 def in_tissue(positions: DataFrame) -> DataFrame:
@@ -128,12 +128,12 @@ def spot_bags(targets: DataFrame, position_spots: DataFrame, grids: DataFrame, l
     """
     positions = last_wins(position_spots.select("spot_id", F.col("spot_index").alias("spot_index")), ["spot_id"], "spot_index")
     members = supervised(grids).select("spot_index", "grid_index")
-    kept = targets.select("target_ord", "spot_id").join(positions, "spot_id").join(
-        members.select("spot_index").distinct(), "spot_index", "left_semi"
+    kept = targets.select("target_ord", "spot_id").join(by_shuffle(positions), "spot_id").join(
+        by_shuffle(members.select("spot_index").distinct()), "spot_index", "left_semi"
     )
     if limit_spots is not None:
         kept = first_n(kept, ["target_ord"], int(limit_spots))
-    return members.join(kept, "spot_index").select("target_ord", "spot_id", "spot_index", "grid_index")
+    return members.join(by_shuffle(kept), "spot_index").select("target_ord", "spot_id", "spot_index", "grid_index")
 
 
 def bag_summary(bags: DataFrame) -> DataFrame:

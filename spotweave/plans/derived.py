@@ -84,7 +84,7 @@ def assigned(fx: Fixtures) -> DataFrame:
 
 
 def bags(fx: Fixtures) -> DataFrame:
-    targets = spot_table(fx).join(fx.positions.select("barcode", F.col("ord").alias("target_ord")), "barcode")
+    targets = spot_table(fx).join(by_shuffle(fx.positions.select("barcode", F.col("ord").alias("target_ord"))), "barcode")
     placed = assigned(fx).withColumn("is_tissue", F.lit(True))
     return spots.spot_bags(targets, spot_table(fx), placed)
 

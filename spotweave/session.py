@@ -60,9 +60,10 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 
 def by_shuffle(df: DataFrame) -> DataFrame:
-    """A side of a join that grew by an ``explode``: joined by shuffle.
+    """A side of a join that grew by an ``explode``, or that grows with the input: joined by shuffle.
 
-    Spark estimates an exploded table at the size of what it was made from, so it would broadcast it however large it is.
+    Spark estimates an exploded table at the size of what it was made from, so it would broadcast it however large it is. Others it
+    broadcasts from the driver up to its threshold, join by join and round by round.
     """
     return df.hint("merge")
 

@@ -365,3 +365,23 @@ def test_edges_of_small_rings_are_compared_without_bins(spark):
     for cell, x in both.collect():
         told.setdefault(cell, []).append(x)
     assert told["bow"] == [450.0] and "square" not in told and len(told["zigzag"]) == 100
+
+
+def test_sides_that_grow_with_the_slide_are_not_broadcast(spark, tmp_path):
+    """Stored tables under Spark's threshold are joined by shuffle all the same: grids, spots, positions and mask words grow."""
+    from spotweave.operators import spots
+
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    table = stored("spots", [(0, "a"), (1, "b"), (2, "b")], "spot_index int, spot_id string")
+    targets = stored("targets", [(7, "a"), (8, "b"), (9, "c")], "target_ord long, spot_id string")
+    grids = stored("grids", [(10, 0, True), (11, 2, True), (12, 2, False), (13, -1, True), (14, 1, True)], "grid_index int, spot_index int, is_tissue boolean")
+    bags = spots.spot_bags(targets, table, grids)
+    words = stored("words", [(1, 0, 5), (2, 0, 7)], "py int, word int, bits long")
+    runs = raster.background_runs(words, 4, 4)
+    for joined in (bags, runs):
+        assert "BroadcastHashJoin" not in _plan(joined)
+    assert sorted(tuple(r) for r in bags.collect()) == [(7, "a", 0, 10), (8, "b", 2, 11)]
+    assert sorted((r.py, r.first, r.last) for r in runs.collect()) == [(0, 0, 3), (1, 1, 1), (1, 3, 3), (2, 3, 3), (3, 0, 3)]
