@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spotweave.llm.arrow import per_text, sorted_runs
 from spotweave.llm.components import components
 from spotweave.llm.text import distinct_per_text, shingles_of, slabs, words_of
-from spotweave.session import broadcast_if_small, durable
+from spotweave.session import broadcast_if_small, durable, narrowed
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.99999
@@ -158,6 +158,7 @@ def connected(entries: DataFrame, marks: DataFrame, threshold: float = THRESHOLD
     Prefixes are shortened in all trees at once, and each length starts from what longer ones have connected.
     """
     roots = None
+    entries = narrowed(entries, entries.count())
     keys = ["tree", "floor", "tail", "i", "j"]
     for depth in range(DEPTH, matched_depth(threshold) - 1, -1):
         large = True
@@ -166,8 +167,10 @@ def connected(entries: DataFrame, marks: DataFrame, threshold: float = THRESHOLD
                 continue
             found = unsettled(entries, roots, depth)
             found = durable(found.filter(F.col("n") > RUN_TEXTS) if across else found)
-            if found.isEmpty():
+            n = found.count()
+            if not n:
                 break
+            found = narrowed(found, n)
             large = not found.filter(F.col("n") > RUN_TEXTS).isEmpty()
             tiled = _tiles(found.join(marks, "node"), "n", RUN_TEXTS, across).select(*keys, "root", "bytes")
             edges = tiled.repartition(*keys).sortWithinPartitions(*keys, "root").mapInArrow(_searched(threshold - MARGIN), "a bigint, b bigint")

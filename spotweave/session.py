@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows a side may have before it is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows that one task of a narrow table takes, and the tasks that a table is left with however few rows it has.
+TASK_ROWS, LEAST_TASKS = 100_000, 8
 
 
 def local_session(app: str = "spotweave", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -68,6 +70,14 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """A table of (about) the *counted* narrow rows in as many tasks as they need.
+
+    Each map task of a shuffle leaves files whatever its rows, so a small table in many partitions takes more disk by its tasks than by its rows.
+    """
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of a global aggregate as Python scalars (they become literals in later plans)."""
     return df.first().asDict()

@@ -284,3 +284,21 @@ def test_long_insertion_before_the_intact_part():
     index = decontam.index_of([(1, " ".join(words))])
     text = " ".join([*words[:60], *(f"z{k}" for k in range(12)), *words[60:330], *words[342:], *(f"u{k}" for k in range(30))])
     assert [x["item_id"] for x in next(decontam.matches([text], index))] == [1]
+
+
+def test_rounds_on_few_edges_run_in_few_tasks(spark, monkeypatch):
+    from spotweave.llm import components as module
+
+    made, durable = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df: made.append(durable(df)) or made[-1])
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)]
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}}
+    assert len(made) > 2 and max(df.rdd.getNumPartitions() for df in made[1:]) <= 8
