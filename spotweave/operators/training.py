@@ -4,6 +4,9 @@ A bag is never brought together: the forward pass sums grid outputs per spot wit
 gradient are columns of one row per spot, and the backward pass meets grids with their spot's gradient by an
 equi-join. A spot with a third of all grids is therefore only many rows. The driver holds the parameters, whose
 size the architecture fixes, and nothing that grows with the data.
+
+The batches of a fit that are small, by a bound in bytes, are stored as whole spots with their targets. A task then has all it needs for the
+forward and the backward pass of its spots, and a step is one job without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ from spotweave.functions.arrays import first_max_index, normalised
 from spotweave.functions.vectors import vector_mean, vector_sum
 from spotweave.operators.heads import Params, backward, forward, initial_params, row_seeds
 from spotweave.operators.ordinals import ordinal
-from spotweave.session import durable, release, scratch_path
+from spotweave.session import by_shuffle, durable, release, scratch_path
 
 _CHUNK = 4096   # parameters per gradient row
 _SLAB = 1024    # grids per numpy batch
 _SLAB_BYTES = 64 << 20  # of patches given to an encoder at once, and of tokens handed on in one batch
+_BATCH_BYTES = 64 << 20  # of features and targets, as doubles, of a batch that is stored as whole spots
+_GATHERED_BYTES = 32 << 20  # of the gradients that the tasks of a step hand to the driver; larger ones are summed by a shuffle
+_PIECES = "name string, chunk int, values array<double>"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -125,7 +131,7 @@ class FitOptions:
     patience: int = 20
     min_delta: float = 1e-4
     seed: int = 0
-    #: Spots per optimiser step. Each step is a few Spark jobs, so 4, which small data need to converge in few epochs, suits a
+    #: Spots per optimiser step. Each step is a Spark job, or a few of a large batch, so 4, which small data need to converge in few epochs, suits a
     #: local session; on a cluster hundreds of spots per step and a larger ``lr`` keep the executors busy.
     batch_size: int = 4
     #: Steps per epoch in place of a batch size; 1 uses all spots in each step.
@@ -181,16 +187,18 @@ def spot_losses(sums: DataFrame, targets: DataFrame, reduction: str, n_spots: in
 
 
 def loss_and_gradient(
-    bag_features: DataFrame, targets: DataFrame, params: Params, options: FitOptions, with_gradient: bool = True,
+    bag_features: DataFrame | _WholeSpots, targets: DataFrame | None, params: Params, options: FitOptions, with_gradient: bool = True,
     n_spots: int | None = None, dropout: float = 0.0, seed: int = 0,
 ) -> tuple[dict, Params | None]:
     """Losses of the given spots and, if asked, the gradient of every parameter.
 
-    ``bag_features``: ``(target_ord, spot_id, feature)``, one row per grid of a spot; ``n_spots`` is counted if not known. The
-    parameters are broadcast once and released at the end.
+    ``bag_features``: ``(target_ord, spot_id, feature)``, one row per grid of a spot, or a small batch of whole spots, which has its
+    targets; ``n_spots`` is counted if not known. The parameters are broadcast once and released at the end.
     """
     last_gene = max(int(k[4:-2]) for k in params if k.startswith("gene") and k.endswith(".w"))
     n_genes, n_types = params[f"gene{last_gene}.b"].size, params["type_class.b"].size
+    if isinstance(bag_features, _WholeSpots):
+        return _whole_spots_step(bag_features, params, options, n_spots, n_genes, dropout, seed)
     shared = bag_features.sparkSession.sparkContext.broadcast(params)
     sums = _forward_sums(bag_features, params, n_genes, n_types, shared, dropout, seed)
     n_spots = n_spots or bag_features.select("target_ord").distinct().count()
@@ -199,9 +207,7 @@ def loss_and_gradient(
         F.sum("expr_loss").alias("expr_loss"), F.sum("deconv_loss").alias("deconv_loss"),
         (F.sum("conf_sum") / F.sum("n_grids")).alias("confidence_loss"), F.sum("n_grids").alias("n_grids"),
     ).first().asDict()
-    alpha = options.alpha
-    kind = alpha * row["confidence_loss"] + (1 - alpha) * row["deconv_loss"] if alpha > 0 else row["deconv_loss"]
-    row["type_loss"], row["loss"] = kind, row["expr_loss"] + options.lambda_type * kind
+    row, alpha = _with_loss(row, options), options.alpha
     if not with_gradient:
         per_spot.unpersist()
         shared.destroy()
@@ -216,37 +222,154 @@ def loss_and_gradient(
                 part = batch.slice(start, _SLAB)
                 x = _matrix(part.column("feature"))
                 _, prob, memo = forward(shared.value, x, dropout, row_seeds(x, seed) if dropout else None)
-                d_prob = _matrix(part.column("d_prob"))
-                if confidence:
-                    top = prob.argmax(axis=1)
-                    rows = np.arange(len(top))
-                    best = prob[rows, top]
-                    d_prob[rows, top] -= np.where(best > 1e-8, confidence / best, 0.0)
-                g = backward(shared.value, memo, _matrix(part.column("d_expr")), d_prob)
-                total = g if total is None else {k: total[k] + g[k] for k in g}
-        for name, values in (total or {}).items():
-            flat = values.ravel()
-            for chunk in range(0, flat.size, _CHUNK):
-                piece = flat[chunk : chunk + _CHUNK]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([chunk // _CHUNK], pa.int32()), _lists(piece[None, :], np.float64)],
-                    ["name", "chunk", "values"],
-                )
+                d_prob = _less_confidence(_matrix(part.column("d_prob")), prob, confidence)
+                total = _added(total, backward(shared.value, memo, _matrix(part.column("d_expr")), d_prob))
+        yield from _pieces(total or {})
 
     sent = bag_features.join(per_spot, "target_ord").select(
         "feature", "d_expr", F.transform("d_prob_mean", lambda v: v / F.col("n_grids")).alias("d_prob")
     )
-    pieces = sent.mapInArrow(gradients, "name string, chunk int, values array<double>")
-    summed = pieces.groupBy("name", "chunk").agg(vector_sum(F.col("values")).alias("values"))
-    parts: dict[str, dict[int, np.ndarray]] = {}
-    for piece in summed.toLocalIterator():  # as large as the model, in chunks
-        parts.setdefault(piece["name"], {})[piece["chunk"]] = np.asarray(piece["values"])
+    summed = _summed(sent.mapInArrow(gradients, _PIECES))
     per_spot.unpersist()
     shared.destroy()
-    gradient = {
-        name: np.concatenate([chunks[i] for i in sorted(chunks)]).reshape(params[name].shape) for name, chunks in parts.items()
-    }
-    return row, gradient
+    return row, {name: values.reshape(params[name].shape) for name, values in summed.items()}
+
+
+def _added(total: Params | None, more: Params) -> Params:
+    return more if total is None else {k: total[k] + more[k] for k in more}
+
+
+def _less_confidence(d_prob: np.ndarray, prob: np.ndarray, confidence: float) -> np.ndarray:
+    """The gradient at the probabilities of grids, with the share of the confidence term."""
+    if confidence:
+        top = prob.argmax(axis=1)
+        rows = np.arange(len(top))
+        best = prob[rows, top]
+        d_prob[rows, top] -= np.where(best > 1e-8, confidence / best, 0.0)
+    return d_prob
+
+
+def _pieces(total: Params) -> Iterator[pa.RecordBatch]:
+    """Arrays as rows ``(name, chunk, values)`` of bounded size."""
+    chunks = [(name, i, values.ravel()[first : first + _CHUNK]) for name, values in total.items() for i, first in enumerate(range(0, values.size, _CHUNK))]
+    for start in range(0, len(chunks), 256):
+        names, places, values = zip(*chunks[start : start + 256], strict=True)
+        offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(np.float64)))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(places, pa.int32()), lists], ["name", "chunk", "values"])
+
+
+def _summed(pieces: DataFrame, gather: bool = False) -> dict[str, np.ndarray]:
+    """Each array, summed over the tasks that gave it: by a shuffle, or on the driver if the pieces of all tasks are small."""
+    if gather:
+        rows = pieces.collect()
+    else:
+        rows = pieces.groupBy("name", "chunk").agg(vector_sum(F.col("values")).alias("values")).toLocalIterator()  # as large as the model, in chunks
+    parts: dict[str, dict[int, np.ndarray]] = {}
+    for piece in rows:
+        chunks, values = parts.setdefault(piece["name"], {}), np.asarray(piece["values"])
+        chunks[piece["chunk"]] = chunks[piece["chunk"]] + values if piece["chunk"] in chunks else values
+    return {name: np.concatenate([chunks[i] for i in sorted(chunks)]) for name, chunks in parts.items()}
+
+
+@dataclass
+class _WholeSpots:
+    """A small batch. ``rows``: one per spot with ``n_grids``, the features of its grids in one list, ``want`` (the logarithm of one plus the target
+    expression) and ``share`` (target proportions that sum to one). A spot has as many rows as targets.
+    """
+
+    rows: DataFrame
+    n_grids: int
+    n_tasks: int
+
+
+def _slabs(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of spots with at most ``_SLAB`` grids together, or of one spot with more."""
+    first, grids = 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if i > first and grids + n > _SLAB:
+            yield first, i
+            first, grids = i, 0
+        grids += n
+    if first < len(counts):
+        yield first, len(counts)
+
+
+def _spots_pass(
+    p: Params, counts: np.ndarray, x: np.ndarray, want: np.ndarray, share: np.ndarray, scale: float, weight: float, confidence: float,
+    n_spots: int, dropout: float, seed: int,
+) -> Params:
+    """Losses and gradient of a slab of whole spots: the rules of :func:`spot_losses`, sums in single precision's values as there.
+
+    A spot with more grids than a slab is gone through twice, in pieces.
+    """
+    pieces = [slice(i, i + _SLAB) for i in range(0, len(x), _SLAB)]
+    ends = np.cumsum(counts)
+    starts = ends - counts if len(pieces) == 1 else np.zeros(1, np.int64)
+    run = lambda own: forward(p, x[own], dropout, row_seeds(x[own], seed) if dropout else None)
+    sums: np.ndarray | float = 0.0
+    for own in pieces:
+        out = run(own)
+        expr, prob = (v.astype(np.float32).astype(np.float64) for v in out[:2])
+        conf = -np.log(np.maximum(prob.max(axis=1), 1e-8))
+        sums = sums + np.add.reduceat(np.concatenate([expr, prob, conf[:, None]], axis=1), starts, axis=0)
+    expr, mean, conf = sums[:, : want.shape[1]], sums[:, want.shape[1] : -1] / counts[:, None], sums[:, -1]
+    # As in Spark's order, where NaN is the largest number.
+    gap = np.log1p(np.maximum(expr, 0.0)) - want
+    huber = np.where(np.abs(gap) <= 1, 0.5 * gap * gap, np.abs(gap) - 0.5).sum()
+    d_expr = np.where(expr <= 0, 0.0, np.clip(gap, -1.0, 1.0) / (1.0 + np.maximum(expr, 0.0)) * scale)
+    known = share > 0
+    kl = np.where(known, share * (np.log(np.where(known, share, 1.0)) - np.log(np.maximum(mean, 1e-8))), 0.0).sum()
+    d_mean = np.where(mean <= 1e-8, 0.0, -share / np.maximum(mean, 1e-8) * weight) / counts[:, None]
+    total: Params | None = None
+    for own in pieces:
+        if len(pieces) > 1:
+            out = run(own)
+        _, prob, memo = out
+        spot = np.repeat(np.arange(len(counts)), counts)[own]
+        total = _added(total, backward(p, memo, d_expr[spot], _less_confidence(d_mean[spot], prob, confidence)))
+    return total | {_LOSSES: np.array([huber * scale, kl / n_spots, conf.sum()])}
+
+
+_LOSSES = "losses"
+
+
+def _whole_spots_step(batch: _WholeSpots, params: Params, options: FitOptions, n_spots: int, n_genes: int, dropout: float, seed: int) -> tuple[dict, Params]:
+    """Losses and gradient of a small batch, in one job."""
+    if not batch.n_grids:
+        raise ValueError("No spot of the batch has targets.")
+    alpha, lam = options.alpha, options.lambda_type
+    scale = 1.0 if options.reduction == "sum" else 1.0 / (n_spots * n_genes)
+    weight = lam * (1.0 - alpha if alpha > 0 else 1.0) / n_spots
+    confidence = lam * alpha / batch.n_grids if alpha > 0 else 0.0
+    shared = batch.rows.sparkSession.sparkContext.broadcast(params)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Params | None = None
+        for part in batches:
+            counts = part.column("n_grids").to_numpy()
+            want, share = _matrix(part.column("want")), _matrix(part.column("share"))
+            features, ends = part.column("features"), np.cumsum(counts)
+            for first, last in _slabs(counts):
+                values = features.slice(first, last - first).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = values.reshape(int(ends[last - 1] - (ends[first - 1] if first else 0)), -1)
+                total = _added(total, _spots_pass(
+                    shared.value, counts[first:last], x, want[first:last], share[first:last], scale, weight, confidence, n_spots, dropout, seed))
+        yield from _pieces(total or {})
+
+    size = 8 * sum(v.size for v in params.values())
+    summed = _summed(batch.rows.mapInArrow(apply, _PIECES), gather=size * batch.n_tasks <= _GATHERED_BYTES)
+    shared.destroy()
+    expr_loss, deconv, conf = (float(v) for v in summed.pop(_LOSSES))
+    row = {"expr_loss": expr_loss, "deconv_loss": deconv, "confidence_loss": conf / batch.n_grids, "n_grids": batch.n_grids}
+    return _with_loss(row, options), {name: values.reshape(params[name].shape) for name, values in summed.items()}
+
+
+def _with_loss(row: dict, options: FitOptions) -> dict:
+    alpha = options.alpha
+    kind = alpha * row["confidence_loss"] + (1 - alpha) * row["deconv_loss"] if alpha > 0 else row["deconv_loss"]
+    row["type_loss"], row["loss"] = kind, row["expr_loss"] + options.lambda_type * kind
+    return row
 
 
 def adamw_step(params: Params, gradient: Params, state: dict, lr: float, weight_decay: float) -> Params:
@@ -262,30 +385,75 @@ def adamw_step(params: Params, gradient: Params, state: dict, lr: float, weight_
     return out
 
 
-def _batches(bag_features: DataFrame, options: FitOptions, *others: DataFrame) -> tuple[list, ...]:
-    """The grids of each batch and its number of spots; then, of each other table with ``target_ord``, the rows of each batch's spots.
+def _batches(
+    bag_features: DataFrame, options: FitOptions, targets: DataFrame | None = None, widths: tuple[int, int] = (0, 0),
+) -> tuple[list, ...]:
+    """The grids of each batch and its number of spots; then, if ``targets`` are given, the targets of each batch's spots.
 
-    All are stored by batch, so a step reads what it needs and computes nothing anew.
+    All are stored by batch, so a step reads what it needs and computes nothing anew. With ``targets``, and ``widths`` (numbers of a feature,
+    and of a target), a batch of at most ``_BATCH_BYTES`` becomes :class:`_WholeSpots`, and None stands for its targets.
     """
     spark = bag_features.sparkSession
-    spots = bag_features.select("target_ord").distinct()
+    spots = durable(bag_features.groupBy("target_ord").agg(F.count(F.lit(1)).alias("_n")))
     n = spots.count()
     size = -(-n // options.steps_per_epoch) if options.steps_per_epoch else options.batch_size
     if size >= n:
-        return [durable(bag_features)], [n], *[[durable(rows.join(spots, "target_ord", "left_semi"))] for rows in others]
+        own = () if targets is None else ([durable(targets.join(spots.select("target_ord"), "target_ord", "left_semi"))],)
+        return [durable(bag_features)], [n], *own
     drawn = F.xxhash64(F.lit(options.seed), F.col("target_ord"))
     dealt = ordinal(spots.withColumn("_drawn", drawn), ["_drawn", "target_ord"], name="_place")
-    dealt = durable(dealt.select("target_ord", F.floor(F.col("_place") / size).cast("int").alias("_batch")))
+    dealt = durable(dealt.select("target_ord", "_n", F.floor(F.col("_place") / size).cast("int").alias("_batch")))
     count = -(-n // size)
+    n_spots = [min(size, n - k * size) for k in range(count)]
 
-    def stored(rows: DataFrame) -> list[DataFrame]:
-        path = scratch_path(spark, "batches")
-        rows.join(dealt, "target_ord").select("_batch", *rows.columns).repartition("_batch", "target_ord").write.partitionBy("_batch").parquet(path)
+    def read(path: str, schema: str) -> list[DataFrame]:
         # Read as one table, the folder of a batch without rows need not be there.
-        whole = spark.read.schema(f"_batch int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}").parquet(path)
+        whole = spark.read.schema(f"_batch int, {schema}").parquet(path)
         return [whole.where(F.col("_batch") == k).drop("_batch") for k in range(count)]
 
-    return stored(bag_features), [min(size, n - k * size) for k in range(count)], *map(stored, others)
+    def stored(rows: DataFrame, of: DataFrame) -> list[DataFrame]:
+        path = scratch_path(spark, "batches")
+        rows.join(of, "target_ord").select("_batch", *rows.columns).repartition("_batch", "target_ord").write.partitionBy("_batch").parquet(path)
+        return read(path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+    if targets is None:
+        return stored(bag_features, dealt.select("target_ord", "_batch")), n_spots
+    size_of = 8 * (F.sum("_n") * widths[0] + F.count(F.lit(1)) * widths[1])
+    sizes = durable(dealt.groupBy("_batch").agg(F.sum("_n").alias("n"), (size_of <= _BATCH_BYTES).alias("_small")))
+    small = {r["_batch"]: r["n"] for r in sizes.where("_small").collect()}
+    chosen = dealt.join(by_shuffle(sizes), "_batch").select("target_ord", "_batch", "_small")
+    batches: list = [None] * count
+    wanted: list = [None] * count
+    if len(small) < count:
+        rest = chosen.where("NOT _small").drop("_small")
+        for k, (grids, own) in enumerate(zip(stored(bag_features, rest), stored(targets, rest), strict=True)):
+            batches[k], wanted[k] = grids, own
+    if small:
+        limit = -(-size // min(spark.sparkContext.defaultParallelism, -(-max(small.values()) // _SLAB)))  # spots of a task
+        # A spot beyond the bound is in no small batch and must not meet itself in one task; there are no more of them than the table has bounds.
+        beyond = spots.where(F.col("_n") * 8 * widths[0] > _BATCH_BYTES).select("target_ord")
+        light = bag_features if len(small) == count else bag_features.join(F.broadcast(beyond), "target_ord", "left_anti")
+        for k, batch in enumerate(_whole_spots(light, targets, chosen.where("_small").drop("_small"), limit, read)):
+            if k in small:
+                batches[k], wanted[k] = batch, None
+    return batches, n_spots, wanted
+
+
+def _whole_spots(bag_features: DataFrame, targets: DataFrame, dealt: DataFrame, limit: int, read: Callable[[str, str], list[DataFrame]]) -> list[_WholeSpots]:
+    """Small batches as rows of whole spots, stored in files of ``limit`` rows, each of which is a task of a step."""
+    spark = bag_features.sparkSession
+    ready = targets.select(
+        "target_ord", F.transform(F.col("expression").cast("array<double>"), lambda t: F.log1p(F.greatest(t, F.lit(0.0)))).alias("want"),
+        normalised(F.col("proportions"), 1e-8).alias("share"))
+    path, kind = scratch_path(spark, "batches"), bag_features.schema["feature"].dataType.simpleString()
+    whole = bag_features.select("target_ord", "feature").join(by_shuffle(dealt), "target_ord").groupBy("target_ord", "_batch").agg(
+        F.count(F.lit(1)).alias("n_grids"), F.flatten(F.collect_list("feature")).alias("features")
+    ).join(by_shuffle(ready), "target_ord").drop("target_ord")
+    whole.repartition("_batch").write.option("maxRecordsPerFile", limit).partitionBy("_batch").parquet(path)
+    batches = read(path, f"n_grids long, features {kind}, want array<double>, share array<double>")
+    made = spark.read.schema("_batch int, n_grids long").parquet(path).groupBy("_batch").agg(F.sum("n_grids").alias("n"), F.count(F.lit(1)).alias("rows"))
+    made = {r["_batch"]: (r["n"], -(-r["rows"] // limit)) for r in made.toLocalIterator()}
+    return [_WholeSpots(rows, *made.get(k, (0, 0))) for k, rows in enumerate(batches)]
 
 
 @dataclass
@@ -341,7 +509,7 @@ def fit(
     """Synchronous data-parallel AdamW with best-by-metric selection and early stopping.
 
     Spots are dealt to batches once, in a seeded order, and their grids are stored by batch, so that a step reads its own rows
-    only; epochs go through the batches in changing order. The monitored value is the training loss (with dropout), or the
+    only, as whole spots where the batch is small; epochs go through the batches in changing order. The monitored value is the training loss (with dropout), or the
     validation loss (without) if given. Each epoch's record has the losses, and the best epoch so far.
 
     With ``state_path`` (a folder on shared storage) parameters, moments, best epoch and patience are written after every epoch, and a
@@ -350,7 +518,7 @@ def fit(
     """
     spark = bag_features.sparkSession
     monitor = "train_loss_epoch" if validation is None else "val_loss"
-    batches, n_spots, wanted = _batches(bag_features, options, targets)
+    batches, n_spots, wanted = _batches(bag_features, options, targets, (n_in, n_genes + n_types))
     if validation is not None:
         shown = durable(validation[0])
         validation = shown, durable(validation[1].join(shown.select("target_ord").distinct(), "target_ord", "left_semi"))

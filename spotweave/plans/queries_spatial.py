@@ -17,7 +17,7 @@ from spotweave.plans.model_sql import forward_parts, loss_sql
 from spotweave.plans.queries_tables import _CLIP, _IN, _PCC, _RING_IN, _TOP, _boxes
 from spotweave.plans.reference_sql import PARTS
 from spotweave.plans.registry import query
-from spotweave.session import scratch_path
+from spotweave.session import durable, scratch_path
 
 _PIXELS = "px:i py:i"
 
@@ -570,9 +570,9 @@ def _(fx):
 @query("m09_best_epoch", "epoch:i train_loss:d train_expr_loss:d train_type_loss:d val_loss:d best_epoch:i monitor:s")
 def _(fx):
     # The default path: stored batches in changing order, dropout, validation, state per epoch. Random numbers have no SQL; a test compares loops.
-    truth = d.spot_truth(fx).select(F.col("spot_id").alias("target_ord"), F.col("expr").alias("expression"), "proportions")
+    truth = durable(d.spot_truth(fx).select(F.col("spot_id").alias("target_ord"), F.col("expr").alias("expression"), "proportions"))
     bags = _features(fx).join(truth.select("target_ord"), "target_ord", "left_semi")
-    held = ordinals.seeded_split(truth.select("target_ord"), "target_ord", 0.1, 0, truth.count()).where("is_validation").select("target_ord")
+    held = durable(ordinals.seeded_split(truth.select("target_ord"), "target_ord", 0.1, 0, truth.count()).where("is_validation").select("target_ord"))
     options = training.FitOptions(projection_dim=16, max_epochs=3, lr=1e-2, batch_size=256, **_SHAPE)
     result = training.fit(
         bags.join(held, "target_ord", "left_anti"), truth, 64, N_GENES, 5, options, (bags.join(held, "target_ord", "left_semi"), truth), scratch_path(fx.spark, "epochs"))

@@ -237,3 +237,54 @@ def test_a_step_computes_no_targets_anew(spark, data):
     held = bags.where("target_ord = 4")
     history = training.fit(bags.where("target_ord <> 4"), told(targets), 4, 3, 2, options, (told(held), told(targets))).history
     assert len(history) == 3 and made.value <= 3 * targets.count() + held.count()
+
+
+def test_a_step_of_a_small_batch_is_one_job(spark, data, monkeypatch):
+    """Small batches are whole spots: one job, and the losses and gradient that the same rows give as grids; large batches stay grids."""
+    *_, bags, targets = data
+    # A target twice counts twice, and a spot without one only in the number of spots.
+    targets = targets.where("target_ord <> 3").unionByName(targets.where("target_ord = 2"))
+    options = training.FitOptions(batch_size=2, projection_dim=5, hidden=(7, 5), type_hidden=6, lambda_type=0.7, dropout=0.2, reduction="mean")
+    p = initial_params(4, 3, 2, 5, seed=1, **SHAPE)
+    grids, sizes = training._batches(bags, options)
+    small, n_spots, wanted = training._batches(bags, options, targets, (4, 5))
+    assert n_spots == sizes and wanted == [None] * 3
+
+    def step(k, batch, own):
+        spark.sparkContext.setJobGroup(f"step-{k}-{own is None}", "")
+        try:
+            return training.loss_and_gradient(batch, own, p, options, n_spots=sizes[k], dropout=0.2, seed=7 + k)
+        finally:
+            spark.sparkContext.setJobGroup("other", "")
+
+    want = [step(k, grids[k], targets) for k in range(3)]
+    for gathered in (training._GATHERED_BYTES, 0):  # on the driver, and by a shuffle
+        monkeypatch.setattr(training, "_GATHERED_BYTES", gathered)
+        for k, (row, g) in enumerate(want):
+            got, h = step(k, small[k], None)
+            assert set(got) == set(row) and all(got[n] == pytest.approx(row[n], rel=1e-9) for n in row)
+            assert set(h) == set(g) and all(np.allclose(h[n], g[n], rtol=1e-9, atol=1e-12) for n in g)
+            if gathered:
+                assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"step-{k}-True")) == 1
+
+    held = {k: bags.join(grids[k].select("target_ord").distinct(), "target_ord").count() for k in range(3)}
+    largest = max(held, key=held.get)
+    monkeypatch.setattr(training, "_BATCH_BYTES", 8 * (held[largest] * 4 + 2 * 5) - 1)
+    mixed, _, wanted = training._batches(bags, options, targets, (4, 5))
+    assert [w is not None for w in wanted] == [k == largest for k in range(3)]
+    for k, (row, g) in enumerate(want):
+        got, h = step(k, mixed[k], wanted[k])
+        assert got["loss"] == pytest.approx(row["loss"], rel=1e-9) and all(np.allclose(h[n], g[n], rtol=1e-9, atol=1e-12) for n in g)
+
+
+def test_a_spot_larger_than_a_slab(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = initial_params(4, 3, 2, 5, seed=1, **SHAPE)
+    counts, x = np.array([23]), rng.normal(size=(23, 4))
+    rest = (np.log1p(rng.random((1, 3)) * 9), np.array([[0.3, 0.7]]), 1.0, 0.5, 0.01, 2, 0.2, 5)
+    whole = training._spots_pass(p, counts, x, *rest)
+    monkeypatch.setattr(training, "_SLAB", 10)
+    pieces = training._spots_pass(p, counts, x, *rest)
+    assert set(whole) == set(pieces) and all(np.allclose(pieces[k], v) for k, v in whole.items())
+    assert list(training._slabs(np.array([4, 6, 1, 23, 2, 8, 3]))) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(training._slabs(np.array([], int))) == []
