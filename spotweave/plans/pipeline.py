@@ -16,7 +16,7 @@ from spotweave.operators import aggregate, counts as count_ops, lattice, metrics
 from spotweave.operators import windows as win
 from spotweave.operators.ordinals import ordinal, seeded_split
 from spotweave.operators.training import FitOptions, encode_patches, fit, load_params, predict_bags, predict_grids, save_params, token_rows
-from spotweave.session import durable, one_row, scratch_path
+from spotweave.session import by_shuffle, durable, one_row, scratch_path
 from spotweave.sinks import files as sinks
 
 
@@ -163,7 +163,7 @@ def ge(
     grids = durable(lattice.unique_grids(boxed, mask if filter_tissue else None, thumbnail_scale, width, height, grid))
     views = lattice.token_to_grid(boxed, grids).select("patch_index", "token_linear", "grid_index", "weight")
     assigned = nearest.assign_spots(grids, table, spot_diameter)
-    placed = lattice.with_tissue_flags(grids.join(assigned, "grid_index")).withColumn("is_supervised_grid", F.col("spot_index") >= 0)
+    placed = lattice.with_tissue_flags(grids.join(by_shuffle(assigned), "grid_index")).withColumn("is_supervised_grid", F.col("spot_index") >= 0)
     counted = one_row(placed.agg(
         F.count(F.lit(1)).alias("n_grids"), F.count_if("is_supervised_grid").alias("n_supervised_grids"),
         F.countDistinct(F.when(F.col("is_supervised_grid"), F.col("spot_index"))).alias("n_supervised_spots"),

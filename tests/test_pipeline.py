@@ -150,3 +150,25 @@ def test_agg_joins_the_tables_of_the_grids_once(spark):
     ring = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate([(1, 1), (30, 1), (30, 17), (1, 17)])], "cell_id long, vertex_ord long, vertex_x double, vertex_y double")
     out = spotweave.agg(dataset="brca", grid_expr=expr.mapInArrow(counted, expr.schema), grid_types=types, type_names=["a", "b"], polygons=ring, n_genes=2)
     assert [r.predicted_type for r in out["ct"].collect()] == ["b"] and made.value == 4
+
+
+def test_grids_meet_their_spots_by_shuffle(spark):
+    """Grids and their nearest spots grow with the slide: neither is broadcast from the driver, however small Spark takes it to be."""
+    positions = spark.createDataFrame(
+        [(i, f"S{i}", 1, 0, i, 150.0 + 300 * (i // 2), 150.0 + 300 * (i % 2)) for i in range(4)],
+        "ord long, barcode string, in_tissue int, array_row int, array_col int, pxl_row_in_fullres double, pxl_col_in_fullres double")
+    pixels = spark.range(3600).select((F.col("id") % 60).cast("int").alias("px"), F.floor(F.col("id") / 60).cast("int").alias("py"))
+    thumbnail = pixels.select("px", "py", F.lit(200).alias("r"), F.lit(120).alias("g"), F.lit(160).alias("b"))
+    image = spark.createDataFrame([(600, 600)], "width long, height long")
+    result = spotweave.ge(
+        dataset="brca", positions=positions, spot_diameter=60.0, thumbnail_scale=0.1, thumbnail=thumbnail, image=image, metadata_only=True)
+    grids = result["grids"]
+    rows = grids.select("grid_index", "center_x", "center_y", "nearest_spot_index", "nearest_spot_distance", "spot_index")
+    told = rows.collect()
+    assert len(told) == result.summary["n_grids"] > 0 and len({r.grid_index for r in told}) == len(told)
+    for r in told:
+        near = min((((r.center_x - 150 - 300 * (i % 2)) ** 2 + (r.center_y - 150 - 300 * (i // 2)) ** 2) ** 0.5, i) for i in range(4))
+        assert (r.nearest_spot_distance, r.nearest_spot_index) == (pytest.approx(near[0]), near[1])
+        assert r.spot_index == (near[1] if near[0] <= 30 else -1)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "grid_index" in plan and "BroadcastHashJoin" not in plan
