@@ -406,40 +406,36 @@ def _batches(
     count = -(-n // size)
     n_spots = [min(size, n - k * size) for k in range(count)]
 
-    def read(path: str, schema: str) -> list[DataFrame]:
-        # Read as one table, the folder of a batch without rows need not be there.
-        whole = spark.read.schema(f"_batch int, {schema}").parquet(path)
-        return [whole.where(F.col("_batch") == k).drop("_batch") for k in range(count)]
-
-    def stored(rows: DataFrame, of: DataFrame) -> list[DataFrame]:
+    def stored(rows: DataFrame, of: DataFrame, chosen: list[int]) -> list[DataFrame]:
         path = scratch_path(spark, "batches")
         rows.join(of, "target_ord").select("_batch", *rows.columns).repartition("_batch", "target_ord").write.partitionBy("_batch").parquet(path)
-        return read(path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+        # Read as one table, the folder of a batch without rows need not be there.
+        whole = spark.read.schema(f"_batch int, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}").parquet(path)
+        return [whole.where(F.col("_batch") == k).drop("_batch") for k in chosen]
 
     if targets is None:
-        return stored(bag_features, dealt.select("target_ord", "_batch")), n_spots
+        return stored(bag_features, dealt.select("target_ord", "_batch"), list(range(count))), n_spots
     size_of = 8 * (F.sum("_n") * widths[0] + F.count(F.lit(1)) * widths[1])
     sizes = durable(dealt.groupBy("_batch").agg(F.sum("_n").alias("n"), (size_of <= _BATCH_BYTES).alias("_small")))
     small = {r["_batch"]: r["n"] for r in sizes.where("_small").collect()}
     chosen = dealt.join(by_shuffle(sizes), "_batch").select("target_ord", "_batch", "_small")
     batches: list = [None] * count
     wanted: list = [None] * count
-    if len(small) < count:
+    if large := [k for k in range(count) if k not in small]:
         rest = chosen.where("NOT _small").drop("_small")
-        for k, (grids, own) in enumerate(zip(stored(bag_features, rest), stored(targets, rest), strict=True)):
+        for k, grids, own in zip(large, stored(bag_features, rest, large), stored(targets, rest, large), strict=True):
             batches[k], wanted[k] = grids, own
     if small:
         limit = -(-size // min(spark.sparkContext.defaultParallelism, -(-max(small.values()) // _SLAB)))  # spots of a task
         # A spot beyond the bound is in no small batch and must not meet itself in one task; there are no more of them than the table has bounds.
         beyond = spots.where(F.col("_n") * 8 * widths[0] > _BATCH_BYTES).select("target_ord")
-        light = bag_features if len(small) == count else bag_features.join(F.broadcast(beyond), "target_ord", "left_anti")
-        for k, batch in enumerate(_whole_spots(light, targets, chosen.where("_small").drop("_small"), limit, read)):
-            if k in small:
-                batches[k], wanted[k] = batch, None
+        light = bag_features.join(F.broadcast(beyond), "target_ord", "left_anti") if large else bag_features
+        for k, batch in _whole_spots(light, targets, chosen.where("_small").drop("_small"), limit, list(small)).items():
+            batches[k] = batch
     return batches, n_spots, wanted
 
 
-def _whole_spots(bag_features: DataFrame, targets: DataFrame, dealt: DataFrame, limit: int, read: Callable[[str, str], list[DataFrame]]) -> list[_WholeSpots]:
+def _whole_spots(bag_features: DataFrame, targets: DataFrame, dealt: DataFrame, limit: int, chosen: list[int]) -> dict[int, _WholeSpots]:
     """Small batches as rows of whole spots, stored in files of ``limit`` rows, each of which is a task of a step."""
     spark = bag_features.sparkSession
     ready = targets.select(
@@ -450,10 +446,10 @@ def _whole_spots(bag_features: DataFrame, targets: DataFrame, dealt: DataFrame,
         F.count(F.lit(1)).alias("n_grids"), F.flatten(F.collect_list("feature")).alias("features")
     ).join(by_shuffle(ready), "target_ord").drop("target_ord")
     whole.repartition("_batch").write.option("maxRecordsPerFile", limit).partitionBy("_batch").parquet(path)
-    batches = read(path, f"n_grids long, features {kind}, want array<double>, share array<double>")
-    made = spark.read.schema("_batch int, n_grids long").parquet(path).groupBy("_batch").agg(F.sum("n_grids").alias("n"), F.count(F.lit(1)).alias("rows"))
-    made = {r["_batch"]: (r["n"], -(-r["rows"] // limit)) for r in made.toLocalIterator()}
-    return [_WholeSpots(rows, *made.get(k, (0, 0))) for k, rows in enumerate(batches)]
+    stored = spark.read.schema(f"_batch int, n_grids long, features {kind}, want array<double>, share array<double>").parquet(path)
+    made = stored.groupBy("_batch").agg(F.sum("n_grids").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    sizes = {r["_batch"]: (r["n"], -(-r["rows"] // limit)) for r in made}
+    return {k: _WholeSpots(stored.where(F.col("_batch") == k).drop("_batch"), *sizes.get(k, (0, 0))) for k in chosen}
 
 
 @dataclass
