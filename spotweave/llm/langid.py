@@ -34,6 +34,8 @@ KEPT_TRIGRAMS = 40_000
 UNKNOWN = "und"
 #: Cosines below so many standard deviations of chance are no language, in texts of at least so many letters.
 CHANCE_DEVIATIONS, LEAST_LETTERS = 4.0, 50
+#: Cosines closer than this are equal: a matrix product may round the sums of equal rows differently.
+TIED = 1e-12
 _SLOTS = 4096
 
 
@@ -155,7 +157,8 @@ def identify(texts: DataFrame, prototypes: dict[str, np.ndarray], text: str = "t
             if not size or not names:
                 return UNKNOWN, 0.0, letters
             near = matrix @ vector / size
-            return names[int(near.argmax())], float(np.clip(near.max(), 0, 1)), letters
+            best = near.max()
+            return names[int(np.argmax(near >= best - TIED))], float(np.clip(best, 0, 1)), letters
 
         return lambda bodies: map(nearest, _bundles(bodies, bundler))
 
